@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import linequality, mixing, packing, sharding, substrings
 
 QUERIES = {
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op6_hash_tree": sharding.op6_hash_tree,
+    "op7_super_kmers": substrings.op7_super_kmers,
+    "op8_line_frequency": linequality.op8_line_frequency,
+    "op10_vector_best_fit": packing.op10_vector_best_fit,
 }
-ORACLES = {"op4_poisson_mix": mixing.OP4_SQL}
+ORACLES = {"op4_poisson_mix": mixing.OP4_SQL, "op7_super_kmers": substrings.OP7_SQL, "op8_line_frequency": linequality.OP8_SQL}
