@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import table, written
 
 SEED = 20240
+#: A table of sources up to this many rows is broadcast.
+MOST_BROADCAST = 10_000
 
 
 def hash_uniform(*parts: Column) -> Column:
@@ -52,7 +54,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float], default_weight: floa
     total = sizes.agg(F.sum("_mx_bytes").alias("_mx_all"), F.sum("_mx_weight").alias("_mx_sum"))
     rate = F.col("_mx_all") * F.col("_mx_weight") / F.col("_mx_sum") / F.col("_mx_bytes")
     rates = poisson_table(sizes.crossJoin(F.broadcast(total)).where("_mx_weight > 0").select("_mx_source", rate.alias("rate")))
-    rates = rates.select("_mx_source", F.col("rate").alias("_mx_rate"), "cdf").withColumnRenamed("cdf", "_mx_cdf")
+    rates = written(rates.select("_mx_source", F.col("rate").alias("_mx_rate"), F.col("cdf").alias("_mx_cdf")))
+    if rates.count() <= MOST_BROADCAST:  # else Spark joins by source, parting the hot ones
+        rates = F.broadcast(rates)
     draw = hash_uniform(F.lit(str(seed)), F.col("doc_id").cast("string"))
     count = F.size(F.filter("_mx_cdf", lambda c: c <= F.col("_mx_u")))
     own = [c for c in docs.columns if c not in ("copy_no", "rate", "shuffle_key")]
