@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import linequality, mixing, packing, sharding, substrings
+from . import linequality, mixing, neighbours, packing, sharding, substrings, toxicity
 
 QUERIES = {
+    "op2_multi_index": neighbours.op2_multi_index,
+    "op3_kneser_ney": toxicity.op3_kneser_ney,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op6_hash_tree": sharding.op6_hash_tree,
     "op7_super_kmers": substrings.op7_super_kmers,

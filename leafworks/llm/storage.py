@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafworks.functions.shipping import ship
+
 _OWN: list[str] = []
 
 
@@ -33,6 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch holds, so that Python workers need little memory whatever the texts' lengths."""
+    """Readies the session for Python tasks: sends them the package, and bounds what one Arrow batch holds, so that workers need little memory whatever the texts' lengths."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import small_batches, table
 from .words import Words, counting, covered, sequence_hashes, utf8
 
 #: Words of a window, and of the m-mers of which the least hash is a window's minimiser.
@@ -165,6 +165,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, chunk_rows: int = 10
     remove each other's words. Fewer than 13 words: nothing goes. Empty input: no rows. Extra columns are ignored.
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space; only with_text) and kept_sha256.
     """
+    small_batches(docs.sparkSession)
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     chunks, buckets = max(1, -(-n // chunk_rows)), max(1, -(-3 * (size or 0) // bucket_bytes))
     own = docs.select("doc_id", F.col("text").cast("string"))
