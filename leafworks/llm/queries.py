@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import linequality, mixing, neighbours, packing, sharding, substrings, toxicity
+from . import jaccard, linequality, mixing, neighbours, packing, secrets, sharding, substrings, toxicity
 
 QUERIES = {
+    "op1_adaptive_prefix": jaccard.op1_adaptive_prefix,
     "op2_multi_index": neighbours.op2_multi_index,
     "op3_kneser_ney": toxicity.op3_kneser_ney,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op6_hash_tree": sharding.op6_hash_tree,
     "op7_super_kmers": substrings.op7_super_kmers,
     "op8_line_frequency": linequality.op8_line_frequency,
+    "op9_crf": secrets.op9_crf,
     "op10_vector_best_fit": packing.op10_vector_best_fit,
 }
 ORACLES = {"op4_poisson_mix": mixing.OP4_SQL, "op7_super_kmers": substrings.OP7_SQL, "op8_line_frequency": linequality.OP8_SQL}
