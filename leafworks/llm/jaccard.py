@@ -134,35 +134,104 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 LINKED = "100 * common >= 80 * (n_a + n_b - common)"
+#: Documents of one side of a block of a large group.
+BLOCK = 1000
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Intersection sizes of the sets numbered left with those numbered right, by products of membership matrices, some tokens at a time."""
+    both = np.union1d(left, right)
+    token = np.concatenate([sets[i] for i in both])
+    owner = np.repeat(np.arange(len(both)), [len(sets[i]) for i in both])
+    kinds, column, times = np.unique(token, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[column] > 1
+    owner, column, n = owner[keep], shared[column[keep]], int((times > 1).sum())
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    rows, cols = np.searchsorted(both, left), np.searchsorted(both, right)
+    for a in range(0, n, width):
+        part = slice(*np.searchsorted(column, [a, a + width]))
+        m = np.zeros((len(both), min(width, n - a)), dtype=np.float32)
+        m[owner[part], column[part] - a] = 1
+        out += m[rows] @ m[cols].T
+    return out.astype(np.int64)
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """Links within blocks of hubs' groups; of links that close a circle within a block, one is left out."""
+    sets = shingle_sets(rows.column("text").combine_chunks())
+    prefix = [np.unique(np.array(p, dtype=np.int64)) for p in rows.column("prefix").to_pylist()]
+    ids, far, matches = (rows.column(c).to_numpy() for c in ("id", "far", "matches"))
+    linked = rows.column("linked").to_numpy(zero_copy_only=False).astype(bool)
+    n = np.array([len(s) for s in sets])
+    mine, i, j = (rows.column(c).to_numpy() for c in ("mine", "i", "j"))
+    key = np.stack([rows.column("hub").to_numpy(), i, j])
+    order = np.lexsort((ids, *key))
+    found: list[tuple[int, int]] = []
+    for at in np.split(order, np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1):
+        left, right = at[mine[at] == i[at[0]]], at[mine[at] == j[at[0]]]
+        if linked[at].all() or not len(left) or not len(right):
+            continue
+        small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+        fit = (5 * small >= 4 * large) & (np.abs(far[left][:, None] - far[right]) <= 0.2000001) & ~(linked[left][:, None] & linked[right]) & (ids[left][:, None] < ids[right] if i[at[0]] == j[at[0]] else ids[left][:, None] != ids[right])
+        if fit.any():
+            fit &= common_counts(prefix, left, right) >= np.minimum(matches[left][:, None], matches[right])
+        if fit.any():
+            common = common_counts(sets, left, right)
+            fit &= 100 * common >= 80 * (n[left][:, None] + n[right] - common)
+        found += _spanning([(int(ids[left[x]]), int(ids[right[y]])) for x, y in zip(*np.nonzero(fit), strict=True)])
+    return pa.table([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
+
+
+def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    kept = []
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            root[x] = y
+            kept.append((a, b))
+    return kept
 
 
 def similar_pairs(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     sizes: prefixes(docs), written. A shingle's hub is the least id with it in its prefix. Round one verifies every document against the hubs of its
-    prefix. Documents linked to one hub are in one component already; so round two takes, from each shingle's documents, only pairs with at least one
-    that isn't linked to the hub; and as 1 - Jaccard is a metric, only those whose distances from the hub differ by 0.2 at most. Of these, pairs
-    with fitting sizes that share as many prefix shingles as the smaller of their match numbers are
-    verified. A group of near copies thus gives a pair a document and hub, not all pairs.
+    prefix; so a group of near copies gives a pair a document and hub, not all pairs. Any two documents that
+    share a prefix shingle are in the group of its hub. Members linked to the hub are in one component already; so round two compares, inside a group, only
+    pairs with at least one member that isn't: as 1 - Jaccard is a metric, those whose distances from the hub
+    differ by 0.2 at most, with fitting sizes, that share as many prefix shingles as the smaller of their match numbers. Large groups are compared in
+    blocks of BLOCK by BLOCK documents, dealt to tasks by hash; no task gets a whole group.
     """
-    base = F.col("n") - F.expr("(4 * n + 4) div 5")
-    rows = sizes.where("id IS NOT NULL").select("id", "n", "matches", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("token", "id", "n", "matches", F.greatest(F.lit(1), F.col("at") - base + 1).cast("int").alias("level"))
+    rows = sizes.where("id IS NOT NULL").select("id", F.explode("prefix").alias("token"))
     hubs = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1").drop("k")
-    met = written(rows.join(hubs, "token"))
-    first = written(met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    done = written(verified(docs, first).groupBy("a", "b").agg(F.max_by(F.struct("common", "n_a", "n_b"), F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("v")).select("a", "b", "v.*"))
-    known = done.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"), F.expr(LINKED).alias("linked"))
-    placed = written(met.where("id <> hub").join(known, ["id", "hub"]))
-    apart = placed.where("NOT linked").select("token", *(F.col(c).alias(f"{c}_u") for c in ("id", "n", "matches", "level", "far")))
-    pairs = apart.join(placed, "token").where("id <> id_u AND (linked OR id > id_u) AND abs(far - far_u) <= 0.2000001 AND 5 * least(n, n_u) >= 4 * greatest(n, n_u)")
-    pairs = pairs.where("greatest(level, level_u) <= least(matches, matches_u)")
-    pairs = pairs.groupBy(F.greatest("id", "id_u").alias("a"), F.least("id", "id_u").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("matches", "matches_u")).alias("need")).where("k >= need")
-    second = written(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"))
-    links = done.where(LINKED).select("a", "b")
-    if second.isEmpty():
+    first = written(rows.join(hubs, "token").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    # rows with equal ids may give several sets: the most similar counts
+    likeness = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    done = verified(docs, first).groupBy("a", "b").agg(F.max_by(F.struct("common", "n_a", "n_b"), likeness).alias("v")).select("a", "b", "v.*")
+    done = written(done.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - likeness).alias("far"), F.expr(LINKED).alias("linked")))
+    links = done.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+
+    open_ = done.groupBy("hub").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("apart")).where("apart > 0 AND k > 1").select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    dealt = done.join(open_, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = written(dealt.select("id", "hub", "far", "linked", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+    ids, n = dealt.select("id").distinct(), dealt.count()
+    if not n:
         return links
-    return links.unionByName(verified(docs, second).where(LINKED).select("a", "b"))
+    bodies = written(among(_texts(docs).where("id IS NOT NULL"), ids).join(among(sizes.where("id IS NOT NULL").select("id", "matches", "prefix"), ids), "id"))
+    task = F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, n // BLOCK)))
+    more = dealt.join(bodies, "id").withColumn("task", task).groupBy("task").applyInArrow(_compare, "a long, b long")
+    return links.unionByName(more)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
