@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, linequality, mixing, neighbours, packing, secrets, sharding, substrings, toxicity
+from . import jaccard, licenses, linequality, mixing, neighbours, packing, secrets, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_adaptive_prefix": jaccard.op1_adaptive_prefix,
     "op2_multi_index": neighbours.op2_multi_index,
     "op3_kneser_ney": toxicity.op3_kneser_ney,
     "op4_poisson_mix": mixing.op4_poisson_mix,
+    "op5_diagonal_voting": licenses.op5_diagonal_voting,
     "op6_hash_tree": sharding.op6_hash_tree,
     "op7_super_kmers": substrings.op7_super_kmers,
     "op8_line_frequency": linequality.op8_line_frequency,
