@@ -188,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with the column evidence (double), computed from text alone."""
+    """docs with the column evidence (double), computed from text alone; an input column of this name is replaced."""
+    docs = docs.drop("evidence").withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn("evidence", F.lit(0.0)).schema
     at = docs.columns.index("text")
@@ -213,6 +214,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"), F.col("evidence").alias("n_evidence"))
 
 
+def ordinary(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with their columns."""
+    kept = evidence(docs, model).where(F.lit(model.slope) * F.col("evidence") + F.lit(model.bias) < 0)
+    return kept.select(*docs.columns) if "evidence" not in docs.columns else kept.drop("evidence")
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
