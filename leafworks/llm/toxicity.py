@@ -187,11 +187,11 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return model
 
 
-def evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with the column evidence (double), computed from text alone; an input column of this name is replaced."""
-    docs = docs.drop("evidence").withColumn("text", F.col("text").cast("string"))
+def evidence(docs: DataFrame, model: ToxicityModel, name: str = "evidence") -> DataFrame:
+    """docs with the column name (double), computed from text alone; an input column of this name is replaced."""
+    docs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn("evidence", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +216,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def ordinary(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with their columns."""
-    kept = evidence(docs, model).where(F.lit(model.slope) * F.col("evidence") + F.lit(model.bias) < 0)
-    return kept.select(*docs.columns) if "evidence" not in docs.columns else kept.drop("evidence")
+    scored = evidence(docs, model, "_tx_evidence")
+    return scored.where(F.lit(model.slope) * F.col("_tx_evidence") + F.lit(model.bias) < 0).drop("_tx_evidence")
 
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
