@@ -127,3 +127,57 @@ def overprints(spans: DataFrame, least: float = 0.5, share: float = 0.45, bucket
     shorter = F.least(F.col("y1") - F.col("y0"), F.col("y1_o") - F.col("y0_o"))
     pairs = rows.join(other, ["page_id", "band"]).where((F.col("span_no") < F.col("span_no_o")) & (across > least) & (down > least) & (down >= share * shorter))
     return pairs.select("page_id").distinct()
+
+
+def least_sizes(rows: DataFrame, default: float, floors: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Adds least_size: the largest of the default and the floors (column, table with it and floor) that apply."""
+    out, cols = rows, []
+    for i, (col, floor) in enumerate(floors):
+        out = out.join(floor.select(col, F.col("floor").alias(f"_f{i}")), col, "left")
+        cols.append(F.col(f"_f{i}"))
+    return out.withColumn("least_size", F.greatest(F.lit(default), *[F.coalesce(c, F.lit(0.0)) for c in cols])).drop(*[f"_f{i}" for i in range(len(floors))])
+
+
+def size_clusters(spans: DataFrame, gap: float = 0.18) -> DataFrame:
+    """page_id, clusters, uneven: sizes parted where the next is over gap larger; two clusters of two boxes or more are uneven."""
+    order = Window.partitionBy("page_id").orderBy("font_size", "span_no")
+    new = F.coalesce(F.col("font_size") > (1 + gap) * F.lag("font_size").over(order), F.lit(True))
+    numbered = spans.withColumn("_new", new.cast("int")).withColumn("_c", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = numbered.groupBy("page_id", "_c").agg(F.count("*").alias("_n"))
+    return sized.groupBy("page_id").agg(F.count("*").alias("clusters"), (F.count_if(F.col("_n") >= 2) >= 2).alias("uneven"))
+
+
+def font_fidelity(spans: DataFrame, approved: list[str], least: int = 3) -> DataFrame:
+    """page_id, font_name, boxes of fonts that aren't approved and draw least boxes or more."""
+    return spans.where(~F.col("font_name").isin(*approved)).groupBy("page_id", "font_name").agg(F.count("*").alias("boxes")).where(F.col("boxes") >= least)
+
+
+def out_of_order(spans: DataFrame) -> DataFrame:
+    """page_id of pages whose numbers don't grow from top to bottom."""
+    order = Window.partitionBy("page_id").orderBy("y0", "span_no")
+    back = spans.withColumn("_b", F.col("span_no") < F.lag("span_no").over(order))
+    return back.where("_b").select("page_id").distinct()
+
+
+def edition_state(editions: DataFrame, blocking: list[str], ready: DataFrame) -> DataFrame:
+    """candidate_id, state: a blocking render status first, else ready or its open codes."""
+    joined = editions.join(ready, "candidate_id", "left")
+    state = F.when(F.col("render_status").isin(*blocking), F.concat(F.lit("blocked:"), F.col("render_status"))).when(F.col("codes") == "", "ready").otherwise(F.coalesce("codes", F.lit("no_checks")))
+    return joined.select("candidate_id", state.alias("state"))
+
+
+def contained_lines(words_: DataFrame, regions: DataFrame, slack: float = 2.0) -> DataFrame:
+    """page_id, region, lines, boxes: boxes whose centre lies in a region (widened by slack) of their page, and their different rounded tops."""
+    r = regions.select("page_id", "region", *[F.col(c).alias(f"{c}_r") for c in ("x0", "y0", "x1", "y1")])
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = cx.between(F.col("x0_r") - slack, F.col("x1_r") + slack) & cy.between(F.col("y0_r") - slack, F.col("y1_r") + slack)
+    return words_.join(r, "page_id").where(inside).groupBy("page_id", "region").agg(F.count_distinct(F.bround("y0")).alias("lines"), F.count("*").alias("boxes"))
+
+
+def sample_difference(a: DataFrame, b: DataFrame, step: int = 4, most: float = 10.0) -> DataFrame:
+    """page, samples, changed, share: samples on a grid of step whose mean channel difference is above most."""
+    on = (F.col("x") % step == 0) & (F.col("y") % step == 0)
+    other = b.select("page", "x", "y", *[F.col(c).alias(f"{c}_b") for c in "rgb"])
+    diff = (F.abs(F.col("r") - F.col("r_b")) + F.abs(F.col("g") - F.col("g_b")) + F.abs(F.col("b") - F.col("b_b"))) / 3
+    out = a.where(on).join(other, ["page", "x", "y"]).groupBy("page").agg(F.count("*").alias("samples"), F.count_if(diff > most).alias("changed"))
+    return out.withColumn("share", F.col("changed") / F.col("samples"))

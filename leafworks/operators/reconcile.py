@@ -117,3 +117,90 @@ def upsert_latest(base: DataFrame, changes: DataFrame, keys: list[str], order: s
     """base with each key's last change: changed columns that aren't null replace base's, others are kept, new keys are added."""
     last = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_l")).select(*keys, *[F.col(f"_l.{c}").alias(f"_{c}") for c in columns])
     return base.join(last, keys, "full_outer").select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
+
+
+def unit_requests(units: DataFrame, preserve: str = "preserve") -> DataFrame:
+    """unit_id and the request JSON of every unit that isn't preserved: id, text, role, and the page where it isn't 1."""
+    body = F.to_json(F.struct(F.col("unit_id").alias("id"), F.col("text"), F.col("role"), F.when(F.col("page_number") != 1, F.col("page_number")).alias("page")))
+    return units.where(F.col("policy") != preserve).select("unit_id", body.alias("request"))
+
+
+def page_texts(items: DataFrame) -> DataFrame:
+    """book_id, page_number, text: items in reading order; story pages are joined by spaces, others by newlines; blank items are left out."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "text"))), lambda x: x["text"])
+    kept = items.where(F.trim("text") != "").groupBy("book_id", "page_number").agg(ordered.alias("t"), F.max("page_type").alias("k"))
+    return kept.select("book_id", "page_number", F.array_join("t", " ").alias("s"), F.array_join("t", "\n").alias("o"), "k").select("book_id", "page_number", F.when(F.col("k") == "story", F.col("s")).otherwise(F.col("o")).alias("text"))
+
+
+def region_targets(regions: DataFrame, overrides: DataFrame, items: DataFrame) -> DataFrame:
+    """region_id, target, issue: override, then item, then own target; MISSING_TARGET for none. Preserved regions are skipped."""
+    o = overrides.select("region_id", F.col("text").alias("_o"))
+    i = items.select("region_id", F.col("text").alias("_i"))
+    joined = regions.where("policy <> 'preserve'").join(o, "region_id", "left").join(i, "region_id", "left")
+    target = F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("_o", "_i", "target")])
+    return joined.select("region_id", target.alias("target"), F.when(target.isNull(), "MISSING_TARGET").alias("issue"))
+
+
+def score_flags(pages: DataFrame) -> DataFrame:
+    """book_id, page_number, score, flag, refine: imprint pages have 9 and vocabulary pages 7.5; stories under 7 are refined."""
+    score = F.when(F.col("page_type") == "copyright", 9.0).when(F.col("page_type") == "vocabulary", 7.5).otherwise(F.col("raw_score"))
+    out = pages.select("book_id", "page_number", score.alias("score"), F.col("page_type"))
+    return out.withColumn("flag", flag(F.col("score"), 8.0, 6.0)).withColumn("refine", (F.col("score") < 7) & ~F.col("page_type").isin("copyright", "vocabulary")).drop("page_type")
+
+
+def title_candidates(spans: DataFrame) -> DataFrame:
+    """page_id and the span_no of its largest text; the first of equal ones."""
+    order = Window.partitionBy("page_id").orderBy(F.desc("font_size"), "span_no")
+    return spans.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("page_id", "span_no", "font_size")
+
+
+def canonical_variants(lines: DataFrame, key: str, variant: str, order: str) -> DataFrame:
+    """key, canonical, pages: the variant on most pages, by lower-cased text with collapsed space; of equal ones the earliest; shown as first seen."""
+    norm = F.trim(F.regexp_replace(F.lower(F.col(variant)), r"[ \t]+", " "))
+    groups = lines.groupBy(key, norm.alias("_n")).agg(F.count("*").alias("pages"), F.min(order).alias("_f"), F.min_by(variant, order).alias("canonical"))
+    best = Window.partitionBy(key).orderBy(F.desc("pages"), "_f")
+    return groups.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, "canonical", "pages")
+
+
+def document_match(expected: DataFrame, found: DataFrame, key: str, least: float = 0.6) -> DataFrame:
+    """key, expected, found, passed: different words of a document that its counterpart has, by an equi join on words."""
+    words_ = lambda df: df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
+    have = words_(found).withColumn("_h", F.lit(1))
+    out = words_(expected).join(have, [key, "w"], "left").groupBy(key).agg(F.count("*").alias("expected"), F.count("_h").alias("found"))
+    return out.withColumn("passed", F.col("found") >= least * F.col("expected"))
+
+
+def compact_variants(pairs: DataFrame) -> DataFrame:
+    """One row: pairs with a compact variant, valid ones (shorter, at least half as long), coverage and savings in percent (half-even, 1 digit)."""
+    n, m = F.length("source_text"), F.length("translated_text")
+    valid = F.coalesce((m < n) & (m >= 0.5 * n), F.lit(False))
+    out = pairs.agg(F.count("*").alias("total"), F.count("translated_text").alias("with_variant"), F.count_if(valid).alias("valid"), F.sum(F.when(valid, n - m)).alias("_s"), F.sum(F.when(valid, n)).alias("_n"))
+    return out.select("total", "with_variant", "valid", F.bround(100.0 * F.col("with_variant") / F.col("total"), 1).alias("coverage"), F.bround(100.0 * F.col("_s") / F.col("_n"), 1).alias("savings"))
+
+
+def cache_split(now: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and cached: whether the content key is in the cache."""
+    known = cache.select(*keys).distinct().withColumn("_c", F.lit(True))
+    return now.join(known, keys, "left").select(*keys, F.coalesce("_c", F.lit(False)).alias("cached"))
+
+
+def font_coverage(texts: DataFrame, fonts: DataFrame) -> DataFrame:
+    """lang, font, required, covered, suitable (95 % at least): characters that a language's texts need and a font (font, char) has."""
+    need = texts.select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where("char <> ''").distinct()
+    total = need.groupBy("lang").agg(F.count("*").alias("required"))
+    have = need.join(fonts, "char").groupBy("lang", "font").agg(F.count("*").alias("covered"))
+    return have.join(total, "lang").withColumn("suitable", F.col("covered") >= 0.95 * F.col("required"))
+
+
+def exercise_contracts(pages: DataFrame, role: str = "vocabulary") -> DataFrame:
+    """source_id, book_id, page_number, kind, text: the first line of a page is its instruction, the others are questions with ids page:role:i; a page without lines keeps a row without a component."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = pages.select("book_id", "page_number", F.posexplode_outer(lines).alias("i", "text"))
+    kind = F.when(F.col("i") == 0, "instruction").when(F.col("i") > 0, "question")
+    return rows.select(F.when(F.col("i") > 0, F.concat_ws(":", "page_number", F.lit(role), "i")).alias("source_id"), "book_id", "page_number", kind.alias("kind"), "text")
+
+
+def memory_block(terms: DataFrame) -> DataFrame:
+    """book_id and its glossary as lines 'source = target', in order of the source term."""
+    line = F.concat_ws(" = ", "source_term", "translated_term")
+    return terms.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("block"))
