@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Readies the session for Python tasks: sends them the package, and bounds what one Arrow batch holds, so that workers need little memory whatever the texts' lengths."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
