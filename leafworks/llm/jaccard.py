@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from .words import LOWER, U64, Words, sequence_hashes, utf8
 
 #: Words of a shingle; links need 100 * intersection >= 80 * union.
 SHINGLE = 5
-#: The order table holds so many of the most repeated shingles at most (12 bytes each). It only orders; results are the same with any.
-ORDER_ROWS = 1 << 18
+#: The order table holds so many of the most repeated shingles at most, by half of their hash (8 bytes each). It only orders; results are the same with any.
+ORDER_ROWS = 1 << 21
+#: A task counts repetitions among so many shingles at a time (4 bytes each).
+COUNTED = 8_000_000
 #: Longest match number, and how many posting entries one verification costs.
 MOST_MATCHES, VERIFY_COST = 8, 16.0
 
@@ -43,17 +46,29 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
+def half(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(32)).astype(np.uint32)
+
+
 def repeated_shingles(docs: DataFrame, most: int = ORDER_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that meet again within a batch of documents, with how often, as a sorted table: an estimate of which are frequent."""
+    """Shingles that meet again among the documents that a task counts together, with how often, as a sorted table: an estimate of which are frequent."""
+
+    def counted(halves: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *halves]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            sets = shingle_sets(batch.column(1))
-            token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=U64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
+            held += [half(s) for s in shingle_sets(batch.column(1))]
+            n += sum(map(len, held[-len(batch) :]))
+            if n >= COUNTED:
+                yield counted(held)
+                held, n = [], 0
+        yield counted(held)
 
     found = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
-    token, n = found.column("token").to_numpy().view(U64), found.column("n").to_numpy()
+    token, n = found.column("token").to_numpy().astype(np.uint32), found.column("n").to_numpy()
     order = np.argsort(token)
     return token[order], n[order].astype(np.int32)
 
@@ -70,8 +85,9 @@ def prefix_of(tokens: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple
         return tokens, 1
     often = np.zeros(n, dtype=np.int64)
     if len(known[0]):
-        at = np.minimum(np.searchsorted(known[0], tokens), len(known[0]) - 1)
-        hit = known[0][at] == tokens
+        key = half(tokens)
+        at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+        hit = known[0][at] == key
         often[hit] = known[1][at[hit]]
     order = np.lexsort((tokens, often))
     c = (4 * n + 4) // 5
@@ -82,7 +98,7 @@ def prefix_of(tokens: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """id, n (set size), matches (m) and prefix of every document."""
+    """id, n (set size), key (128-bit hash of the set), matches (m) and prefix of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +109,11 @@ def prefixes(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in made])]).astype(np.int32)
             flat = np.concatenate([p for p, _ in made]) if made else np.zeros(0, dtype=U64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m for _, m in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                names=["id", "n", "matches", "prefix"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([m for _, m in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
+                names=["id", "n", "key", "matches", "prefix"],
             )
 
-    return _texts(docs).mapInArrow(run, "id long, n long, matches int, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "id long, n long, key binary, matches int, prefix array<long>")
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -159,28 +175,51 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, w
     return out.astype(np.int64)
 
 
-def _compare(rows: pa.Table) -> pa.Table:
-    """Links within blocks of hubs' groups; of links that close a circle within a block, one is left out."""
-    sets = shingle_sets(rows.column("text").combine_chunks())
-    prefix = [np.unique(np.array(p, dtype=np.int64)) for p in rows.column("prefix").to_pylist()]
-    ids, far, matches = (rows.column(c).to_numpy() for c in ("id", "far", "matches"))
+def _blocks(rows: pa.Table, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks of a task: row numbers left and right, and which of their pairs are this hub's to look at and may link.
+
+    A pair belongs to the least hub whose group has both. Sizes must fit and distances from the hub, where known, differ by 0.2 at most; with
+    prefixes among the columns, the pair must share as many shingles of these as the smaller match number.
+    """
+    ids, matches, mine, i, j, hub = (rows.column(c).to_numpy() for c in ("id", "matches", "mine", "i", "j", "hub"))
+    prefix = [np.unique(np.array(p, dtype=np.int64)) for p in rows.column("prefix").to_pylist()] if "prefix" in rows.column_names else None
+    lower = [np.array([h for h in hubs if h < own], dtype=np.int64) for hubs, own in zip(rows.column("hubs").to_pylist(), hub.tolist(), strict=True)]
+    far = rows.column("far").to_numpy().astype(np.float64)
     linked = rows.column("linked").to_numpy(zero_copy_only=False).astype(bool)
-    n = np.array([len(s) for s in sets])
-    mine, i, j = (rows.column(c).to_numpy() for c in ("mine", "i", "j"))
-    key = np.stack([rows.column("hub").to_numpy(), i, j])
+    key = np.stack([hub, i, j])
     order = np.lexsort((ids, *key))
-    found: list[tuple[int, int]] = []
     for at in np.split(order, np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1):
         left, right = at[mine[at] == i[at[0]]], at[mine[at] == j[at[0]]]
         if linked[at].all() or not len(left) or not len(right):
             continue
         small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-        fit = (5 * small >= 4 * large) & (np.abs(far[left][:, None] - far[right]) <= 0.2000001) & ~(linked[left][:, None] & linked[right]) & (ids[left][:, None] < ids[right] if i[at[0]] == j[at[0]] else ids[left][:, None] != ids[right])
+        fit = (5 * small >= 4 * large) & ~(np.abs(far[left][:, None] - far[right]) > 0.2000001) & ~(linked[left][:, None] & linked[right])
+        fit &= ids[left][:, None] < ids[right] if i[at[0]] == j[at[0]] else ids[left][:, None] != ids[right]
         if fit.any():
+            fit &= common_counts(lower, left, right) == 0
+        if fit.any() and prefix is not None:
             fit &= common_counts(prefix, left, right) >= np.minimum(matches[left][:, None], matches[right])
         if fit.any():
-            common = common_counts(sets, left, right)
-            fit &= 100 * common >= 80 * (n[left][:, None] + n[right] - common)
+            yield left, right, fit
+
+
+def _candidates(rows: pa.Table) -> pa.Table:
+    """The rows that are in a pair which may link."""
+    rows = rows.drop_columns("task")
+    keep = np.zeros(len(rows), dtype=bool)
+    for left, right, fit in _blocks(rows, rows.column("n").to_numpy()):
+        keep[left[fit.any(axis=1)]] = keep[right[fit.any(axis=0)]] = True
+    return rows.filter(pa.array(keep))
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """Links within blocks, from whole texts; of links that close a circle within a block, one is left out."""
+    sets = shingle_sets(rows.column("text").combine_chunks())
+    ids, n = rows.column("id").to_numpy(), np.array([len(s) for s in sets])
+    found: list[tuple[int, int]] = []
+    for left, right, fit in _blocks(rows, n):
+        common = common_counts(sets, left, right)
+        fit &= 100 * common >= 80 * (n[left][:, None] + n[right] - common)
         found += _spanning([(int(ids[left[x]]), int(ids[right[y]])) for x, y in zip(*np.nonzero(fit), strict=True)])
     return pa.table([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
 
@@ -206,31 +245,51 @@ def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def similar_pairs(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
-    sizes: prefixes(docs), written. A shingle's hub is the least id with it in its prefix. Round one verifies every document against the hubs of its
-    prefix; so a group of near copies gives a pair a document and hub, not all pairs. Any two documents that
-    share a prefix shingle are in the group of its hub. Members linked to the hub are in one component already; so round two compares, inside a group, only
-    pairs with at least one member that isn't: as 1 - Jaccard is a metric, those whose distances from the hub
-    differ by 0.2 at most, with fitting sizes, that share as many prefix shingles as the smaller of their match numbers. Large groups are compared in
+    sizes: prefixes(docs), written. A shingle's hub is the least id with it in its prefix; any two documents that share a prefix shingle are in the
+    group of its hub. Round one verifies documents against hubs whose size fits and with which they share as many such shingles as
+    the smaller of the match numbers; if a pair shares more under another hub, that hub's group has both. So a group
+    of near copies gives a pair a document and hub, not all pairs. Members linked to the hub are in one
+    component already; so round two compares, inside a group, only pairs with at least one member that isn't, first by sizes, then by prefixes, then by
+    whole texts: as 1 - Jaccard is a metric, those whose distances from the hub, where known, differ by 0.2 at most. Large groups are compared in
     blocks of BLOCK by BLOCK documents, dealt to tasks by hash; no task gets a whole group.
     """
-    rows = sizes.where("id IS NOT NULL").select("id", F.explode("prefix").alias("token"))
+    sizes = sizes.where("id IS NOT NULL")
+    # the hubs are found and met where the shingles were dealt to, by one shuffle
+    rows = sizes.select("id", F.explode("prefix").alias("token")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     hubs = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1").drop("k")
-    first = written(rows.join(hubs, "token").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    # rows with equal ids may give several sets: the most similar counts
+    first = written(rows.join(hubs, "token").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("k")))
+    narrow = sizes.select("id", "n", "key", "matches")
+    hub = narrow.select(F.col("id").alias("hub"), *(F.col(c).alias(f"{c}_h") for c in ("n", "key", "matches")))
+    fit = (5 * F.least("n", "n_h") >= 4 * F.greatest("n", "n_h")) & (F.col("k") >= F.least("matches", "matches_h"))
+    fitted = written(first.join(narrow, "id").join(hub, "hub").where(fit).groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max((F.col("key") == F.col("key_h")).cast("int")).alias("alike")))
+    # equal sets are links without another look at their texts
+    alike = fitted.where("alike = 1").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.lit(0.0).alias("far"), F.lit(True).alias("linked"))
+    checked = verified(docs, fitted.where("alike = 0").select("a", "b"))
+    # rows with equal ids may give several sets: one that fits is enough, and the most similar counts
     likeness = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    done = verified(docs, first).groupBy("a", "b").agg(F.max_by(F.struct("common", "n_a", "n_b"), likeness).alias("v")).select("a", "b", "v.*")
-    done = written(done.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - likeness).alias("far"), F.expr(LINKED).alias("linked")))
-    links = done.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    best = checked.groupBy("a", "b").agg(F.max_by(F.struct("common", "n_a", "n_b"), likeness).alias("v")).select("a", "b", "v.*")
+    best = written(best.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - likeness).alias("far"), F.expr(LINKED).alias("linked")).unionByName(alike))
+    links = best.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
+    done = first.drop("k").join(best, ["id", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     open_ = done.groupBy("hub").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("apart")).where("apart > 0 AND k > 1").select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     dealt = done.join(open_, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = written(dealt.select("id", "hub", "far", "linked", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    ids, n = dealt.select("id").distinct(), dealt.count()
+    n = dealt.count()
     if not n:
         return links
-    bodies = written(among(_texts(docs).where("id IS NOT NULL"), ids).join(among(sizes.where("id IS NOT NULL").select("id", "matches", "prefix"), ids), "id"))
     task = F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, n // BLOCK)))
-    more = dealt.join(bodies, "id").withColumn("task", task).groupBy("task").applyInArrow(_compare, "a long, b long")
+
+    def likely(rows: DataFrame) -> DataFrame:
+        return written(rows.withColumn("task", task).groupBy("task").applyInArrow(_candidates, rows.schema))
+
+    # each look needs more of a document, and fewer documents come to it: sizes, then prefixes, then whole texts
+    hubs_of = done.groupBy("id").agg(F.collect_set("hub").alias("hubs"))
+    fitting = likely(dealt.join(narrow.drop("key"), "id").join(hubs_of, "id"))
+    prefixes_of = among(sizes, fitting.select("id").distinct()).select("id", "prefix", F.col("n").alias("_n"))
+    sharing = likely(fitting.join(prefixes_of, "id").where("n = _n").drop("_n"))
+    texts = among(_texts(docs).where("id IS NOT NULL"), sharing.select("id").distinct())
+    more = sharing.join(texts, "id").withColumn("task", task).groupBy("task").applyInArrow(_compare, "a long, b long")
     return links.unionByName(more)
 
 

@@ -63,10 +63,12 @@ def test_jaccard_odd_rows(make, odd_texts):
 
 def test_prefix_matches_hold_for_linked_sets():
     rng = np.random.default_rng(0)
-    known = (np.arange(0, 4000, 3, dtype=np.uint64), rng.integers(2, 50, 1334).astype(np.int32))
+    spread = np.uint64(1 << 32)
+    known = (np.arange(0, 4000, 3, dtype=np.uint32), rng.integers(2, 50, 1334).astype(np.int32))
     for _ in range(200):
         a = np.unique(rng.integers(0, 4000, rng.integers(1, 120)).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 4000, len(a) // 12).astype(np.uint64)]))
+        a, b = a * spread, b * spread
         common = len(np.intersect1d(a, b))
         if len(b) and 100 * common >= 80 * (len(a) + len(b) - common):
             (p, m), (q, n) = jaccard.prefix_of(a, known), jaccard.prefix_of(b, known)
