@@ -70,7 +70,7 @@ class ToxicityModel:
     def word_scores(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         key, word = grams(raw, start, end)
         at = np.minimum(np.searchsorted(self.known[0], key), max(len(self.known[0]) - 1, 0))
-        ratio = lookup(self.context, key >> U64(8))
+        ratio = np.minimum(lookup(self.context, key >> U64(8)), 0)  # that the toxic counts are fewer says nothing against an unknown word
         if len(self.known[0]):
             hit = self.known[0][at] == key
             ratio[hit] = self.known[1][at[hit]]
@@ -123,7 +123,8 @@ def kneser_ney(key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Toxi
 def _fit_scale(x: np.ndarray, y: np.ndarray, slope: float = 1.0, bias: float = -2.5, pull: float = 4.0) -> tuple[float, float]:
     """Logistic regression of y on x where some rows are labelled 1 by mistake, at a rate found along with it (EM).
 
-    The weights are drawn towards the given start, which few rows hardly leave.
+    The weights are drawn towards the given start, which few rows hardly leave. No evidence (x = 0) scores the share of rows
+    labelled 1 at most.
     """
     w, start, wrong = np.array([slope, bias]), np.array([slope, bias]), 0.05
     a = np.stack([x, np.ones_like(x)], axis=1)
@@ -133,7 +134,9 @@ def _fit_scale(x: np.ndarray, y: np.ndarray, slope: float = 1.0, bias: float = -
         wrong = float(np.clip((y - true).sum() / max((1 - p).sum(), 1e-9), 0, 0.3))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull * np.eye(2), a.T @ (p - true) + pull * (w - start))
         w = w - np.clip(step, -1, 1)
-    return (float(w[0]), float(w[1])) if w[0] > 0 else (slope, bias)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    top = float(np.log(share / (1 - share)))
+    return (float(w[0]), min(float(w[1]), top)) if w[0] > 0 else (slope, bias)
 
 
 def remainder(doc_id: str = "doc_id"):
