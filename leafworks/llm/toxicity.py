@@ -7,18 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import small_batches, table
+from .storage import small_batches, table, written
 from .words import LOWER, NOT_ALNUM, U64, Words, counting, utf8
 
 #: Bytes of a gram: one predicted byte after up to five of the same word.
 ORDER = 6
 #: Marks of a word's start and end inside grams; letters never have these bytes.
 START, END = 2, 1
-#: Bounds of the labelled rows that are learnt from: toxic, ordinary, and those that set the scale.
-TOXIC_ROWS, ORDINARY_ROWS, SCALE_ROWS = 4_000, 16_000, 8_000
+#: Bound of the labelled rows that set the scale; counts come from all the others.
+SCALE_ROWS = 8_000
+#: Up to so many labels are broadcast, and up to so many grams are fitted on the driver and broadcast; more are joined.
+LABEL_ROWS, GRAM_ROWS = 1_000_000, 1_500_000
 #: What a count loses to the shared counts below it, and how many counts more the shared ones weigh in each context of a class.
 DISCOUNT, STRENGTH = 0.75, 10.0
 
@@ -93,6 +95,16 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -500, 500)))
 
 
+@dataclass
+class JoinedModel:
+    """The same two tables, gram and ratio, as DataFrames: for more grams than a broadcast should hold."""
+
+    known: DataFrame
+    context: DataFrame
+    slope: float = 1.0
+    bias: float = -2.5
+
+
 def kneser_ney(key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> ToxicityModel:
     """Interpolated Kneser-Ney models of both classes over the same counts of lower orders.
 
@@ -120,6 +132,34 @@ def kneser_ney(key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Toxi
     return ToxicityModel((key, (logs[0] - logs[1]).astype(np.float32)), (contexts, (backoff[0] - backoff[1]).astype(np.float32)))
 
 
+def kneser_ney_joined(counts: DataFrame) -> JoinedModel:
+    """kneser_ney by Spark. counts: gram, toxic, ordinary. A context has 256 grams at most, and so has a gram longer ones, so no window or join is skewed."""
+    both = F.col("toxic") + F.col("ordinary")
+    shared = None
+    for k in range(1, ORDER + 1):
+        if k < ORDER:
+            longer = counts.select(F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("longer")).distinct()
+            level = longer.groupBy(F.col("longer").bitwiseAND((1 << (8 * k)) - 1).alias("gram")).agg(F.count("*").cast("double").alias("n"))
+        else:
+            level = counts.withColumn("n", both)
+        inside = Window.partitionBy(F.shiftright("gram", 8))
+        level = level.withColumn("total", F.sum("n").over(inside)).withColumn("freed", F.sum(F.least("n", F.lit(DISCOUNT))).over(inside))
+        if shared is None:
+            level = level.withColumn("below", F.lit(1 / 256))
+        else:
+            level = level.withColumn("shorter", F.col("gram").bitwiseAND((1 << (8 * (k - 1))) - 1)).join(shared.select(F.col("gram").alias("shorter"), F.col("shared").alias("below")), "shorter")
+        shared = level.withColumn("shared", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + F.col("freed") * F.col("below")) / F.col("total"))
+    part, logs, backoff = Window.partitionBy("context"), [], []
+    known = shared.select("gram", "toxic", "ordinary", "shared", F.shiftright("gram", 8).alias("context"))
+    for c in ("toxic", "ordinary"):
+        total, freed = F.sum(c).over(part) + STRENGTH, F.sum(F.least(c, F.lit(DISCOUNT))).over(part) + STRENGTH
+        logs.append(F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + freed * F.col("shared")) / total))
+        backoff.append(F.log(freed / total))
+    both_tables = written(known.select("gram", "context", (logs[0] - logs[1]).alias("ratio"), (backoff[0] - backoff[1]).alias("back")))
+    context = both_tables.groupBy(F.col("context").alias("gram")).agg(F.first("back").alias("ratio"))
+    return JoinedModel(both_tables.select("gram", "ratio"), context)
+
+
 def _fit_scale(x: np.ndarray, y: np.ndarray, slope: float = 1.0, bias: float = -2.5, pull: float = 4.0) -> tuple[float, float]:
     """Logistic regression of y on x where some rows are labelled 1 by mistake, at a rate found along with it (EM).
 
@@ -144,21 +184,24 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def _sample(labels: DataFrame, toxic: int | None, most: int) -> DataFrame:
-    rows = labels if toxic is None else labels.where(F.col("toxic") == toxic)
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def _sample(labels: DataFrame, most: int) -> DataFrame:
+    return labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Learns from labelled rows whose remainder isn't 0: 1-3 give the counts, 4 sets the scale. At most TOXIC_ROWS +
-    ORDINARY_ROWS + SCALE_ROWS labelled rows are used, those with the least hashed ids; a doc_id with
-    several labels counts as toxic if one says so. Null ids and labels are left out. Without rows of both classes no gram is known.
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | JoinedModel:
+    """Learns from labelled rows whose remainder isn't 0: all with 1-3 give the counts, at most SCALE_ROWS with 4, those with the
+    least hashed ids, set the scale. A doc_id with several labels counts as toxic if one says so. Null ids and labels are left
+    out. Without rows of both classes no gram is known. Up to LABEL_ROWS labels are broadcast and up to GRAM_ROWS grams
+    fitted on the driver; beyond, Spark joins and fits them, with the same results.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("part", remainder()).where("part <> 0")
-    learn = known.where("part < 4")
-    chosen = _sample(learn, 1, TOXIC_ROWS).unionByName(_sample(learn, 0, ORDINARY_ROWS)).unionByName(_sample(known.where("part = 4"), None, SCALE_ROWS))
-    # at most TOXIC_ROWS + ORDINARY_ROWS + SCALE_ROWS rows: small enough to be broadcast
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id", "toxic", "part")), "doc_id")
+    known = written(known)
+    learn = known.where("part < 4").select("doc_id", "toxic")
+    if learn.count() <= LABEL_ROWS:
+        learn = F.broadcast(learn)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # at most SCALE_ROWS rows: small enough to be broadcast
+    scale = texts.join(F.broadcast(_sample(known.where("part = 4"), SCALE_ROWS).select("doc_id", "toxic")), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,21 +221,62 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(both - toxic)], names=["gram", "toxic", "ordinary"])
 
     small_batches(docs.sparkSession)
-    counted = rows.where("part < 4").dropDuplicates(["text"]).select("text", F.col("toxic").cast("int")).mapInArrow(count, "gram long, toxic double, ordinary double")
-    found = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
-    found = found.assign(gram=found["gram"].to_numpy(dtype=np.int64).view(U64)).sort_values("gram")
-    key, toxic, ordinary = (found[c].to_numpy() for c in ("gram", "toxic", "ordinary"))
-    if not (toxic.any() and ordinary.any()):
+    counted = texts.join(learn, "doc_id").dropDuplicates(["text"]).select("text", F.col("toxic").cast("int")).mapInArrow(count, "gram long, toxic double, ordinary double")
+    counts = written(counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    rows, toxic, ordinary = counts.agg(F.count("*"), F.sum("toxic"), F.sum("ordinary")).first()
+    if not (toxic and ordinary):
         return ToxicityModel((np.zeros(0, dtype=U64), np.zeros(0)), (np.zeros(0, dtype=U64), np.zeros(0)))
-    model = kneser_ney(key, toxic, ordinary)
-    scaled = evidence(rows.where("part = 4").select("doc_id", "text", "toxic"), model).select("evidence", "toxic").toPandas()
+    if rows <= GRAM_ROWS:
+        found = counts.toPandas().sort_values("gram")
+        model = kneser_ney(found["gram"].to_numpy(dtype=np.int64).view(U64), found["toxic"].to_numpy(), found["ordinary"].to_numpy())
+    else:
+        model = kneser_ney_joined(counts)
+    scaled = evidence(scale, model).select("evidence", "toxic").toPandas()
     model.slope, model.bias = _fit_scale(scaled["evidence"].to_numpy(), scaled["toxic"].to_numpy(dtype=np.float64))
     return model
 
 
-def evidence(docs: DataFrame, model: ToxicityModel, name: str = "evidence") -> DataFrame:
+def _joined(docs: DataFrame, model: JoinedModel, name: str) -> DataFrame:
+    """evidence() by joins: texts meet their words, words their grams. Equal texts, words and grams are looked up once."""
+    ids = [F.xxhash64("text").alias("_tx_a"), F.xxhash64(F.lit(1), "text").alias("_tx_b")]
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = utf8(batch.column(2))
+            words = Words(LOWER[raw], at, NOT_ALNUM)
+            if not len(words.start):
+                continue
+            data, text = words.raw.tobytes(), words.text_of()
+            _, where, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            pair, times = np.unique(text * len(where) + kind, return_counts=True)
+            spelt = pa.array([data[words.start[i] : words.end[i]] for i in where.tolist()], pa.binary())
+            text = pa.array(pair // len(where))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), spelt.take(pa.array(pair % len(where))), pa.array(1 + np.log(times))], names=["_tx_a", "_tx_b", "word", "weight"])
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            ends = np.cumsum([len(w) for w in words])
+            key, word = grams(np.frombuffer(b"".join(words), dtype=np.uint8), ends - [len(w) for w in words], ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word)), pa.array(key.view(np.int64))], names=["word", "gram"])
+
+    small_batches(docs.sparkSession)
+    pairs = docs.select(*ids, "text").mapInArrow(weighted, "_tx_a long, _tx_b long, word binary, weight double")
+    pairs = written(pairs.groupBy("_tx_a", "_tx_b", "word").agg(F.max("weight").alias("weight")))
+    found = pairs.select("word").distinct().mapInArrow(spelt, "word binary, gram long").withColumn("context", F.shiftright("gram", 8))
+    found = found.join(model.known.withColumnRenamed("ratio", "own"), "gram", "left")
+    found = found.join(model.context.select(F.col("gram").alias("context"), F.col("ratio").alias("back")), "context", "left")
+    scores = found.groupBy("word").agg(F.sum(F.coalesce("own", F.least("back", F.lit(0.0)), F.lit(0.0))).alias("ratio"))
+    total = pairs.join(scores, "word").groupBy("_tx_a", "_tx_b").agg((F.sum(F.col("ratio") * F.col("weight")) / F.sqrt(F.greatest(F.sum("weight"), F.lit(1.0)))).alias("_tx_total"))
+    keyed = docs.select("*", *ids).join(written(total), ["_tx_a", "_tx_b"], "left")
+    return keyed.withColumn(name, F.coalesce("_tx_total", F.lit(0.0))).drop("_tx_a", "_tx_b", "_tx_total")
+
+
+def evidence(docs: DataFrame, model: ToxicityModel | JoinedModel, name: str = "evidence") -> DataFrame:
     """docs with the column name (double), computed from text alone; an input column of this name is replaced."""
     docs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
+    if isinstance(model, JoinedModel):
+        return _joined(docs, model, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn(name, F.lit(0.0)).schema
     at = docs.columns.index("text")
@@ -205,7 +289,7 @@ def evidence(docs: DataFrame, model: ToxicityModel, name: str = "evidence") -> D
     return docs.mapInArrow(run, schema)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel | JoinedModel) -> DataFrame:
     """Scores every whole text: doc_id, held_out, score (0 to 1), predicted (1 from 0.5), n_evidence (the length-normalised ratio).
 
     Null and empty texts, and texts without letters, get the score of no evidence. Null doc_id: held out. Repeated
@@ -217,7 +301,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"), F.col("evidence").alias("n_evidence"))
 
 
-def ordinary(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def ordinary(docs: DataFrame, model: ToxicityModel | JoinedModel) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with their columns."""
     scored = evidence(docs, model, "_tx_evidence")
     return scored.where(F.lit(model.slope) * F.col("_tx_evidence") + F.lit(model.bias) < 0).drop("_tx_evidence")

@@ -156,6 +156,28 @@ def test_toxicity_odd_rows(spark, make, odd_texts, toxic_data):
     assert toxicity.score_toxicity(make([]), model).count() == 0
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "lpad(id, 5, '0') AS text")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 2 AS INT) AS toxic"))
+    words = [f"{i:05}".encode() for i in range(30_000) if 1 <= zlib.crc32(str(i).encode()) % 5 <= 3]
+    last = np.array([int.from_bytes(w + bytes([toxicity.END]), "big") for w in words], dtype=np.uint64)
+    assert np.isin(last, model.known[0]).all()
+
+
+def test_toxicity_by_joins_scores_alike(spark, make, toxic_data, odd_texts, monkeypatch):
+    texts, labels = toxic_data
+    docs, given = make(texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    small = toxicity.train(docs, given)
+    monkeypatch.setattr(toxicity, "LABEL_ROWS", 0)
+    monkeypatch.setattr(toxicity, "GRAM_ROWS", 0)
+    large = toxicity.train(docs, given)
+    assert isinstance(large, toxicity.JoinedModel) and np.allclose([large.slope, large.bias], [small.slope, small.bias], rtol=1e-4)
+    rows = make([*texts[:200], *((None if i is None else i + 5000, t) for i, t in odd_texts)], clashing=True)
+    a, b = (sorted((r.doc_id or -1, r.n_evidence, r.predicted) for r in toxicity.score_toxicity(rows, m).collect()) for m in (small, large))
+    assert len(a) == len(b) and all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-3 and x[2] == y[2] for x, y in zip(a, b, strict=True))
+    assert toxicity.ordinary(rows, large).columns == rows.columns
+
+
 def test_kneser_ney_sums_to_one():
     raw = np.frombuffer(b"abcabdabe", dtype=np.uint8)
     key, word = toxicity.grams(raw, np.array([0, 3, 6]), np.array([3, 6, 9]))
