@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -13,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import small_batches, table, written
-from .words import BLANK, LOWER, Words, utf8
+from .words import BLANK, LOWER, Words, counting, utf8
 
 END_ID = 1
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
+PIECES = "doc_id long, piece int, start long, length long, ids array<int>"
+PLACES = "_pk_row long, sequence_id long, offset long"
 
 
 #: 1: ASCII letters and digits, 2: ASCII signs but the apostrophe. The tokenizer's own first split parts 1 from 2 always.
@@ -93,7 +94,7 @@ def cached_ids(path: str) -> IdCache:
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
-    """One row for each piece of each document: its place in the document's ids and their CRC."""
+    """One row for each piece of each document: its place in the document's ids, and its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cached_ids(tokenizer_path)
@@ -102,20 +103,37 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
             data = words.raw.tobytes()
             flat, size = cache.ids([data[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)])
             ends = np.concatenate([[0], np.cumsum(size)])[words.first]
-            rows: list[tuple] = []
-            for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                ids = np.append(flat[a:b], np.uint32(END_ID)).astype("<u4")
-                for piece, s in enumerate(range(0, len(ids), capacity)):
-                    part = ids[s : s + capacity]
-                    rows.append((doc, piece, s, len(part), zlib.crc32(part.tobytes())))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            flat = np.insert(flat, ends[1:], END_ID)
+            total = np.diff(ends) + 1
+            pieces = -(-total // capacity)
+            doc, piece = np.repeat(np.arange(len(batch)), pieces), counting(pieces)
+            start = piece * capacity
+            length = np.minimum(total[doc] - start, capacity)
+            at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), ids], names=["doc_id", "piece", "start", "length", "ids"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
+def digested(packed: DataFrame) -> DataFrame:
+    """packed with ids_crc32, of the ids as little-endian 32-bit numbers, after ids."""
+    at = packed.columns.index("ids")
+    names = [*packed.columns[: at + 1], "ids_crc32", *packed.columns[at + 1 :]]
+    schema = packed.withColumn("ids_crc32", F.lit(0).cast("long")).select(*names).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(at)
+            flat, ends = ids.flatten().to_numpy().astype("<i4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).tolist()
+            crc = [zlib.crc32(flat[a:b]) for a, b in itertools.pairwise(ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(crc, pa.int64()), *batch.columns[at + 1 :]], names=names)
+
+    small_batches(packed.sparkSession)
+    return packed.mapInArrow(run, schema)
+
+
 def best_fit(demand: np.ndarray, capacity: np.ndarray, weight: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, int]:
     """Bins of items with several demands each, largest first demand first.
 
@@ -168,26 +186,30 @@ def pack(
     independently: each group can leave one sequence part empty, one in some thousand, and no task gets more than a group.
 
     Null or empty text: the one id 1. Null doc_id: packed like any other. Repeated rows: pieces of their own. Empty
-    input: no rows. Extra columns are ignored. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    input: no rows. Extra columns are ignored. Returns doc_id, piece, start, length, ids,
+    ids_crc32, sequence_id, offset; a sequence is the ids of its pieces by offset.
     """
     limit = np.array([capacity, max_pieces or capacity, max_attention or float(capacity) ** 2], dtype=np.float64)
-    pieces = written(tokenised(docs, tokenizer_path, capacity))
+    pieces = written(tokenised(docs, tokenizer_path, capacity).withColumn("_pk_row", F.monotonically_increasing_id()))
     n = pieces.where(F.col("length") < capacity).count()
     groups = max(1, -(-n // group_rows))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "_pk_row"), F.lit(groups))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_pk_group").sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["doc_id", "piece", "_pk_row"], kind="stable", ignore_index=True)
         size = rows["length"].to_numpy(dtype=np.float64)
         bins, _ = best_fit(np.stack([size, np.ones_like(size), size**2], axis=1), limit, np.array(weights), rule)
         rows["sequence_id"] = bins * groups + key[0]
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
-        return rows
+        return rows[["_pk_row", "sequence_id", "offset"]]
 
-    part = pieces.where(F.col("length") < capacity).withColumn("_pk_group", spread).groupBy("_pk_group").applyInPandas(run, PACKED)
+    rest = pieces.where(F.col("length") < capacity)
+    # only lengths are packed; the places, small rows, are hashed to meet the ids, which so need no sort
+    places = rest.select("_pk_row", "doc_id", "piece", "length", spread.alias("_pk_group")).groupBy("_pk_group").applyInPandas(run, PLACES)
+    part = rest.join(places.hint("shuffle_hash"), "_pk_row").drop("_pk_row")
     # a full piece is a sequence by itself: negative numbers, which the groups don't use
-    whole = pieces.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return part.unionByName(whole)
+    whole = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("_pk_row")).withColumn("offset", F.lit(0).cast("long")).drop("_pk_row")
+    return digested(part.unionByName(whole))
 
 
 def public_path(name: str) -> str:
@@ -197,4 +219,4 @@ def public_path(name: str) -> str:
 
 
 def op10_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")).drop("ids")

@@ -399,6 +399,15 @@ def test_packing_round_trip(make, corpus, odd_texts):
     assert packing.pack(make([]), path).count() == 0
 
 
+def test_packing_returns_the_tokens_of_every_piece(make, corpus, odd_texts):
+    path = packing.public_path("word_bpe_49k.json")
+    texts = [*((None if i is None else i + 2**60 + 1, t) for i, t in odd_texts), *corpus]
+    got = packing.pack(make(texts), path, capacity=64, group_rows=50).collect()
+    ids = {i: packing.cached_ids(path).tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts}
+    assert all(r.ids == ids[r.doc_id][r.start : r.start + r.length] for r in got)
+    assert sum(len(r.ids) for r in got) == sum(len(ids[i]) for i, _ in texts)
+
+
 def test_packing_holds_every_constraint():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 200, 400).astype(float)
