@@ -62,7 +62,7 @@ def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, n
 
 
 def measured(docs: DataFrame, host: str) -> DataFrame:
-    """doc_id, host, the measures, and lines: the distinct normalised lines with a word, each with its words in all its places."""
+    """doc_id, host, text, the measures, and lines: the distinct normalised lines with a word, each with its words in all its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,40 +76,61 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
             items = pa.StructArray.from_arrays([pa.array(v[starts]), pa.array(size.astype(np.int64))], names=["line", "words"])
             ends = np.searchsorted(t[starts], np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(out[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.ListArray.from_arrays(pa.array(ends), items)],
-                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+                [*batch.columns, *(pa.array(out[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.ListArray.from_arrays(pa.array(ends), items)],
+                names=["doc_id", "host", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
             )
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, {MEASURES}, lines {LINES}")
+    return docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, text string, {MEASURES}, lines {LINES}")
+
+
+def cleaned(rows: DataFrame) -> DataFrame:
+    """rows with text cleaned: without the lines whose normalised hashes are in gone (null: none), the others as they are; gone is left out."""
+    kept = [c for c in rows.columns if c not in ("text", "gone")]
+    rows = rows.select(*kept, "text", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, gone = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1)
+            which = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            _, (text, line, _) = measure(batch.column(len(kept)).take(pa.array(which)))
+            ends = np.searchsorted(text, np.arange(len(which) + 1))
+            for n, i in enumerate(which.tolist()):
+                drop, hashes = set(gone[i].as_py()), iter(line[ends[n] : ends[n + 1]].tolist())
+                out[i] = "\n".join(x for x in out[i].split("\n") if not (x.strip(" \t\x0b\x0c\r") and next(hashes) in drop))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=[*kept, "cleaned"])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, rows.select(*kept, F.col("text").alias("cleaned")).schema)
 
 
 def line_quality(docs: DataFrame, host: str = "source", max_docs: int = 20, least_left: float = 0.5, least_words: int = 50, most_repeated: float = 0.5) -> DataFrame:
     """Judges every document by itself and by how common its lines are on its host.
 
-    A line is normalised to its lower-cased words; lines found in more than max_docs documents of one host count as
-    removed. base_failed: fewer than least_words words, or a share of words above most_repeated in repeated 3-word windows. kept:
+    A line is normalised to its lower-cased words; lines found in more than max_docs documents of one host are
+    removed from the text. base_failed: fewer than least_words words, or a share of words above most_repeated in repeated 3-word windows. kept:
     not base_failed, and at least least_left of the words lie in lines that stay.
 
     Only lines in common enough to be removed meet their documents again, by a join that Spark may part at hot lines; counts are
     pre-aggregated before the shuffle. A null host is a host of its own; null or empty texts have no words
     and fail; rows with equal doc_id count as documents of their own. Empty input: no rows. Extra columns are ignored.
-    Returns doc_id, the five measures, base_failed, kept, n_removed_lines and n_removed_words (distinct lines, and words in all their places).
+    Returns doc_id, the five measures, base_failed, kept, n_removed_lines and n_removed_words (distinct lines, and words in all their places),
+    and cleaned, the text without these lines (of documents that aren't kept too; a null text stays null).
     """
     rows = written(measured(docs, host).withColumn("_lq_row", F.expr("uuid()")))
     # most lines are found once: only hashes travel for the count
     seen = rows.select(F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull()).alias("h"), "_lq_row", F.explode("lines").alias("l")).select("h", F.col("l.line").alias("line"), F.col("l.words").alias("words"), "_lq_row")
     common = seen.groupBy("h", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).drop("n")
-    gone = seen.join(common, ["h", "line"], "left_semi").groupBy("_lq_row").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"))
+    gone = seen.join(common, ["h", "line"], "left_semi").groupBy("_lq_row").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("gone"))
     own = rows.drop("lines", "host")
-    out = own.join(gone, "_lq_row", "left").na.fill(0, ["n_removed_lines", "n_removed_words"])
+    out = cleaned(own.join(gone.hint("shuffle_hash"), "_lq_row", "left")).na.fill(0, ["n_removed_lines", "n_removed_words"])
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     stays = F.col("n_words") - F.col("n_removed_words") >= least_left * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & stays).drop("_lq_row")
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality(table(spark, sf_dir, "documents"))
+    return line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
 OP8_SQL = r"""

@@ -319,6 +319,13 @@ def test_line_quality_matches_sql(spark, make, corpus, odd_texts):
     assert linequality.line_quality(make(odd_texts)).count() == len(odd_texts)
 
 
+def test_line_quality_removes_common_lines(make, odd_texts):
+    texts = [(i, f"Buy  NOW\n\nown line number {i}\n \nbuy now\n") for i in range(70)] + [(i + 500 if i else 600, t) for i, t in odd_texts[:7]]
+    got = {r.doc_id: r for r in linequality.line_quality(make(texts), max_docs=20).collect()}
+    assert all(got[i].cleaned == f"\nown line number {i}\n \n" and got[i].n_removed_lines == 1 for i in range(70))
+    assert all(got[i].cleaned == t for i, t in texts[70:])
+
+
 def brute_spans(text):
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
     out += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
