@@ -30,7 +30,16 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there into a memory table and returns it."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over all that is there and returns its result, written as Parquet beside the checkpoint by the executors.
+
+    In complete mode each batch replaces the one before; in append mode each has a folder of its own, which a repeated batch overwrites.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint}-result"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/none")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{out}/*")

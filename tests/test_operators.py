@@ -153,3 +153,11 @@ def test_stream_appends_closed_days(spark, tmp_path):
     rows_.repartition(1).write.parquet(f"{tmp_path}/in")
     out = feeds.run_once(feeds.daily_counts(feeds.event_stream(spark, f"{tmp_path}/in", rows_)), "closed_days", f"{tmp_path}/cp", "append")
     assert rows(out, "day", "n") == [(f"2024-01-0{d}", 5) for d in (1, 2, 3)]
+
+
+def test_streamed_results_are_files(spark, tmp_path):
+    rows_ = spark.range(40).selectExpr("id AS event_id", "id % 7 AS user_id", "CAST(id % 3 AS STRING) AS event_type", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts")
+    rows_.repartition(3).write.parquet(f"{tmp_path}/in")
+    states = feeds.latest_state(spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    out = feeds.run_once(states, "states_in_files", f"{tmp_path}/cp", "complete")
+    assert out.inputFiles() and sorted(map(tuple, out.collect())) == sorted(map(tuple, feeds.latest_state(rows_).collect()))
