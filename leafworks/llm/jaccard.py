@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import small_batches, table, written
+from .storage import Scratch, small_batches, table, written
 from .words import LOWER, U64, Words, sequence_hashes, utf8
 
 #: Words of a shingle; links need 100 * intersection >= 80 * union.
@@ -22,7 +22,13 @@ ORDER_ROWS = 1 << 21
 #: A task counts repetitions among so many shingles at a time (4 bytes each).
 COUNTED = 8_000_000
 #: Longest match number, and how many posting entries one verification costs.
-MOST_MATCHES, VERIFY_COST = 8, 16.0
+MOST_MATCHES, VERIFY_COST = 16, 16.0
+#: Members of a hub's group that one salt, and one side of a block, takes; and pairs or texts that a task takes.
+SPREAD, BLOCK, A_TASK = 1000, 1000, 400
+#: Up to so many hubs with several salts are broadcast.
+HOT_HUBS = 100_000
+#: At most so many bits tell apart keys that are surely absent.
+FILTER_BITS = 27
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -97,61 +103,108 @@ def prefix_of(tokens: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple
     return tokens[order[: n - c + m[best]]], int(m[best])
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of b places the parity of how many tokens fall there; b is the least power of two that is n or more, 64 at least.
+
+    Places where two sketches differ are at most as many as the sets' symmetric difference has shingles, so
+    sets that link, with S shingles together, differ in S / 9 places at most. Halves put together by exclusive or make the sketch of half as many places.
+    """
+    places = 1 << max(6, int(len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & U64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row each of 64-bit words, brought to as many words."""
+    while rows.shape[1] > words:
+        half_ = rows.shape[1] // 2
+        rows = rows[:, :half_] ^ rows[:, half_:]
+    return rows
+
+
+def may_link(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Which of all pairs of two lists of sketches, of sets of these sizes, can't be ruled out as links."""
+    out = np.zeros((len(left), len(right)), dtype=bool)
+    size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    for p in np.unique(size_l):
+        for q in np.unique(size_r):
+            at, to = np.flatnonzero(size_l == p), np.flatnonzero(size_r == q)
+            words = min(p, q) // 8
+            x, y = (folded(np.frombuffer(b"".join(side[i] for i in which), dtype=np.uint64).reshape(len(which), -1), words) for side, which in ((left, at), (right, to)))
+            differ = np.zeros((len(at), len(to)), dtype=np.int32)
+            for w in range(words):
+                differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+            out[np.ix_(at, to)] = 9 * differ <= n_left[at][:, None] + n_right[to]
+    return out
+
+
 def prefixes(docs: DataFrame) -> DataFrame:
-    """id, n (set size), key (128-bit hash of the set), matches (m) and prefix of every document."""
+    """id, n (set size), key (128-bit hash of the set), matches (m), prefix and sketch of every document.
+
+    Of rows with equal sets that a task reads, all but the first have that one's id as twin, and neither prefix nor sketch: copies,
+    however many, put one document a task behind a shingle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(repeated_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, seen = shared.value, {}
         for batch in batches:
-            sets = shingle_sets(batch.column(1))
-            made = [prefix_of(s, known) for s in sets]
+            sets, ids = shingle_sets(batch.column(1)), batch.column(0).to_pylist()
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            twin = []
+            for i, k, s in zip(ids, keys, sets, strict=True):
+                twin.append(seen.get(k) if i is not None and len(s) else None)
+                if twin[-1] is None and i is not None:
+                    seen[k] = i
+            made = [prefix_of(s, known) if t is None else (s[:0], 1) for s, t in zip(sets, twin, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in made])]).astype(np.int32)
             flat = np.concatenate([p for p, _ in made]) if made else np.zeros(0, dtype=U64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([m for _, m in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                names=["id", "n", "key", "matches", "prefix"],
-            )
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([m for _, m in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                 pa.array([sketch(s) if t is None else None for s, t in zip(sets, twin, strict=True)], pa.binary()), pa.array(twin, pa.int64())],
+                names=["id", "n", "key", "matches", "prefix", "sketch", "twin"],
+            )
 
-    return _texts(docs).mapInArrow(run, "id long, n long, key binary, matches int, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "id long, n long, key binary, matches int, prefix array<long>, sketch binary, twin long")
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows whose id is, by a Bloom filter of one hash, perhaps among ids: spares shuffling the others. At most 2^27 bits."""
-    bits = 1 << min(27, max(10, (32 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("b")).toArrow()
+def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of one hash over a column of numbers: bits in words of 64."""
+    bits = 1 << min(FILTER_BITS, max(10, (32 * keys.count()).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("b")).toArrow()
     filled = np.zeros(bits // 64, dtype=np.int64)
     filled[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(filled)
+    return filled
+
+
+def _may_have(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (64 * len(filled) - 1)
+    return (filled[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose id is, by a filter, perhaps among ids: spares shuffling the others."""
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id").alias("p")), "p"))
 
     @F.pandas_udf("boolean")
     def may_have(p: pd.Series) -> pd.Series:
-        at = p.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series(_may_have(shared.value, p.to_numpy()))
 
-    return rows.where(may_have(place))
+    return rows.where(may_have(F.xxhash64("id")))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with common, n_a and n_b: the exact sizes of the intersection and of both sets, from whole texts."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(among(_texts(docs).where("id IS NOT NULL"), ids))
+def entries(sizes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """id and token of the prefix entries that are, by a filter, perhaps among tokens."""
+    shared = sizes.sparkSession.sparkContext.broadcast(_bitmap(tokens, "token"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (common, list(map(len, left)), list(map(len, right))))], names=["a", "b", "common", "n_a", "n_b"])
+            flat, size = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
+            keep = _may_have(shared.value, flat)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)[keep]), pa.array(flat[keep])], names=["id", "token"])
 
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, common long, n_a long, n_b long")
-
-
-LINKED = "100 * common >= 80 * (n_a + n_b - common)"
-#: Documents of one side of a block of a large group.
-BLOCK = 1000
+    return sizes.where("id IS NOT NULL AND twin IS NULL").select("id", "prefix").mapInArrow(run, "id long, token long")
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -175,53 +228,70 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, w
     return out.astype(np.int64)
 
 
-def _blocks(rows: pa.Table, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The blocks of a task: row numbers left and right, and which of their pairs are this hub's to look at and may link.
+def linked(common: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    return (100 * common >= 80 * (n_left[:, None] + n_right - common)) & (common > 0)
 
-    A pair belongs to the least hub whose group has both. Sizes must fit and distances from the hub, where known, differ by 0.2 at most; with
-    prefixes among the columns, the pair must share as many shingles of these as the smaller match number.
-    """
-    ids, matches, mine, i, j, hub = (rows.column(c).to_numpy() for c in ("id", "matches", "mine", "i", "j", "hub"))
-    prefix = [np.unique(np.array(p, dtype=np.int64)) for p in rows.column("prefix").to_pylist()] if "prefix" in rows.column_names else None
-    lower = [np.array([h for h in hubs if h < own], dtype=np.int64) for hubs, own in zip(rows.column("hubs").to_pylist(), hub.tolist(), strict=True)]
-    far = rows.column("far").to_numpy().astype(np.float64)
-    linked = rows.column("linked").to_numpy(zero_copy_only=False).astype(bool)
-    key = np.stack([hub, i, j])
-    order = np.lexsort((ids, *key))
-    for at in np.split(order, np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1):
-        left, right = at[mine[at] == i[at[0]]], at[mine[at] == j[at[0]]]
-        if linked[at].all() or not len(left) or not len(right):
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of documents and hubs that their sketches don't rule out, without these."""
+    for batch in batches:
+        at = {name: batch.column(name) for name in batch.schema.names}
+        n, n_h = at["n"].to_numpy(), at["n_h"].to_numpy()
+        keep = np.array([bool(may_link([x], [y], n[i : i + 1], n_h[i : i + 1])[0, 0]) for i, (x, y) in enumerate(zip(at["sketch"].to_pylist(), at["sketch_h"].to_pylist(), strict=True))], dtype=bool)
+        names = ["id", "hub", "salt", "alike"]
+        yield pa.RecordBatch.from_arrays([at[c].filter(pa.array(keep)) for c in names], names=names)
+
+
+def _verify(rows: pa.Table) -> pa.Table:
+    """Links of members with their hubs, from whole texts."""
+    sets = shingle_sets(rows.column("text"))
+    n = np.array([len(s) for s in sets])
+    ids, hub, salt, is_hub = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "hub", "salt", "is_hub"))
+    order, found = np.lexsort((salt, hub)), []
+    for at in np.split(order, np.flatnonzero((np.diff(hub[order]) != 0) | (np.diff(salt[order]) != 0)) + 1) if len(order) else []:
+        for h in at[is_hub[at]].tolist():
+            found += [(int(ids[i]), int(hub[i])) for i in at[~is_hub[at]].tolist() if linked(np.array([[len(np.intersect1d(sets[h], sets[i], assume_unique=True))]]), n[[h]], n[[i]])[0, 0]]
+    return _pairs(found)
+
+
+def _blocks(rows: pa.Table, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks of a task: row numbers left and right, and which of their pairs have sizes that may link and aren't in one component."""
+    ids, hub, component, side = (rows.column(c).to_numpy() for c in ("id", "hub", "component", "side"))
+    _, block = np.unique(rows.column("block").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    order = np.lexsort((ids, block, hub))
+    for at in np.split(order, np.flatnonzero((np.diff(hub[order]) != 0) | (np.diff(block[order]) != 0)) + 1) if len(order) else []:
+        left, right = at[side[at] <= 0], at[side[at] >= 0]
+        if not len(left) or not len(right):
             continue
         small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-        fit = (5 * small >= 4 * large) & ~(np.abs(far[left][:, None] - far[right]) > 0.2000001) & ~(linked[left][:, None] & linked[right])
-        fit &= ids[left][:, None] < ids[right] if i[at[0]] == j[at[0]] else ids[left][:, None] != ids[right]
-        if fit.any():
-            fit &= common_counts(lower, left, right) == 0
-        if fit.any() and prefix is not None:
-            fit &= common_counts(prefix, left, right) >= np.minimum(matches[left][:, None], matches[right])
+        fit = (5 * small >= 4 * large) & (component[left][:, None] != component[right])
+        if side[at[0]] == 0:  # a block with itself: each pair once
+            fit &= ids[left][:, None] < ids[right]
         if fit.any():
             yield left, right, fit
 
 
-def _candidates(rows: pa.Table) -> pa.Table:
-    """The rows that are in a pair which may link."""
-    rows = rows.drop_columns("task")
-    keep = np.zeros(len(rows), dtype=bool)
-    for left, right, fit in _blocks(rows, rows.column("n").to_numpy()):
+def _likely(rows: pa.Table) -> pa.Table:
+    """The rows that are in a pair which sizes, components and sketches leave open."""
+    keep, sketches, n = np.zeros(len(rows), dtype=bool), rows.column("sketch").to_pylist(), rows.column("n").to_numpy()
+    for left, right, fit in _blocks(rows, n):
+        fit = fit & may_link([sketches[i] for i in left], [sketches[i] for i in right], n[left], n[right])
         keep[left[fit.any(axis=1)]] = keep[right[fit.any(axis=0)]] = True
-    return rows.filter(pa.array(keep))
+    return rows.select(["id", "hub", "component", "block", "side"]).filter(pa.array(keep))
 
 
 def _compare(rows: pa.Table) -> pa.Table:
     """Links within blocks, from whole texts; of links that close a circle within a block, one is left out."""
-    sets = shingle_sets(rows.column("text").combine_chunks())
-    ids, n = rows.column("id").to_numpy(), np.array([len(s) for s in sets])
-    found: list[tuple[int, int]] = []
+    sets = shingle_sets(rows.column("text"))
+    ids, n, found = rows.column("id").to_numpy(), np.array([len(s) for s in sets]), []
     for left, right, fit in _blocks(rows, n):
-        common = common_counts(sets, left, right)
-        fit &= 100 * common >= 80 * (n[left][:, None] + n[right] - common)
+        fit &= linked(common_counts(sets, left, right), n[left], n[right])
         found += _spanning([(int(ids[left[x]]), int(ids[right[y]])) for x, y in zip(*np.nonzero(fit), strict=True)])
-    return pa.table([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
+    return _pairs(found)
 
 
 def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -242,55 +312,102 @@ def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def similar_pairs(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all links.
+def _in_tasks(rows: DataFrame, keys: list[str], n: int, function, schema: str) -> DataFrame:
+    """function on groups of rows of about A_TASK out of n; rows with equal keys stay together."""
+    task = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-n // A_TASK))))
+    return rows.withColumn("task", task).groupBy("task").applyInArrow(lambda t: function(t.drop_columns("task")), schema)
+
+
+def _groups(sizes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """members: id, hub, k (shared prefix entries of that hub) and salt of each document and hub; hubs: hub and how many salts.
 
-    sizes: prefixes(docs), written. A shingle's hub is the least id with it in its prefix; any two documents that share a prefix shingle are in the
-    group of its hub. Round one verifies documents against hubs whose size fits and with which they share as many such shingles as
-    the smaller of the match numbers; if a pair shares more under another hub, that hub's group has both. So a group
-    of near copies gives a pair a document and hub, not all pairs. Members linked to the hub are in one
-    component already; so round two compares, inside a group, only pairs with at least one member that isn't, first by sizes, then by prefixes, then by
-    whole texts: as 1 - Jaccard is a metric, those whose distances from the hub, where known, differ by 0.2 at most. Large groups are compared in
-    blocks of BLOCK by BLOCK documents, dealt to tasks by hash; no task gets a whole group.
+    A shingle's hub is the least id with it in its prefix. Entries are counted before they are shuffled; those of shingles that no other document
+    has are filtered out before the second shuffle, whose hot shingles Spark's skew join can split.
     """
-    sizes = sizes.where("id IS NOT NULL")
-    # the hubs are found and met where the shingles were dealt to, by one shuffle
-    rows = sizes.select("id", F.explode("prefix").alias("token")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-    hubs = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1").drop("k")
-    first = written(rows.join(hubs, "token").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("k")))
-    narrow = sizes.select("id", "n", "key", "matches")
-    hub = narrow.select(F.col("id").alias("hub"), *(F.col(c).alias(f"{c}_h") for c in ("n", "key", "matches")))
+    rows = sizes.where("id IS NOT NULL AND twin IS NULL").select("id", F.explode("prefix").alias("token"))
+    tokens = scratch.write(rows.groupBy("token").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1").drop("k"))
+    first = entries(sizes, tokens).join(tokens, "token").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("k"))
+    first = scratch.write(first)
+    scratch.drop(tokens)
+    hot = scratch.write(first.groupBy("hub").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")).where("salts > 1"))
+    if hot.count() <= HOT_HUBS:  # else Spark joins by hub, parting the hot ones
+        hot = F.broadcast(hot)
+    members = first.join(hot, "hub", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    members = scratch.write(members)
+    scratch.drop(first)
+    return members.drop("salts"), scratch.write(members.select("hub", "salts").distinct())
+
+
+def _salted(hubs: DataFrame, facts: DataFrame) -> DataFrame:
+    """facts of ids, for each hub and each of its salts."""
+    return hubs.join(facts.withColumnRenamed("id", "hub"), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def _hub_links(docs: DataFrame, sizes: DataFrame, members: DataFrame, hubs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of documents with hubs: candidates share as many prefix entries as the smaller of the match numbers; sketches, then whole texts decide."""
+    narrow = sizes.where("id IS NOT NULL AND twin IS NULL").select("id", "n", "key", "matches", "sketch")
+    hub = narrow.select("id", *(F.col(c).alias(f"{c}_h") for c in ("n", "key", "matches", "sketch")))
     fit = (5 * F.least("n", "n_h") >= 4 * F.greatest("n", "n_h")) & (F.col("k") >= F.least("matches", "matches_h"))
-    fitted = written(first.join(narrow, "id").join(hub, "hub").where(fit).groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max((F.col("key") == F.col("key_h")).cast("int")).alias("alike")))
-    # equal sets are links without another look at their texts
-    alike = fitted.where("alike = 1").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.lit(0.0).alias("far"), F.lit(True).alias("linked"))
-    checked = verified(docs, fitted.where("alike = 0").select("a", "b"))
-    # rows with equal ids may give several sets: one that fits is enough, and the most similar counts
-    likeness = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    best = checked.groupBy("a", "b").agg(F.max_by(F.struct("common", "n_a", "n_b"), likeness).alias("v")).select("a", "b", "v.*")
-    best = written(best.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - likeness).alias("far"), F.expr(LINKED).alias("linked")).unionByName(alike))
-    links = best.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-
-    done = first.drop("k").join(best, ["id", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    open_ = done.groupBy("hub").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("apart")).where("apart > 0 AND k > 1").select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    dealt = done.join(open_, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = written(dealt.select("id", "hub", "far", "linked", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+    pairs = members.join(narrow, "id").join(_salted(hubs, hub), ["hub", "salt"]).where(fit).withColumn("alike", F.col("key") == F.col("key_h"))
+    found = scratch.write(pairs.select("id", "hub", "salt", "alike", "n", "n_h", "sketch", "sketch_h").mapInArrow(_sketched, "id long, hub long, salt int, alike boolean"))
+    open_ = found.where("NOT alike").select("id", "hub", "salt").distinct()
+    asked = open_.withColumn("is_hub", F.lit(False)).unionByName(open_.select(F.col("hub").alias("id"), "hub", "salt").distinct().withColumn("is_hub", F.lit(True)))
+    asked = scratch.write(asked)
+    texts = among(_texts(docs).where("id IS NOT NULL"), asked.select("id").distinct())
+    checked = _in_tasks(asked.join(texts, "id"), ["hub", "salt"], asked.count(), _verify, "a long, b long")
+    return scratch.write(found.where("alike").select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(checked))
+
+
+def _open_links(docs: DataFrame, sizes: DataFrame, members: DataFrame, hubs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between members of one hub's group that known, the components so far, doesn't join yet.
+
+    Members in their hub's component are home, others away; two that are home need no comparison. Sizes fall into classes of
+    ratio 1.25, so links are within a class or between neighbouring ones. Classes are dealt into blocks of BLOCK, and a block meets those
+    of its own and the neighbouring classes, one side being away: sketches first, then the whole texts of what these leave open.
+    """
+    narrow = sizes.where("id IS NOT NULL AND twin IS NULL").select("id", "n", "sketch")
+    of_hub = _salted(hubs, known.withColumnRenamed("component", "hub_component"))
+    rows = members.join(known, "id", "left").join(of_hub, ["hub", "salt"], "left")
+    rows = scratch.write(rows.select("id", "hub", "salt", F.coalesce("component", "id").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component")))
+    away = F.col("component") != F.col("hub_component")
+    open_ = rows.groupBy("hub").agg(F.count_if(away).alias("n_away"), F.count("*").alias("n_all")).where("n_away > 0 AND n_all > 1").select(F.col("hub").alias("id"))
+    part = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    rows = rows.join(_salted(hubs, open_), ["hub", "salt"]).join(narrow, "id").select("id", "hub", "salt", "component", away.alias("away"), part.alias("part"), "n", "sketch")
+    rows = scratch.write(rows)
+    counted = rows.groupBy("hub", "away", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of_kind = [F.map_from_entries(F.collect_list(F.when(F.col("away") == kind, F.struct("part", "blocks")))).alias(name) for kind, name in ((True, "aways"), (False, "homes"))]
+    rows = rows.join(_salted(hubs, counted.groupBy(F.col("hub").alias("id")).agg(*of_kind)), ["hub", "salt"])
+
+    def blocks(kind: str, of: str) -> str:
+        near = (f"transform(filter(sequence(0, coalesce({of}[part + {d}], 0)), o -> o < coalesce({of}[part + {d}], 0)), o -> struct('{kind}' AS kind, part + {d} AS part, o AS i))" for d in (-1, 0, 1))
+        return f"flatten(array({', '.join(near)}))"
+
+    mine = F.expr("struct(if(away, 'a', 'h') AS kind, part AS part, cast(pmod(xxhash64(id), if(away, aways, homes)[part]) AS int) AS i)")
+    others = F.expr(f"if(away, concat({blocks('a', 'aways')}, {blocks('h', 'homes')}), {blocks('a', 'aways')})")
+    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1)
+    label = F.concat_ws("|", F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string"))
+    dealt = scratch.write(dealt.select("id", "hub", "component", "n", "sketch", label.alias("block"), side.cast("int").alias("side")))
+    scratch.drop(rows)
     n = dealt.count()
-    if not n:
-        return links
-    task = F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, n // BLOCK)))
+    likely = scratch.write(_in_tasks(dealt, ["hub", "block"], n, _likely, "id long, hub long, component long, block string, side int").distinct())
+    texts = among(_texts(docs).where("id IS NOT NULL"), likely.select("id").distinct())
+    return _in_tasks(likely.join(texts, "id"), ["hub", "block"], likely.count(), _compare, "a long, b long")
 
-    def likely(rows: DataFrame) -> DataFrame:
-        return written(rows.withColumn("task", task).groupBy("task").applyInArrow(_candidates, rows.schema))
 
-    # each look needs more of a document, and fewer documents come to it: sizes, then prefixes, then whole texts
-    hubs_of = done.groupBy("id").agg(F.collect_set("hub").alias("hubs"))
-    fitting = likely(dealt.join(narrow.drop("key"), "id").join(hubs_of, "id"))
-    prefixes_of = among(sizes, fitting.select("id").distinct()).select("id", "prefix", F.col("n").alias("_n"))
-    sharing = likely(fitting.join(prefixes_of, "id").where("n = _n").drop("_n"))
-    texts = among(_texts(docs).where("id IS NOT NULL"), sharing.select("id").distinct())
-    more = sharing.join(texts, "id").withColumn("task", task).groupBy("task").applyInArrow(_compare, "a long, b long")
-    return links.unionByName(more)
+def similar_links(docs: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) whose components are those of all links. sizes: prefixes(docs), written.
+
+    Any two documents that share a prefix shingle are in the group of its hub. First documents are held against hubs with which they share as many
+    prefix shingles as the smaller of the match numbers; if a pair shares more under another hub, that hub's group has both. So a
+    group of near copies gives a pair a document and hub, not all pairs. What is then in one component needs no more looks; the pairs left inside
+    groups are compared in blocks.
+    """
+    twins = sizes.where("twin IS NOT NULL").select(F.col("id").alias("a"), F.col("twin").alias("b"))
+    members, hubs = _groups(sizes, scratch)
+    links = scratch.write(_hub_links(docs, sizes, members, hubs, scratch).unionByName(twins))
+    known = components(links, scratch)
+    return links.unionByName(_open_links(docs, sizes, members, hubs, known, scratch))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -300,9 +417,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component (null) and takes part in no link. Rows with equal doc_id are one node with all their links. Empty input: no rows. Extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    sizes = written(prefixes(docs))
-    found = components(similar_pairs(docs, sizes)).select(F.col("id").alias("_jc_id"), "component")
-    own = sizes.select("id", "n")
+    with Scratch(docs.sparkSession) as scratch:
+        sizes = scratch.write(prefixes(docs))
+        own = written(sizes.select("id", "n"))
+        found = components(similar_links(docs, sizes, scratch)).select(F.col("id").alias("_jc_id"), "component")
     return own.join(found, F.col("id") == F.col("_jc_id"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -24,10 +24,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it: the lineage ends here and survives lost executors."""
+    return _write(df)[0]
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Written tables that an operator needs only until its results are written: each goes when dropped, all go at the end of the with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in list(self.paths.values()):
+            self._delete(path)
+        self.paths.clear()
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out, path = _write(df)
+        self.paths[id(out)] = path
+        # the table must not be confused with a later one at the same address
+        out._leafworks_scratch = self
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table_ in tables:
+            if path := self.paths.pop(id(table_), None):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
