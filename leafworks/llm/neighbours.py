@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,155 +14,188 @@ from pyspark.sql import functions as F
 
 from .storage import small_batches, table
 
-#: Rows that the rotations and the radius are fitted on at most: those with the least hashed ids.
-SAMPLE_ROWS = 10_000
-#: Sample rows used as queries to set the radius.
-RADIUS_QUERIES = 400
+#: Rows that rotations and the number of substrings are fitted on at most: those with the least hashed ids. Sample rows used as queries for it.
+SAMPLE_ROWS, FIT_QUERIES = 10_000, 200
+#: Most substrings of an index, and the share of near rows that they are to reach.
+MOST_TABLES, REACHED = 600, 0.95
+#: Rows of a shard of the index, and queries that one task puts to it, about.
+SHARD_ROWS, QUERY_BLOCK = 16_000, 1_000
 
 
 @dataclass
 class CodeModel:
-    """Signs of (x - mean) under each rotation are a vector's bits, packed to words of 16: the substrings of the index."""
+    """Signs of (x - mean) under learned rotations are a vector's bits; each run of `bits` of them is one substring of its code."""
 
     mean: np.ndarray
-    rotations: list[np.ndarray]
-    radius: int = 0
+    rotations: np.ndarray
+    bits: int
+    tables: int
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        bits = np.concatenate([(x - self.mean) @ r > 0 for r in self.rotations], axis=1)
-        packed = np.packbits(bits, axis=1)
-        return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint16)
+    def substrings(self, x: np.ndarray) -> np.ndarray:
+        """One row of numbers, a number for each substring, for every vector."""
+        out = np.empty((len(x), self.tables), dtype=np.int32)
+        weight, whole = (1 << np.arange(self.bits)).astype(np.float32), self.tables * self.bits
+        for a in range(0, len(x), 1024):
+            signs = np.concatenate([(x[a : a + 1024] - self.mean) @ r > 0 for r in self.rotations], axis=1)[:, :whole]
+            out[a : a + 1024] = (signs.reshape(len(signs), self.tables, self.bits) @ weight).astype(np.int32)
+        return out
 
 
-def _iterative_quantisation(x: np.ndarray, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
+def _iterative_quantisation(x: np.ndarray, rng: np.random.Generator, rounds: int = 2) -> np.ndarray:
     """The rotation that brings principal components closest to their signs, from a random start."""
-    _, _, axes = np.linalg.svd(x, full_matrices=False)
+    _, _, axes = np.linalg.svd(x.T @ x)
     v = x @ axes.T
     r, _ = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))
     for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.sign(v @ r).T @ v, full_matrices=False)
+        u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
         r = (u @ w).T
     return axes.T @ r
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all rows of a from all rows of b."""
-    a8, b8 = a.view(np.uint64), b.view(np.uint64)
-    out = np.zeros((len(a), len(b)), dtype=np.uint16)
-    for i in range(a8.shape[1]):
-        out += np.bitwise_count(a8[:, i, None] ^ b8[None, :, i])
-    return out
+def probes(bits: int, reach: int) -> np.ndarray:
+    """The masks that flip up to reach of the bits."""
+    return np.array([sum(1 << b for b in flipped) for n in range(reach + 1) for flipped in itertools.combinations(range(bits), n)], dtype=np.int32)
 
 
-def fit(x: np.ndarray, k: int = 10, bits: int = 256, reach: float = 0.98, seed: int = 7) -> CodeModel:
-    """Rotations, and the radius within which lie a share reach of the sample's own k nearest neighbours.
+#: Bits by which a substring may differ from the query's to be probed.
+REACH = 2
 
-    The whole table's neighbours are nearer than the sample's, so the radius errs to the larger side.
+
+def fit(x: np.ndarray, k: int = 10, seed: int = 7) -> CodeModel:
+    """Substrings of about 6 bits more than it takes to number the rows (8 to 20), and so many of them that REACHED of the sample's
+    near rows share one with the query but for REACH bits. The whole table's neighbours are nearer than the sample's, so their number errs to the larger side.
     """
     rng = np.random.default_rng(seed)
-    mean = x.mean(axis=0)
-    model = CodeModel(mean, [_iterative_quantisation(x - mean, rng) for _ in range(max(1, math.ceil(bits / x.shape[1])))])
+    mean, size = x.mean(axis=0), x.shape[1]
+    bits = int(np.clip(math.ceil(math.log2(max(len(x), 2))) + 6, 8, 20))
+    learn = x[rng.permutation(len(x))[:1000]] - mean
+    rotations = np.stack([_iterative_quantisation(learn, rng) for _ in range(math.ceil(MOST_TABLES * bits / size))])
+    model = CodeModel(mean, rotations, bits, MOST_TABLES)
     if len(x) > 1:
-        codes, found = model.codes(x), []
-        for q in rng.permutation(len(x))[:RADIUS_QUERIES].tolist():
+        asked = rng.permutation(len(x))[:FIT_QUERIES]
+        near = []
+        for q in asked.tolist():
             d = ((x - x[q]) ** 2).sum(axis=1)
             d[q] = np.inf
-            near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-            found.append(hamming(codes[q : q + 1], codes[near])[0])
-        model.radius = int(np.quantile(np.concatenate(found), reach, method="higher"))
+            near.append(np.argsort(d, kind="stable")[: min(k, len(x) - 1)])
+        kept = np.unique(np.concatenate([asked, *near]))
+        codes = model.substrings(x[kept])
+        first = []
+        for q, found in zip(np.searchsorted(kept, asked).tolist(), near, strict=True):
+            hit = np.bitwise_count(codes[np.searchsorted(kept, found)] ^ codes[q]) <= REACH
+            first.append(np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_TABLES))
+        model.tables = int(np.clip(np.quantile(np.concatenate(first), REACHED, method="higher") + 1, 1, MOST_TABLES))
+        model.rotations = rotations[: math.ceil(model.tables * bits / size)]
     return model
 
 
 class MultiIndex:
-    """One shard's index: for each substring the rows by their value there."""
-
-    BLOCK = 128
-
-    def __init__(self, codes: np.ndarray, radius: int):
-        self.codes = codes
-        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-        # pigeonhole: codes within radius r = m * low + rest differ by at most low in one of the first rest + 1
-        # substrings, or by at most low - 1 in one of the others
-        low, rest = divmod(radius, codes.shape[1])
-        self.radius, self.reach = radius, [low if j <= rest else low - 1 for j in range(codes.shape[1])]
-
-    def within(self, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        """Which rows each query retrieves: codes within the radius, or, where these are fewer than k, within the least radius that gives k."""
-        probed = np.zeros((len(queries), len(self.codes)), dtype=bool)
-        for j, (values, rows) in enumerate(self.tables):
-            probed |= (np.bitwise_count(queries[:, j, None] ^ values[None, :]) <= self.reach[j])[:, rows]
-        away = hamming(queries, self.codes)
-        found = probed & (away <= self.radius) & ~own
-        for q in np.flatnonzero(found.sum(axis=1) < k).tolist():
-            others = np.flatnonzero(~own[q])
-            found[q] = False
-            if len(others):
-                far = np.partition(away[q, others], min(k, len(others)) - 1)[min(k, len(others)) - 1]
-                found[q, others] = away[q, others] <= max(far, self.radius)
+    """One shard's index: for each substring the rows in the order of their value there, and where each value begins."""
+
+    def __init__(self, codes: np.ndarray, bits: int):
+        self.codes, self.bits = codes, bits
+        self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
+
+    def retrieved(self, queries: np.ndarray, reach: int) -> np.ndarray:
+        """Which rows each query retrieves: those in any bucket that its own value leads to by flipping up to reach bits.
+
+        By the pigeonhole principle these hold every row whose code, of m substrings, is within m * (reach + 1) - 1 bits of the query's.
+        """
+        found = np.zeros((len(queries), len(self.codes)), dtype=bool)
+        masks = probes(self.bits, reach)
+        for j in range(self.codes.shape[1]):
+            begins = np.concatenate([[0], np.cumsum(np.bincount(self.codes[:, j], minlength=1 << self.bits), dtype=np.int32)])
+            value = queries[:, j, None] ^ masks
+            lo, n = begins[value], begins[value + 1] - begins[value]
+            query, probe = np.nonzero(n)
+            at, size = lo[query, probe], n[query, probe]
+            found[np.repeat(query, size), self.order[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum()), j]] = True
         return found
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
+def search(model: CodeModel, rows: tuple[np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's number, ids, distances) of the k nearest rows that each query retrieves. rows, queries: ids and vectors.
 
-def _search(model: CodeModel, k: int):
+    Only retrieved rows are measured. A query that retrieves fewer than k rows of other ids probes further bits, and in the end every bucket.
+    """
+    (ids, x), (own, q) = rows, queries
+    index, codes = MultiIndex(model.substrings(x), model.bits), model.substrings(q)
+    open_, reach = np.arange(len(q)), REACH
+    while len(open_):
+        found = index.retrieved(codes[open_], reach) if reach <= REACH + 1 else np.ones((len(open_), len(x)), dtype=bool)
+        left = []
+        for i, hit in zip(open_.tolist(), found, strict=True):
+            at = np.flatnonzero(hit)
+            at = at[ids[at] != own[i]]
+            if len(at) < k and reach <= REACH + 1:
+                left.append(i)
+                continue
+            d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
+            best = np.lexsort((ids[at], d))[:k]
+            yield i, ids[at][best], d[best]
+        open_, reach = np.array(left, dtype=np.int64), reach + 1
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _search(models: dict[int, CodeModel], k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: list[tuple] = []
         if len(rows) and len(queries):
             x, q = _matrix(rows.column("vector")), _matrix(queries.column("vector"))
-            ids, query_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-            index, codes = MultiIndex(model.codes(x), model.radius), model.codes(q)
-            for a in range(0, len(q), index.BLOCK):
-                own = query_ids[a : a + index.BLOCK, None] == ids[None, :]
-                for i, hit in enumerate(index.within(codes[a : a + index.BLOCK], own, k), a):
-                    at = np.flatnonzero(hit)
-                    d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[at], d))[:k]
-                    out[0].append(np.full(len(best), query_ids[i]))
-                    out[1].append(ids[at][best])
-                    out[2].append(d[best])
-        cols = [np.concatenate(c) if c else np.zeros(0, dtype=t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            model = models.get(x.shape[1]) or fit(x, k)
+            row = queries.column("row").to_numpy()
+            asked = (queries.column("id").to_numpy(), q)
+            out = [(row[i], asked[0][i], ids, d) for i, ids, d in search(model, (rows.column("id").to_numpy(), x), asked, k)]
+        size = [len(ids) for *_, ids, _ in out]
+        columns = [np.repeat(np.array([o[c] for o in out], dtype=np.int64), size) for c in (0, 1)]
+        columns += [np.concatenate([np.zeros(0, dtype=t), *(o[c] for o in out)]) for c, t in ((2, np.int64), (3, np.float64))]
+        return pa.table([pa.array(c) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector of the rows that take part: an id, and a vector of finite components that aren't all zero. Of rows with equal id one stays, the least vector."""
+    """id, vector and length of the rows that take part: an id, and a vector of finite components that aren't all zero."""
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where("id IS NOT NULL AND size(vector) > 0")
     rows = rows.where("forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(vector, x -> x <> 0)")
-    return rows.groupBy("id").agg(F.min("vector").alias("vector"))
+    return rows.withColumn("length", F.size("vector"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, bits: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query row, by Euclidean distance on the original vectors.
 
-    is_query: a condition on the column id. Rotations and radius are fitted on at most SAMPLE_ROWS rows; every row is indexed. Rows are dealt by
-    hash into shards, about as many as the root of their number over 8; each shard builds its tables of substrings, the stated queries go to every shard,
-    in blocks, and each shard answers its own k best, so a query meets shards * k rows in the end. A hash deals equal vectors
+    is_query: a condition on the column id. Rotations and the number of substrings are fitted on at most SAMPLE_ROWS rows; every row is indexed. Rows
+    are dealt by hash into shards of about SHARD_ROWS, queries into blocks of about QUERY_BLOCK; a task has one shard's tables and one block, and
+    answers that block's k best of the shard, so a query meets shards * k rows in the end. A hash deals equal vectors
     evenly, however many there are.
 
-    Null, zero or non-finite vectors, null ids, and vectors of another length than the sample's first take no part. Ties go to the smaller
-    id. Fewer than k candidates: all of them. No rows: no rows. Returns query_id, rank (from 1), vec_id, score.
+    Null, zero or non-finite vectors and null ids take no part. Vectors of other lengths are other spaces: each length is
+    searched by itself. Rows with equal ids are all candidates of other ids' queries, none of their own, and each such query row is answered. Ties go to the
+    smaller id. Fewer than k candidates: all of them. No rows: no rows. Returns query_id, rank (from 1), vec_id, score.
     """
     small_batches(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).toArrow()
-    out = "query_id long, vec_id long, score double"
-    if not len(sample):
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    length = len(sample.column("vector")[0])
-    alike = [len(v) == length for v in sample.column("vector")]
-    model = fit(_matrix(sample.filter(pa.array(alike)).column("vector")), k, bits)
-    rows = rows.where(F.size("vector") == length)
-    shards = max(1, math.ceil(math.sqrt(vectors.count()) / 8))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = rows.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_search(model, k), out)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    sample = rows.orderBy(F.xxhash64("id"), "vector").limit(SAMPLE_ROWS).toArrow()
+    lengths = sample.column("length").to_numpy()
+    models = {int(n): fit(_matrix(sample.filter(pa.array(lengths == n)).column("vector")), k) for n in np.unique(lengths)}
+    shards, blocks = (max(1, math.ceil(rows_.count() / most)) for rows_, most in ((vectors, SHARD_ROWS), (vectors.select(F.col(id_col).cast("long").alias("id")).where(is_query), QUERY_BLOCK)))
+
+    def dealt(n: int, *keys: str):
+        return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = rows.where(is_query).withColumn("row", F.monotonically_increasing_id()).withColumn("block", dealt(blocks, "id", "row")).withColumn("shard", every(shards))
+    held = rows.withColumn("shard", dealt(shards, "id", "vector")).withColumn("block", every(blocks))
+    key = ["length", "shard", "block"]
+    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(models, k), "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
