@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import table, written
@@ -17,21 +19,43 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_table(rates: DataFrame) -> DataFrame:
-    """Adds cdf, the Poisson distribution function at 0, 1, 2 ... of each row's rate, as far as double precision tells it from 1.
+def log_factorial(k: Column) -> Column:
+    """ln k! by Stirling's series, for any k from 0: exact to double precision from 8 places up, from where it steps down."""
+    x = k + 8.0
+    series = x * F.ln(x) - x + F.ln(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    steps = F.lit(1.0)
+    for i in range(1, 9):
+        steps = steps * (k + float(i))
+    return series - F.ln(steps)
+
 
-    The terms are built in logarithms, so large rates neither underflow nor overflow.
+def poisson_table(rates: DataFrame, key: str) -> DataFrame:
+    """Adds the Poisson distribution function of each row's rate: lowest (the first count it is kept for), blocks (its values in turn, in blocks of about
+    the root of their number) and tops (the last value of each block).
+
+    Values are kept within 10 standard deviations and 40 of the mean, outside of which no draw of 52 bits falls, so a rate of 10 million has
+    63,000 values in blocks of 250. Terms are computed in logarithms, each by itself, so large rates neither underflow nor overflow, and summed by a window.
     """
-    last = F.ceil(F.col("rate") + 10 * F.sqrt("rate") + 40).cast("int")
-    step = F.struct((F.lit(0.0) - F.col("rate")).alias("log"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    reach = 10 * F.sqrt("rate") + 40
+    ends = rates.withColumn("lowest", F.greatest(F.floor(F.col("rate") - reach), F.lit(0)).cast("long")).withColumn("highest", F.ceil(F.col("rate") + reach).cast("long"))
+    terms = ends.withColumn("k", F.explode(F.sequence("lowest", "highest"))).withColumn("size", F.ceil(F.sqrt(F.col("highest") - F.col("lowest") + 1)))
+    k = F.col("k").cast("double")
+    so_far = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    terms = terms.withColumn("cdf", F.sum(F.exp(k * F.ln("rate") - F.col("rate") - log_factorial(k))).over(so_far))
+    blocks = terms.groupBy(key, "rate", "lowest", F.floor((F.col("k") - F.col("lowest")) / F.col("size")).alias("block")).agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
+    whole = blocks.groupBy(key, "rate", "lowest").agg(F.sort_array(F.collect_list(F.struct("block", "cdf"))).alias("parts"))
+    return whole.select(key, "rate", "lowest", F.col("parts")["cdf"].alias("blocks"), F.transform("parts", lambda p: F.element_at(p["cdf"], -1)).alias("tops"))
+
 
-    def grow(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.ln(F.col("rate")) - F.ln(k)
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
+def inverted(lowest: Column, blocks: Column, tops: Column, u: Column) -> Column:
+    """The least count whose distribution function exceeds u: the block is sought among tops, the value inside the block."""
+    passed = F.size(F.filter(tops, lambda t: t <= u))
+    before = lowest + passed * F.size(blocks[0])
+    return (before + F.when(passed < F.size(tops), F.size(F.filter(F.get(blocks, passed), lambda c: c <= u))).otherwise(0)).cast("long")
 
-    terms = F.transform(F.sequence(F.lit(1), last), lambda k: k.cast("double"))
-    return rates.withColumn("cdf", F.aggregate(terms, step, grow)["cdf"])
+
+#: Copies that one row is exploded into at a time.
+COPIES = 10_000
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -53,20 +77,25 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float], default_weight: floa
     sizes = docs.groupBy(F.col("source").alias("_mx_source")).agg(F.sum(size).alias("_mx_bytes")).withColumn("_mx_weight", weight)
     total = sizes.agg(F.sum("_mx_bytes").alias("_mx_all"), F.sum("_mx_weight").alias("_mx_sum"))
     rate = F.col("_mx_all") * F.col("_mx_weight") / F.col("_mx_sum") / F.col("_mx_bytes")
-    rates = poisson_table(sizes.crossJoin(F.broadcast(total)).where("_mx_weight > 0").select("_mx_source", rate.alias("rate")))
-    rates = written(rates.select("_mx_source", F.col("rate").alias("_mx_rate"), F.col("cdf").alias("_mx_cdf")))
+    rates = poisson_table(sizes.crossJoin(F.broadcast(total)).where("_mx_weight > 0").select("_mx_source", rate.alias("rate")), "_mx_source")
+    rates = written(rates.select("_mx_source", *(F.col(c).alias(f"_mx_{c}") for c in ("rate", "lowest", "blocks", "tops"))))
     if rates.count() <= MOST_BROADCAST:  # else Spark joins by source, parting the hot ones
         rates = F.broadcast(rates)
     draw = hash_uniform(F.lit(str(seed)), F.col("doc_id").cast("string"))
-    count = F.size(F.filter("_mx_cdf", lambda c: c <= F.col("_mx_u")))
     own = [c for c in docs.columns if c not in ("copy_no", "rate", "shuffle_key")]
-    return (
+    counted = (
         docs.select(*own)
         .withColumn("_mx_u", draw)
         .join(rates, F.col("source").eqNullSafe(F.col("_mx_source")))
-        .withColumn("_mx_count", count)
+        .withColumn("_mx_count", inverted(F.col("_mx_lowest"), F.col("_mx_blocks"), F.col("_mx_tops"), F.col("_mx_u")))
         .where("_mx_count > 0")
-        .select(*own, F.col("_mx_rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("_mx_count"))).alias("copy_no"))
+    )
+    # in two steps, so that no array has more than COPIES numbers or the root's worth of them
+    parts = counted.select(*own, "_mx_rate", "_mx_count", F.explode(F.sequence(F.lit(0), F.floor((F.col("_mx_count") - 1) / COPIES))).alias("_mx_part"))
+    copies = F.sequence(F.col("_mx_part") * COPIES + 1, F.least((F.col("_mx_part") + 1) * COPIES, F.col("_mx_count")))
+    return (
+        parts.select(*own, F.col("_mx_rate").alias("rate"), F.explode(copies).alias("copy_no"))
+        .withColumn("copy_no", F.col("copy_no").cast("int"))
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("doc_id").cast("string"), F.col("copy_no").cast("string"))))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
