@@ -16,4 +16,4 @@ QUERIES = {
     "op9_crf": secrets.op9_crf,
     "op10_vector_best_fit": packing.op10_vector_best_fit,
 }
-ORACLES = {"op4_poisson_mix": mixing.OP4_SQL, "op7_super_kmers": substrings.OP7_SQL, "op8_line_frequency": linequality.OP8_SQL}
+ORACLES = {"op4_poisson_mix": mixing.OP4_SQL, "op6_hash_tree": sharding.OP6_SQL, "op7_super_kmers": substrings.OP7_SQL, "op8_line_frequency": linequality.OP8_SQL}
