@@ -17,10 +17,10 @@ from .words import LOWER, NOT_ALNUM, U64, Words, counting, utf8
 ORDER = 6
 #: Marks of a word's start and end inside grams; letters never have these bytes.
 START, END = 2, 1
-#: Bound of the labelled rows that set the scale; counts come from all the others.
-SCALE_ROWS = 8_000
-#: Up to so many labels are broadcast, and up to so many grams are fitted on the driver and broadcast; more are joined.
-LABEL_ROWS, GRAM_ROWS = 1_000_000, 1_500_000
+#: Words of a passage; a text is as toxic as its most toxic passage.
+PASSAGE = 5
+#: Where the scale starts from: evidence is a mean of log-likelihood ratios a gram, some tenths in toxic passages.
+SLOPE, BIAS = 28.0, -7.5
 #: What a count loses to the shared counts below it, and how many counts more the shared ones weigh in each context of a class.
 DISCOUNT, STRENGTH = 0.75, 10.0
 
@@ -56,9 +56,27 @@ def lookup(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarra
     return np.where(table_[0][at] == keys, table_[1][at], 0.0)
 
 
+def passage_evidence(ratio: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each text's largest mean of log-likelihood ratios a gram over its passages of PASSAGE words (all words, if fewer; 0 without any).
+
+    ratio, size: sum of the ratios and number of grams of every word, texts end to end; first[i]:first[i+1] are those of text i.
+    """
+    count = np.diff(first)
+    out = np.zeros(len(count))
+    if len(ratio):
+        last = np.repeat(first[1:], count)
+        end = np.minimum(np.arange(len(ratio)) + PASSAGE, last)
+        start = np.maximum(end - PASSAGE, np.repeat(first[:-1], count))
+        sums, grams_ = np.concatenate([[0.0], np.cumsum(ratio)]), np.concatenate([[0.0], np.cumsum(size)])
+        mean = (sums[end] - sums[start]) / (grams_[end] - grams_[start])
+        some = np.flatnonzero(count)
+        out[some] = np.maximum.reduceat(mean, first[some])
+    return out
+
+
 @dataclass
 class ToxicityModel:
-    """log P(toxic) - log P(ordinary) of a gram: known grams' own, others' by their context alone (0 if unknown).
+    """log P(toxic) - log P(ordinary) of a gram: known grams' own, others' by their context alone (0 if that is unknown too).
 
     A gram in neither class has, in both, the context's backoff weight times the same shared probability, which
     cancels; so these two tables are the whole model.
@@ -66,30 +84,28 @@ class ToxicityModel:
 
     known: tuple[np.ndarray, np.ndarray]
     context: tuple[np.ndarray, np.ndarray]
-    slope: float = 1.0
-    bias: float = -2.5
+    slope: float = SLOPE
+    bias: float = BIAS
 
-    def word_scores(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def word_scores(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of each word's ratios, and the number of its grams."""
         key, word = grams(raw, start, end)
         at = np.minimum(np.searchsorted(self.known[0], key), max(len(self.known[0]) - 1, 0))
-        ratio = np.minimum(lookup(self.context, key >> U64(8)), 0)  # that the toxic counts are fewer says nothing against an unknown word
+        ratio = lookup(self.context, key >> U64(8))
         if len(self.known[0]):
             hit = self.known[0][at] == key
             ratio[hit] = self.known[1][at[hit]]
-        return np.bincount(word, weights=ratio, minlength=len(start))
+        return np.bincount(word, weights=ratio, minlength=len(start)), end - start + 1
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Each text's log-likelihood ratio over the root of its length; a word's k-th repetition weighs about 1 / k."""
+        """Each text's length-normalised evidence, see passage_evidence()."""
         raw, at = utf8(texts)
         words = Words(LOWER[raw], at, NOT_ALNUM)
         if not len(words.start):
             return np.zeros(len(texts))
         _, where, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        ratio = self.word_scores(words.raw, words.start[where], words.end[where])
-        pair, times = np.unique(words.text_of() * len(where) + kind, return_counts=True)
-        text, weight = pair // len(where), 1 + np.log(times)
-        total = np.bincount(text, weights=ratio[pair % len(where)] * weight, minlength=len(texts))
-        return total / np.sqrt(np.maximum(np.bincount(text, weights=weight, minlength=len(texts)), 1))
+        ratio, size = self.word_scores(words.raw, words.start[where], words.end[where])
+        return passage_evidence(ratio[kind], size[kind], words.first)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -500, 500)))
@@ -101,8 +117,8 @@ class JoinedModel:
 
     known: DataFrame
     context: DataFrame
-    slope: float = 1.0
-    bias: float = -2.5
+    slope: float = SLOPE
+    bias: float = BIAS
 
 
 def kneser_ney(key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> ToxicityModel:
@@ -124,14 +140,19 @@ def kneser_ney(key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Toxi
     context, both = key >> U64(8), toxic + ordinary
     total, freed = lookup(_sums(context, both), context), lookup(_sums(context, np.minimum(both, DISCOUNT)), context)
     shared = (np.maximum(both - DISCOUNT, 0) + freed * shared) / total
-    logs, backoff, contexts = [], [], np.unique(context)
-    for count in (toxic, ordinary):
-        total, freed = _sums(context, count), _sums(context, np.minimum(count, DISCOUNT))
-        logs.append(np.log((np.maximum(count - DISCOUNT, 0) + (lookup(freed, context) + STRENGTH) * shared) / (lookup(total, context) + STRENGTH)))
-        backoff.append(np.log((lookup(freed, contexts) + STRENGTH) / (lookup(total, contexts) + STRENGTH)))
+    contexts = np.unique(context)
+    logs, backoff = zip(*(class_logs(key, count, shared, contexts) for count in (toxic, ordinary)), strict=True)
     return ToxicityModel((key, (logs[0] - logs[1]).astype(np.float32)), (contexts, (backoff[0] - backoff[1]).astype(np.float32)))
 
 
+def class_logs(key: np.ndarray, count: np.ndarray, shared: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One class's log probability of each gram, and the log weight that each context gives to the shared probability of its other grams."""
+    context = key >> U64(8)
+    total, freed = _sums(context, count), _sums(context, np.minimum(count, DISCOUNT))
+    logs = np.log((np.maximum(count - DISCOUNT, 0) + (lookup(freed, context) + STRENGTH) * shared) / (lookup(total, context) + STRENGTH))
+    return logs, np.log((lookup(freed, contexts) + STRENGTH) / (lookup(total, contexts) + STRENGTH))
+
+
 def kneser_ney_joined(counts: DataFrame) -> JoinedModel:
     """kneser_ney by Spark. counts: gram, toxic, ordinary. A context has 256 grams at most, and so has a gram longer ones, so no window or join is skewed."""
     both = F.col("toxic") + F.col("ordinary")
@@ -160,23 +181,21 @@ def kneser_ney_joined(counts: DataFrame) -> JoinedModel:
     return JoinedModel(both_tables.select("gram", "ratio"), context)
 
 
-def _fit_scale(x: np.ndarray, y: np.ndarray, slope: float = 1.0, bias: float = -2.5, pull: float = 4.0) -> tuple[float, float]:
+def _fit_scale(x: np.ndarray, y: np.ndarray, slope: float = SLOPE, bias: float = BIAS) -> tuple[float, float]:
     """Logistic regression of y on x where some rows are labelled 1 by mistake, at a rate found along with it (EM).
 
-    The weights are drawn towards the given start, which few rows hardly leave. No evidence (x = 0) scores the share of rows
-    labelled 1 at most.
+    The weights are drawn towards the given start, as by a normal distribution of a third of their size around it. If evidence then speaks against label 1, the start stays.
     """
     w, start, wrong = np.array([slope, bias]), np.array([slope, bias]), 0.05
+    pull = np.diag(9 / start**2)
     a = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         true = y * p / np.maximum(p + wrong * (1 - p), 1e-300)
         wrong = float(np.clip((y - true).sum() / max((1 - p).sum(), 1e-9), 0, 0.3))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull * np.eye(2), a.T @ (p - true) + pull * (w - start))
-        w = w - np.clip(step, -1, 1)
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    top = float(np.log(share / (1 - share)))
-    return (float(w[0]), min(float(w[1]), top)) if w[0] > 0 else (slope, bias)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull, a.T @ (p - true) + pull @ (w - start))
+        w = w - np.clip(step, -abs(start) / 4, abs(start) / 4)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (slope, bias)
 
 
 def remainder(doc_id: str = "doc_id"):
@@ -188,20 +207,20 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
     return labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | JoinedModel:
-    """Learns from labelled rows whose remainder isn't 0: all with 1-3 give the counts, at most SCALE_ROWS with 4, those with the
-    least hashed ids, set the scale. A doc_id with several labels counts as toxic if one says so. Null ids and labels are left
-    out. Without rows of both classes no gram is known. Up to LABEL_ROWS labels are broadcast and up to GRAM_ROWS grams
+def train(docs: DataFrame, labels: DataFrame, scale_rows: int = 8_000, label_rows: int = 1_000_000, gram_rows: int = 1_500_000) -> ToxicityModel | JoinedModel:
+    """Learns from labelled rows whose remainder isn't 0: all with 1-3 give the counts, at most scale_rows with 4, those with the
+    least hashed ids, set the scale. A doc_id with several labels counts as toxic if one says so, and so does a text. Null ids and labels are left
+    out. Without rows of both classes no gram is known. Up to label_rows labels are broadcast and up to gram_rows grams
     fitted on the driver; beyond, Spark joins and fits them, with the same results.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("part", remainder()).where("part <> 0")
     known = written(known)
     learn = known.where("part < 4").select("doc_id", "toxic")
-    if learn.count() <= LABEL_ROWS:
+    if learn.count() <= label_rows:
         learn = F.broadcast(learn)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    # at most SCALE_ROWS rows: small enough to be broadcast
-    scale = texts.join(F.broadcast(_sample(known.where("part = 4"), SCALE_ROWS).select("doc_id", "toxic")), "doc_id")
+    # at most scale_rows rows: small enough to be broadcast
+    scale = texts.join(F.broadcast(_sample(known.where("part = 4"), scale_rows).select("doc_id", "toxic")), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,12 +240,12 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | JoinedModel:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(both - toxic)], names=["gram", "toxic", "ordinary"])
 
     small_batches(docs.sparkSession)
-    counted = texts.join(learn, "doc_id").dropDuplicates(["text"]).select("text", F.col("toxic").cast("int")).mapInArrow(count, "gram long, toxic double, ordinary double")
+    counted = texts.join(learn, "doc_id").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).mapInArrow(count, "gram long, toxic double, ordinary double")
     counts = written(counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     rows, toxic, ordinary = counts.agg(F.count("*"), F.sum("toxic"), F.sum("ordinary")).first()
     if not (toxic and ordinary):
         return ToxicityModel((np.zeros(0, dtype=U64), np.zeros(0)), (np.zeros(0, dtype=U64), np.zeros(0)))
-    if rows <= GRAM_ROWS:
+    if rows <= gram_rows:
         found = counts.toPandas().sort_values("gram")
         model = kneser_ney(found["gram"].to_numpy(dtype=np.int64).view(U64), found["toxic"].to_numpy(), found["ordinary"].to_numpy())
     else:
@@ -237,21 +256,19 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | JoinedModel:
 
 
 def _joined(docs: DataFrame, model: JoinedModel, name: str) -> DataFrame:
-    """evidence() by joins: texts meet their words, words their grams. Equal texts, words and grams are looked up once."""
+    """evidence() by joins: texts meet their words, words their grams. Equal texts, words and grams are looked up once; a text gets the list of its own words' scores."""
     ids = [F.xxhash64("text").alias("_tx_a"), F.xxhash64(F.lit(1), "text").alias("_tx_b")]
 
-    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(2))
             words = Words(LOWER[raw], at, NOT_ALNUM)
             if not len(words.start):
                 continue
-            data, text = words.raw.tobytes(), words.text_of()
-            _, where, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            pair, times = np.unique(text * len(where) + kind, return_counts=True)
-            spelt = pa.array([data[words.start[i] : words.end[i]] for i in where.tolist()], pa.binary())
-            text = pa.array(pair // len(where))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), spelt.take(pa.array(pair % len(where))), pa.array(1 + np.log(times))], names=["_tx_a", "_tx_b", "word", "weight"])
+            _, where = np.unique(np.stack([words.text_of().astype(U64), words.hashes()]), axis=1, return_index=True)
+            text, data = pa.array(words.text_of()[where]), words.raw.tobytes()
+            spelt_ = pa.array([data[words.start[i] : words.end[i]] for i in where.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), spelt_], names=["_tx_a", "_tx_b", "word"])
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,15 +278,29 @@ def _joined(docs: DataFrame, model: JoinedModel, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word)), pa.array(key.view(np.int64))], names=["word", "gram"])
 
     small_batches(docs.sparkSession)
-    pairs = docs.select(*ids, "text").mapInArrow(weighted, "_tx_a long, _tx_b long, word binary, weight double")
-    pairs = written(pairs.groupBy("_tx_a", "_tx_b", "word").agg(F.max("weight").alias("weight")))
+    pairs = written(docs.select(*ids, "text").mapInArrow(parted, "_tx_a long, _tx_b long, word binary").distinct())
     found = pairs.select("word").distinct().mapInArrow(spelt, "word binary, gram long").withColumn("context", F.shiftright("gram", 8))
     found = found.join(model.known.withColumnRenamed("ratio", "own"), "gram", "left")
     found = found.join(model.context.select(F.col("gram").alias("context"), F.col("ratio").alias("back")), "context", "left")
-    scores = found.groupBy("word").agg(F.sum(F.coalesce("own", F.least("back", F.lit(0.0)), F.lit(0.0))).alias("ratio"))
-    total = pairs.join(scores, "word").groupBy("_tx_a", "_tx_b").agg((F.sum(F.col("ratio") * F.col("weight")) / F.sqrt(F.greatest(F.sum("weight"), F.lit(1.0)))).alias("_tx_total"))
-    keyed = docs.select("*", *ids).join(written(total), ["_tx_a", "_tx_b"], "left")
-    return keyed.withColumn(name, F.coalesce("_tx_total", F.lit(0.0))).drop("_tx_a", "_tx_b", "_tx_total")
+    scores = found.groupBy("word").agg(F.sum(F.coalesce("own", "back", F.lit(0.0))).alias("ratio"))
+    lists = written(pairs.join(scores, "word").groupBy("_tx_a", "_tx_b").agg(F.collect_list(F.struct("word", "ratio")).alias("_tx_words")))
+    keyed = docs.select("*", *ids).join(lists, ["_tx_a", "_tx_b"], "left").drop("_tx_a", "_tx_b")
+    schema = docs.withColumn(name, F.lit(0.0)).schema
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(len(batch))
+            for i, (text, own) in enumerate(zip(batch.column(at), batch.column("_tx_words").to_pylist(), strict=True)):
+                if own:
+                    raw, ends = utf8(pa.array([text.as_py()], pa.string()))
+                    words = Words(LOWER[raw], ends, NOT_ALNUM)
+                    data, known = words.raw.tobytes(), {w["word"]: w["ratio"] for w in own}
+                    ratio = np.array([known[data[a:b]] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)])
+                    out[i] = passage_evidence(ratio, words.end - words.start + 1, words.first)[0]
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(out)], names=[*names, name])
+
+    return keyed.mapInArrow(run, schema)
 
 
 def evidence(docs: DataFrame, model: ToxicityModel | JoinedModel, name: str = "evidence") -> DataFrame:
