@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 
@@ -63,6 +65,12 @@ class Words:
         """The text's number of every word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def only(self, which: np.ndarray) -> Words:
+        """Some of the words, for hashes alone."""
+        some = copy.copy(self)
+        some.start, some.end = self.start[which], self.end[which]
+        return some
+
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
         """64-bit hashes of the words' bytes, eight bytes at a time."""
         raw = LOWER[self.raw] if lower else self.raw
