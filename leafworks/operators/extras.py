@@ -41,21 +41,6 @@ def rule_matches(rules: DataFrame, books: DataFrame, editions: DataFrame) -> Dat
     return aged.select("collection_id", "book_id").distinct()
 
 
-def span_page_type(spans: DataFrame) -> DataFrame:
-    """page_id, page_type by counts of small (under 15), large (20) and very large (40) boxes, first rule wins."""
-    n = spans.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("font_size") < 15).alias("s"), F.count_if(F.col("font_size") >= 20).alias("l"), F.count_if(F.col("font_size") >= 36).alias("v"))
-    kind = F.when((F.col("v") >= 1) & (F.col("n") <= 2), "cover").when(F.col("s") == F.col("n"), "copyright").when(F.col("l") >= 4, "vocabulary").when(F.col("s") > F.col("l"), "notes").otherwise("story")
-    return n.select("page_id", kind.alias("page_type"))
-
-
-def known_words(words_: DataFrame, wordlist: DataFrame) -> DataFrame:
-    """lang, word, valid: in the language's list, or the language has none."""
-    has = wordlist.select("lang").distinct().withColumn("_has", F.lit(True))
-    listed = wordlist.select("lang", "word").distinct().withColumn("_in", F.lit(True))
-    out = words_.select("lang", "word").distinct().join(has, "lang", "left").join(listed, ["lang", "word"], "left")
-    return out.select("lang", "word", (F.col("_in").isNotNull() | F.col("_has").isNull()).alias("valid"))
-
-
 def locked_terms(terms: DataFrame, given: Column) -> DataFrame:
     """book_id, term, translation, confidence, locked: given terms stand for themselves, locked, with confidence 10."""
     return terms.select("book_id", F.explode(given).alias("term")).where(F.trim("term") != "").select("book_id", "term", F.col("term").alias("translation"), F.lit(10.0).alias("confidence"), F.lit(True).alias("locked")).distinct()

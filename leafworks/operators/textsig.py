@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafworks.functions.text import RTL, contains_count, script_counts, word_count, words
+from leafworks.functions.text import word_count, words
 
 
 def book_signals(pages: DataFrame) -> DataFrame:
@@ -22,33 +22,51 @@ def book_type(signals: DataFrame) -> DataFrame:
     picture = (F.col("image_share") >= 0.6) & (F.col("words_per_page") <= 30)
     early = (F.col("words_per_page") <= 60) & (F.col("pages") <= 32)
     story = F.col("words_per_page") <= 150
-    kind = F.when(picture, "picture_book").when(early, "early_reader").when(story, "story_book").otherwise("chapter_book")
+    kind = F.when(picture, "picture_book").when(early, "early_reader").when(story, "storybook").otherwise("chapter_book")
     sure = F.when(picture, 0.9).when(early, 0.75).when(story, 0.7).otherwise(0.65)
     return signals.withColumn("book_kind", kind).withColumn("kind_confidence", sure)
 
 
-#: Reading levels and the scores below which they hold.
-LEVELS = [("emergent", 6.0), ("early", 9.0), ("transitional", 12.0), ("independent", 16.0)]
+# Reading levels, the scores below which they hold, and how sure they are; age spans and categories by kind of book.
+LEVELS = [("pre_reader", 6.0, 0.7), ("beginner", 9.0, 0.75), ("developing", 12.0, 0.75), ("independent", 16.0, 0.7), ("advanced", None, 0.65)]
+AGES = {"picture_book": (3, 6), "early_reader": (5, 8), "storybook": (6, 10), "chapter_book": (9, 12)}
+CATEGORIES = {"picture_book": "picture-books", "early_reader": "early-readers", "storybook": "childrens-fiction", "chapter_book": "childrens-fiction"}
 
 
 def reading_level(pages: DataFrame) -> DataFrame:
-    """book_id, words, sentences (runs of . ! ?, one at least), score and level; without words pre_reader."""
+    """book_id, words, sentences (runs of . ! ?, one at least), score, level, level_confidence; without words pre_reader, 0.6."""
     text = F.coalesce("extracted_text", F.lit(""))
     per = pages.select("book_id", word_count(text).alias("w"), F.aggregate(words(text), F.lit(0), lambda a, x: a + F.length(x)).alias("c"), F.regexp_count(text, F.lit("[.!?]+")).alias("s"))
     out = per.groupBy("book_id").agg(F.sum("w").alias("words"), F.greatest(F.lit(1), F.sum("s")).alias("sentences"), F.sum("c").alias("_c"))
-    score = 0.6 * F.col("words") / F.col("sentences") + 1.4 * F.col("_c") / F.col("words")
-    level = F.when(F.col("words") == 0, "pre_reader")
-    for name, top in LEVELS:
-        level = level.when(score < top, name)
-    return out.select("book_id", "words", "sentences", F.round(score, 6).alias("score"), level.otherwise("advanced").alias("level"))
+    score = 0.6 * F.col("words") / F.col("sentences") + 1.4 * F.col("_c") / F.nullif("words", F.lit(0))
+    level, sure = F.when(F.col("words") == 0, "pre_reader"), F.when(F.col("words") == 0, 0.6)
+    for name, top, confidence in LEVELS[:-1]:
+        level, sure = level.when(score < top, name), sure.when(score < top, confidence)
+    return out.select("book_id", "words", "sentences", F.round(score, 6).alias("score"), level.otherwise(LEVELS[-1][0]).alias("level"), sure.otherwise(LEVELS[-1][2]).alias("level_confidence"))
 
 
-def long_suggestions(typed: DataFrame) -> DataFrame:
-    """book_id, field, value, confidence (3 digits), requires_confirmation: signals as one row each; only age ranges ask."""
-    hint = F.when(F.col("book_kind") == "picture_book", "3-6").when(F.col("book_kind") == "early_reader", "5-8").when(F.col("book_kind") == "story_book", "7-10").otherwise("9-12")
-    fields = [("book_type", F.col("book_kind"), F.col("kind_confidence")), ("age_range", hint, F.lit(0.5)), ("category", F.replace("book_kind", F.lit("_"), F.lit("-")), F.col("kind_confidence") * 0.9)]
+def age_hint(typed: DataFrame) -> DataFrame:
+    """Adds hint_min, hint_max, hint_confidence by book_kind, 2 and 3 years more for independent and advanced levels; other kinds 4 to 9."""
+    low, high = F.lit(4), F.lit(9)
+    for kind, (a, b) in AGES.items():
+        low, high = F.when(F.col("book_kind") == kind, a).otherwise(low), F.when(F.col("book_kind") == kind, b).otherwise(high)
+    hard = F.coalesce(F.col("level").isin("independent", "advanced"), F.lit(False))
+    return typed.withColumns({"hint_min": low + F.when(hard, 2).otherwise(0), "hint_max": high + F.when(hard, 3).otherwise(0), "hint_confidence": F.lit(0.5)})
+
+
+def primary_category(typed: DataFrame, categories: DataFrame) -> DataFrame:
+    """book_id, slug, category_confidence (0.9 of the kind's): the category of the kind of book, for slugs that exist only."""
+    known = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
+    return typed.select("book_id", known[F.col("book_kind")].alias("slug"), (F.col("kind_confidence") * 0.9).alias("category_confidence")).join(F.broadcast(categories.where(F.col("slug").isin(*set(CATEGORIES.values()))).select("slug").distinct()), "slug", "left_semi").select("book_id", "slug", "category_confidence")
+
+
+def long_suggestions(hinted: DataFrame, categories: DataFrame) -> DataFrame:
+    """book_id, field, value, confidence (3 digits), requires_confirmation: a row for kind, level, ages and, where it exists, category; only ages ask."""
+    fields = [("book_type", F.col("book_kind"), F.col("kind_confidence")), ("reading_level", F.col("level"), F.col("level_confidence")), ("age_range", F.concat_ws("-", "hint_min", "hint_max"), F.col("hint_confidence"))]
     rows = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value"), F.round(c, 3).alias("confidence")) for f, v, c in fields])
-    return typed.select("book_id", F.explode(rows).alias("s")).select("book_id", "s.*", (F.col("s.field") == "age_range").alias("requires_confirmation"))
+    long = hinted.select("book_id", F.explode(rows).alias("s")).select("book_id", "s.*")
+    category = primary_category(hinted, categories).select("book_id", F.lit("primary_category").alias("field"), F.col("slug").alias("value"), F.round("category_confidence", 3).alias("confidence"))
+    return long.unionByName(category).withColumn("requires_confirmation", F.col("field") == "age_range")
 
 
 def full_text(pages: DataFrame, separator: str = "\n", most: int = 4000) -> DataFrame:
@@ -57,30 +75,6 @@ def full_text(pages: DataFrame, separator: str = "\n", most: int = 4000) -> Data
     return pages.where("extracted_text IS NOT NULL").groupBy("book_id").agg(F.substring(F.array_join(F.transform(ordered, lambda p: p["extracted_text"]), separator), 1, most).alias("sample"))
 
 
-def page_types(pages: DataFrame, imprint: list[str], vocabulary: list[str]) -> DataFrame:
-    """book_id, page_number, page_type: first page cover, last back_cover, else copyright or vocabulary by two indicators or more, else story; vocabulary pages need review."""
-    last = F.max("page_number").over(Window.partitionBy("book_id"))
-    text = F.col("extracted_text")
-    kind = F.when(F.col("page_number") == 1, "cover").when(F.col("page_number") == last, "back_cover").when(contains_count(text, imprint) >= 2, "copyright").when(contains_count(text, vocabulary) >= 2, "vocabulary").otherwise("story")
-    return pages.select("book_id", "page_number", kind.alias("page_type")).withColumn("needs_review", F.col("page_type") == "vocabulary")
-
-
-def header_regions(pages: DataFrame, is_header: Column) -> DataFrame:
-    """book_id, region (0 before the first header), first_page, lines: stretches of lines that start at a header."""
-    order = Window.partitionBy("book_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("region", F.sum(is_header.cast("int")).over(order)).groupBy("book_id", "region").agg(F.min("page_number").alias("first_page"), F.count("*").alias("lines"))
-
-
-def script_profile(docs: DataFrame) -> DataFrame:
-    """doc_id, dominant script, letters counted, share of the dominant one (percent, half-even to 1 digit), is_rtl."""
-    counted = docs.select("doc_id", script_counts(F.col("text")).alias("m"))
-    entries = F.map_entries("m")
-    total = F.aggregate(F.map_values("m"), F.lit(0), lambda a, n: a + n)
-    # of equal counts the script listed first wins: ranks break the tie
-    best = F.array_max(F.transform(entries, lambda e: F.struct(e["value"].alias("n"), e["key"].alias("s"))))
-    return counted.select("doc_id", best["s"].alias("dominant"), total.alias("letters"), F.bround(100.0 * best["n"] / F.nullif(total, F.lit(0)), 1).alias("share"), F.coalesce(best["s"].isin(*RTL), F.lit(False)).alias("is_rtl"))
-
-
 def encoding_check(docs: DataFrame) -> DataFrame:
     """doc_id, replacement characters, control characters but tab, newline and return, and whether there are none."""
     text = F.coalesce("text", F.lit(""))
@@ -88,16 +82,10 @@ def encoding_check(docs: DataFrame) -> DataFrame:
     return out.withColumn("clean", (F.col("replaced") == 0) & (F.col("controls") == 0))
 
 
-def phonics_lines(pages: DataFrame) -> DataFrame:
-    """book_id, page_number, pattern of lines like 'ai rain tail': 60 characters at most, no sentence's end, a first word of 1-4 letters that an example holds."""
-    t = F.trim("extracted_text")
-    w = words(F.lower(t))
-    pattern = F.element_at(w, 1)
-    ok = (F.length(t) <= 60) & ~t.rlike("[.!?]") & (F.size(w) >= 2) & pattern.rlike("^[a-z]{1,4}$") & F.exists(F.slice(w, 2, 1000), lambda x: x.contains(pattern))
-    return pages.where(ok).select("book_id", "page_number", pattern.alias("pattern"))
-
-
-def narration_text(text: Column, most: int = 2000) -> Column:
-    """Text without a page number at its head or tail, white space collapsed, cut to most characters."""
-    out = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[0-9]+[ \n]", ""), r"[ \n][0-9]+$", "")
-    return F.substring(F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " ")), 1, most)
+def narration_text(text: Column, speed: int = 100, most: int = 2000) -> Column:
+    """Text without a page number at its head or on its last line, with pauses after . , and ! below speed 50, cut to most characters; null where nothing is left."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^\d+\s*\n?", ""), r"\n\d+\s*$", ""))
+    if speed < 50:
+        for found, pause in ((r"\.\s+", "... "), (r",\s+", ",... "), (r"!\s+", "!... ")):
+            out = F.regexp_replace(out, found, pause)
+    return F.nullif(F.substring(out, 1, most), F.lit(""))

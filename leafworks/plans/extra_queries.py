@@ -53,18 +53,6 @@ def _(t):
     return t.nation.select("n_nationkey", C.label_for(labels, "af", F.lit("nation-key")).alias("label"))
 
 
-@query("C16_span_page_type", """SELECT page_id, CASE WHEN v >= 1 AND n <= 2 THEN 'cover' WHEN s = n THEN 'copyright' WHEN l >= 4 THEN 'vocabulary' WHEN s > l THEN 'notes' ELSE 'story' END AS page_type FROM
- (SELECT page_id, count(*) AS n, count(*) FILTER (font_size < 15) AS s, count(*) FILTER (font_size >= 20) AS l, count(*) FILTER (font_size >= 36) AS v FROM spans GROUP BY 1)""", ("spans",))
-def _(t):
-    return X.span_page_type(t.spans)
-
-
-@query("C27_known_words", """SELECT lang, word, lang <> 'en' OR word IN (SELECT DISTINCT unnest(string_split(text, ' ')) FROM documents WHERE lang = 'en' AND doc_id % 2 = 0) AS valid FROM (SELECT DISTINCT lang, unnest(string_split(text, ' ')) AS word FROM documents WHERE doc_id % 5 = 0)""")
-def _(t):
-    word = F.explode(F.split("text", " ")).alias("word")
-    return X.known_words(t.documents.where("doc_id % 5 = 0").select("lang", word), t.documents.where("lang = 'en' AND doc_id % 2 = 0").select("lang", word))
-
-
 @query("D19_locked_terms", "SELECT DISTINCT p_partkey AS book_id, unnest(string_split(p_name, ' ')) AS term, 10.0::DOUBLE AS confidence FROM part")
 def _(t):
     return X.locked_terms(t.part.withColumnRenamed("p_partkey", "book_id"), F.split("p_name", " ")).select("book_id", "term", "confidence")

@@ -13,10 +13,6 @@ from .registry import query
 N = "len(regexp_extract_all(coalesce(extracted_text, ''), '[^ \\t\\n\\r\\x0B\\f]+'))"
 WORDED = f"w AS (SELECT book_id, page_number, extracted_text, {N} AS n FROM book_pages)"
 SIGNALS = f"""{WORDED}, s AS (SELECT book_id, count(*) AS pages, round(coalesce(avg(n) FILTER (n > 0), 0)::DOUBLE, 1) AS words_per_page, round(avg(CASE WHEN n <= 12 THEN 1.0 ELSE 0.0 END)::DOUBLE, 3) AS image_share FROM w GROUP BY 1)"""
-KIND = "CASE WHEN image_share >= 0.6 AND words_per_page <= 30 THEN 'picture_book' WHEN words_per_page <= 60 AND pages <= 32 THEN 'early_reader' WHEN words_per_page <= 150 THEN 'story_book' ELSE 'chapter_book' END"
-SURE = "CASE WHEN image_share >= 0.6 AND words_per_page <= 30 THEN 0.9 WHEN words_per_page <= 60 AND pages <= 32 THEN 0.75 WHEN words_per_page <= 150 THEN 0.7 ELSE 0.65 END::DOUBLE"
-IMPRINT, VOCABULARY = ["license", "apache", "all rights", ".com"], ["the the", "ing ", "und"]
-COUNT = lambda words: " + ".join(f"CAST(contains(lower(extracted_text), '{w}') AS INTEGER)" for w in words)
 
 
 @query("C1_page_words", "SELECT book_id, page_number, n FROM w", ("book_pages",), WORDED)
@@ -29,25 +25,6 @@ def _(t):
     return T.book_signals(t.book_pages)
 
 
-@query("C4_book_type", f"SELECT *, {KIND} AS book_kind, {SURE} AS kind_confidence FROM s", ("book_pages",), SIGNALS)
-def _(t):
-    return T.book_type(T.book_signals(t.book_pages))
-
-
-@query("C5_reading_level", """SELECT book_id, words, sentences, round(0.6 * words / sentences + 1.4 * c / words, 6) AS score, CASE WHEN words = 0 THEN 'pre_reader' WHEN 0.6 * words / sentences + 1.4 * c / words < 6 THEN 'emergent'
- WHEN 0.6 * words / sentences + 1.4 * c / words < 9 THEN 'early' WHEN 0.6 * words / sentences + 1.4 * c / words < 12 THEN 'transitional' WHEN 0.6 * words / sentences + 1.4 * c / words < 16 THEN 'independent' ELSE 'advanced' END AS level
- FROM (SELECT book_id, sum(n)::BIGINT AS words, greatest(1, sum(len(regexp_extract_all(extracted_text, '[.!?]+'))))::BIGINT AS sentences, sum(length(regexp_replace(extracted_text, '[ \\t\\n\\r\\x0B\\f]+', '', 'g')))::DOUBLE AS c FROM w GROUP BY 1)""", ("book_pages",), WORDED)
-def _(t):
-    return T.reading_level(t.book_pages)
-
-
-@query("C7_suggestions", f"""SELECT book_id, 'book_type' AS field, {KIND} AS value, {SURE} AS confidence, false AS requires_confirmation FROM s
- UNION ALL SELECT book_id, 'age_range', CASE {KIND} WHEN 'picture_book' THEN '3-6' WHEN 'early_reader' THEN '5-8' WHEN 'story_book' THEN '7-10' ELSE '9-12' END, 0.5, true FROM s
- UNION ALL SELECT book_id, 'category', replace({KIND}, '_', '-'), round({SURE} * 0.9, 3), false FROM s""", ("book_pages",), SIGNALS)
-def _(t):
-    return T.long_suggestions(T.book_type(T.book_signals(t.book_pages)))
-
-
 @query("C9_full_text", "SELECT book_id, substr(string_agg(extracted_text, chr(10) ORDER BY page_number), 1, 4000) AS sample FROM book_pages GROUP BY 1", ("book_pages",))
 def _(t):
     return T.full_text(t.book_pages)
@@ -58,37 +35,11 @@ def _(t):
     return t.documents.select("doc_id", X.scrub(F.col("text"), 300).alias("short_text"))
 
 
-@query("C11_C12_C13_page_types", f"""SELECT book_id, page_number, page_type, page_type = 'vocabulary' AS needs_review FROM (SELECT *, CASE WHEN page_number = 1 THEN 'cover' WHEN page_number = max(page_number) OVER (PARTITION BY book_id) THEN 'back_cover'
- WHEN {COUNT(IMPRINT)} >= 2 THEN 'copyright' WHEN {COUNT(VOCABULARY)} >= 2 THEN 'vocabulary' ELSE 'story' END AS page_type FROM book_pages)""", ("book_pages",))
-def _(t):
-    return T.page_types(t.book_pages, IMPRINT, VOCABULARY)
-
-
-@query("C14_header_regions", """SELECT book_id, region, min(page_number) AS first_page, count(*) AS lines FROM (SELECT *, sum(CASE WHEN contains(extracted_text, '|') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY page_number ROWS UNBOUNDED PRECEDING)::BIGINT AS region FROM book_pages) GROUP BY 1, 2""", ("book_pages",))
-def _(t):
-    return T.header_regions(t.book_pages, F.col("extracted_text").contains("|"))
-
-
-@query("C20_script_profile", r"""SELECT doc_id, CASE WHEN n > 0 THEN 'latin' END AS dominant, n AS letters, CASE WHEN n > 0 THEN 100.0 END::DOUBLE AS share, false AS is_rtl FROM (SELECT doc_id, length(regexp_replace(text, '[\s\pP]', '', 'g')) AS n FROM documents)""")
-def _(t):
-    return T.script_profile(t.documents)
-
-
 @query("C33_encoding_check", r"SELECT doc_id, len(regexp_extract_all(text, '\x{FFFD}')) AS replaced, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) AS controls, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]')) = 0 AS clean FROM documents")
 def _(t):
     return T.encoding_check(t.documents)
 
 
-@query("C25_phonics_lines")
-def _(t):
-    return T.phonics_lines(t.book_pages)
-
-
-@query("C34_narration_text", r"""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '^[0-9]+[ \n]', ''), '[ \n][0-9]+$', ''), '[ \t\n\r]+', ' ', 'g')), 1, 2000) AS narration FROM documents""")
-def _(t):
-    return t.documents.select("doc_id", T.narration_text(F.col("text")).alias("narration"))
-
-
 @query("D2_response_errors", """SELECT unit_id, problem FROM (SELECT coalesce(e.u, r.u) AS unit_id, CASE WHEN r.n IS NULL THEN 'missing' WHEN e.u IS NULL THEN 'extra' WHEN r.n > 1 THEN 'duplicate' WHEN r.b THEN 'empty' END AS problem
  FROM (SELECT DISTINCT conv_id * 100 + turn AS u FROM conversations WHERE role = 'user') e FULL JOIN
  (SELECT conv_id * 100 + turn - turn % 3 AS u, count(*) AS n, bool_and(trim(coalesce(text, '')) = '') AS b FROM conversations GROUP BY 1) r ON e.u = r.u) WHERE problem IS NOT NULL""")

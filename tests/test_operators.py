@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafworks.functions.text import script_counts, words
-from leafworks.operators import catalog, gates, layout, reconcile, textsig
+from leafworks.functions.text import words
+from leafworks.operators import catalog, gates, layout, pagetypes, phonics, reconcile, scripts, textsig
 from leafworks.sources import ingest
 from leafworks.streaming import feeds
 
@@ -90,24 +90,96 @@ def test_upper_median_and_clusters(spark):
 
 
 def test_scripts_and_words(spark):
-    texts = [(1, "Привет мир a"), (2, "שלום"), (3, ""), (4, None), (5, "漢字かな kana!"), (6, "مرحبا 1")]
+    texts = [(1, "Привет мир a"), (2, "שלום"), (3, ""), (4, None), (5, "漢字かな kana!"), (6, "مرحبا 1"), (7, "ab กข"), (8, "กข ab"), (9, "Ⴀ ʰ ⱡ 😀"), (10, "שלום abcd")]
     df = spark.createDataFrame(texts, "doc_id int, text string")
-    got = {r.doc_id: r for r in textsig.script_profile(df).collect()}
-    assert got[1].dominant == "cyrillic" and got[2].dominant == "hebrew" and got[2].is_rtl and got[6].dominant == "arabic"
-    assert got[3].dominant is None and got[4].letters == 0 and not got[5].is_rtl
-    assert df.where("doc_id = 5").select(script_counts(F.col("text")).alias("m")).first().m == {"latin": 4, "han": 2, "hiragana": 2}
-    spaced = spark.createDataFrame([(" a b \n",), (None,)], "t string").select(words(F.col("t")).alias("w")).collect()
+    got = {r.doc_id: r for r in scripts.script_profile(df).collect()}
+    assert {i: got[i].dominant for i in got} == {1: "Cyrillic", 2: "Hebrew", 3: "Latin", 4: "Latin", 5: "CJK", 6: "Arabic", 7: "Latin", 8: "Thai", 9: "Latin", 10: "Hebrew"}
+    assert got[2].is_rtl and got[2].direction == "rtl" and got[4].letters == 0 and got[4].shares == {} and not got[5].is_complex and got[7].is_complex
+    assert got[5].shares == {"CJK": 50.0, "Latin": 50.0} and got[6].shares == {"Arabic": 83.3, "Latin": 16.7} and got[6].is_bidi and got[6].direction == "mixed"
+    assert got[9].letters == 3 and got[9].shares == {"Latin": 66.7, "Georgian": 33.3}
+    pages = spark.createDataFrame([(1, 1, "ab"), (1, 2, "กขค"), (1, 3, None), (2, 1, "")], "book_id int, page_number int, extracted_text string")
+    whole = {(r.book_id, r.page_number): (r.dominant, r.letters, r.shares) for r in scripts.page_and_book_profile(pages).collect()}
+    assert whole[1, None] == ("Thai", 5, {"Latin": 40.0, "Thai": 60.0}) and whole[1, 1] == ("Latin", 2, {"Latin": 100.0}) and whole[2, None] == ("Latin", 0, {}) and len(whole) == 6
+    assert {r.doc_id: r.label for r in scripts.script_label(df).collect()} == {1: "Cyrl", 2: "Hebr", 3: "Latn", 4: "Latn", 5: "Latn", 6: "Arab", 7: "Latn", 8: "Thai", 9: "Zyyy", 10: "Hebr"}
+    spaced = spark.createDataFrame([(" a b \n",), (None,)], "t string").select(words(F.col("t")).alias("w")).collect()
     assert [r.w for r in spaced] == [["a", "b"], []]
 
 
+def test_directional_runs(spark):
+    df = spark.createDataFrame([(1, "12 abc שלום, ok"), (2, "123"), (3, ""), (4, None), (5, "! éa")], "doc_id int, text string")
+    assert rows(scripts.directional_runs(df), "doc_id", "paragraph", "run_no", "direction", "start_index", "end_index", "run") == [
+        (1, "ltr", 0, "ltr", 3, 7, "abc "), (1, "ltr", 1, "rtl", 7, 13, "שלום, "), (1, "ltr", 2, "ltr", 13, 15, "ok"), (2, "ltr", 0, "ltr", 0, 3, "123"), (5, "ltr", 0, "ltr", 2, 4, "éa")]
+
+
+def test_segments_of(spark):
+    df = spark.createDataFrame([(1, "Don't stop. Now! it’s e\u0301-x")], "doc_id int, text string")
+    r = scripts.segments_of(df).first()
+    assert r.tokens == ["Don't", " ", "stop", ".", " ", "Now", "!", " ", "it’s", " ", "e\u0301-x"] and r.sentences == ["Don't stop.", "Now! it’s e\u0301-x"]
+    assert len(r.graphemes) == len("Don't stop. Now! it’s e-x")
+
+
+def test_book_signals_of_published_cases(spark):
+    picture = [(1, i, t) for i, t in enumerate(["The cat sat.", "A big red ball.", "", "We ran fast.", "The end."], 1)]
+    chapter = [(2, i, "word " * 299 + "end. ") for i in range(1, 41)]
+    blank = [(3, 1, None), (3, 2, "  ")]
+    pages = spark.createDataFrame(picture + chapter + blank, "book_id int, page_number int, extracted_text string")
+    typed = textsig.age_hint(textsig.book_type(textsig.book_signals(pages)).join(textsig.reading_level(pages), "book_id"))
+    assert rows(typed, "book_id", "book_kind", "level", "level_confidence", "hint_min", "hint_max") == [(1, "picture_book", "beginner", 0.75, 3, 6), (2, "chapter_book", "advanced", 0.65, 11, 15), (3, "picture_book", "pre_reader", 0.6, 3, 6)]
+    slugs = spark.createDataFrame([("childrens-fiction",)], "slug string")
+    assert rows(textsig.long_suggestions(typed.where("book_id = 2"), slugs), "field", "value", "confidence", "requires_confirmation") == [("age_range", "11-15", 0.5, True), ("book_type", "chapter_book", 0.65, False), ("primary_category", "childrens-fiction", 0.585, False), ("reading_level", "advanced", 0.65, False)]
+    assert textsig.primary_category(typed.where("book_id = 1"), slugs).count() == 0
+
+
+def test_page_kinds(spark):
+    listed = "\n".join(["cat", "big dog", ""] * 11)
+    pages = spark.createDataFrame([(1, 1, "ISBN copyright"), (1, 2, "isbn 1 Copyright 2020"), (1, 3, "words and PHONICS"), (1, 4, listed), (1, 5, "a story"), (1, 6, None), (1, 7, "end")], "book_id int, page_number int, extracted_text string")
+    assert [k for _, k in rows(pagetypes.page_types(pages), "page_number", "page_type")] == ["cover", "copyright", "vocabulary", "vocabulary", "story", "story", "back_cover"]
+    manifest = spark.createDataFrame([(1, 5, "phonics"), (1, 6, None)], "book_id int, page_number int, page_type string")
+    got = rows(pagetypes.manifest_page_types(pages, manifest), "page_number", "page_type", "needs_review", "source")
+    assert got[4:] == [(5, "phonics", True, "scene_graph"), (6, "story", False, "scene_graph"), (7, "back_cover", False, "heuristic_fallback")]
+    text = "intro\nWORDS\ncat\n dog \nHOË FREKWENSIE WOORDE\nen\nPHONICS\nai rain\nWOORDE"
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text.split("\n"))], "doc_id int, line_no int, text string")
+    assert rows(pagetypes.vocabulary_regions(lines), "region", "heading", "region_type", "items", "needs_review") == [
+        (0, "", "word_list", ["intro"], False), (1, "WORDS", "multi_column_word_list", ["cat", "dog"], False), (2, "HOË FREKWENSIE WOORDE", "high_frequency_words", ["en"], False), (3, "PHONICS", "phonics_exercise", ["ai rain"], True)]
+
+
+def test_span_page_kinds(spark):
+    def page(i, spans):
+        return [(i, n, t, size, x, False) for n, (t, size, x) in enumerate(spans)]
+
+    made = page(1, [("My Big Book", 48.0, 0.0), ("Studio", 10.0, 0.0)]) + page(2, [("Five monkeys are screaming.", 30.0, 0.0)]) + page(3, [(w, 23.0, 24.0 * (n % 3)) for n, w in enumerate(["the", "and", "for", "you"] * 4)])
+    made += page(4, [("Published by X, ISBN 1. All rights reserved.", 9.0, 0.0)]) + page(5, [("Titles: 1 - First 2 - Second", 30.0, 0.0)]) + page(7, [("while four cubs play nearby", 30.0, 0.0)])
+    spans = spark.createDataFrame(made, "page_id int, span_no int, text string, font_size double, x0 double, is_page_number boolean")
+    pages = spark.createDataFrame([(i, i, 9) for i in range(1, 8)], "page_id int, page_number int, total_pages int")
+    assert [k for _, k in rows(pagetypes.span_page_types(spans, pages), "page_id", "page_type")] == ["cover", "story", "vocabulary", "copyright", "back_cover", "story", "story"]
+    texts = spark.createDataFrame([(1, "Titles in the series 3: 1 - First Title 2 – Second Title"), (2, "Head\nOne\nTwo"), (3, "none")], "doc_id int, text string").select("doc_id", pagetypes.title_entries(F.col("text")).alias("e")).select("doc_id", "e.*")
+    assert rows(texts, "doc_id", "header", "entries")[1:] == [(2, "Head", ["One", "Two"]), (3, "none", [])]
+    assert rows(texts, "header", "entries")[0] != () and texts.where("doc_id = 1").first().entries == ["1 - First Title", "2 - Second Title"]
+
+
+def test_phonics_rows(spark):
+    lists = spark.createDataFrame([("af", w) for w in ("lekker", "bakker", "rain")], "lang string, word string")
+    given = [(1, "af", "- kk lekker, bakker"), (2, "af", "kk lekker, klipfisk"), (3, "af", "kk krakke, lekker"), (4, "en", "ai xaiq, rain"), (5, "en", "ai cat"), (6, "af", "heading"), (7, "af", None)]
+    got = {r.row_id: (r.valid, r.problem) for r in phonics.phonics_problems(spark.createDataFrame(given, "row_id int, lang string, text string"), lists).collect()}
+    assert got == {1: (True, None), 2: (False, 'klipfisk do not contain the pattern "kk"'), 3: (False, "krakke are not real words"), 4: (True, None), 5: (False, 'cat do not contain the pattern "ai"'), 6: (True, None), 7: (True, None)}
+    page = "FONIES\nbr - broek, breek\n- kk\n lekker, klap\n- ft\n- iek siek, rain\nA line."
+    pages = spark.createDataFrame([(1, "nl", page), (2, "af", "- kk lekker, krakke"), (3, "af", None)], "page_id int, lang string, text string")
+    assert rows(phonics.invalid_phonics_lines(pages, lists), "page_id", "line", "pattern", "bad_words") == [(1, "- iek siek, rain", "iek", ["rain"]), (1, "- kk lekker, klap", "kk", ["klap"]), (2, "- kk lekker, krakke", "kk", ["krakke"])]
+
+
+def test_narration_text(spark):
+    df = spark.createDataFrame([(1, "12\nHello. World, yes! ok\n7"), (2, "5"), (3, None)], "i int, t string")
+    assert rows(df.select("i", textsig.narration_text(F.col("t")).alias("a"), textsig.narration_text(F.col("t"), 40).alias("b")), "i", "a", "b") == [(1, "Hello. World, yes! ok", "Hello... World,... yes!... ok"), (2, None, None), (3, None, None)]
+
+
 def test_encoding_check(spark):
     df = spark.createDataFrame([(1, "ok\n\t"), (2, "bad ��"), (3, "ctl \x07"), (4, None)], "doc_id int, text string")
     assert rows(textsig.encoding_check(df), "doc_id", "replaced", "controls", "clean") == [(1, 0, 0, True), (2, 2, 0, False), (3, 0, 1, False), (4, 0, 0, True)]
 
 
 def test_phonics_lines(spark):
-    df = spark.createDataFrame([(1, 1, "ai rain tail"), (1, 2, "The end."), (1, 3, "sh cat dog"), (1, 4, None)], "book_id int, page_number int, extracted_text string")
-    assert rows(textsig.phonics_lines(df), "page_number", "pattern") == [(1, "ai")]
+    df = spark.createDataFrame([(1, 1, "ai rain tail"), (1, 2, "The end."), (1, 3, "sh cat dog"), (1, 4, None), (1, 5, "- kk - lekker, bakker"), (1, 6, "cat, dog")], "book_id int, page_number int, extracted_text string")
+    assert rows(phonics.phonics_lines(df), "page_number", "pattern") == [(1, "ai"), (5, "kk")]
 
 
 def test_segments_pad_and_join(spark):
