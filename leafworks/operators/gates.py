@@ -44,15 +44,6 @@ def approval_progress(pages: DataFrame) -> DataFrame:
     return out.withColumn("complete", (F.col("total") > 0) & (F.col("approved") == F.col("total")))
 
 
-def coverage(expected: DataFrame, records: DataFrame) -> DataFrame:
-    """book_id, page_number, issue for every page that isn't settled: unexpected, not_checked, duplicate, or unresolved by its first record."""
-    order = Window.partitionBy("book_id", "page_number").orderBy("seq")
-    first = records.withColumn("_r", F.row_number().over(order)).groupBy("book_id", "page_number").agg(F.max(F.when(F.col("_r") == 1, F.col("status"))).alias("status"), F.count("*").alias("n"))
-    both = expected.withColumn("_e", F.lit(True)).join(first, ["book_id", "page_number"], "full_outer")
-    issue = F.when(F.col("_e").isNull(), "unexpected").when(F.col("n").isNull(), "not_checked").when(F.col("n") > 1, "duplicate").when(F.col("status") != "passed", "unresolved")
-    return both.select("book_id", "page_number", issue.alias("issue")).where("issue IS NOT NULL")
-
-
 def gate_report(checks: DataFrame, severity: Column) -> DataFrame:
     """candidate_id, total, passed_checks, passed, needs_review, score: error or critical failures fail, warnings ask for review."""
     failed = F.col("status") == "failed"
@@ -101,12 +92,6 @@ def invalidated(approvals: DataFrame, edits: DataFrame) -> DataFrame:
     return approvals.join(last, "page", "left").withColumn("stale", F.coalesce(F.col("_e") > F.col("approved_at"), F.lit(False))).drop("_e")
 
 
-def typography(spans: DataFrame, least: float = 9.0, spread: float = 0.15) -> DataFrame:
-    """page_id, role, least_size, mean_size, too_small and uneven (peers' sizes spread over the share of their mean)."""
-    out = spans.groupBy("page_id", "role").agg(F.min("font_size").alias("least_size"), F.avg("font_size").alias("mean_size"), F.max("font_size").alias("_m"))
-    return out.withColumn("too_small", F.col("least_size") < least).withColumn("uneven", (F.col("_m") - F.col("least_size")) > spread * F.col("mean_size")).drop("_m")
-
-
 def overflow(spans: DataFrame, width: float, height: float, margin: float = 2.0) -> DataFrame:
     """page_id and the first span_no that leaves the trim box less margin."""
     out = (F.col("x0") < margin) | (F.col("y0") < margin) | (F.col("x1") > width - margin) | (F.col("y1") > height - margin)
@@ -138,27 +123,6 @@ def least_sizes(rows: DataFrame, default: float, floors: list[tuple[str, DataFra
     return out.withColumn("least_size", F.greatest(F.lit(default), *[F.coalesce(c, F.lit(0.0)) for c in cols])).drop(*[f"_f{i}" for i in range(len(floors))])
 
 
-def size_clusters(spans: DataFrame, gap: float = 0.18) -> DataFrame:
-    """page_id, clusters, uneven: sizes parted where the next is over gap larger; two clusters of two boxes or more are uneven."""
-    order = Window.partitionBy("page_id").orderBy("font_size", "span_no")
-    new = F.coalesce(F.col("font_size") > (1 + gap) * F.lag("font_size").over(order), F.lit(True))
-    numbered = spans.withColumn("_new", new.cast("int")).withColumn("_c", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = numbered.groupBy("page_id", "_c").agg(F.count("*").alias("_n"))
-    return sized.groupBy("page_id").agg(F.count("*").alias("clusters"), (F.count_if(F.col("_n") >= 2) >= 2).alias("uneven"))
-
-
-def font_fidelity(spans: DataFrame, approved: list[str], least: int = 3) -> DataFrame:
-    """page_id, font_name, boxes of fonts that aren't approved and draw least boxes or more."""
-    return spans.where(~F.col("font_name").isin(*approved)).groupBy("page_id", "font_name").agg(F.count("*").alias("boxes")).where(F.col("boxes") >= least)
-
-
-def out_of_order(spans: DataFrame) -> DataFrame:
-    """page_id of pages whose numbers don't grow from top to bottom."""
-    order = Window.partitionBy("page_id").orderBy("y0", "span_no")
-    back = spans.withColumn("_b", F.col("span_no") < F.lag("span_no").over(order))
-    return back.where("_b").select("page_id").distinct()
-
-
 def edition_state(editions: DataFrame, blocking: list[str], ready: DataFrame) -> DataFrame:
     """candidate_id, state: a blocking render status first, else ready or its open codes."""
     joined = editions.join(ready, "candidate_id", "left")
@@ -174,10 +138,215 @@ def contained_lines(words_: DataFrame, regions: DataFrame, slack: float = 2.0) -
     return words_.join(r, "page_id").where(inside).groupBy("page_id", "region").agg(F.count_distinct(F.bround("y0")).alias("lines"), F.count("*").alias("boxes"))
 
 
-def sample_difference(a: DataFrame, b: DataFrame, step: int = 4, most: float = 10.0) -> DataFrame:
-    """page, samples, changed, share: samples on a grid of step whose mean channel difference is above most."""
+def candidate_readiness(candidates: DataFrame, checks: DataFrame, approvals: DataFrame) -> DataFrame:
+    """candidate_id, ready, codes (sorted, as CODE:key): every required check must have passed, and every required approval be given, for the candidate's present fingerprint and output.
+
+    candidates: candidate_id, fingerprint, output_sha256, required_checks and required_approvals (arrays; repeated keys count once). checks, approvals: candidate_id, key, status,
+    candidate_fingerprint, output_sha256; of several records of one key all must do. No fingerprint, no hash or no required check: INVALID_GATE_INPUT alone.
+    """
+    invalid = (F.coalesce("fingerprint", F.lit("")) == "") | (F.coalesce("output_sha256", F.lit("")) == "") | (F.size(F.coalesce("required_checks", F.array().cast("array<string>"))) == 0)
+    now = candidates.select("candidate_id", "fingerprint", "output_sha256", "required_checks", "required_approvals", invalid.alias("_invalid"))
+
+    def stale(records: DataFrame, required: str, status: str, code: str) -> DataFrame:
+        asked = now.where("NOT _invalid").select("candidate_id", "fingerprint", F.col("output_sha256").alias("_hash"), F.explode(F.array_distinct(required)).alias("key"))
+        both = asked.join(records.select("candidate_id", "key", "status", "candidate_fingerprint", "output_sha256"), ["candidate_id", "key"], "left")
+        met = F.coalesce((F.col("status") == status) & (F.col("candidate_fingerprint") == F.col("fingerprint")) & (F.col("output_sha256") == F.col("_hash")), F.lit(False))
+        open_ = both.groupBy("candidate_id", "key").agg(F.bool_and(met).alias("_met")).where("NOT _met")
+        return open_.select("candidate_id", F.concat(F.lit(f"{code}:"), "key").alias("code"))
+
+    issues = stale(checks, "required_checks", "passed", "CHECK_UNRESOLVED_OR_STALE").unionByName(stale(approvals, "required_approvals", "approved", "APPROVAL_PENDING_OR_STALE"))
+    issues = issues.unionByName(now.where("_invalid").select("candidate_id", F.lit("INVALID_GATE_INPUT").alias("code")))
+    codes = issues.groupBy("candidate_id").agg(F.array_sort(F.collect_list("code")).alias("_codes"))
+    return now.select("candidate_id").join(codes, "candidate_id", "left").select("candidate_id", F.col("_codes").isNull().alias("ready"), F.coalesce("_codes", F.array().cast("array<string>")).alias("codes"))
+
+
+def state_guards(editions: DataFrame, pages: DataFrame, ready: DataFrame, source: str = "en") -> DataFrame:
+    """candidate_id, may_approve (all pages approved, one at least, and ready), may_publish, may_narrate (once approved) and store_visible; the last three always hold for the source language.
+
+    editions: candidate_id, language_code, render_status; pages: candidate_id, approved; ready: candidate_id, ready. What isn't known counts as no.
+    """
+    progress = pages.groupBy("candidate_id").agg(F.bool_and(F.coalesce("approved", F.lit(False))).alias("_all"))
+    both = editions.join(progress, "candidate_id", "left").join(ready.select("candidate_id", F.col("ready").alias("_ready")), "candidate_id", "left")
+    ok, own = F.coalesce("_ready", F.lit(False)), F.coalesce(F.col("language_code") == source, F.lit(False))
+    return both.select("candidate_id", (F.coalesce("_all", F.lit(False)) & ok).alias("may_approve"), (own | ok).alias("may_publish"), (own | F.coalesce(F.col("render_status") == "approved", F.lit(False))).alias("may_narrate"), (own | ok).alias("store_visible"))
+
+
+def coverage(books: DataFrame, expected: DataFrame, records: DataFrame) -> DataFrame:
+    """book_id, page_number, code of every issue: a page's first record (by seq) counts, further ones and those of unexpected pages are UNEXPECTED_OR_DUPLICATE_PAGE each.
+
+    books: book_id, fingerprint. records: book_id, page_number, seq, status, candidate_fingerprint. A book without expected pages has EMPTY_EXPECTED_PAGE_SET alone.
+    """
+    pages = expected.join(books, "book_id").select("book_id", "page_number", "fingerprint").distinct()
+    order = Window.partitionBy("book_id", "page_number").orderBy("seq")
+    known = books.select("book_id").join(pages.select("book_id").distinct(), "book_id", "left_semi")
+    seen = records.join(known, "book_id", "left_semi").withColumn("_r", F.row_number().over(order))
+    both = pages.join(seen, ["book_id", "page_number"], "full_outer")
+    code = (
+        F.when(F.col("fingerprint").isNull() | (F.col("_r") > 1), "UNEXPECTED_OR_DUPLICATE_PAGE").when(F.col("_r").isNull(), "PAGE_NOT_CHECKED")
+        .when(~F.col("candidate_fingerprint").eqNullSafe(F.col("fingerprint")), "STALE_VISUAL_RESULT").when(~F.col("status").eqNullSafe(F.lit("passed")), "VISUAL_CHECK_UNRESOLVED")
+    )
+    found = both.select("book_id", "page_number", code.alias("code")).where("code IS NOT NULL")
+    empty = books.join(known, "book_id", "left_anti").select("book_id", F.lit(None).cast(expected.schema["page_number"].dataType).alias("page_number"), F.lit("EMPTY_EXPECTED_PAGE_SET").alias("code"))
+    return found.unionByName(empty)
+
+
+# Roles that are headings, body, or alike in size on a page, and how far peers may vary.
+HEADINGS = ["heading", "table_header", "book_title", "subtitle", "list_heading", "cover_title", "cover_subtitle"]
+BODIES = ["paragraph", "word_list_item", "table_cell", "list_item", "caption", "word_item", "copyright", "imprint"]
+PEERS = ["table_cell", "table_header", "word_item", "word_list_item", "list_item"]
+PEER_SPREAD, SIZE_SLACK = 0.15, 0.05
+
+
+def typography(units: DataFrame, least: float = 9.0) -> DataFrame:
+    """page_id, failure, role (null for failures of the page): text under least, headings not larger on average than body, table headers smaller than cells, peers' sizes apart by over a seventh.
+
+    units: page_id, role, font_size; sizes that are null or 0 don't count. Cells are table_cell, else word_item, else word_list_item.
+    """
+    rows = units.where("font_size > 0")
+    role = rows.groupBy("page_id", "role").agg(F.min("font_size").alias("lo"), F.max("font_size").alias("hi"), F.count("*").alias("n"))
+    small = role.where(F.col("lo") + SIZE_SLACK < least).select("page_id", F.lit("minReadableSize").alias("failure"), "role")
+    uneven = role.where(F.col("role").isin(*PEERS) & (F.col("n") >= 2) & ((F.col("hi") - F.col("lo")) / F.col("lo") > PEER_SPREAD)).select("page_id", F.lit("peerRegionVariance").alias("failure"), "role")
+    mean = lambda *roles: F.avg(F.when(F.col("role").isin(*roles), F.col("font_size")))
+    page = rows.groupBy("page_id").agg(mean(*HEADINGS).alias("heading"), mean(*BODIES).alias("body"), mean("table_header").alias("header"), F.coalesce(mean("table_cell"), mean("word_item"), mean("word_list_item")).alias("cell"))
+    none = F.lit(None).cast("string").alias("role")
+    low = page.where("heading <= body").select("page_id", F.lit("typographyHierarchy").alias("failure"), none)
+    header = page.where(F.col("header") + SIZE_SLACK < F.col("cell")).select("page_id", F.lit("tableHeaderHierarchy").alias("failure"), none)
+    return small.unionByName(uneven).unionByName(low).unionByName(header)
+
+
+def size_consistency(spans: DataFrame, pages: DataFrame, gap: float = 0.18) -> DataFrame:
+    """page_id, clusters, uneven for cover and back_cover pages: lines' sizes (a line's largest box, 1 digit) fall into clusters where the next is over gap larger. Two clusters of two lines
+    or more are uneven, else a cluster of two or more whose largest is over 1 + gap times its smallest.
+    """
+    wanted = pages.where(F.col("page_type").isin("cover", "back_cover")).select("page_id").distinct()
+    lines = spans.where("trim(text) <> ''").join(wanted, "page_id", "left_semi").groupBy("page_id", "line_no").agg(F.max(F.bround("font_size", 1)).alias("size")).where("size > 0")
+    order = Window.partitionBy("page_id").orderBy("size", "line_no")
+    new = F.coalesce((F.col("size") - F.lag("size").over(order)) / F.lag("size").over(order) > gap, F.lit(True))
+    numbered = lines.withColumn("_new", new.cast("int")).withColumn("_c", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = numbered.groupBy("page_id", "_c").agg(F.count("*").alias("_n"), F.min("size").alias("_lo"), F.max("size").alias("_hi"))
+    several = F.col("_n") >= 2
+    return sized.groupBy("page_id").agg(F.count("*").alias("clusters"), ((F.count_if(several) >= 2) | F.bool_or(several & (F.col("_hi") / F.col("_lo") > 1 + gap))).alias("uneven"))
+
+
+# Parts of the names of fonts that stand in for missing ones.
+FALLBACKS = ["charissil", "charis", "nimbussans", "nimbus", "helvetica", "helv", "timesnewroman", "times", "courier", "sans-serif"]
+
+
+def is_fallback(font: Column, approved: list[str]) -> Column:
+    """Whether a font's name, letters and digits alone, holds a fallback's, and neither holds an approved one's nor is held by one."""
+    name = F.regexp_replace(F.lower(F.coalesce(font, F.lit(""))), "[^a-z0-9]", "")
+    stands_in, known = F.lit(False), F.lit(False)
+    for m in FALLBACKS:
+        stands_in = stands_in | name.contains(m)
+    for stem in approved:
+        known = known | name.contains(stem) | F.lit(stem).contains(name)
+    return stands_in & ~known
+
+
+def font_fidelity(spans: DataFrame, approved: list[str], least: int = 8) -> DataFrame:
+    """page_id, font_name, drawn (characters) of fallback fonts that draw least characters or more; without approved fonts there is nothing to say."""
+    drawn = spans.where("trim(text) <> ''").groupBy("page_id", "font_name").agg(F.sum(F.length(F.trim("text"))).alias("drawn"))
+    return drawn.where((F.col("drawn") >= least) & (is_fallback(F.col("font_name"), approved) if approved else F.lit(False)))
+
+
+def semantics(expected: DataFrame, words_: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, failure, unit_no: missingUnit where a unit's first word isn't in its page's text, listOrder (unit_no null) where numbers from 1 to 20 don't grow from top to bottom of a back_cover.
+
+    expected: page_id, unit_no, text; words_: page_id, word_no, y0, text; pages: page_id, page_type. Pages without expected units aren't looked at.
+    """
+    norm = F.trim(F.regexp_replace(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ")), r"\s+", " "))
+    shown = words_.groupBy("page_id").agg(norm.alias("_norm"))
+    first = F.lower(F.coalesce(F.regexp_extract(F.trim("text"), r"^\S+", 0), F.lit("")))
+    units = expected.select("page_id", "unit_no", first.alias("_first")).join(shown, "page_id", "left")
+    missing = units.where((F.col("_first") != "") & ~F.coalesce(F.col("_norm").contains(F.col("_first")), F.lit(False))).select("page_id", F.lit("missingUnit").alias("failure"), "unit_no")
+    asked = pages.where("page_type = 'back_cover'").join(expected.select("page_id").distinct(), "page_id", "left_semi")
+    numbers = words_.where(F.col("text").rlike("^[0-9]{1,9}$")).withColumn("_n", F.col("text").cast("int")).where("_n BETWEEN 1 AND 20").join(asked, "page_id", "left_semi")
+    back = numbers.withColumn("_b", F.col("_n") < F.lag("_n").over(Window.partitionBy("page_id").orderBy("y0", "word_no"))).where("_b")
+    none = F.lit(None).cast(expected.schema["unit_no"].dataType)
+    return missing.unionByName(back.select("page_id").distinct().select("page_id", F.lit("listOrder").alias("failure"), none.alias("unit_no")))
+
+
+def missing_content(expected: DataFrame, drawn: DataFrame) -> DataFrame:
+    """page_id of pages with expected text that isn't blank and no word drawn."""
+    return expected.where("trim(coalesce(text, '')) <> ''").select("page_id").distinct().join(drawn.select("page_id").distinct(), "page_id", "left_anti")
+
+
+def source_vs_output(source: DataFrame, output: DataFrame, files: DataFrame) -> DataFrame:
+    """doc_id, same_pages, resized, turned, images_lost, size_verdict of every document in files; the three counts and the verdict are null where the numbers of pages differ.
+
+    source, output: doc_id, page_number, width, height, rotation, images; files: doc_id, source_bytes, output_bytes. Sizes may differ by 0.1; images are counted on the first five pages; an output
+    over 5 times larger is larger, under a tenth smaller.
+    """
+    out = output.select("doc_id", "page_number", *[F.col(c).alias(f"_{c}") for c in ("width", "height", "rotation", "images")], F.lit(True).alias("_o"))
+    both = source.withColumn("_s", F.lit(True)).join(out, ["doc_id", "page_number"], "full_outer")
+    found = both.groupBy("doc_id").agg(
+        (F.count("_s") == F.count("_o")).alias("same_pages"), F.count_if((F.abs(F.col("width") - F.col("_width")) > 0.1) | (F.abs(F.col("height") - F.col("_height")) > 0.1)).alias("resized"),
+        F.count_if(F.col("rotation") != F.col("_rotation")).alias("turned"), F.count_if((F.col("page_number") <= 5) & (F.col("images") > F.col("_images"))).alias("images_lost"),
+    )
+    ratio = F.col("output_bytes") / F.greatest("source_bytes", F.lit(1))
+    joined = files.join(found, "doc_id", "left").withColumn("same_pages", F.coalesce("same_pages", F.lit(True)))
+    only = lambda c: F.when(F.col("same_pages"), c)
+    return joined.select("doc_id", "same_pages", *[only(F.coalesce(c, F.lit(0).cast("long"))).alias(c) for c in ("resized", "turned", "images_lost")], only(F.when(ratio > 5, "larger").when(ratio < 0.1, "smaller").otherwise("ok")).alias("size_verdict"))
+
+
+def sample_difference(a: DataFrame, b: DataFrame, masks: DataFrame, step: int = 4, most: float = 10.0) -> DataFrame:
+    """page, samples, changed, percent (2 digits), threshold, passed: samples on a grid of step, outside the page's text boxes, whose mean channel difference is above most. Pages with boxes pass under 5 %, others under 40 %.
+
+    a, b: page, x, y, r, g, b; masks: page, x0, y0, x1, y1 (edges count as inside).
+    """
     on = (F.col("x") % step == 0) & (F.col("y") % step == 0)
     other = b.select("page", "x", "y", *[F.col(c).alias(f"{c}_b") for c in "rgb"])
+    inside = (F.col("s.page") == F.col("m.page")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    seen = a.where(on).alias("s").join(masks.alias("m"), inside, "left_anti").join(other, ["page", "x", "y"])
     diff = (F.abs(F.col("r") - F.col("r_b")) + F.abs(F.col("g") - F.col("g_b")) + F.abs(F.col("b") - F.col("b_b"))) / 3
-    out = a.where(on).join(other, ["page", "x", "y"]).groupBy("page").agg(F.count("*").alias("samples"), F.count_if(diff > most).alias("changed"))
-    return out.withColumn("share", F.col("changed") / F.col("samples"))
+    counted = seen.groupBy("page").agg(F.count("*").alias("samples"), F.count_if(diff > most).alias("changed"))
+    pages = a.select("page").distinct().join(counted, "page", "left").join(masks.select("page").distinct().withColumn("_m", F.lit(True)), "page", "left")
+    n, k = F.coalesce("samples", F.lit(0).cast("long")), F.coalesce("changed", F.lit(0).cast("long"))
+    out = pages.select("page", n.alias("samples"), k.alias("changed"), (100.0 * k / F.greatest(n, F.lit(1))).alias("_p"), F.when(F.col("_m"), 5).otherwise(40).alias("threshold"))
+    return out.select("page", "samples", "changed", F.bround("_p", 2).alias("percent"), "threshold", (F.col("_p") < F.col("threshold")).alias("passed"))
+
+
+# Roles whose boxes are exact, and those whose words may leave their column.
+STRICT, LOOSE = ["heading", "table_header", "merged_header", "end_marker"], ["word_list_item", "phonics", "list_item"]
+
+
+def structure(elements: DataFrame, spans: DataFrame, approved: list[str] | None = None, slack: float = 3.0) -> DataFrame:
+    """page_id, failure, element_id of every expected element that the drawn page lacks or breaks, of peer groups (their id) of uneven sizes, and of pages (null) with invented text.
+
+    elements: page_id, element_id, role, peer_group, x0, y0, x1, y1; spans: page_id, span_no, x0, y0, x1, y1, font_size, font_name, text. A box belongs to an element that holds its centre, slack more on each side.
+    elementMissing: none does (elementOutOfColumn where text at its height leaves the column, for prose). elementOutOfBox: a strict role's text leaves the box by slack, a third of its height more up and down.
+    elementOutOfColumn: prose leaves it sideways by slack or 6 % of its width. elementFont: a fallback font with four characters. peerSizeMismatch: strict peers apart by over 1.18, headers 2.1. elementInvented:
+    text in the strict elements' common envelope and in none of them.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    drawn = spans.where("trim(text) <> ''")
+    e = elements.where("x0 IS NOT NULL").withColumn("role", F.lower(F.coalesce("role", F.lit(""))))
+    s = drawn.select("page_id", "span_no", *[F.col(c).alias(f"s_{c}") for c in box], F.col("font_size").alias("s_size"), F.col("font_name").alias("s_font"), F.length(F.trim("text")).alias("s_len"))
+    strict, loose = F.col("role").isin(*STRICT), F.col("role").isin(*LOOSE)
+    cx, cy = (F.col("s_x0") + F.col("s_x1")) / 2, (F.col("s_y0") + F.col("s_y1")) / 2
+    high = cy.between(F.col("y0") - slack, F.col("y1") + slack)
+    inside = high & cx.between(F.col("x0") - slack, F.col("x1") + slack)
+    near = high & (F.col("s_x1") > F.col("x0") - 200) & (F.col("s_x0") < F.col("x1") + 200)
+    side = F.greatest(F.lit(slack), (F.col("x1") - F.col("x0")) * 0.06)
+    spill = (F.col("s_x0") < F.col("x0") - side) | (F.col("s_x1") > F.col("x1") + side)
+    tall = slack + (F.col("y1") - F.col("y0")) * 0.35
+    out = (F.col("s_x0") < F.col("x0") - slack) | (F.col("s_x1") > F.col("x1") + slack) | (F.col("s_y0") < F.col("y0") - tall) | (F.col("s_y1") > F.col("y1") + tall)
+    no = F.lit(False)
+    font = is_fallback(F.col("s_font"), approved) & (F.col("s_len") >= 4) if approved else no
+    any_ = lambda c: F.coalesce(F.bool_or(c), no)
+    facts = e.join(s, "page_id", "left").groupBy("page_id", "element_id", "role", "peer_group").agg(
+        any_(inside).alias("met"), any_(near & spill).alias("spilled"), any_(inside & out).alias("out"), any_(inside & spill).alias("aside"), any_(inside & font).alias("font"), F.max(F.when(inside, F.bround("s_size", 1))).alias("size"))
+    column = ~strict & ~loose
+    codes = F.array_compact(F.array(
+        F.when(~F.col("met"), F.when(column & F.col("spilled"), "elementOutOfColumn").otherwise("elementMissing")),
+        F.when(F.col("met") & strict & F.col("out"), "elementOutOfBox"), F.when(F.col("met") & column & F.col("aside"), "elementOutOfColumn"), F.when(F.col("met") & F.col("font"), "elementFont")))
+    broken = facts.select("page_id", F.explode(codes).alias("failure"), "element_id")
+    peers = facts.where(strict & F.col("met") & (F.coalesce("peer_group", F.lit("")) != "") & (F.col("size") > 0)).groupBy("page_id", "peer_group").agg(F.count("*").alias("n"), (F.max("size") / F.min("size")).alias("ratio"))
+    uneven = peers.where((F.col("n") >= 2) & (F.col("ratio") > F.when(F.col("peer_group").contains("header"), 2.1).otherwise(1.18))).select("page_id", F.lit("peerSizeMismatch").alias("failure"), F.col("peer_group").alias("element_id"))
+    bands = e.where(strict)
+    band = bands.groupBy("page_id").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    within = s.join(band, "page_id").where(inside).drop(*box)
+    place = ["page_id", "span_no", *(f"s_{c}" for c in box)]
+    held = within.join(bands.select("page_id", *box), "page_id").where(inside).select(*place).distinct()
+    invented = within.join(held, place, "left_anti").select("page_id").distinct().select("page_id", F.lit("elementInvented").alias("failure"), F.lit(None).cast("string").alias("element_id"))
+    return broken.withColumn("element_id", F.col("element_id").cast("string")).unionByName(uneven).unionByName(invented)

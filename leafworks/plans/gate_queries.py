@@ -24,14 +24,6 @@ def _(t):
     return G.publishable(G.merge_checks(t.checks))
 
 
-@query("E3_readiness", """SELECT candidate_id, array_to_string(list_filter([c1, c2, c3], lambda x: x IS NOT NULL), ',') AS codes FROM (SELECT candidate_id,
- CASE WHEN s IS NULL THEN 'structure:missing' WHEN s <> 'passed' THEN 'structure:' || s END AS c1, CASE WHEN f IS NULL THEN 'fit:missing' WHEN f <> 'passed' THEN 'fit:' || f END AS c2,
- CASE WHEN g IS NULL THEN 'target_mapping:missing' WHEN g <> 'passed' THEN 'target_mapping:' || g END AS c3 FROM (SELECT candidate_id, max(status) FILTER (check_name = 'structure') AS s,
- max(status) FILTER (check_name = 'fit') AS f, max(status) FILTER (check_name = 'target_mapping') AS g FROM m GROUP BY 1))""", ("checks",), MERGED)
-def _(t):
-    return G.readiness(G.merge_checks(t.checks))
-
-
 @query("E5_fresh_approvals", """SELECT event_id FROM events e JOIN (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1) c USING (user_id)
  WHERE CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE e.event_id % 4 END IS NOT DISTINCT FROM CASE WHEN c.last % 3 = 0 THEN NULL ELSE c.last % 4 END AND e.event_type IS NOT DISTINCT FROM (SELECT event_type FROM events x WHERE x.event_id = c.last)""")
 def _(t):
@@ -46,17 +38,6 @@ def _(t):
     return G.approval_progress(t.translation_pairs.select("book_id", F.col("translated_text").isNotNull().alias("approved")))
 
 
-@query("E8_coverage", """SELECT book_id, page_number, issue FROM (SELECT coalesce(e.book_id, r.book_id) AS book_id, coalesce(e.page_number, r.page_number) AS page_number,
- CASE WHEN e.book_id IS NULL THEN 'unexpected' WHEN r.n IS NULL THEN 'not_checked' WHEN r.n > 1 THEN 'duplicate' WHEN r.status <> 'passed' THEN 'unresolved' END AS issue
- FROM (SELECT DISTINCT user_id AS book_id, event_id % 4 AS page_number FROM events WHERE event_type <> 'view') e FULL JOIN
- (SELECT user_id AS book_id, event_id % 5 AS page_number, count(*) AS n, arg_min(CASE WHEN value < 1 THEN 'failed' ELSE 'passed' END, event_id) AS status FROM events WHERE event_type = 'click' GROUP BY 1, 2) r
- ON e.book_id = r.book_id AND e.page_number = r.page_number) WHERE issue IS NOT NULL""")
-def _(t):
-    expected = t.events.where("event_type <> 'view'").select(F.col("user_id").alias("book_id"), (F.col("event_id") % 4).alias("page_number")).distinct()
-    records = t.events.where("event_type = 'click'").select(F.col("user_id").alias("book_id"), (F.col("event_id") % 5).alias("page_number"), F.col("event_id").alias("seq"), F.when(F.col("value") < 1, "failed").otherwise("passed").alias("status"))
-    return G.coverage(expected, records)
-
-
 @query("E10_gate_report", f"""SELECT candidate_id, count(*) AS total, count(*) FILTER (status = 'passed') AS passed_checks, NOT bool_or(status = 'failed' AND s IN ('error', 'critical')) AS passed,
  bool_or(status = 'failed' AND s = 'warning') AS needs_review, round_even(count(*) FILTER (status = 'passed') * 100.0::DOUBLE / count(*), 3) AS score FROM (SELECT *, {SEVERITY} AS s FROM checks) GROUP BY 1""", ("checks",))
 def _(t):
@@ -82,11 +63,6 @@ def _(t):
     return G.regressions(t.runs)
 
 
-@query("E14_typography", "SELECT page_id, role, min(font_size) AS least_size, avg(font_size) AS mean_size, min(font_size) < 9 AS too_small, max(font_size) - min(font_size) > 0.15 * avg(font_size) AS uneven FROM spans GROUP BY 1, 2", ("spans",))
-def _(t):
-    return G.typography(t.spans)
-
-
 @query("E18_overflow", "SELECT page_id, min(span_no) AS span_no FROM spans WHERE x0 < 2 OR y0 < 2 OR x1 > 498 OR y1 > 598 GROUP BY 1", ("spans",))
 def _(t):
     return G.overflow(t.spans, 500.0, 600.0)
@@ -98,14 +74,6 @@ def _(t):
     return G.overprints(t.spans)
 
 
-@query("E22_source_vs_output", """SELECT coalesce(a.l_orderkey, b.l_orderkey) AS page_id, CASE WHEN a.l_orderkey IS NULL THEN 'extra' WHEN b.l_orderkey IS NULL THEN 'missing' WHEN abs(a.q - b.q) > 0.1 THEN 'resized' END AS issue
- FROM (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber < 4 GROUP BY 1) a FULL JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) b ON a.l_orderkey = b.l_orderkey""")
-def _(t):
-    size = lambda part, name: t.lineitem.where(part).groupBy(F.col("l_orderkey").alias("page_id")).agg(F.sum("l_quantity").alias(name))
-    both = size("l_linenumber < 4", "a").join(size("l_linenumber > 1", "b"), "page_id", "full_outer")
-    return both.select("page_id", F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").when(F.abs(F.col("a") - F.col("b")) > 0.1, "resized").alias("issue"))
-
-
 @query("E24_review_queue", "SELECT book_id, page_number FROM translation_pairs WHERE translated_text IS NULL OR length(translated_text) < length(source_text)", ("translation_pairs",))
 def _(t):
     return t.translation_pairs.where("translated_text IS NULL OR length(translated_text) < length(source_text)").select("book_id", "page_number")

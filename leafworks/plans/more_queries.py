@@ -124,33 +124,6 @@ def _(t):
     return G.least_sizes(t.spans, 9.0, [("role", role), ("font_name", font)]).select("page_id", "span_no", "least_size")
 
 
-@query("E16_size_clusters", """SELECT page_id, count(*) AS clusters, count(*) FILTER (n >= 2) >= 2 AS uneven FROM (SELECT page_id, c, count(*) AS n FROM (SELECT *, sum(g) OVER (PARTITION BY page_id ORDER BY font_size, span_no ROWS UNBOUNDED PRECEDING) AS c FROM
- (SELECT *, CASE WHEN font_size > 1.18 * lag(font_size) OVER (PARTITION BY page_id ORDER BY font_size, span_no) THEN 1 WHEN lag(font_size) OVER (PARTITION BY page_id ORDER BY font_size, span_no) IS NULL THEN 1 ELSE 0 END AS g FROM spans)) GROUP BY 1, 2) GROUP BY 1""", ("spans",))
-def _(t):
-    return G.size_clusters(t.spans)
-
-
-@query("E17_font_fidelity", "SELECT page_id, font_name, count(*) AS boxes FROM spans WHERE font_name NOT IN ('F0', 'F1') GROUP BY 1, 2 HAVING count(*) >= 2", ("spans",))
-def _(t):
-    return G.font_fidelity(t.spans, ["F0", "F1"], 2)
-
-
-@query("E20_out_of_order", "SELECT DISTINCT page_id FROM (SELECT page_id, span_no < lag(span_no) OVER (PARTITION BY page_id ORDER BY y0, span_no) AS b FROM spans) WHERE b", ("spans",))
-def _(t):
-    return G.out_of_order(t.spans)
-
-
-@query("E21_missing_content", "SELECT DISTINCT page_id FROM spans WHERE page_id NOT IN (SELECT page_id FROM spans WHERE role = 'N')", ("spans",))
-def _(t):
-    return t.spans.select("page_id").distinct().join(t.spans.where("role = 'N'"), "page_id", "left_anti")
-
-
-@query("E23_sample_difference", """SELECT label AS page, count(*) AS samples, count(*) FILTER (vec_id % 8 = 0) AS changed, count(*) FILTER (vec_id % 8 = 0) / count(*)::DOUBLE AS share FROM embeddings WHERE vec_id % 4 = 0 GROUP BY 1""")
-def _(t):
-    rows = t.embeddings.select(F.col("label").alias("page"), F.col("vec_id").alias("x"), F.lit(0).alias("y"), *[F.lit(100.0).alias(c) for c in "rgb"])
-    return G.sample_difference(rows, rows.withColumn("r", F.when(F.col("x") % 8 == 0, 140.0).otherwise(F.col("r"))))
-
-
 @query("E29_contained_lines", """SELECT s.page_id, r.role AS region, count(DISTINCT round_even(s.y0, 0)) AS lines, count(*) AS boxes FROM spans s JOIN (SELECT page_id, role, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM spans GROUP BY 1, 2) r ON s.page_id = r.page_id
  AND (s.x0 + s.x1) / 2 BETWEEN r.x0 - 2 AND r.x1 + 2 AND (s.y0 + s.y1) / 2 BETWEEN r.y0 - 2 AND r.y1 + 2 GROUP BY 1, 2""", ("spans",))
 def _(t):

@@ -70,10 +70,25 @@ def test_publishable_fails_closed(spark):
     assert rows(gates.readiness(m), "candidate_id", "codes") == [(1, ""), (2, "fit:missing,target_mapping:missing"), (3, "")]
 
 
+def test_candidate_readiness_is_bound_and_fails_closed(spark):
+    c = spark.createDataFrame([(1, "f", "h", ["a", "a", "b"], ["art"]), (2, "", "h", ["a"], []), (3, "f", None, ["a"], []), (4, "f", "h", [], []), (5, "f", "h", ["a"], []), (6, "f", "h", ["a"], ["art"]), (7, "f", "h", ["a"], None)], "candidate_id int, fingerprint string, output_sha256 string, required_checks array<string>, required_approvals array<string>")
+    record = "candidate_id int, key string, status string, candidate_fingerprint string, output_sha256 string"
+    checks = spark.createDataFrame([(1, "a", "passed", "f", "h"), (1, "b", "passed", "old", "h"), (2, "a", "passed", "", "h"), (3, "a", "passed", "f", None), (5, "a", "failed", "f", "h"), (6, "a", "passed", "f", "h"), (7, "a", "passed", "f", "h")], record)
+    approvals = spark.createDataFrame([(1, "art", "approved", "f", "stale"), (6, "art", "approved", "f", "h")], record)
+    got = rows(gates.candidate_readiness(c, checks, approvals), "candidate_id", "ready", "codes")
+    assert got == [(1, False, ["APPROVAL_PENDING_OR_STALE:art", "CHECK_UNRESOLVED_OR_STALE:b"]), (2, False, ["INVALID_GATE_INPUT"]), (3, False, ["INVALID_GATE_INPUT"]), (4, False, ["INVALID_GATE_INPUT"]), (5, False, ["CHECK_UNRESOLVED_OR_STALE:a"]), (6, True, []), (7, True, [])]
+    editions = spark.createDataFrame([(5, "en", None), (6, "af", "approved"), (7, "af", "ready"), (8, None, None)], "candidate_id int, language_code string, render_status string")
+    pages = spark.createDataFrame([(5, True), (6, True), (6, True), (7, True), (7, None)], "candidate_id int, approved boolean")
+    guards = gates.state_guards(editions, pages, gates.candidate_readiness(c, checks, approvals))
+    assert rows(guards, "candidate_id", "may_approve", "may_publish", "may_narrate", "store_visible") == [(5, False, True, True, True), (6, True, True, True, True), (7, False, True, False, True), (8, False, False, False, False)]
+
+
 def test_coverage_issues(spark):
-    expected = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4)], "book_id int, page_number int")
-    records = spark.createDataFrame([(1, 1, 1, "passed"), (1, 2, 2, "failed"), (1, 3, 3, "passed"), (1, 3, 4, "passed"), (1, 9, 5, "passed")], "book_id int, page_number int, seq int, status string")
-    assert rows(gates.coverage(expected, records), "page_number", "issue") == [(2, "unresolved"), (3, "duplicate"), (4, "not_checked"), (9, "unexpected")]
+    books = spark.createDataFrame([(1, "f"), (2, "f")], "book_id int, fingerprint string")
+    expected = spark.createDataFrame([(1, p) for p in (1, 2, 3, 4, 5)], "book_id int, page_number int")
+    records = spark.createDataFrame([(1, 1, 1, "passed", "f"), (1, 2, 2, "failed", "f"), (1, 3, 3, "passed", "f"), (1, 3, 4, "passed", "f"), (1, 9, 5, "passed", "f"), (1, 5, 6, "passed", "old"), (2, 1, 1, "passed", "f")], "book_id int, page_number int, seq int, status string, candidate_fingerprint string")
+    assert rows(gates.coverage(books, expected, records), "book_id", "page_number", "code") == [
+        (1, 2, "VISUAL_CHECK_UNRESOLVED"), (1, 3, "UNEXPECTED_OR_DUPLICATE_PAGE"), (1, 4, "PAGE_NOT_CHECKED"), (1, 5, "STALE_VISUAL_RESULT"), (1, 9, "UNEXPECTED_OR_DUPLICATE_PAGE"), (2, None, "EMPTY_EXPECTED_PAGE_SET")]
 
 
 def test_overprints_across_bands(spark):
