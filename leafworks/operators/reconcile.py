@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafworks.functions.shipping import ship
 from leafworks.functions.text import word_count
 
 
@@ -55,24 +59,6 @@ def completeness(pairs: DataFrame) -> DataFrame:
     return pairs.select("book_id", "page_number", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def source_leaks(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """item_id, doc_id of phrases that stand verbatim, lower-cased and with collapsed space, in texts.
-
-    A phrase and a text that holds it share the phrase's first three words: an equi join on them finds the candidates,
-    containment confirms.
-    """
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[ \t\n\r]+", " "))
-    p = phrases.select("item_id", norm("text").alias("phrase")).where("phrase <> ''")
-    parts = F.split("phrase", " ")
-    # the first and last word may be parts of longer words in a text: three inner words are whole ones
-    p = p.withColumn("key", F.array_join(F.slice(parts, 2, 3), " ")).where(F.size(parts) >= 5)
-    d = texts.select("doc_id", norm("text").alias("body"))
-    w = F.split("body", " ")
-    grams = F.array_distinct(F.zip_with(F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)), F.slice(w, 3, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)))
-    keys = d.select("doc_id", F.explode(grams).alias("key")).join(p.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return keys.join(p.select("item_id", "phrase"), "item_id").join(d, "doc_id").where(F.col("body").contains(F.col("phrase"))).select("item_id", "doc_id")
-
-
 def text_match(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """book_id, page_number, expected, found, passed: different ASCII words of three letters or more of the source that the target has; nothing expected passes."""
     terms = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)))
@@ -101,12 +87,6 @@ def changed_pages(now: DataFrame, state: DataFrame, key: list[str], text: str) -
     return now.select(*key, h().alias("page_hash")).join(old, key, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("page_hash"))).drop("_old")
 
 
-def fingerprint(rows: DataFrame, key: str, parts: list[str]) -> DataFrame:
-    """key and the sha256 of its rows' parts in canonical order."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("~")) for p in parts])
-    return rows.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
-
-
 def missing_glyphs(texts: DataFrame, charset: DataFrame) -> DataFrame:
     """char, occurrences, docs of characters that the charset lacks."""
     chars = texts.select("doc_id", F.explode(F.split("text", "")).alias("char")).where("char <> ''").groupBy("doc_id", "char").agg(F.count("*").alias("n"))
@@ -148,20 +128,6 @@ def score_flags(pages: DataFrame) -> DataFrame:
     return out.withColumn("flag", flag(F.col("score"), 8.0, 6.0)).withColumn("refine", (F.col("score") < 7) & ~F.col("page_type").isin("copyright", "vocabulary")).drop("page_type")
 
 
-def title_candidates(spans: DataFrame) -> DataFrame:
-    """page_id and the span_no of its largest text; the first of equal ones."""
-    order = Window.partitionBy("page_id").orderBy(F.desc("font_size"), "span_no")
-    return spans.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("page_id", "span_no", "font_size")
-
-
-def canonical_variants(lines: DataFrame, key: str, variant: str, order: str) -> DataFrame:
-    """key, canonical, pages: the variant on most pages, by lower-cased text with collapsed space; of equal ones the earliest; shown as first seen."""
-    norm = F.trim(F.regexp_replace(F.lower(F.col(variant)), r"[ \t]+", " "))
-    groups = lines.groupBy(key, norm.alias("_n")).agg(F.count("*").alias("pages"), F.min(order).alias("_f"), F.min_by(variant, order).alias("canonical"))
-    best = Window.partitionBy(key).orderBy(F.desc("pages"), "_f")
-    return groups.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, "canonical", "pages")
-
-
 def document_match(expected: DataFrame, found: DataFrame, key: str, least: float = 0.6) -> DataFrame:
     """key, expected, found, passed: different words of a document that its counterpart has, by an equi join on words."""
     words_ = lambda df: df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
@@ -204,3 +170,205 @@ def memory_block(terms: DataFrame) -> DataFrame:
     """book_id and its glossary as lines 'source = target', in order of the source term."""
     line = F.concat_ws(" = ", "source_term", "translated_term")
     return terms.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("block"))
+
+
+# Parts of phrases that stay as they are in any language. Names of publishers are the caller's to add.
+EXEMPT = ["studio", "isbn", "www.", "http", "@", "(pty)", "printed by", "published by", "copyright", "all rights"]
+#: Up to so many keys of phrases are broadcast.
+KEY_ROWS = 200_000
+
+
+def _norm(c: str) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+
+
+def source_leaks(phrases: DataFrame, texts: DataFrame, exempt: list[str] | None = None) -> DataFrame:
+    """item_id, doc_id of phrases that stand verbatim, lower-cased and with collapsed space, in texts: of three words and six ASCII letters or more, without an exempt part.
+
+    The first and last word may be parts of longer words in a text, so the words between are whole there: a join on the first three of them (or all,
+    in shorter phrases) finds candidates, containment confirms. Keys up to KEY_ROWS are broadcast, so that texts aren't shuffled for them.
+    """
+    p = phrases.select("item_id", _norm("text").alias("shown")).withColumn("phrase", F.lower("shown")).withColumn("parts", F.split("phrase", " "))
+    for mark in EXEMPT if exempt is None else exempt:
+        p = p.where(~F.col("phrase").contains(mark))
+    p = p.where((F.size("parts") >= 3) & (F.length(F.regexp_replace("shown", "[^A-Za-z]", "")) >= 6))
+    p = p.withColumn("inner", F.slice("parts", 2, F.least(F.lit(3), F.size("parts") - 2))).select("item_id", "phrase", F.array_join("inner", " ").alias("key"), F.size("inner").alias("words")).distinct()
+    lengths = {r["words"]: r["n"] for r in p.groupBy("words").agg(F.count("*").alias("n")).collect()}  # three at most
+    d = texts.select("doc_id", F.lower(_norm("text")).alias("body"))
+    w = F.split("body", " ")
+    pairs = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
+    grams = {1: w, 2: pairs, 3: F.zip_with(pairs, F.slice(w, 3, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))}
+    keys = p.select("item_id", "key", "words")
+    if sum(lengths.values()) <= KEY_ROWS:
+        keys = F.broadcast(keys)
+    found = None
+    for n in sorted(lengths):
+        part = d.select("doc_id", F.explode(F.array_distinct(grams[n])).alias("key")).join(keys.where(F.col("words") == n), "key").select("doc_id", "item_id")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return p.join(d, F.lit(False)).select("item_id", "doc_id")
+    return found.distinct().join(p.select("item_id", "phrase"), "item_id").join(d, "doc_id").where(F.col("body").contains(F.col("phrase"))).select("item_id", "doc_id")
+
+
+def title_candidates(spans: DataFrame, text: str = "text") -> DataFrame:
+    """page_id, span_no, font_size, title: its largest text with more than two ASCII letters that credits no studio; the first of equal ones."""
+    usable = (F.length(F.regexp_replace(text, "[^A-Za-z]", "")) > 2) & ~F.lower(text).contains("studio")
+    order = Window.partitionBy("page_id").orderBy(F.desc("font_size"), "span_no")
+    return spans.where(usable).withColumn("_r", F.row_number().over(order)).where("_r = 1").select("page_id", "span_no", "font_size", F.col(text).alias("title"))
+
+
+def candidate_title(text: Column, credits: list[str] | None = None) -> Column:
+    """The first line with an ASCII letter that holds no credit; null for none."""
+    def usable(line: Column) -> Column:
+        out = line.rlike("[A-Za-z]")
+        for mark in credits if credits is not None else ["studio"]:
+            out = out & ~F.lower(line).contains(mark)
+        return out
+
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), usable)
+    return F.get(lines, F.lit(0))
+
+
+LIKE = 0.92
+
+
+def _grouped(rows: pd.DataFrame, least: float) -> list[int]:
+    """Greedy groups in page order: a variant joins the first group whose first variant is like it."""
+    firsts: list[str] = []
+    seen: dict[str, int] = {}
+    for key in rows["key"]:
+        if key not in seen:
+            at = next((i for i, f in enumerate(firsts) if difflib.SequenceMatcher(None, key, f).ratio() >= least), len(firsts))
+            if at == len(firsts):
+                firsts.append(key)
+            seen[key] = at
+    return [seen[k] for k in rows["key"]]
+
+
+def title_variants(pages: DataFrame, titles: DataFrame, least: float = LIKE, credits: list[str] | None = None) -> DataFrame:
+    """book_id, page_number, variant, variant_group (0 for the first in page order): how the pages whose source text holds the book's title render it.
+
+    pages: book_id, page_number, source_text, translated_text; titles: book_id, title. Variants are a page's first usable line; they are alike from a difflib ratio of least
+    on, in lower case with collapsed space. A book with more than one group is inconsistent. A task gets one book's title lines, a row a page.
+    """
+    key = lambda c: F.lower(_norm(c))
+    named = titles.select("book_id", key("title").alias("_title")).where("_title <> ''")
+    held = pages.join(named, "book_id").where(F.lower(_norm("source_text")).contains(F.col("_title")))
+    rows = held.select("book_id", "page_number", candidate_title(F.col("translated_text"), credits).alias("variant")).where("variant IS NOT NULL").withColumn("key", key("variant"))
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["page_number", "key"], kind="stable")
+        found["variant_group"] = _grouped(found, least)
+        return found[["book_id", "page_number", "variant", "variant_group"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ship(rows.sparkSession)
+    return rows.groupBy("book_id").applyInPandas(run, f"book_id {kinds['book_id']}, page_number {kinds['page_number']}, variant string, variant_group int")
+
+
+def canonical_groups(variants: DataFrame) -> DataFrame:
+    """book_id, canonical, pages: the group on most pages, of equal ones the earliest; shown as on its first page."""
+    groups = variants.groupBy("book_id", "variant_group").agg(F.count("*").alias("pages"), F.min("page_number").alias("_f"), F.min_by("variant", F.struct("page_number", "variant")).alias("canonical"))
+    best = Window.partitionBy("book_id").orderBy(F.desc("pages"), "_f", "variant_group")
+    return groups.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("book_id", "canonical", "pages")
+
+
+def canonical_variants(lines: DataFrame, key: str, variant: str, order: str) -> DataFrame:
+    """key, canonical, pages: the variant on most pages, by lower-cased text with collapsed space; of equal ones the earliest; shown as first seen. The exact form of canonical_groups()."""
+    norm = F.trim(F.regexp_replace(F.lower(F.col(variant)), r"[ \t]+", " "))
+    groups = lines.groupBy(key, norm.alias("_n")).agg(F.count("*").alias("pages"), F.min(order).alias("_f"), F.min_by(variant, order).alias("canonical"))
+    best = Window.partitionBy(key).orderBy(F.desc("pages"), "_f")
+    return groups.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, "canonical", "pages")
+
+
+def _title_like(c: str) -> Column:
+    return (F.size(F.filter(F.split(_norm(c), " "), lambda x: x != "")) <= 6) & ~F.col(c).rlike(r"\d+\s*[-–]\s*\S")
+
+
+def _literal(c: Column) -> Column:
+    """A pattern that finds the text c in any case."""
+    return F.concat(F.lit("(?iu)"), F.regexp_replace(c, r"([\\\^$.|?*+()\[\]{}])", r"\\$1"))
+
+
+def reconciled_titles(variants: DataFrame, pages: DataFrame) -> DataFrame:
+    """book_id, page_number, text, changed_from, changed_to of pages whose title differs from the book's canonical one, with it in its place.
+
+    A variant of six words at most and no list is replaced, as it stands or else in any case in the text with collapsed space. In longer ones the longest short variant of the book, by any case, is replaced.
+    Pages where neither is found, and books with one titled page, stay out.
+    """
+    chosen = canonical_groups(variants)
+    several = variants.groupBy("book_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = variants.join(several.select("book_id"), "book_id", "left_semi").join(chosen.select("book_id", "canonical"), "book_id").where(F.lower(_norm("variant")) != F.lower(_norm("canonical")))
+    short = rows.where(_title_like("variant")).groupBy("book_id").agg(F.array_sort(F.collect_set(F.struct((-F.length(_norm("variant"))).alias("n"), _norm("variant").alias("v")))).alias("_short"))
+    both = rows.join(short, "book_id", "left").join(pages.select("book_id", "page_number", F.col("translated_text").alias("_text")), ["book_id", "page_number"])
+    put = F.regexp_replace("canonical", r"([\\$])", r"\\$1")
+    whole = F.col("_text").contains(F.col("variant"))
+    loose = F.regexp_like(_norm("_text"), _literal(_norm("variant")))
+    simple = F.when(whole, F.replace("_text", "variant", "canonical")).when(loose, F.regexp_replace(_norm("_text"), _literal(_norm("variant")), put))
+    hit = F.get(F.filter("_short", lambda x: F.regexp_like(F.col("_text"), _literal(x["v"]))), F.lit(0))["v"]
+    like = _title_like("variant")
+    text = F.when(like, simple).otherwise(F.regexp_replace("_text", _literal(hit), put))
+    out = both.select("book_id", "page_number", text.alias("text"), F.when(like, F.col("variant")).otherwise(hit).alias("changed_from"), F.col("canonical").alias("changed_to"))
+    return out.where("text IS NOT NULL")
+
+
+def page_map(response: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id, page_number, page_type, items (unit_id to translation): pages with a translated unit; of several answers to one id the last (by seq) counts. Answers without translation are none; ids that no unit has are left out."""
+    last = response.where("unit_id IS NOT NULL AND translation IS NOT NULL").groupBy("doc_id", "unit_id").agg(F.max_by("translation", "seq").alias("translation"))
+    both = units.select("doc_id", "page_number", "page_type", "unit_id").distinct().join(last, ["doc_id", "unit_id"])
+    return both.groupBy("doc_id", "page_number").agg(F.min("page_type").alias("page_type"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit_id", "translation")))).alias("items"))
+
+
+def _canonical(c: str) -> Column:
+    """The hash of a JSON text's value: keys sorted at every depth; null and broken ones as empty."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(F.coalesce(F.col(c), F.lit("[]")))), F.lit("[]")), 256)
+
+
+def render_fingerprint(candidates: DataFrame, key: str) -> DataFrame:
+    """key, text_hash, fingerprint of source_version, manifest_version, engine_version and the JSON texts item_translations, typography_policy, fit_policies and repair_revisions; the order of keys inside doesn't matter.
+
+    text_hash is that of item_translations alone: where it changes, narration is out of date. The form is our own; equal inputs give equal hashes, others different ones.
+    """
+    versions = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("source_version", "manifest_version", "engine_version")]
+    parts = [F.concat(F.lit(f"{c}="), _canonical(c)) for c in ("item_translations", "typography_policy", "fit_policies", "repair_revisions")]
+    return candidates.select(key, _canonical("item_translations").alias("text_hash"), F.sha2(F.concat_ws("\n", *versions, *parts), 256).alias("fingerprint"))
+
+
+def page_content_hash(pages: DataFrame, spans: DataFrame, images: DataFrame, drawings: DataFrame) -> DataFrame:
+    """page_id, content_hash (16 hex digits) of a page's size and rotation, its texts at their rounded places, images by number and size, and the number of drawings with the first and last one's box.
+
+    pages: page_id, width, height, rotation; spans: page_id, x, y, text; images: page_id, image_id, width, height; drawings: page_id, drawing_no, box. The order of rows doesn't matter.
+    """
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    at = lambda c: F.bround(c, 0).cast("long").cast("string")
+    texts = spans.where("trim(text) <> ''").groupBy("page_id").agg(joined(F.concat(at("x"), F.lit(","), at("y"), F.lit(":"), F.trim("text"))).alias("_t"))
+    shown = images.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "width", "height"))), lambda i: F.concat_ws(":", i["image_id"], i["width"], i["height"])), "\n").alias("_i"))
+    drawn = drawings.groupBy("page_id").agg(F.concat_ws(":", F.count("*"), F.min_by("box", "drawing_no"), F.max_by("box", "drawing_no")).alias("_d"))
+    both = pages.join(texts, "page_id", "left").join(shown, "page_id", "left").join(drawn, "page_id", "left")
+    size = F.concat_ws("x", F.bround("width", 1).cast("string"), F.bround("height", 1).cast("string"), F.col("rotation").cast("string"))
+    return both.select("page_id", F.substring(F.sha2(F.concat_ws("|", size, F.coalesce("_t", F.lit("")), F.coalesce("_i", F.lit("")), F.coalesce("_d", F.lit("0"))), 256), 1, 16).alias("content_hash"))
+
+
+CONTRACT = "exercises array<struct<id: string, components: array<struct<source_id: string, role: string>>>>"
+#: Languages whose exercises a validator knows.
+VALIDATORS = ["en"]
+
+
+def educational_issues(editions: DataFrame) -> DataFrame:
+    """edition_id, code, exercise_id, source_id of every issue. editions: edition_id, language, exercise_contract (JSON).
+
+    No contract: no issue. No exercises, or an exercise without components: EMPTY_EXERCISE. A component without id: UNKNOWN_OR_INVALID_COMPONENT_ID; each repetition of one: DUPLICATE_COMPONENT_ID.
+    Exercises in a language without validator: UNSUPPORTED_EDUCATIONAL_VALIDATOR; they go to a specialist, never to another language's rules.
+    """
+    rows = editions.where("exercise_contract IS NOT NULL").select("edition_id", "language", F.from_json("exercise_contract", CONTRACT)["exercises"].alias("e"))
+    none = F.lit(None).cast("string")
+    filled = rows.where("size(e) > 0")
+    empty = rows.where("coalesce(size(e), 0) <= 0").select("edition_id", F.lit("EMPTY_EXERCISE").alias("code"), none.alias("exercise_id"), none.alias("source_id"))
+    each = filled.select("edition_id", F.posexplode("e").alias("no", "x")).select("edition_id", "no", F.col("x.id").alias("exercise_id"), F.col("x.components").alias("c"))
+    bare = each.where("coalesce(size(c), 0) <= 0").select("edition_id", F.lit("EMPTY_EXERCISE").alias("code"), "exercise_id", none.alias("source_id"))
+    parts = each.where("size(c) > 0").select("edition_id", "no", "exercise_id", F.posexplode("c").alias("at", "p")).select("edition_id", "no", "exercise_id", "at", F.col("p.source_id").alias("source_id"))
+    order = Window.partitionBy("edition_id", "no", "source_id").orderBy("at")
+    code = F.when(F.col("source_id").isNull(), "UNKNOWN_OR_INVALID_COMPONENT_ID").when(F.row_number().over(order) > 1, "DUPLICATE_COMPONENT_ID")
+    wrong = parts.select("edition_id", code.alias("code"), "exercise_id", "source_id").where("code IS NOT NULL")
+    unknown = filled.where(~F.coalesce(F.col("language").isin(*VALIDATORS), F.lit(False))).select("edition_id", F.lit("UNSUPPORTED_EDUCATIONAL_VALIDATOR").alias("code"), none.alias("exercise_id"), none.alias("source_id"))
+    return empty.unionByName(bare).unionByName(wrong).unionByName(unknown)

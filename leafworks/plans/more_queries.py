@@ -39,11 +39,6 @@ def _(t):
     return R.score_flags(t.translation_pairs.select("book_id", "page_number", kind.alias("page_type"), (F.length("source_text") % 11).cast("double").alias("raw_score")))
 
 
-@query("D10_title_candidates", "SELECT page_id, span_no, font_size FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY font_size DESC, span_no) AS r FROM spans) WHERE r = 1", ("spans",))
-def _(t):
-    return R.title_candidates(t.spans)
-
-
 @query("D12_canonical_variants", """SELECT source, canonical, pages FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pages DESC, f) AS r FROM (SELECT source, trim(regexp_replace(lower(line), '[ \\t]+', ' ', 'g')) AS n, count(*) AS pages, min(k) AS f, arg_min(line, k) AS canonical
  FROM (SELECT source, extracted_text AS line, book_id * 1000 + page_number AS k FROM book_pages JOIN documents ON doc_id = book_id WHERE length(extracted_text) > 20) GROUP BY 1, 2)) WHERE r = 1""", ("book_pages",))
 def _(t):

@@ -79,11 +79,6 @@ def _(t):
     return R.completeness(t.translation_pairs)
 
 
-@query("D14_source_leaks", r"""SELECT item_id, doc_id FROM (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')) AS p FROM benchmark) b JOIN (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')) AS d FROM documents) ON contains(d, p) WHERE len(string_split(p, ' ')) >= 5""")
-def _(t):
-    return R.source_leaks(t.benchmark, t.documents)
-
-
 @query("D15_text_match", """SELECT book_id, page_number, len(a) AS expected, len(list_intersect(a, b)) AS found, CASE WHEN len(a) = 0 THEN true ELSE len(list_intersect(a, b)) / len(a)::DOUBLE > 0.5 END AS passed
  FROM (SELECT *, list_distinct(regexp_extract_all(lower(source_text), '[a-z]{3,}')) AS a, list_distinct(regexp_extract_all(lower(coalesce(translated_text, '')), '[a-z]{3,}')) AS b FROM translation_pairs)""", ("translation_pairs",))
 def _(t):
@@ -107,11 +102,6 @@ def _(t):
     return R.changed_pages(t.documents, old, ["doc_id"], "text")
 
 
-@query("D26_fingerprint", """SELECT page_id, sha256(array_to_string(list_sort(list(coalesce(role, '~') || '|' || span_no || '|' || font_name)), chr(10))) AS fingerprint FROM spans GROUP BY 1""", ("spans",))
-def _(t):
-    return R.fingerprint(t.spans, "page_id", ["role", "span_no", "font_name"])
-
-
 @query("D27_missing_glyphs", """SELECT char, sum(n)::BIGINT AS occurrences, count(*) AS docs FROM (SELECT doc_id, char, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents) WHERE NOT regexp_matches(char, '^[a-zA-Z0-9 .,]$') GROUP BY 1, 2) GROUP BY 1""")
 def _(t):
     letters = [chr(c) for c in [*range(97, 123), *range(65, 91), *range(48, 58)]] + [" ", ".", ","]

@@ -210,9 +210,37 @@ def test_targets_keep_blank_overrides(spark):
 
 
 def test_source_leaks_inside_longer_words(spark):
-    p = spark.createDataFrame([(1, "ead the big red dog ran"), (2, "one two")], "item_id int, text string")
-    d = spark.createDataFrame([(1, "we Read  the big\nred dog ranch"), (2, "the big red dog"), (3, None)], "doc_id int, text string")
-    assert rows(reconcile.source_leaks(p, d), "item_id", "doc_id") == [(1, 1)]
+    p = spark.createDataFrame([(1, "ead the big red dog ran"), (2, "one two"), (3, "the red dog"), (4, "a big red bus"), (5, "a b c"), (6, "see www.example.org now"), (7, None)], "item_id int, text string")
+    d = spark.createDataFrame([(1, "we Read  the big\nred dog ranch"), (2, "the big red dog"), (3, None), (4, "see The red dog run"), (5, "xa big red busy a b c see www.example.org now")], "doc_id int, text string")
+    assert rows(reconcile.source_leaks(p, d), "item_id", "doc_id") == [(1, 1), (3, 4), (4, 5)]
+    assert rows(reconcile.source_leaks(p, d, exempt=[]), "item_id", "doc_id")[-1] == (6, 5)
+    assert reconcile.source_leaks(p.where("item_id = 2"), d).count() == 0
+
+
+def test_titles_are_found_and_reconciled(spark):
+    spans = spark.createDataFrame([(1, 1, "12", 60.0), (1, 2, "Big Studio", 50.0), (1, 3, "A Place", 40.0), (1, 4, "Of Fun", 40.0)], "page_id int, span_no int, text string, font_size double")
+    assert rows(reconcile.title_candidates(spans), "page_id", "span_no", "title") == [(1, 3, "A Place")]
+    pages = spark.createDataFrame([
+        (1, 1, "A place  full of fun", "'n Plek Vol Pret"), (1, 2, "x A Place Full of Fun y", "Studio line\n'n Plek van Pret"), (1, 3, "a place full of fun", "'n  plek vol pret"), (1, 4, "series: A place full of fun", "Titels 1 - Ander 2 - 'n PLEK VAN PRET 3 - Slot"),
+        (1, 5, "nothing", "'n Plek van Pret"), (1, 6, "A place full of fun", None), (2, 1, "Solo", "Alleen")], "book_id int, page_number int, source_text string, translated_text string")
+    titles = spark.createDataFrame([(1, "A Place Full of Fun"), (2, "Solo")], "book_id int, title string")
+    found = reconcile.title_variants(pages, titles)
+    assert rows(found, "book_id", "page_number", "variant", "variant_group") == [(1, 1, "'n Plek Vol Pret", 0), (1, 2, "'n Plek van Pret", 1), (1, 3, "'n  plek vol pret", 0), (1, 4, "Titels 1 - Ander 2 - 'n PLEK VAN PRET 3 - Slot", 2), (2, 1, "Alleen", 0)]
+    assert rows(reconcile.canonical_groups(found), "book_id", "canonical", "pages") == [(1, "'n Plek Vol Pret", 2), (2, "Alleen", 1)]
+    assert rows(reconcile.reconciled_titles(found, pages), "page_number", "text", "changed_from") == [(2, "Studio line\n'n Plek Vol Pret", "'n Plek van Pret"), (4, "Titels 1 - Ander 2 - 'n Plek Vol Pret 3 - Slot", "'n Plek van Pret")]
+
+
+def test_fingerprints_and_exercises(spark):
+    base = {"source_version": "1", "manifest_version": "2", "engine_version": "3", "item_translations": '{"a":"x","b":{"c":1,"d":2}}', "typography_policy": None, "fit_policies": "[]", "repair_revisions": "[]"}
+    same = {**base, "item_translations": '{ "b": {"d":2, "c":1}, "a":"x" }', "typography_policy": "[]"}
+    other, moved = {**base, "item_translations": '{"a":"y","b":{"c":1,"d":2}}'}, {**base, "fit_policies": "[1]"}
+    df = spark.createDataFrame([(i, *d.values()) for i, d in enumerate((base, same, other, moved))], "i int, " + ", ".join(f"{k} string" for k in base))
+    got = {r.i: r for r in reconcile.render_fingerprint(df, "i").collect()}
+    assert got[0] .fingerprint == got[1].fingerprint and len({r.fingerprint for r in got.values()}) == 3 and got[0].text_hash == got[3].text_hash != got[2].text_hash
+    contract = '{"exercises":[{"id":"e1","components":[{"source_id":"a"},{"source_id":"a"},{"role":"x"}]},{"id":"e2","components":[]}]}'
+    editions = spark.createDataFrame([(1, "en", None), (2, "en", '{"exercises":[]}'), (3, "en", contract), (4, "af", '{"exercises":[{"id":"e","components":[{"source_id":"a"}]}]}'), (5, None, "junk")], "edition_id int, language string, exercise_contract string")
+    assert rows(reconcile.educational_issues(editions), "edition_id", "code", "exercise_id", "source_id") == [
+        (2, "EMPTY_EXERCISE", None, None), (3, "DUPLICATE_COMPONENT_ID", "e1", "a"), (3, "EMPTY_EXERCISE", "e2", None), (3, "UNKNOWN_OR_INVALID_COMPONENT_ID", "e1", None), (4, "UNSUPPORTED_EDUCATIONAL_VALIDATOR", None, None), (5, "EMPTY_EXERCISE", None, None)]
 
 
 def test_payloads_and_reports(spark):
