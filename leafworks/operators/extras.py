@@ -81,17 +81,3 @@ def integrity_verdict(required: DataFrame, faults: DataFrame) -> DataFrame:
     """edition_id, failed, families: an edition fails with a required family that is at fault; the families, sorted and comma-joined."""
     hit = required.join(faults.select("family").distinct().withColumn("_f", F.lit(True)), "family", "left")
     return hit.groupBy("edition_id").agg(F.coalesce(F.bool_or("_f"), F.lit(False)).alias("failed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("_f"), F.col("family")))), ",").alias("families"))
-
-
-def content_class(regions: DataFrame, native: DataFrame, vectors: DataFrame, share: float = 0.3) -> DataFrame:
-    """page_id, span_no, content: native where a text box covers share of the region, else outlined with three vector boxes or more that touch it, else raster."""
-    box = ["x0", "y0", "x1", "y1"]
-    def met(other: DataFrame) -> DataFrame:
-        o = other.select("page_id", *[F.col(c).alias(f"{c}_o") for c in box])
-        inter = F.greatest(F.least("x1", "x1_o") - F.greatest("x0", "x0_o"), F.lit(0.0)) * F.greatest(F.least("y1", "y1_o") - F.greatest("y0", "y0_o"), F.lit(0.0))
-        return regions.join(o, "page_id").withColumn("_i", inter)
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    n = met(native).where(F.col("_i") > share * area).select("page_id", "span_no").distinct().withColumn("_n", F.lit(True))
-    v = met(vectors).where("_i > 0").groupBy("page_id", "span_no").agg(F.count("*").alias("_v"))
-    joined = regions.select("page_id", "span_no").distinct().join(n, ["page_id", "span_no"], "left").join(v, ["page_id", "span_no"], "left")
-    return joined.select("page_id", "span_no", F.when(F.col("_n"), "native").when(F.coalesce("_v", F.lit(0)) >= 3, "outlined").otherwise("raster").alias("content"))

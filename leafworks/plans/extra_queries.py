@@ -94,9 +94,3 @@ def _(t):
     return X.integrity_verdict(t.spans.select(F.col("page_id").alias("edition_id"), F.col("font_name").alias("family")), faults)
 
 
-@query("K24_content_class", """SELECT DISTINCT r.page_id, r.span_no, CASE WHEN EXISTS (SELECT 1 FROM spans o JOIN spans q ON q.page_id = o.page_id WHERE o.page_id = r.page_id AND o.role = 'N' AND q.span_no = r.span_no AND q.role = 'R' AND
- greatest(least(q.x1, o.x1) - greatest(q.x0, o.x0), 0) * greatest(least(q.y1, o.y1) - greatest(q.y0, o.y0), 0) > 0.3 * (q.x1 - q.x0) * (q.y1 - q.y0)) THEN 'native' WHEN (SELECT count(*) FROM spans o JOIN spans q ON q.page_id = o.page_id
- WHERE o.page_id = r.page_id AND o.role = 'A' AND q.span_no = r.span_no AND q.role = 'R' AND greatest(least(q.x1, o.x1) - greatest(q.x0, o.x0), 0) * greatest(least(q.y1, o.y1) - greatest(q.y0, o.y0), 0) > 0) >= 3 THEN 'outlined' ELSE 'raster' END AS content
- FROM spans r WHERE r.role = 'R'""", ("spans",))
-def _(t):
-    return X.content_class(t.spans.where("role = 'R'"), t.spans.where("role = 'N'"), t.spans.where("role = 'A'"))

@@ -47,13 +47,6 @@ def _(t):
     return L.consensus_box(t.spans, ["page_id", "role"], 2.0)
 
 
-@query("K11_page_inventory", """SELECT page_id, spans, sizes, fonts, largest, round_even(0.4 * least(spans / 7.0::DOUBLE, 1) + 0.3 * least(sizes / 6.0::DOUBLE, 1) + 0.2 * least(fonts / 5.0::DOUBLE, 1) + 0.1 * least(largest / 40.0::DOUBLE, 1), 3) AS complexity,
- array_to_string(list_filter([CASE WHEN spans <= 2 THEN 'sparse' END, CASE WHEN spans >= 6 THEN 'dense' END, CASE WHEN fonts > 3 THEN 'many_fonts' END, CASE WHEN largest >= 30 THEN 'display_type' END], lambda x: x IS NOT NULL), ',') AS traits
- FROM (SELECT page_id, count(*) AS spans, count(DISTINCT font_size) AS sizes, count(DISTINCT font_name) AS fonts, max(font_size) AS largest FROM spans GROUP BY 1)""", ("spans",))
-def _(t):
-    return L.inventory(t.spans)
-
-
 @query("K15_reading_order", "SELECT page_id, span_no, row_number() OVER (PARTITION BY page_id ORDER BY font_size <= 20, y0, x0, span_no) AS place FROM spans", ("spans",))
 def _(t):
     return L.reading_order(t.spans)
@@ -65,11 +58,3 @@ def _(t):
     return L.not_owned(t.spans.where("role <> 'R'"), t.spans.where("role = 'R'")).select("page_id", "span_no")
 
 
-@query("K30_regions", "SELECT page_id, role || ':' || CAST(trunc(x0 / 120) AS INTEGER) AS region_key, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM spans GROUP BY 1, 2", ("spans",))
-def _(t):
-    return L.regions_of(t.spans)
-
-
-@query("K14_rotation", "SELECT page_id, span_no, CASE WHEN a < 5 OR a > 355 THEN 'upright' WHEN abs(a - 90) < 5 THEN 'clockwise' WHEN abs(a - 180) < 5 THEN 'upside_down' WHEN abs(a - 270) < 5 THEN 'counter_clockwise' ELSE 'slanted' END AS rotation FROM (SELECT *, (x0 * 3) % 360 AS a FROM spans)", ("spans",))
-def _(t):
-    return t.spans.select("page_id", "span_no", L.rotation_class(F.col("x0") * 3).alias("rotation"))

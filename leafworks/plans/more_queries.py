@@ -126,19 +126,6 @@ def _(t):
     return G.contained_lines(t.spans, regions)
 
 
-@query("K4_borderless_tables", """SELECT page_id, count(DISTINCT c) AS columns, count(DISTINCT r) AS table_rows, count(DISTINCT (c, r)) AS cells FROM (SELECT DISTINCT page_id, span_no, first_value(xc.cluster) OVER (PARTITION BY page_id, span_no ORDER BY abs(x0 - xc.centre), xc.cluster) AS c,
- first_value(c.cluster) OVER (PARTITION BY page_id, span_no ORDER BY abs(y0 - c.centre), c.cluster) AS r FROM spans JOIN xc USING (page_id) JOIN c USING (page_id)) GROUP BY 1 HAVING count(DISTINCT c) >= 2 AND count(DISTINCT r) >= 3""", ("spans",),
- CLUSTERS + """, xv AS (SELECT DISTINCT page_id, round_even(x0, 1) AS v FROM spans), xg AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY page_id ORDER BY v) <= 12 THEN 0 ELSE 1 END AS n FROM xv),
-xk AS (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY v ROWS UNBOUNDED PRECEDING) AS cluster FROM xg), xc AS (SELECT page_id, cluster, avg(v) AS centre FROM xk GROUP BY 1, 2)""")
-def _(t):
-    return L.borderless_tables(t.spans)
-
-
-@query("K9_trim_marks", """SELECT page_id, max(m) FILTER (side = 'left') AS "left", max(m) FILTER (side = 'right') AS "right", 0.25 * count(*)::DOUBLE AS confidence FROM (SELECT page_id, CASE WHEN x0 < 250 THEN 'left' ELSE 'right' END AS side, list_sort(list(x0))[count(*) // 2 + 1] AS m FROM spans GROUP BY 1, 2) GROUP BY 1""", ("spans",))
-def _(t):
-    return L.trim_marks(t.spans, 500.0)
-
-
 @query("K12_text_summary", "SELECT page_id, count(*) AS spans, count(DISTINCT font_size) AS sizes, count(DISTINCT font_name) AS fonts FROM spans GROUP BY 1", ("spans",))
 def _(t):
     return L.text_summary(t.spans.withColumn("font_name", F.concat(F.lit("ABCDEF+"), F.col("font_name"))))
@@ -151,17 +138,6 @@ def images(t):
     return t.lineitem.where("l_linenumber < 3").select(F.col("l_orderkey").alias("page_id"), (F.col("l_discount") * 8).alias("coverage"))
 
 
-@query("K13_scanned_pages", "SELECT page_id, spans, coalesce(coverage, 0) AS coverage, spans < 3 AND coalesce(coverage, 0) > 0.5 AS scanned FROM (SELECT page_id, count(*) AS spans FROM spans GROUP BY 1) LEFT JOIN (SELECT page_id, max(coverage) AS coverage FROM i GROUP BY 1) USING (page_id)", ("spans",), IMAGES)
-def _(t):
-    return L.scanned_pages(t.spans, images(t))
-
-
-@query("K17_nearest_fonts", """SELECT query_id, font_id, rank FROM (SELECT q.vec_id AS query_id, f.vec_id AS font_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - f.embedding[i]) * (q.embedding[i]::DOUBLE - f.embedding[i])))), f.vec_id) AS rank
- FROM embeddings q JOIN embeddings f ON q.vec_id % 100 = 0 AND q.vec_id <> f.vec_id) WHERE rank <= 5""")
-def _(t):
-    return L.nearest_fonts(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, 9.0, 5).select("query_id", "font_id", "rank")
-
-
 @query("K19_policy_cascade", "SELECT page_id, span_no, CASE WHEN span_no % 4 = 0 THEN 'u' WHEN page_id % 3 = 0 THEN 'l' ELSE 'none' END AS policy, CASE WHEN span_no % 4 = 0 THEN 'unit' WHEN page_id % 3 = 0 THEN 'language' ELSE 'default' END AS decided_by FROM spans", ("spans",))
 def _(t):
     rows = t.spans.select("page_id", "span_no", F.when(F.col("span_no") % 4 == 0, "u").alias("unit"), F.when(F.col("page_id") % 3 == 0, "l").alias("language"))
@@ -191,6 +167,3 @@ def _(t):
     return L.replacement_fonts(missing, fonts(t))
 
 
-@query("K29_alignment", "SELECT page_id, span_no, CASE WHEN abs((x0 - 0) - (1000 - x1)) <= 0.12 * 1000 THEN 'center' WHEN x0 < 1000 - x1 THEN 'left' ELSE 'right' END AS align FROM spans", ("spans",))
-def _(t):
-    return L.alignment(t.spans.withColumn("c0", F.lit(0.0)).withColumn("c1", F.lit(1000.0))).select("page_id", "span_no", "align")
