@@ -199,23 +199,79 @@ def resolve_tags(strings: DataFrame, dims: list[DataFrame]) -> DataFrame:
     return tags.join(best, "tag", "left").select("tag", F.col("b.tag_id").alias("tag_id"), F.col("b").isNotNull().alias("matched"))
 
 
-def dashboard(books: DataFrame, editions: DataFrame) -> DataFrame:
-    """One row of counts: books, published and draft ones, books with an edition, editions, free editions."""
-    b = books.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "published").alias("published"), F.count_if(F.col("status") == "draft").alias("draft"))
-    e = editions.agg(F.count_distinct("book_id").alias("translated"), F.count("*").alias("editions"), F.count_if(price_is("free")).alias("free_editions"))
-    return b.crossJoin(e)  # one row by one row
-
-
-def missing_requirements(books: DataFrame, editions: DataFrame) -> DataFrame:
-    """book_id, missing (comma-joined): what keeps a book from being published."""
-    has = editions.groupBy("book_id").agg(F.max((F.col("publication_status") == "published").cast("int")).alias("_pub"), F.count("*").alias("_n"))
-    joined = books.join(has, "book_id", "left")
-    needs = {"book_type": F.col("book_type").isNull(), "age_range": F.col("age_min").isNull() | F.col("age_max").isNull(), "edition": F.col("_n").isNull(), "publishable_edition": F.coalesce(F.col("_pub"), F.lit(0)) == 0}
-    listed = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in needs.items()]))
-    return joined.select("book_id", F.array_join(listed, ",").alias("missing"))
-
-
 def best_suggestion(suggestions: DataFrame, keys: list[str], value: str, confidence: str) -> DataFrame:
     """The value with the highest confidence of each key; the smaller value on ties."""
     order = Window.partitionBy(*keys).orderBy(F.desc(confidence), value)
     return suggestions.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def category_rollup(categories: DataFrame, links: DataFrame) -> DataFrame:
+    """parent_id, category_id, place, books: every parent's children in order of sort_order, then id, with their number of books; a row with category_id null sums a parent's children, one with both null all.
+
+    categories: category_id, parent_id, sort_order (top ones without parent only stand over others); links: book_id, category_id.
+    """
+    n = links.select("book_id", "category_id").distinct().groupBy("category_id").agg(F.count("*").alias("_n"))
+    child = categories.where("parent_id IS NOT NULL").join(n, "category_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    order = Window.partitionBy("parent_id").orderBy("sort_order", "category_id")
+    placed = child.withColumn("place", F.row_number().over(order))
+    summed = placed.rollup("parent_id", "category_id").agg(F.sum("_n").alias("books"), F.max("place").alias("_p"))
+    return summed.select("parent_id", "category_id", F.when(F.col("category_id").isNotNull(), F.col("_p")).alias("place"), "books")
+
+
+def dashboard_list(books: DataFrame, editions: DataFrame, narrations: DataFrame, term: str = "", only: str | None = None, size: int = 50) -> DataFrame:
+    """The latest books by created_at, then book_id, whose title, sku or author holds term (a LIKE pattern, ASCII case folded): all, or those that are ready, processing, translated (an edition) or narrated (a completed narration)."""
+    found = search(books, term, ["title", "sku", "author"])
+    if only in ("ready", "processing"):
+        found = found.where(F.col("status") == only)
+    elif only == "translated":
+        found = found.join(editions.select("book_id").distinct(), "book_id", "left_semi")
+    elif only == "narrated":
+        found = found.join(narrations.where("status = 'completed'").select("book_id").distinct(), "book_id", "left_semi")
+    return found.orderBy(F.desc("created_at"), F.desc("book_id")).limit(size)
+
+
+def dashboard_counts(books: DataFrame, editions: DataFrame, narrations: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row: total, ready, processing, translated, narrated (completed) books, and active jobs (queued or processing)."""
+    status = books.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") == "processing").alias("processing"))
+    known = books.select("book_id")
+    translated = editions.join(known, "book_id", "left_semi").agg(F.count_distinct("book_id").alias("translated"))
+    narrated = narrations.where("status = 'completed'").join(known, "book_id", "left_semi").agg(F.count_distinct("book_id").alias("narrated"))
+    active = jobs.agg(F.count_if(F.col("status").isin("queued", "processing")).alias("active_jobs"))
+    # one row each
+    return status.crossJoin(F.broadcast(translated)).crossJoin(F.broadcast(narrated)).crossJoin(F.broadcast(active))
+
+
+def missing_requirements(books: DataFrame, categories: DataFrame, descriptions: DataFrame, editions: DataFrame) -> DataFrame:
+    """book_id, missing: what a book lacks before it may be published, in order: primary_category, language (its own or an edition), book_type, age_range (both ends), description (an approved one), publishable_edition
+    (one that is visible, where there are editions).
+
+    books: book_id, original_language, book_type, age_min, age_max; categories: book_id, is_primary; descriptions: book_id, status; editions: book_id, store_visible.
+    """
+    yes = F.lit(True)
+    primary = categories.where("is_primary").select("book_id").distinct().withColumn("_primary", yes)
+    approved = descriptions.where("status = 'approved'").select("book_id").distinct().withColumn("_approved", yes)
+    has = editions.groupBy("book_id").agg(F.coalesce(F.bool_or("store_visible"), F.lit(False)).alias("_visible"))
+    both = books.join(primary, "book_id", "left").join(approved, "book_id", "left").join(has, "book_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).isin("", "0")
+    rules = [
+        ("primary_category", F.col("_primary").isNull()), ("language", empty("original_language") & F.col("_visible").isNull()), ("book_type", empty("book_type")), ("age_range", F.col("age_min").isNull() | F.col("age_max").isNull()),
+        ("description", F.col("_approved").isNull()), ("publishable_edition", ~F.coalesce("_visible", yes)),
+    ]
+    return both.select("book_id", F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules])).alias("missing"))
+
+
+def single_primary(links: DataFrame, order: str) -> DataFrame:
+    """book_id and its primary category: the one set last."""
+    return links.groupBy("book_id").agg(F.max_by("category", order).alias("category"))
+
+
+def store_badges(books: DataFrame, editions: DataFrame, narrations: DataFrame) -> DataFrame:
+    """book_id, audio (a completed narration), languages (editions and the original; null without editions)."""
+    n = editions.groupBy("book_id").agg(F.count("*").alias("_n"))
+    heard = narrations.where("status = 'completed'").select("book_id").distinct().withColumn("_a", F.lit(True))
+    return books.select("book_id").join(n, "book_id", "left").join(heard, "book_id", "left").select("book_id", F.coalesce("_a", F.lit(False)).alias("audio"), (F.col("_n") + 1).alias("languages"))
+
+
+def serving_narration(narrations: DataFrame, language: str) -> DataFrame:
+    """book_id, narration_id: the first completed narration in the language that isn't outdated."""
+    return narrations.where((F.col("status") == "completed") & (F.col("language_code") == language) & ~F.col("is_outdated")).groupBy("book_id").agg(F.min("narration_id").alias("narration_id"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafworks.functions.shipping import ship
+
 #: The manifest's shape: pages hold regions, regions hold items.
 MANIFEST = "pages array<struct<page_number: int, page_type: string, regions: array<struct<id: string, policy: string, items: array<struct<id: string, text: string, role: string>>>>>>"
 
@@ -67,17 +72,102 @@ def role_policy(units: DataFrame, defaults: dict[str, str], overrides: DataFrame
     return units.join(o, "unit_id", "left").select("unit_id", F.coalesce("_o", known[F.col("role")], F.lit("translate")).alias("policy"))
 
 
-def font_match(requested: DataFrame, fonts: DataFrame, fallback: str = "Sans") -> DataFrame:
-    """family, font: an exact lower-cased name, else the font that shares most words (the first by name), else the fallback."""
-    words_ = lambda c: F.array_distinct(F.split(F.lower(F.col(c)), " "))
-    r = requested.select("family").distinct()
-    exact = r.join(fonts, F.lower("family") == F.lower("font")).groupBy("family").agg(F.min("font").alias("exact"))
-    shared = r.select("family", F.explode(words_("family")).alias("w")).join(fonts.select("font", F.explode(words_("font")).alias("w")), "w").groupBy("family", "font").agg(F.count("*").alias("n"))
-    best = shared.groupBy("family").agg(F.min_by("font", F.struct(-F.col("n"), F.col("font"))).alias("near"))
-    return r.join(exact, "family", "left").join(best, "family", "left").select("family", F.coalesce("exact", "near", F.lit(fallback)).alias("font"))
-
-
 def integrity_verdict(required: DataFrame, faults: DataFrame) -> DataFrame:
     """edition_id, failed, families: an edition fails with a required family that is at fault; the families, sorted and comma-joined."""
     hit = required.join(faults.select("family").distinct().withColumn("_f", F.lit(True)), "family", "left")
     return hit.groupBy("edition_id").agg(F.coalesce(F.bool_or("_f"), F.lit(False)).alias("failed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("_f"), F.col("family")))), ",").alias("families"))
+
+
+def font_match(requested: DataFrame, fonts: DataFrame, aliases: dict[str, str], hints: dict[str, list[str]], preferred: dict[str, list[str]], default: str = "handwriting") -> DataFrame:
+    """family, font: an alias whose key is in the name or has it (the first listed), else the font of the same name without spaces, else the first with the largest summed length of the name's words that it holds. Under 3, the font comes from the
+    category that a hint in the name tells (else the default): the first preferred one there is, or the category's first; if there is none, the best by words stays, which may be null.
+
+    requested: family; fonts: font, category, place (their order). A subset prefix of six letters goes. Words meet fonts by an equi join with the fonts' substrings.
+    """
+    low = F.lower("family")
+    clean = F.trim(F.replace(F.regexp_replace(low, r"^[a-z]{6}\+", ""), F.lit("-"), F.lit(" ")))
+    r = requested.select("family").distinct().withColumn("clean", clean).withColumn("bare", F.replace(F.replace(low, F.lit("-"), F.lit("")), F.lit(" "), F.lit("")))
+    alias = F.lit(None).cast("string")
+    for key, family in reversed(aliases.items()):
+        alias = F.when(F.col("clean").contains(key) | F.lit(key).contains(F.col("clean")), family).otherwise(alias)
+    kind = F.lit(default)
+    for name, words_ in reversed(hints.items()):
+        hit = F.lit(False)
+        for w in words_:
+            hit = hit | F.col("bare").contains(w)
+        kind = F.when(hit, name).otherwise(kind)
+    r = r.withColumn("alias", alias).withColumn("category", kind)
+    f = fonts.select("font", "category", "place", F.replace(F.lower("font"), F.lit(" "), F.lit("")).alias("name"))
+    exact = r.select("family", F.replace("clean", F.lit(" "), F.lit("")).alias("name")).join(f, "name").groupBy("family").agg(F.min_by("font", "place").alias("exact"))
+    parts = f.select("font", "place", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, length(name) - i + 1), n -> substring(name, i, n)))))")).alias("word"))
+    asked = r.select("family", F.explode(F.filter(F.split("clean", r"\s+"), lambda w: w != "")).alias("word"))
+    score = asked.join(parts, "word").groupBy("family", "font", "place").agg(F.sum(F.length("word")).alias("score"))
+    near = score.groupBy("family").agg(F.min_by(F.struct("font", "score"), F.struct(-F.col("score"), F.col("place"))).alias("near"))
+    liked = [(c, n, i) for c, names in preferred.items() for i, n in enumerate(names)]
+    rank = F.lit(1_000_000)
+    for c, n, i in reversed(liked):
+        rank = F.when((F.col("category") == c) & (F.col("font") == n), i).otherwise(rank)
+    by_kind = f.withColumn("_rank", rank).groupBy("category").agg(F.min_by("font", F.struct("_rank", "place")).alias("of_kind"))
+    both = r.join(exact, "family", "left").join(near, "family", "left").join(by_kind, "category", "left")
+    weak = F.coalesce(F.col("near.score"), F.lit(0)) < 3
+    return both.select("family", F.coalesce("alias", "exact", F.when(weak, F.col("of_kind")), F.col("near.font")).alias("font"))
+
+
+def requested_families(spans: DataFrame) -> DataFrame:
+    """page_id, families: the page's font names in the order of their first box (then by name), comma-joined."""
+    first = spans.groupBy("page_id", "font_name").agg(F.min("span_no").alias("f"))
+    return first.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "font_name"))), lambda x: x["font_name"]), ",").alias("families"))
+
+
+def _continues(a: str, b: str) -> bool:
+    """Whether line b carries on line a: both of several words, b in lower case, a open and neither an entry with a dash; or a lone sound pattern and its examples."""
+    a, b = a.strip(), b.strip()
+    if not a or not b:
+        return False
+    dashed, bare = re.fullmatch(r"[-–—]\s*[^\W\d_]{1,4}", a), re.fullmatch(r"[^\W\d_]{1,3}", a)
+    if dashed or bare:
+        examples = [w for w in re.split(r"[,\s]+", b) if w]
+        if 1 <= len(examples) <= 3 and all(re.fullmatch(r"[^\W\d_]+", w) for w in examples) and (dashed or "," in b):
+            return True
+    entry = re.compile(r"\s[-–—]\s")
+    return a[-1] not in ".!?,:;-–—" and len(a.split()) > 1 and len(b.split()) > 1 and not entry.search(a) and not entry.search(b) and b[0].islower()
+
+
+def _merged_lines(page: pd.DataFrame) -> pd.DataFrame:
+    """Units of one page: body lines joined down their columns, each compared with what was joined so far; others as they are."""
+    rows = page.sort_values(["x0", "span_no"], kind="stable").to_dict("records")
+
+    def body(r: dict) -> bool:
+        t = r["text"] or ""
+        letters = [c for c in t if c.isalpha()]
+        return bool(t) and not r["is_page_number"] and not (letters and all(c.isupper() for c in letters) and len(t) < 30)
+
+    columns: list[tuple[list[float], list[dict]]] = []
+    for r in filter(body, rows):
+        home = next((c for c in columns if abs(r["x0"] - sum(c[0]) / len(c[0])) <= max(6.0, 0.9 * (r["y1"] - r["y0"]))), None)
+        if home is None:
+            columns.append(home := ([], []))
+        home[0].append(r["x0"])
+        home[1].append(r)
+    units = [dict(r, lines=1) for r in rows if not body(r)]
+    for _, lines in columns:
+        last = None
+        for r in sorted(lines, key=lambda z: z["y0"]):
+            line = max(1.0, last["y1"] - last["y0"], r["y1"] - r["y0"]) if last else 0.0
+            if last and -0.3 * line <= r["y0"] - last["y1"] <= 0.9 * line and _continues(last["text"], r["text"]):
+                last.update(text=f"{last['text'].rstrip()} {r['text'].lstrip()}".strip(), x0=min(last["x0"], r["x0"]), y0=min(last["y0"], r["y0"]), x1=max(last["x1"], r["x1"]), y1=max(last["y1"], r["y1"]), lines=last["lines"] + 1)
+            else:
+                last = dict(r, lines=1)
+                units.append(last)
+    units.sort(key=lambda u: (round(u["y0"] / 2), u["x0"], u["span_no"]))
+    out = pd.DataFrame(units, columns=["page_id", "span_no", "text", "x0", "y0", "x1", "y1", "lines"])
+    out.insert(1, "place", range(1, len(out) + 1))
+    return out
+
+
+def continuation_lines(spans: DataFrame) -> DataFrame:
+    """page_id, place (reading order), span_no (of the first line), text, box, lines: wrapped lines of one column joined to one unit. spans: page_id, span_no, text, is_page_number and the box. A task gets one page's boxes."""
+    rows = spans.select("page_id", "span_no", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_page_number", F.lit(False)).alias("is_page_number"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ship(spans.sparkSession)
+    return rows.groupBy("page_id").applyInPandas(_merged_lines, f"page_id {kinds['page_id']}, place int, span_no {kinds['span_no']}, text string, x0 double, y0 double, x1 double, y1 double, lines int")

@@ -54,3 +54,24 @@ def payload_report(events: DataFrame, field: str) -> DataFrame:
 def crop_fraction(value: Column, enabled: Column) -> Column:
     """Clamped to 0..0.45; 0 where disabled or unset."""
     return F.when(enabled & value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(0.45), value))).otherwise(0.0)
+
+
+def action_audit(events: DataFrame, action: str, value: str) -> DataFrame:
+    """action, n, spent: how often each action was taken, and what it cost in all (4 digits)."""
+    return events.groupBy(F.col(action).alias("action")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("spent"))
+
+
+def append_audit(events: DataFrame, folder: str, kind: str = "kind") -> DataFrame:
+    """Appends events to an audit folder, a subfolder for each kind, and returns all that it holds; rows are never changed. A null kind has a subfolder of its own."""
+    events.write.mode("append").partitionBy(kind).parquet(folder)
+    return events.sparkSession.read.schema(events.schema).parquet(folder).select(*events.columns)
+
+
+#: The most bytes and pages of a file.
+MOST_BYTES, MOST_PAGES = 100 * 1024 * 1024, 500
+
+
+def file_risks(files: DataFrame) -> DataFrame:
+    """file_id, threat (oversized_file), warning (many_pages, which an oversized file isn't looked at for) and safe. files: file_id, bytes, pages."""
+    large = F.col("bytes") > MOST_BYTES
+    return files.select("file_id", F.when(large, "oversized_file").alias("threat"), F.when(~F.coalesce(large, F.lit(False)) & (F.col("pages") > MOST_PAGES), "many_pages").alias("warning"), (~F.coalesce(large, F.lit(False))).alias("safe"))

@@ -158,12 +158,6 @@ def _(t):
     return C.effective_ids(t.nation.select(F.col("n_nationkey").cast("long").alias("id"), merged.cast("long").alias("merged_into"))).select(F.col("id").cast("int").alias("id"), F.col("effective_id").cast("int").alias("effective_id"))
 
 
-@query("B25_category_rollup", "SELECT r_name, n_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ROLLUP (r_name, n_name)")
-def _(t):
-    tree = t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey"))
-    return tree.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.count("*").alias("n"))
-
-
 @query("B26_audience_band", """SELECT p_partkey, CASE WHEN a <= 3 THEN '0-3' WHEN a <= 6 THEN '4-6' WHEN a <= 9 THEN '7-9' WHEN a <= 12 THEN '10-12' WHEN a <= 15 THEN '13-15' ELSE '16+' END AS band
  FROM (SELECT p_partkey, least(p_size, 50 - p_size) AS a FROM part)""")
 def _(t):
@@ -184,40 +178,9 @@ def _(t):
     return C.resolve_tags(strings, [slugs, names])
 
 
-@query("B28_dashboard_list", "SELECT book_id, title FROM books WHERE lower(title) LIKE '%a%' AND status = 'published' ORDER BY book_id DESC LIMIT 50", ("books",))
-def _(t):
-    return C.catalogue_page(C.search(t.books.where("status = 'published'"), "a", ["title"]), size=50).select("book_id", "title")
-
-
-@query("B29_dashboard_counts", """SELECT (SELECT count(*) FROM books) AS total, (SELECT count(*) FROM books WHERE status = 'published') AS published, (SELECT count(*) FROM books WHERE status = 'draft') AS draft,
- (SELECT count(DISTINCT book_id) FROM editions) AS translated, (SELECT count(*) FROM editions) AS editions, (SELECT count(*) FROM editions WHERE coalesce(price, 0) = 0) AS free_editions""", ("books", "editions"))
-def _(t):
-    return C.dashboard(t.books, t.editions)
-
-
-@query("B30_missing_requirements", """SELECT book_id, array_to_string(list_filter([CASE WHEN n IS NULL THEN 'edition' END, CASE WHEN coalesce(p, 0) = 0 THEN 'publishable_edition' END], lambda x: x IS NOT NULL), ',') AS missing
- FROM books LEFT JOIN (SELECT book_id, count(*) AS n, max(CASE WHEN publication_status = 'published' THEN 1 ELSE 0 END) AS p FROM editions GROUP BY 1) USING (book_id)""", ("books", "editions"))
-def _(t):
-    return C.missing_requirements(t.books, t.editions)
-
-
-@query("B31_single_primary", "SELECT l_partkey AS book_id, max_by(l_returnflag, l_orderkey * 10 + l_linenumber) AS category FROM lineitem WHERE l_linenumber = 1 GROUP BY 1")
-def _(t):
-    return t.lineitem.where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("book_id")).agg(F.max_by("l_returnflag", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("category"))
-
-
 @query("B32_best_suggestion", "SELECT user_id, event_type, event_id AS value, value AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
 def _(t):
     rows = t.events.select("user_id", "event_type", F.col("event_id").alias("value"), F.col("value").alias("confidence"))
     return C.best_suggestion(rows, ["user_id", "event_type"], "value", "confidence")
 
 
-@query("B33_store_badges", "SELECT book_id, coalesce(n, 0) AS editions, coalesce(p, 0) AS published FROM books LEFT JOIN (SELECT book_id, count(*) AS n, count(*) FILTER (publication_status = 'published') AS p FROM editions GROUP BY 1) USING (book_id)", ("books", "editions"))
-def _(t):
-    counts = t.editions.groupBy("book_id").agg(F.count("*").alias("editions"), F.count_if(F.col("publication_status") == "published").alias("published"))
-    return t.books.select("book_id").join(counts, "book_id", "left").na.fill(0)
-
-
-@query("B34_serving_edition", "SELECT book_id, min(edition_id) AS edition_id FROM editions WHERE publication_status = 'published' AND language_code = 'l5' GROUP BY 1", ("editions",))
-def _(t):
-    return t.editions.where("publication_status = 'published' AND language_code = 'l5'").groupBy("book_id").agg(F.min("edition_id").alias("edition_id"))

@@ -76,18 +76,6 @@ def _(t):
     return X.role_policy(units, {"view": "preserve", "error": "skip"}, units.where("unit_id % 9 = 0").select("unit_id", F.lit("review").alias("policy")))
 
 
-@query("K18_font_match")
-def _(t):
-    return X.font_match(t.part.select(F.col("p_name").alias("family")), t.part.where("p_partkey % 10 = 0").select(F.col("p_name").alias("font")))
-
-
-@query("K20_requested_families", "SELECT page_id, array_to_string(list(font_name ORDER BY f, font_name), ',') AS families FROM (SELECT page_id, font_name, min(span_no) AS f FROM spans GROUP BY 1, 2) GROUP BY 1", ("spans",))
-def _(t):
-    first = t.spans.groupBy("page_id", "font_name").agg(F.min("span_no").alias("f"))
-    # two fonts can have one first place only where a place is given twice: then by name
-    return first.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "font_name"))), lambda x: x["font_name"]), ",").alias("families"))
-
-
 @query("K28_integrity_verdict", """SELECT page_id AS edition_id, bool_or(font_name IN ('F2', 'F5')) AS failed, coalesce(array_to_string(list_sort(list_distinct(list(font_name) FILTER (font_name IN ('F2', 'F5')))), ','), '') AS families FROM spans GROUP BY 1""", ("spans",))
 def _(t):
     faults = t.spark.createDataFrame([("F2",), ("F5",)], "family string")

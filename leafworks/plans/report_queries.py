@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from leafworks.functions.folders import shared_dir
 from leafworks.operators import reporting as P
 from leafworks.sources import ingest as I
 from leafworks.streaming import feeds as S
@@ -83,11 +84,6 @@ def _(t):
     return t.part.select("p_partkey", I.clean_title(F.concat("p_name", F.lit("_x"))).alias("title"))
 
 
-@query("K21_link_risks", """SELECT page_id, len(l) AS links, len(list_filter(l, lambda x: regexp_matches(lower(x), '^(javascript|file|data|vbscript):'))) AS risky FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")
-def _(t):
-    return I.link_risks(t.pages)
-
-
 @query("K22_declared_language", """SELECT page_id, nullif(regexp_extract(html, '<html[^>]*lang="([^"]+)"', 1), '') AS language FROM pages""")
 def _(t):
     return I.declared_language(t.pages)
@@ -97,9 +93,8 @@ def streamed(t, name: str, build, mode: str):
     # a file source reads a folder: the one table's files are picked by name, so the path may be a folder or a file
     source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
     rows = source.parquet(f"{t.sf_dir}/events.parquet*").withColumn("ets", F.col("ts").cast("timestamp"))
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
     run = uuid.uuid4().hex
-    return S.run_once(build(rows), f"{name}_{run}", f"{shared or '/tmp'}/stream-{run}", mode)
+    return S.run_once(build(rows), f"{name}_{run}", f"{shared_dir(t.spark)}/stream-{run}", mode)
 
 
 @query("T1_daily_counts", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1, 2")
@@ -120,8 +115,3 @@ def _(t):
     return streamed(t, "merged", lambda rows: S.merged_checks(t.spark.sql(CHECKS, e=rows)), "complete")
 
 
-@query("P8_action_audit", "SELECT event_type AS action, count(*) AS n, round(sum(value), 4) AS spent FROM events GROUP BY 1")
-def _(t):
-    return t.events.groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("spent"))
-
-

@@ -65,3 +65,26 @@ def link_risks(pages: DataFrame) -> DataFrame:
 def declared_language(pages: DataFrame) -> DataFrame:
     """page_id and the language of its html tag; null without one."""
     return pages.select("page_id", F.nullif(F.regexp_extract("html", r'<html[^>]*lang="([^"]+)"', 1), F.lit("")).alias("language"))
+
+
+def _blocks_of(log: Column) -> Column:
+    """The outermost balanced {...} of a text, in order; braces inside strings count too."""
+    pieces = F.regexp_extract_all(log, F.lit(r"[{}]|[^{}]+"), 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        up, down = piece == "{", (piece == "}") & (acc["depth"] > 0)
+        depth = acc["depth"] + F.when(up, 1).when(down, -1).otherwise(0)
+        held = F.when(up | (acc["depth"] > 0), F.concat(acc["open"], piece)).otherwise("")
+        done = down & (depth == 0)
+        return F.struct(depth.alias("depth"), F.when(done, "").otherwise(held).alias("open"), F.when(done, F.concat(acc["found"], F.array(held))).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(pieces, start, step)["found"]
+
+
+def last_report(log: Column) -> Column:
+    """The JSON report of a program's output: the whole text if it is an object or list, else the last balanced {...} that parses; null for none. A leading byte order mark goes."""
+    text = F.trim(F.regexp_replace(F.coalesce(log, F.lit("")), r"^\x{FEFF}", ""))
+    whole = F.when(text.rlike(r"^[{\[]"), F.to_json(F.try_parse_json(text)))
+    parsed = F.filter(F.transform(_blocks_of(text), lambda b: F.to_json(F.try_parse_json(b))), lambda j: j.isNotNull())
+    return F.coalesce(whole, F.try_element_at(parsed, F.lit(-1)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The view texts run unchanged in Spark and in the SQL that results are checked with.
 VIEWS = {
@@ -72,3 +74,13 @@ def with_views(*names: str, query: str) -> str:
     """query after the named views as common table expressions."""
     parts = [f"{n} AS ({PAGES_SQL if n == 'book_pages' else VIEWS[n]})" for n in names]
     return f"WITH {', '.join(parts)} {query}"
+
+
+def load_catalog(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of a folder with declared types: the columns named by each table's schema (DDL), cast where the files store another type; a value that doesn't fit is an error, a missing column null."""
+    out = {}
+    for name, ddl in schemas.items():
+        rows, wanted = table(spark, folder, name), StructType.fromDDL(ddl)
+        have = set(rows.columns)
+        out[name] = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+    return out

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
@@ -43,3 +48,25 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataFr
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
+
+
+CHANGE = "page_id long, page_hash string, seq long"
+
+
+def page_changes(pages: DataFrame) -> DataFrame:
+    """page_id, page_hash, seq of a stream of pages (page_id, seq, text): those whose text differs from the page's last one. The state is a hash a page; within a batch a page's rows go by seq."""
+
+    def changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        last = state.get[0] if state.exists else None
+        out = []
+        for seq, text in zip(rows["seq"], rows["text"], strict=True):
+            now = hashlib.md5((text or "").encode()).hexdigest()[:12]
+            if now != last:
+                out.append((key[0], now, seq))
+            last = now
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["page_id", "page_hash", "seq"])
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("seq").cast("long"), "text")
+    return rows.groupBy("page_id").applyInPandasWithState(changed, CHANGE, "page_hash string", "append", GroupStateTimeout.NoTimeout)
