@@ -137,23 +137,48 @@ def catalogue_page(books: DataFrame, sort: str = "newest", page: int = 1, size:
     return books.orderBy(*keys.get(sort, keys["newest"])).offset((page - 1) * size).limit(size)
 
 
-def next_in_series(books: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+#: Volumes of a series that one window takes.
+VOLUMES = 1_000
+
+
+def next_in_series(books: DataFrame, ranks: DataFrame | None = None, volumes: int = VOLUMES) -> DataFrame:
     """book_id, next_id: the first later volume of the series; with ranks (book_id, rank), the earliest later volume whose rank is at most one above, else the first later one.
 
-    Without ranks a lead over the series; with them the later volumes are looked at by a window over the pairs of one series.
+    A series is cut into stretches of volumes, each a window of its own; beyond a stretch its first books, one a rank, carry the answer, so a series of any length makes many tasks.
     """
-    order = Window.partitionBy("series").orderBy("series_volume", "book_id")
+    rows = books.where("series IS NOT NULL").select("book_id", "series", F.struct("series_volume", "book_id").alias("_at"), F.floor(F.col("series_volume") / volumes).alias("_part"))
+    inside = Window.partitionBy("series", "_part").orderBy("_at")
+    parts = rows.groupBy("series", "_part").agg(F.min("_at").alias("_first"))
+    beyond = parts.select("series", "_part", F.lead("_first").over(Window.partitionBy("series").orderBy("_part"))["book_id"].alias("_beyond"))
+    plain = rows.withColumn("_next", F.lead("book_id").over(inside)).join(beyond, ["series", "_part"]).withColumn("plain", F.coalesce("_next", "_beyond"))
     if ranks is None:
-        return books.where("series IS NOT NULL").select("book_id", F.lead("book_id").over(order).alias("next_id"))
-    ranked = books.where("series IS NOT NULL").join(ranks, "book_id", "left").select("book_id", "series", "series_volume", "rank")
-    # one row a (series, rank) step: the first later volume with rank r is a lead among that rank's rows
+        return plain.select("book_id", F.col("plain").alias("next_id"))
+    ranked = plain.join(ranks, "book_id", "left").select("book_id", "series", "_part", "_at", "plain", "rank")
+    # for every reading rank, the first later book that has it: inside the stretch, else the first of a later stretch
     levels = ranked.where("rank IS NOT NULL").select(F.col("rank").alias("level")).distinct()
-    plain = ranked.withColumn("plain", F.lead("book_id").over(order)).withColumn("_at", F.row_number().over(order))
-    after = Window.partitionBy("series", "level").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
-    steps = plain.crossJoin(F.broadcast(levels))  # levels: the handful of reading ranks
-    first = F.first(F.when(F.col("rank") == F.col("level"), F.struct("_at", "book_id")), ignorenulls=True).over(after)
-    best = steps.withColumn("_next", first).where("level <= rank + 1").groupBy("book_id").agg(F.min("_next").alias("_n"))
-    return plain.join(best, "book_id", "left").select("book_id", F.coalesce("_n.book_id", "plain").alias("next_id"))
+    heads = ranked.where("rank IS NOT NULL").groupBy("series", "_part", F.col("rank").alias("level")).agg(F.min("_at").alias("_head"))
+    grid = parts.select("series", "_part").crossJoin(F.broadcast(levels)).join(heads, ["series", "_part", "level"], "left")  # levels: the handful of reading ranks
+    later = Window.partitionBy("series", "level").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    outside = grid.select("series", "_part", "level", F.first("_head", ignorenulls=True).over(later).alias("_outside"))
+    after = Window.partitionBy("series", "_part", "level").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    steps = ranked.join(outside, ["series", "_part"])
+    found = steps.withColumn("_hit", F.coalesce(F.first(F.when(F.col("rank") == F.col("level"), F.col("_at")), ignorenulls=True).over(after), "_outside"))
+    best = found.where("level <= rank + 1").groupBy("book_id").agg(F.min("_hit").alias("_n"))
+    return ranked.join(best, "book_id", "left").select("book_id", F.coalesce("_n.book_id", "plain").alias("next_id"))
+
+
+def in_category(books: DataFrame, links: DataFrame, slug: str) -> DataFrame:
+    """Books that a link ties to the category slug. links: book_id, slug."""
+    return books.join(links.where(F.col("slug") == slug).select("book_id"), "book_id", "left_semi")
+
+
+# Features that mean a narration.
+NARRATED = ["narrated", "read_along"]
+
+
+def narrated(books: DataFrame, features: DataFrame, meaning: list[str] | None = None) -> DataFrame:
+    """Books with a feature that means a narration. features: book_id, feature."""
+    return books.join(features.where(F.col("feature").isin(*(meaning or NARRATED))).select("book_id"), "book_id", "left_semi")
 
 
 def label_for(labels: Column, language: str, slug: Column, separator: str = "-") -> Column:

@@ -88,9 +88,10 @@ def changed_pages(now: DataFrame, state: DataFrame, key: list[str], text: str) -
 
 
 def missing_glyphs(texts: DataFrame, charset: DataFrame) -> DataFrame:
-    """char, occurrences, docs of characters that the charset lacks."""
-    chars = texts.select("doc_id", F.explode(F.split("text", "")).alias("char")).where("char <> ''").groupBy("doc_id", "char").agg(F.count("*").alias("n"))
-    return chars.join(charset, "char", "left_anti").groupBy("char").agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs"))
+    """char, occurrences, docs of characters that the charset lacks. A text gives a row for each different character; occurrences are told by what the text loses without it."""
+    chars = texts.select("text", F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where("char <> ''").join(charset.select("char").distinct(), "char", "left_anti")
+    n = F.length("text") - F.length(F.replace("text", "char", F.lit("")))
+    return chars.groupBy("char").agg(F.sum(n).cast("long").alias("occurrences"), F.count("*").alias("docs"))
 
 
 def upsert_latest(base: DataFrame, changes: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:

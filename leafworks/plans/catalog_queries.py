@@ -49,7 +49,7 @@ def _(t):
 @query("B5_category_filter", "SELECT book_id FROM books WHERE book_id IN (SELECT ps FROM (SELECT l_partkey AS ps, l_returnflag AS slug FROM lineitem) WHERE slug = 'A')", ("books",))
 def _(t):
     links = t.lineitem.select(F.col("l_partkey").alias("book_id"), F.col("l_returnflag").alias("slug"))
-    return t.books.join(links.where("slug = 'A'"), "book_id", "left_semi").select("book_id")
+    return C.in_category(t.books, links, "A").select("book_id")
 
 
 @query("B8_same_edition_facets", "SELECT book_id FROM pub WHERE EXISTS (SELECT 1 FROM editions e WHERE e.book_id = pub.book_id AND publication_status = 'published' AND language_code = 'l3' AND coalesce(price, 0) > 0)", GATE, VISIBLE)
@@ -60,7 +60,7 @@ def _(t):
 @query("B9_narrated", "SELECT book_id FROM pub WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = pub.book_id AND l_returnflag IN ('A', 'R'))", GATE, VISIBLE)
 def _(t):
     features = t.lineitem.select(F.col("l_partkey").alias("book_id"), F.col("l_returnflag").alias("feature"))
-    return visible(t).join(features.where(F.col("feature").isin("A", "R")), "book_id", "left_semi").select("book_id")
+    return C.narrated(visible(t), features, ["A", "R"]).select("book_id")
 
 
 @query("B10_price", "SELECT edition_id, price, CASE WHEN coalesce(price, 0) = 0 THEN 'free' ELSE 'paid' END AS price_kind FROM editions", ("editions",))

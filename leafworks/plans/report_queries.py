@@ -69,7 +69,8 @@ def _(t):
     return t.events.select("event_id", F.get_json_object(I.decoded_report(stored), "$.k").alias("k"))
 
 
-@query("A7_html_lines")
+@query("A7_html_lines", r"""SELECT page_id, line, trim(t) AS text FROM (SELECT page_id, generate_subscripts(l, 1)::INTEGER - 1 AS line, unnest(l) AS t FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
+ '(?i)</(p|div|h[1-6]|li|tr|title)>|<br */?>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)) AS l FROM pages)) WHERE trim(t) <> ''""")
 def _(t):
     return I.html_lines(t.pages)
 

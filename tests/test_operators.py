@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from leafworks.functions.text import words
-from leafworks.operators import catalog, gates, layout, pagetypes, phonics, reconcile, scripts, textsig
-from leafworks.sources import ingest
+from leafworks.operators import catalog, extras, gates, layout, pagetypes, phonics, reconcile, scripts, textsig
+from leafworks.sources import ingest, views
 from leafworks.streaming import feeds
 
 
@@ -49,6 +49,12 @@ def test_next_in_series_by_rank(spark):
     ranks = spark.createDataFrame([(10, 1), (11, 4), (12, 2)], "book_id int, rank int")
     assert rows(catalog.next_in_series(books, ranks), "book_id", "next_id") == [(10, 12), (11, 12), (12, 13), (13, None)]
     assert rows(catalog.next_in_series(books), "book_id", "next_id") == [(10, 11), (11, 12), (12, 13), (13, None)]
+    # stretches of any length give the same
+    rng = random.Random(2)
+    many = spark.createDataFrame([(i, f"s{i % 2}", rng.randrange(60)) for i in range(120)], "book_id int, series string, series_volume int")
+    levels = spark.createDataFrame([(i, rng.randrange(1, 6)) for i in range(120) if i % 7], "book_id int, rank int")
+    for by in (None, levels):
+        assert rows(catalog.next_in_series(many, by, 3), "book_id", "next_id") == rows(catalog.next_in_series(many, by), "book_id", "next_id")
 
 
 def test_merge_is_the_same_in_any_order_of_parts(spark):
@@ -250,6 +256,34 @@ def test_payloads_and_reports(spark):
     assert [r.d for r in reports.collect()] == ['{"a":1}', '{"a":1}', None, None, None]
 
 
+def test_last_report_of_a_log(spark):
+    logs = ['\ufeff {"a":1}', 'x {"a":1} y {"b":{"c":2}} z', "{bad} {", "", None, '[1,2]', 'n {"a":"}"}', '{"a":1} {broken}']
+    got = [r.j for r in spark.createDataFrame([(i, t) for i, t in enumerate(logs)], "i int, t string").orderBy("i").select(ingest.last_report(F.col("t")).alias("j")).collect()]
+    assert got == ['{"a":1}', '{"b":{"c":2}}', None, None, None, "[1,2]", None, '{"a":1}']
+
+
+def test_wrapped_lines_are_joined(spark):
+    lines = ["3 letter consonant blends at the", "beginning of words:", "cat", "dog", "- gg", "eier", "oe", "boek, koek", "ai - plain, rain", "more here", "THE END"]
+    spans = spark.createDataFrame([(1, i, t, False, 10.0, 12.0 * i, 90.0, 12.0 * i + 10) for i, t in enumerate(lines)] + [(1, 50, "other column text", False, 300.0, 0.0, 390.0, 10.0), (1, 51, "goes on here", False, 301.0, 12.0, 390.0, 22.0), (1, 60, "7", True, 10.0, 200.0, 20.0, 210.0)], "page_id int, span_no int, text string, is_page_number boolean, x0 double, y0 double, x1 double, y1 double")
+    got = [(r.text, r.lines) for r in extras.continuation_lines(spans).orderBy("place").collect()]
+    assert got == [("3 letter consonant blends at the beginning of words:", 2), ("other column text goes on here", 2), ("cat", 1), ("dog", 1), ("- gg eier", 2), ("oe boek, koek", 2), ("ai - plain, rain", 1), ("more here", 1), ("THE END", 1), ("7", 1)]
+
+
+def test_page_changes_over_batches(spark, tmp_path):
+    made = [(1, 1, "a"), (1, 2, "a"), (2, 3, None), (1, 4, "b"), (1, 5, "a"), (2, 6, ""), (2, 7, "x")]
+    for i in range(0, len(made), 3):
+        spark.createDataFrame(made[i : i + 3], "page_id long, seq long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    pages = spark.readStream.schema("page_id long, seq long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = feeds.run_once(feeds.page_changes(pages), "page_changes", f"{tmp_path}/cp", "append")
+    assert rows(out, "page_id", "seq") == [(1, 1), (1, 4), (1, 5), (2, 3), (2, 7)]
+
+
+def test_catalog_types(spark, tmp_path):
+    spark.createDataFrame([(1, 2.345), (2, None)], "id int, price double").write.parquet(f"{tmp_path}/editions.parquet")
+    got = views.load_catalog(spark, str(tmp_path), {"editions": "id long, price decimal(8,2), note string"})["editions"]
+    assert got.dtypes == [("id", "bigint"), ("price", "decimal(8,2)"), ("note", "string")] and sorted(str(r.price) for r in got.collect()) == ["2.35", "None"]
+
+
 def test_html_and_links(spark):
     html = '<html lang="af"><script>x<y</script><p>One</p>\n<p> </p><a href="javascript:1">b</a><a href="http://x">c</a></html>'
     df = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
