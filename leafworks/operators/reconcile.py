@@ -100,10 +100,23 @@ def upsert_latest(base: DataFrame, changes: DataFrame, keys: list[str], order: s
     return base.join(last, keys, "full_outer").select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
-def unit_requests(units: DataFrame, preserve: str = "preserve") -> DataFrame:
-    """unit_id and the request JSON of every unit that isn't preserved: id, text, role, and the page where it isn't 1."""
-    body = F.to_json(F.struct(F.col("unit_id").alias("id"), F.col("text"), F.col("role"), F.when(F.col("page_number") != 1, F.col("page_number")).alias("page")))
-    return units.where(F.col("policy") != preserve).select("unit_id", body.alias("request"))
+# What an educational unit's request asks for.
+INSTRUCTION = ("This is educational content (", "). Create an equivalent ", " exercise at the same difficulty level. Do not translate literally.")
+
+
+def unit_requests(units: DataFrame, language: str) -> DataFrame:
+    """unit_id, request (JSON) of every unit that isn't preserved (no policy counts as preserve): id, page_number, page_type, semantic_role (unknown for none), translation_policy, source_text; an instruction for
+    educational_adaptation; and of the structure, where the units have the columns and they are set: cell_box, align_h, align_v, peer_group_id, a column_span other than 1, is_merged where true.
+    """
+    c = F.col
+    policy = F.coalesce("policy", F.lit("preserve"))
+    role = F.coalesce("role", F.lit("unknown"))
+    fields = [c("unit_id").alias("id"), c("page_number"), F.coalesce("page_type", F.lit("unknown")).alias("page_type"), role.alias("semantic_role"), policy.alias("translation_policy"), c("text").alias("source_text"),
+              F.when(policy == "educational_adaptation", F.concat(F.lit(INSTRUCTION[0]), role, F.lit(INSTRUCTION[1] + language + INSTRUCTION[2]))).alias("instruction")]
+    fields += [c(k) for k in ("cell_box", "align_h", "align_v", "peer_group_id") if k in units.columns]
+    fields += [F.when(c("column_span") != 1, c("column_span")).alias("column_span")] if "column_span" in units.columns else []
+    fields += [F.when(c("is_merged"), c("is_merged")).alias("is_merged")] if "is_merged" in units.columns else []
+    return units.where(policy != "preserve").select("unit_id", F.to_json(F.struct(*fields)).alias("request"))
 
 
 def page_texts(items: DataFrame) -> DataFrame:

@@ -19,12 +19,6 @@ def units(t):
     return t.translation_pairs.withColumn("unit_id", F.col("book_id") * 100 + F.col("page_number"))
 
 
-@query("D1_unit_requests", "SELECT unit_id, source_text AS text, CASE WHEN page_number <> 1 THEN CAST(page_number AS VARCHAR) END AS page FROM u WHERE unit_id % 4 <> 0", ("translation_pairs",), UNITS)
-def _(t):
-    rows = units(t).select("unit_id", F.col("source_text").alias("text"), F.lit("body").alias("role"), "page_number", F.when(F.col("unit_id") % 4 == 0, "preserve").otherwise("translate").alias("policy"))
-    return R.unit_requests(rows).select("unit_id", F.get_json_object("request", "$.text").alias("text"), F.get_json_object("request", "$.page").alias("page"))
-
-
 @query("D6_region_targets", "SELECT unit_id AS region_id, CASE WHEN unit_id % 5 = 1 THEN 'o' ELSE nullif(trim(translated_text), '') END AS target, CASE WHEN unit_id % 5 <> 1 AND nullif(trim(translated_text), '') IS NULL THEN 'MISSING_TARGET' END AS issue FROM u WHERE unit_id % 4 <> 0", ("translation_pairs",), UNITS)
 def _(t):
     rows = units(t).select(F.col("unit_id").alias("region_id"), F.col("translated_text").alias("target"), F.when(F.col("unit_id") % 4 == 0, "preserve").otherwise("translate").alias("policy"))

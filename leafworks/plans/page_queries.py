@@ -199,3 +199,13 @@ def _(t):
     units = rows.where("role <> 'N'").groupBy("page_id", "unit_id", "text", "font_size").agg(*[F.min(c).alias(c) for c in box])
     images = rows.where("role = 'N'").groupBy("page_id", F.col("span_no").alias("image_no")).agg(*[F.min(c).alias(c) for c in box])
     return L.captions(units, images, t.spans.select("page_id", F.lit(500.0).alias("height"), F.lit(20.0).alias("body_size")).distinct())
+
+
+@query("K26_header_cells")
+def _(t):
+    page, n = F.col("page_id"), F.col("span_no")
+    columns = L.column_bounds(t.spans).select("page_id", "column", F.col("left").alias("c0"), F.col("right").alias("c1"))
+    bands = t.spans.groupBy("page_id").agg(F.min("y0").alias("y0"), (F.min("y0") + 20).alias("y1"))
+    lines = t.spans.where(n % 2 == 0).join(bands.select(page, F.col("y0").alias("top")), "page_id").select("page_id", F.col("x0").alias("x"), "top", n).select("page_id", "x", F.col("top").alias("y0"), (F.col("top") + F.when(n % 4 == 0, 30).otherwise(10)).alias("y1"))
+    spans = words(t).join(L.header_spans(words(t)).where("is_header").select("page_id", "span_no").distinct(), ["page_id", "span_no"], "left_semi")
+    return L.header_cells(columns, bands, lines, spans)

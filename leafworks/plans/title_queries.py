@@ -94,3 +94,14 @@ def _(t):
     bare = F.array(F.struct(F.lit("none").alias("id"), F.array().cast("array<struct<source_id: string>>").alias("components")))
     contract = F.when(F.col("user_id") % 5 == 1, F.lit('{"exercises":[]}')).when(F.col("user_id") % 5 > 1, F.to_json(F.struct(F.concat(F.coalesce("e", F.array().cast("array<struct<id: string, components: array<struct<source_id: string>>>>")), bare).alias("exercises"))))
     return R.educational_issues(users.select(F.col("user_id").alias("edition_id"), F.when(F.col("user_id") % 2 == 0, "en").otherwise("af").alias("language"), contract.alias("exercise_contract")))
+
+
+@query("D1_unit_requests", """SELECT unit_id, source_text AS text, CAST(page_number AS VARCHAR) AS page, 'story' AS page_type, CASE WHEN unit_id % 3 = 0 THEN 'unknown' ELSE 'body' END AS semantic_role, CASE WHEN unit_id % 4 = 1 THEN 'educational_adaptation' ELSE 'translate' END AS policy, CASE WHEN unit_id % 4 = 1
+ THEN 'This is educational content (' || CASE WHEN unit_id % 3 = 0 THEN 'unknown' ELSE 'body' END || '). Create an equivalent Afrikaans exercise at the same difficulty level. Do not translate literally.' END AS instruction, CASE WHEN unit_id % 2 = 0 THEN 'left' END AS align_h,
+ CASE WHEN unit_id % 5 <> 1 THEN CAST(unit_id % 5 AS VARCHAR) END AS column_span FROM (SELECT book_id * 100 + page_number AS unit_id, * FROM translation_pairs) WHERE unit_id % 4 <> 0""", ("translation_pairs",))
+def _(t):
+    i = F.col("unit_id")
+    pairs = t.translation_pairs.withColumn("unit_id", F.col("book_id") * 100 + F.col("page_number"))
+    units = pairs.select(i, F.col("source_text").alias("text"), "page_number", F.lit("story").alias("page_type"), F.when(i % 3 != 0, "body").alias("role"), F.when(i % 4 == 1, "educational_adaptation").when(i % 4 > 1, "translate").alias("policy"), F.when(i % 2 == 0, "left").alias("align_h"), (i % 5).alias("column_span"))
+    of = lambda field: F.get_json_object("request", f"$.{field}")
+    return R.unit_requests(units, "Afrikaans").select("unit_id", of("source_text").alias("text"), of("page_number").alias("page"), of("page_type").alias("page_type"), of("semantic_role").alias("semantic_role"), of("translation_policy").alias("policy"), *[of(f).alias(f) for f in ("instruction", "align_h", "column_span")])

@@ -256,6 +256,14 @@ def test_payloads_and_reports(spark):
     assert [r.d for r in reports.collect()] == ['{"a":1}', '{"a":1}', None, None, None]
 
 
+def test_merged_header_cells(spark):
+    columns = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate([(65.0, 137.0), (137.0, 208.0), (208.0, 280.0), (280.0, 400.0)])], "page_id int, column int, c0 double, c1 double")
+    bands = spark.createDataFrame([(1, 100.0, 120.0)], "page_id int, y0 double, y1 double")
+    lines = spark.createDataFrame([(1, 65.0, 100.0, 300.0), (1, 137.0, 119.0, 300.0), (1, 208.0, 120.0, 300.0), (1, 280.0, 99.0, 300.0), (1, 281.0, 100.0, 120.0)], "page_id int, x double, y0 double, y1 double")
+    spans = spark.createDataFrame([(1, 1, "WORDS", 150.0, 105.0, 190.0, 115.0), (1, 2, "HIGH FREQUENCY", 300.0, 101.0, 380.0, 109.0), (1, 3, "WORDS", 325.0, 111.0, 360.0, 119.0)], "page_id int, span_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert rows(layout.header_cells(columns, bands, lines, spans), "cell", "x0", "x1", "text", "column_start", "column_end", "column_span") == [(0, 65.0, 280.5, "WORDS", 0, 2, 3), (1, 280.5, 400.0, "HIGH FREQUENCY WORDS", 2, 3, 2)]
+
+
 def test_last_report_of_a_log(spark):
     logs = ['\ufeff {"a":1}', 'x {"a":1} y {"b":{"c":2}} z', "{bad} {", "", None, '[1,2]', 'n {"a":"}"}', '{"a":1} {broken}']
     got = [r.j for r in spark.createDataFrame([(i, t) for i, t in enumerate(logs)], "i int, t string").orderBy("i").select(ingest.last_report(F.col("t")).alias("j")).collect()]
