@@ -20,11 +20,11 @@ SHINGLE = 5
 #: The order table holds so many of the most repeated shingles at most, by half of their hash (8 bytes each). It only orders; results are the same with any.
 ORDER_ROWS = 1 << 21
 #: A task counts repetitions among so many shingles at a time (4 bytes each).
-COUNTED = 8_000_000
+COUNTED = 4_000_000
 #: Longest match number, and how many posting entries one verification costs.
 MOST_MATCHES, VERIFY_COST = 16, 16.0
 #: Members of a hub's group that one salt, and one side of a block, takes; and pairs or texts that a task takes.
-SPREAD, BLOCK, A_TASK = 1000, 1000, 400
+SPREAD, BLOCK, A_TASK = 1000, 1000, 250
 #: Up to so many hubs with several salts are broadcast.
 HOT_HUBS = 100_000
 #: At most so many bits tell apart keys that are surely absent.
@@ -183,15 +183,40 @@ def _may_have(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filled[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows whose id is, by a filter, perhaps among ids: spares shuffling the others."""
-    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id").alias("p")), "p"))
+def _perhaps(ids: DataFrame, column: str = "id"):
+    """A test of a column that is true for values among ids and few others."""
+    shared = ids.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id").alias("p")), "p"))
 
     @F.pandas_udf("boolean")
     def may_have(p: pd.Series) -> pd.Series:
         return pd.Series(_may_have(shared.value, p.to_numpy()))
 
-    return rows.where(may_have(F.xxhash64("id")))
+    return may_have(F.xxhash64(F.col(column).cast("long")))
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose id is, by a filter, perhaps among ids: spares shuffling the others."""
+    return rows.where(_perhaps(ids))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among ids (id, long). Only rows that the filter doesn't clear are shuffled for it, so not the texts of all documents."""
+    flagged = docs.withColumn("_jc_perhaps", _perhaps(ids, "doc_id"))
+    gone = ids.select(F.col("id").alias("_jc_gone"))
+    rest = flagged.where("_jc_perhaps").join(gone, F.col("doc_id").cast("long") == F.col("_jc_gone"), "left_anti")
+    return flagged.where("NOT _jc_perhaps").unionByName(rest).select(*docs.columns)
+
+
+def first_of_components(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """docs (columns kept: doc_id, text and others) without those in a component with a smaller doc_id. Rows without doc_id stay; of rows with equal doc_id and text the least stays, such with different texts all stay."""
+    found = written(jaccard_components(docs))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    left = without(docs, written(gone))
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    rest = [c for c in kept if c not in ("doc_id", "text")]
+    once = left.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_jc_rest"))
+    return once.select("doc_id", "text", "_jc_rest.*").select(*kept).unionByName(left.where("doc_id IS NULL"))
 
 
 def entries(sizes: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -268,7 +268,8 @@ def pack_bytes(
 
 def pack(docs: DataFrame, tokenizer_path: str, **bounds) -> DataFrame:
     """pack_bytes() with ids (array<int>) in the place of ids_le, and ids_crc32, their digest."""
-    return with_ids(pack_bytes(docs, tokenizer_path, **bounds).withColumn("ids_crc32", F.crc32("ids_le")))
+    packed = pack_bytes(docs, tokenizer_path, **bounds).withColumn("ids_crc32", F.crc32("ids_le"))
+    return with_ids(packed.select("doc_id", "piece", "start", "length", "ids_le", "ids_crc32", "sequence_id", "offset"))
 
 
 def public_path(name: str) -> str:

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafworks.functions.folders import shared_dir
 from leafworks.functions.shipping import ship
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new local one where that is unset (single-machine tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-leafworks-"))
-    return _OWN[0]
-
 
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it: the lineage ends here and survives lost executors."""
@@ -30,7 +18,7 @@ def written(df: DataFrame) -> DataFrame:
 def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafworks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

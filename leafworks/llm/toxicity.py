@@ -246,8 +246,10 @@ def train(docs: DataFrame, labels: DataFrame, scale_rows: int = 8_000, label_row
     if not (toxic and ordinary):
         return ToxicityModel((np.zeros(0, dtype=U64), np.zeros(0)), (np.zeros(0, dtype=U64), np.zeros(0)))
     if rows <= gram_rows:
-        found = counts.toPandas().sort_values("gram")
-        model = kneser_ney(found["gram"].to_numpy(dtype=np.int64).view(U64), found["toxic"].to_numpy(), found["ordinary"].to_numpy())
+        found = counts.toArrow()
+        gram, of_toxic, of_ordinary = (found.column(c).to_numpy() for c in ("gram", "toxic", "ordinary"))
+        order = np.argsort(gram, kind="stable")
+        model = kneser_ney(gram[order].view(U64), of_toxic[order], of_ordinary[order])
     else:
         model = kneser_ney_joined(counts)
     scaled = evidence(scale, model).select("evidence", "toxic").toPandas()

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline as pipeline
-from leafworks.llm import packing
+from leafworks.llm import mixing, packing
 from tests.llm.test_operators import brute_components, brute_spans
 
 
@@ -53,5 +53,43 @@ def test_run_is_the_stages_in_turn(spark, sf_dir):
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "secret_scans", "mixing_sources", "best_fit_packing"]
 
 
+@pytest.fixture(scope="module")
+def odd(spark, make, odd_texts):
+    """Nulls, empty and very long texts, repeated rows and columns with clashing names; two rows of one id with different texts."""
+    return make([*odd_texts, (40, "one text"), (40, "another text altogether")], clashing=True)
+
+
+def key(r):
+    return (-1 if r.doc_id is None else r.doc_id, r.text or "")
+
+
+@pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES[:4]], ids=[n for n, _ in pipeline.STAGES[:4]])
+def test_stages_on_odd_rows(spark, sf_dir, odd, make, stage):
+    kept = stage(spark, odd, sf_dir[0])
+    assert kept.columns == pipeline.COLUMNS
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in odd.collect()}
+    assert stage(spark, make([]), sf_dir[0]).count() == 0
+    if stage is pipeline.near_duplicates:
+        # of the copies 0 and 4 and the repeated row 7 one stays each; both texts of id 40, the null id and empty texts stay
+        assert sorted(map(key, rows)) == sorted({key(r) for r in odd.collect()} - {(4, "One two three four five six.")})
+    if stage is pipeline.secret_scan:
+        assert sorted(map(key, rows)) == sorted(map(key, odd.collect()))
+    if stage is pipeline.toxicity:
+        assert {1, 2, 3} <= {r.doc_id for r in rows}
+
+
+def test_last_stage_on_odd_rows(spark, sf_dir, odd, make):
+    packed = pipeline.pack_sequences(spark, odd, sf_dir[0]).collect()
+    assert sum(r.piece == 0 for r in packed) == odd.count() and all(len(r.ids) == r.length for r in packed)
+    assert pipeline.pack_sequences(spark, make([]), sf_dir[0]).count() == 0
+
+
+def test_mixing_stage_is_the_operator(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet")
+    want = sorted(key(r) for r in mixing.poisson_mix(docs, mixing.WEIGHTS).collect())
+    assert sorted(key(r) for r in pipeline.mix_sources(spark, docs, sf_dir[0]).collect()) == want
+
+
 def test_public_path():
     assert re.search(r"word_bpe_49k\.json$", packing.public_path("word_bpe_49k.json"))
