@@ -23,14 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by shingle Jaccard 0.8 or more, that with the smallest doc_id stays. Rows without a doc_id stay; of rows with one doc_id, one."""
-    docs = docs.select(*COLUMNS)
-    found = written(jaccard.jaccard_components(docs))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each component of documents linked by shingle Jaccard 0.8 or more, that with the smallest doc_id stays. Rows without a doc_id stay; of rows with equal doc_id and text, the least stays, and such with different texts all do."""
+    return jaccard.first_of_components(docs.select(*COLUMNS), COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
