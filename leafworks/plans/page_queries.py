@@ -92,7 +92,7 @@ def _(t):
     return inventory(t).select("page_id", "complexity", F.array_join("traits", ",").alias("traits"))
 
 
-@query("K11_inventory_summary", "SELECT book_id, count(*) AS pages, round_even(avg(complexity), 3)::DOUBLE AS mean_complexity, count(*) FILTER (complexity > 0.6) AS complex_pages, count(*) FILTER (complexity < 0.2) AS simple_pages FROM i GROUP BY 1", ("spans",), COUNTS)
+@query("K11_inventory_summary", "SELECT book_id, count(*) AS pages, round_even(sum(round(complexity * 1000)::BIGINT)::DOUBLE / count(*), 0) / 1000 AS mean_complexity, count(*) FILTER (complexity > 0.6) AS complex_pages, count(*) FILTER (complexity < 0.2) AS simple_pages FROM i GROUP BY 1", ("spans",), COUNTS)
 def _(t):
     return L.inventory_summary(inventory(t))
 
