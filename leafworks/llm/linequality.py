@@ -104,7 +104,7 @@ def cleaned(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.select(*kept, F.col("text").alias("cleaned")).schema)
 
 
-def line_quality(docs: DataFrame, host: str = "source", max_docs: int = 20, least_left: float = 0.5, least_words: int = 50, most_repeated: float = 0.5) -> DataFrame:
+def line_quality(docs: DataFrame, host: str = "source", max_docs: int = 20, least_left: float = 0.5, least_words: int = 50, most_repeated: float = 0.5, with_text: bool = True) -> DataFrame:
     """Judges every document by itself and by how common its lines are on its host.
 
     A line is normalised to its lower-cased words; lines found in more than max_docs documents of one host are
@@ -115,22 +115,24 @@ def line_quality(docs: DataFrame, host: str = "source", max_docs: int = 20, leas
     pre-aggregated before the shuffle. A null host is a host of its own; null or empty texts have no words
     and fail; rows with equal doc_id count as documents of their own. Empty input: no rows. Extra columns are ignored.
     Returns doc_id, the five measures, base_failed, kept, n_removed_lines and n_removed_words (distinct lines, and words in all their places),
-    and cleaned, the text without these lines (of documents that aren't kept too; a null text stays null).
+    and, with_text, cleaned, the text without these lines (of documents that aren't kept too; a null text stays null). Without it no text is written or shuffled; the other columns are the same.
     """
-    rows = written(measured(docs, host).withColumn("_lq_row", F.expr("uuid()")))
+    rows = measured(docs, host).withColumn("_lq_row", F.expr("uuid()"))
+    rows = written(rows if with_text else rows.drop("text"))
     # most lines are found once: only hashes travel for the count
     seen = rows.select(F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull()).alias("h"), "_lq_row", F.explode("lines").alias("l")).select("h", F.col("l.line").alias("line"), F.col("l.words").alias("words"), "_lq_row")
     common = seen.groupBy("h", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).drop("n")
     gone = seen.join(common, ["h", "line"], "left_semi").groupBy("_lq_row").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("gone"))
     own = rows.drop("lines", "host")
-    out = cleaned(own.join(gone.hint("shuffle_hash"), "_lq_row", "left")).na.fill(0, ["n_removed_lines", "n_removed_words"])
+    both = own.join(gone.hint("shuffle_hash"), "_lq_row", "left")
+    out = (cleaned(both) if with_text else both.drop("gone")).na.fill(0, ["n_removed_lines", "n_removed_words"])
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     stays = F.col("n_words") - F.col("n_removed_words") >= least_left * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & stays).drop("_lq_row")
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
+    return line_quality(table(spark, sf_dir, "documents"), with_text=False)
 
 
 OP8_SQL = r"""

@@ -451,6 +451,9 @@ def test_line_quality_removes_common_lines(make, odd_texts):
     got = {r.doc_id: r for r in linequality.line_quality(make(texts), max_docs=20).collect()}
     assert all(got[i].cleaned == f"\nown line number {i}\n \n" and got[i].n_removed_lines == 1 for i in range(70))
     assert all(got[i].cleaned == t for i, t in texts[70:])
+    columns = [c for c in linequality.line_quality(make(texts)).columns if c != "cleaned"]
+    bare = linequality.line_quality(make(texts), max_docs=20, with_text=False)
+    assert bare.columns == columns and sorted(map(tuple, bare.collect())) == sorted(tuple(r[c] for c in columns) for r in got.values())
 
 
 def brute_spans(text):
