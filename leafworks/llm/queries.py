@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, linequality, mixing, neighbours, packing, recipes, secrets, sharding, spelling, substrings, toxicity
+from . import jaccard, licenses, linequality, mixing, neighbours, packing, ranked, recipes, secrets, sharding, spelling, substrings, toxicity
 
 QUERIES = {
     "op1_adaptive_prefix": jaccard.op1_adaptive_prefix,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_line_frequency": linequality.op8_line_frequency,
     "op9_crf": secrets.op9_crf,
     "op10_vector_best_fit": packing.op10_vector_best_fit,
+    "op11_ball_tree": ranked.op11_ball_tree,
     "op12_chunk_recipes": recipes.op12_chunk_recipes,
     "op13_composition": spelling.op13_composition,
 }
-ORACLES = {"op4_poisson_mix": mixing.OP4_SQL, "op6_hash_tree": sharding.OP6_SQL, "op7_super_kmers": substrings.OP7_SQL, "op8_line_frequency": linequality.OP8_SQL, "op12_chunk_recipes": recipes.OP12_SQL}
+ORACLES = {"op4_poisson_mix": mixing.OP4_SQL, "op6_hash_tree": sharding.OP6_SQL, "op7_super_kmers": substrings.OP7_SQL, "op8_line_frequency": linequality.OP8_SQL, "op11_ball_tree": ranked.OP11_SQL, "op12_chunk_recipes": recipes.OP12_SQL}

@@ -1,15 +1,17 @@
 """Exact dedup by recipes, spelling variants and ranked search against brute force, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
-from leafworks.llm import recipes, spelling
+from leafworks.llm import ranked, recipes, spelling
 
 
 def brute_copies(texts):
@@ -50,8 +52,6 @@ def test_copies_odd_rows(make, odd_texts, spark):
 
 
 def test_chunks_move_with_their_content():
-    import numpy as np
-
     a = long_texts()[0][1].encode()
     ends = lambda x: recipes.cuts(np.frombuffer(x, dtype=np.uint8), np.array([0, len(x)]))[0]
     one, two = ends(a), ends(b"!" + a) - 1
@@ -154,3 +154,66 @@ def test_spelling_odd_rows(make, odd_texts):
     assert got == brute_spelling(odd)
     assert spelling.spelling_variants(make([])).collect() == []
     assert spelling.spelling_variants(make([(1, None), (2, "")])).collect() == []
+
+
+def brute_ranks(texts, items):
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(t))
+    docs = [(i, Counter(words(t))) for i, t in texts if words(t)]
+    big_n, total = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(w for _, c in docs for w in c)
+    out = []
+    for item, text in dict.fromkeys(items):
+        scores = []
+        for i, c in docs:
+            m = 50 + (50 * sum(c.values()) * big_n) // total
+            s = sum(math.floor(1000 * math.log((2 * big_n + 2) / (2 * df[w] + 1))) * ((1000000000 * c[w]) // (1000 * c[w] + 20 * m)) for w in set(words(text)) if c[w])
+            if s > 0:
+                scores.append((-s, i is None, i))
+        out += [(item, k + 1, i, -s) for k, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:50])]
+    return Counter(out)
+
+
+def ranks(spark, docs, items):
+    return Counter(tuple(r) for r in ranked.ranked_search(docs, spark.createDataFrame(items, "item_id long, text string")).select("item_id", "rank", "doc_id", "score").collect())
+
+
+@pytest.mark.parametrize(("cells", "vocabulary"), [(1 << 23, 8192), (2000, 40)])
+def test_ranks_are_those_of_all_documents(spark, make, corpus, monkeypatch, cells, vocabulary):
+    monkeypatch.setattr(ranked, "CELLS", cells)
+    monkeypatch.setattr(ranked, "VOCABULARY", vocabulary)
+    texts = corpus + [(1000 + i, corpus[5][1]) for i in range(80)] + [(2000 + i, t.upper()) for i, t in corpus[:30]]
+    items = [(i, " ".join(t.split()[:25])) for i, t in corpus[::12]] + [(900, corpus[5][1]), (901, "nothing here"), (902, None), (903, ""), (904, "ban Ban BAN ban-q!"), (904, "ban Ban BAN ban-q!")]
+    assert ranks(spark, make(texts), items) == brute_ranks(texts, items)
+
+
+def test_ranks_odd_rows(spark, make, odd_texts):
+    items = [(1, "One two SIX id"), (2, "w5x5 w6x6 dup ünï"), (None, "word here x"), (3, None)]
+    assert ranks(spark, make(odd_texts, clashing=True), items) == brute_ranks(odd_texts, items)
+    assert not ranks(spark, make([]), items) and not ranks(spark, make(odd_texts), [])
+
+
+def test_limits_hold_and_prune():
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 900_000, (8, 300)) * (rng.random((8, 300)) < 0.1)
+    rows = (centre[rng.integers(0, 8, 2000)] * (rng.random((2000, 300)) < 0.9)).astype(np.float32)
+    tree = ranked.BallTree(rows, np.arange(2000))
+    queries = [(np.sort(rng.permutation(300)[:20]), rng.integers(1, 9000, 20)) for _ in range(10)]
+    weights = np.zeros((10, 300))
+    for i, (t, w) in enumerate(queries):
+        weights[i, t] = w
+    limits, exact = tree.limits(weights), tree.rows.astype(np.int64) @ weights.astype(np.int64).T
+    for node, (a, b) in enumerate(tree.span):
+        assert (exact[a:b].max(axis=0) <= limits[node]).all()
+    best = [ranked.Best() for _ in queries]
+    assert ranked.search(tree, queries, best) < 0.6 * 10 * 2000
+    for i in range(10):
+        want = np.lexsort((tree.ids, -exact[:, i]))[:50]
+        assert best[i].ids.tolist() == tree.ids[want].tolist() and best[i].score.tolist() == exact[want, i].tolist()
+
+
+def test_ranks_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    assert Counter(tuple(r) for r in ranked.op11_ball_tree(spark, "/root/testdata/sf0.001").collect()) == Counter(con.sql(ranked.OP11_SQL).fetchall())
