@@ -35,23 +35,48 @@ def published_books(books: DataFrame, editions: DataFrame, rights: DataFrame, te
     return books.where(F.col("status") == "published").join(seen.select("book_id"), "book_id", "left_semi")
 
 
+# Features that mean a narration, and those by which a rule asks for one.
+NARRATED = ["narrated", "read_along"]
+ASKS_NARRATED = ["narrated", "word_highlighting"]
+
+
 @dataclass(frozen=True)
 class EditionFacets:
     """Facets that must all hold on one and the same published edition; None leaves a facet out."""
 
     language: str | None = None
-    reading_rank: int | None = None
+    reading_level: str | None = None
+    education_phase: str | None = None
+    narrated: bool = False
+    feature: str | None = None
     price: str | None = None  # 'free' or 'paid'
 
-    def condition(self) -> Column:
-        found = F.col("publication_status") == "published"
-        if self.language is not None:
-            found &= F.col("language_code") == self.language
-        if self.reading_rank is not None:
-            found &= F.col("reading_rank") == self.reading_rank
-        if self.price is not None:
-            found &= price_is(self.price)
-        return found
+    def row(self) -> Column:
+        """The facets as a struct, as edition_matches() takes them."""
+        return F.struct(*[F.lit(v).cast("string").alias(k) for k, v in (("language", self.language), ("reading_level", self.reading_level), ("education_phase", self.education_phase), ("feature", self.feature), ("price", self.price))], F.lit(self.narrated).alias("narrated"))
+
+
+def edition_matches(asked: DataFrame, editions: DataFrame, features: DataFrame) -> DataFrame:
+    """ask_id, book_id: books with a published edition for which all that is asked holds together.
+
+    asked: ask_id, facets (a struct as of EditionFacets.row(); null or blank leaves a facet out); editions: edition_id, book_id, language_code, reading_level, education_phase, price, publication_status; features:
+    edition_id, feature. Asks meet editions by equal keys: by their language where they name one, else by its place in a list of all languages that published editions have, so no ask is tried against all editions of
+    other languages. An edition's features come as an array, joined once.
+    """
+    bridge = features.groupBy("edition_id").agg(F.collect_set("feature").alias("_features"))
+    published = editions.where("publication_status = 'published'").join(bridge, "edition_id", "left").withColumn("_features", F.coalesce("_features", F.array().cast("array<string>")))
+    given = lambda c: F.nullif(F.col(f"facets.{c}"), F.lit(""))
+    named = asked.where(given("language").isNotNull()).withColumn("_language", given("language"))
+    languages = published.select(F.col("language_code").alias("_language")).distinct()
+    open_ = asked.where(given("language").isNull())
+    every = open_.crossJoin(languages)  # a row for each language of the shop
+    keyed = named.unionByName(every)
+    joined = keyed.join(published, F.col("_language").eqNullSafe(F.col("language_code")))
+    fits = lambda c: given(c).isNull() | F.coalesce(F.col(c) == given(c), F.lit(False))
+    price = F.when(given("price") == "free", price_is("free")).when(given("price") == "paid", price_is("paid")).otherwise(True)
+    feature = given("feature").isNull() | F.array_contains("_features", given("feature"))
+    narrated_ = ~F.coalesce("facets.narrated", F.lit(False)) | F.arrays_overlap("_features", F.array(*[F.lit(x) for x in NARRATED]))
+    return joined.where(fits("reading_level") & fits("education_phase") & price & feature & narrated_).select("ask_id", "book_id").distinct()
 
 
 def price_is(kind: str, price: str = "price") -> Column:
@@ -60,9 +85,22 @@ def price_is(kind: str, price: str = "price") -> Column:
     return value == 0 if kind == "free" else value > 0
 
 
-def with_edition(books: DataFrame, editions: DataFrame, facets: EditionFacets) -> DataFrame:
-    """Books with an edition for which all facets hold: one semi join, never one a facet."""
-    return books.join(editions.where(facets.condition()).select("book_id"), "book_id", "left_semi")
+def with_edition(books: DataFrame, editions: DataFrame, features: DataFrame, facets: EditionFacets) -> DataFrame:
+    """Books with an edition for which all facets hold: one semi join, never one a facet; features are asked once, for all facets that need them."""
+    found = editions.where("publication_status = 'published'")
+    for column, value in (("language_code", facets.language), ("reading_level", facets.reading_level), ("education_phase", facets.education_phase)):
+        if value:
+            found = found.where(F.col(column) == value)
+    if facets.price in ("free", "paid"):
+        found = found.where(price_is(facets.price))
+    asked = ([F.col("feature").isin(*NARRATED)] if facets.narrated else []) + ([F.col("feature") == facets.feature] if facets.feature else [])
+    if asked:
+        # relational division: every asked feature is there
+        has = features.groupBy("edition_id").agg(*[F.bool_or(a).alias(f"_a{i}") for i, a in enumerate(asked)])
+        for i in range(len(asked)):
+            has = has.where(f"_a{i}")
+        found = found.join(has, "edition_id", "left_semi")
+    return books.join(found.select("book_id"), "book_id", "left_semi")
 
 
 def age_contains(age: int) -> Column:
@@ -113,6 +151,10 @@ def facet_counts(books: DataFrame, dims: list[str]) -> DataFrame:
     return picked.where("f.value IS NOT NULL").groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
+#: Ids of a collection that one window takes.
+STRETCH = 100_000
+
+
 def category_counts(links: DataFrame, categories: DataFrame) -> DataFrame:
     """category, n: different books of every active category that has some."""
     active = categories.where("active").select("category")
@@ -120,9 +162,21 @@ def category_counts(links: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def collection_order(members: DataFrame) -> DataFrame:
-    """position of a manual collection's books: pinned first, then by sort_order, then id."""
-    order = Window.partitionBy("collection_id").orderBy(F.desc("pinned"), "sort_order", "book_id")
-    return members.withColumn("position", F.row_number().over(order))
+    """position of a manual collection's books: pinned first, then by sort_order (nulls first), then id.
+
+    Books of one sort_order, pinned or not, are parted by ranges of ids of STRETCH; a window ranks a part, and parts are counted and summed in order, so a collection of any size makes many tasks. A row that
+    comes twice has two places.
+    """
+    key = ["collection_id", "pinned", "sort_order", "_part"]
+    rows = members.withColumn("_part", F.floor(F.col("book_id") / STRETCH))
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("collection_id").orderBy(F.desc("pinned"), "sort_order", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("book_id")))
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return ranked.join(starts, same).withColumn("position", (F.col("_before") + F.col("_r")).cast("int")).select(*members.columns, "position")
 
 
 def rule_collection(matches: DataFrame, pinned: DataFrame) -> DataFrame:
@@ -172,10 +226,6 @@ def in_category(books: DataFrame, links: DataFrame, slug: str) -> DataFrame:
     return books.join(links.where(F.col("slug") == slug).select("book_id"), "book_id", "left_semi")
 
 
-# Features that mean a narration.
-NARRATED = ["narrated", "read_along"]
-
-
 def narrated(books: DataFrame, features: DataFrame, meaning: list[str] | None = None) -> DataFrame:
     """Books with a feature that means a narration. features: book_id, feature."""
     return books.join(features.where(F.col("feature").isin(*(meaning or NARRATED))).select("book_id"), "book_id", "left_semi")
@@ -194,34 +244,61 @@ def best_description(descriptions: DataFrame, language: str) -> DataFrame:
 
 
 def effective_ids(nodes: DataFrame, missing: str = "original", hops: int = 20) -> DataFrame:
-    """id, effective_id: where merged_into chains end after at most hops steps.
+    """id, effective_id: where merged_into chains end after at most hops steps; a circle is walked hops steps far.
 
-    A target that isn't there: 'original' returns to the starting id, 'last' stays at the last id found. Pointer doubling
-    would count hops wrongly at the bound, so the chain is walked; rows that have arrived aren't joined again.
+    nodes: id, merged_into. A target that isn't there: 'original' returns to the starting id, 'last' stays at the last id found. Only merged ids walk: steps of 1, 2, 4 ... are composed and those that make up hops
+    are taken in turn, so 20 hops cost six joins. Each step's table has a row for each merged id.
     """
-    links = nodes.select(F.col("id").alias("_from"), F.col("merged_into").alias("_to"))
     known = nodes.select(F.col("id").alias("_known"))
-    links = links.where("_to IS NOT NULL").join(known, F.col("_to") == F.col("_known"), "left")
-    walk = nodes.select("id", F.col("id").alias("at"), F.lit(False).alias("lost"))
-    for _ in range(hops):
-        step = walk.join(links, (F.col("at") == F.col("_from")) & ~F.col("lost"), "left")
-        walk = step.select("id", F.coalesce("_known", "at").alias("at"), (F.col("lost") | (F.col("_to").isNotNull() & F.col("_known").isNull())).alias("lost"))
-    end = F.when(F.col("lost"), F.col("id")).otherwise(F.col("at")) if missing == "original" else F.col("at")
-    return walk.select("id", end.alias("effective_id"))
-
-
-def resolve_tags(strings: DataFrame, dims: list[DataFrame]) -> DataFrame:
-    """tag, tag_id, matched: each different lower-cased, trimmed string by the first dimension (key, tag_id) that has it; unmatched ones are pending.
-
-    dims come in order of precedence: slugs, canonical names, translations, aliases; within one the smaller id wins.
+    step = nodes.where("merged_into IS NOT NULL").select("id", "merged_into").join(known, F.col("merged_into") == F.col("_known"), "left")
+    # at: the last id found; lost: its target isn't there
+    step = step.select(F.col("id").alias("_from"), F.coalesce("_known", "id").alias("_to"), F.col("_known").isNull().alias("_gone"))
+
+    def after(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Steps a, then b from where they lead; an id that b doesn't have stays."""
+        onward = b.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"), F.col("_gone").alias("_lost"))
+        joined = a.join(onward, (F.col("_to") == F.col("_mid")) & ~F.col("_gone"), "left")
+        return joined.select("_from", F.coalesce("_end", "_to").alias("_to"), (F.col("_gone") | F.coalesce("_lost", F.lit(False))).alias("_gone"))
+
+    walk, power, left = None, step, hops
+    while left:
+        if left & 1:
+            walk = power if walk is None else after(walk, power)
+        left >>= 1
+        if left:
+            power = after(power, power)
+    if walk is None:
+        return nodes.select("id", F.col("id").alias("effective_id"))
+    end = F.when(F.col("_gone") & F.lit(missing == "original"), F.col("id")).otherwise(F.coalesce("_to", "id"))
+    return nodes.select("id").join(walk, F.col("id") == F.col("_from"), "left").select("id", end.alias("effective_id"))
+
+
+def slug(text: Column) -> Column:
+    """Lower-cased, other signs than letters, digits, spaces, - and _ dropped, runs of spaces, - and _ one -, none at the ends; @ is at. Letters aren't turned into ASCII."""
+    kept = F.regexp_replace(F.replace(F.lower(F.regexp_replace(text, "_+", "-")), F.lit("@"), F.lit("-at-")), r"[^-\p{L}\p{N}\s]+", "")
+    return F.btrim(F.regexp_replace(kept, r"[-\s]+", "-"), F.lit("-"))
+
+
+def resolve_tags(strings: DataFrame, tags: DataFrame, labels: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each book's strings mean, and the tags to be made for those that mean nothing yet.
+
+    strings: book_id, tag; tags: tag_id, slug, canonical_name, status, merged_into; labels, aliases: tag_id, name. A trimmed, lower-cased string that isn't blank is the tag with its slug, else with this canonical name,
+    else with such a label, else alias (of several the smallest tag_id), and then where that tag's merge chain ends (a broken one at the last tag found). First result: book_id, tag_id, slug, status, group: a tag once a
+    book, matched if active, pending otherwise; a string without a tag has its new slug and no tag_id. Second: slug, canonical_name of the tags to make, one a slug; a slug that is left blank is one too.
     """
-    tags = strings.select(F.lower(F.trim("tag")).alias("tag")).where("tag <> ''").distinct()
-    all_dims = None
-    for i, d in enumerate(dims):
-        part = d.select(F.lower("key").alias("tag"), "tag_id", F.lit(i).alias("priority"))
-        all_dims = part if all_dims is None else all_dims.unionByName(part)
-    best = all_dims.groupBy("tag").agg(F.min(F.struct("priority", "tag_id")).alias("b"))
-    return tags.join(best, "tag", "left").select("tag", F.col("b.tag_id").alias("tag_id"), F.col("b").isNotNull().alias("matched"))
+    asked = strings.select("book_id", F.lower(F.trim("tag")).alias("norm")).where("norm <> ''").distinct()
+    keys = asked.select("norm").distinct().withColumn("slug", slug(F.col("norm")))
+    by_slug = tags.groupBy(F.col("slug")).agg(F.min("tag_id").alias("_1"))
+    by_name = tags.groupBy(F.lower("canonical_name").alias("norm")).agg(F.min("tag_id").alias("_2"))
+    by = lambda d, c: d.groupBy(F.lower("name").alias("norm")).agg(F.min("tag_id").alias(c))
+    found = keys.join(by_slug, "slug", "left").join(by_name, "norm", "left").join(by(labels, "_3"), "norm", "left").join(by(aliases, "_4"), "norm", "left")
+    ends = effective_ids(tags.select(F.col("tag_id").alias("id"), "merged_into"), "last").select(F.col("id").alias("_hit"), F.col("effective_id").alias("tag_id"))
+    met = found.select("norm", F.col("slug").alias("_slug"), F.coalesce("_1", "_2", "_3", "_4").alias("_hit")).join(ends, "_hit", "left").join(tags.select("tag_id", F.col("slug").alias("_own"), "status"), "tag_id", "left")
+    met = met.select("norm", "tag_id", F.coalesce("_own", "_slug").alias("slug"), F.coalesce("status", F.lit("pending")).alias("status"))
+    resolved = asked.join(met, "norm").select("book_id", "tag_id", "slug", "status", F.when(F.col("status") == "active", "matched").otherwise("pending").alias("group")).distinct()
+    # the name of the first of the strings that share a new slug
+    made = met.where("tag_id IS NULL").groupBy("slug").agg(F.initcap(F.min("norm")).alias("canonical_name"))
+    return resolved, made
 
 
 def best_suggestion(suggestions: DataFrame, keys: list[str], value: str, confidence: str) -> DataFrame:
@@ -300,3 +377,46 @@ def store_badges(books: DataFrame, editions: DataFrame, narrations: DataFrame) -
 def serving_narration(narrations: DataFrame, language: str) -> DataFrame:
     """book_id, narration_id: the first completed narration in the language that isn't outdated."""
     return narrations.where((F.col("status") == "completed") & (F.col("language_code") == language) & ~F.col("is_outdated")).groupBy("book_id").agg(F.min("narration_id").alias("narration_id"))
+
+
+def collection_scope(books: DataFrame, collections: DataFrame, members: DataFrame, slug_: str | None) -> DataFrame:
+    """books inside the collection slug_: none where it is empty, all where there is no such collection (or none is asked for). collections: collection_id, slug; members: collection_id, book_id."""
+    if not slug_:
+        return books
+    chosen = collections.where(F.col("slug") == slug_).select("collection_id")
+    inside = members.join(chosen, "collection_id", "left_semi").select("book_id").distinct().withColumn("_in", F.lit(True))
+    there = chosen.agg((F.count("*") > 0).alias("_there"))  # one row
+    return books.join(inside, "book_id", "left").crossJoin(F.broadcast(there)).where(F.col("_in").isNotNull() | ~F.col("_there")).drop("_in", "_there")
+
+
+# Groups of tags that shoppers may filter by.
+FILTER_GROUPS = ["themes_and_values", "topics"]
+
+
+def filter_options(editions: DataFrame, tags: DataFrame) -> DataFrame:
+    """kind, value, label of what a shopper may choose: language (code, name) and education_phase of published editions, active tags (slug, canonical_name) of FILTER_GROUPS, under their group. Of several names of a language the last counts."""
+    published = editions.where("publication_status = 'published'")
+    none = F.lit(None).cast("string")
+    languages = published.groupBy("language_code").agg(F.max("language_name").alias("label")).select(F.lit("language").alias("kind"), F.col("language_code").alias("value"), "label")
+    phases = published.where("education_phase IS NOT NULL").select(F.lit("education_phase").alias("kind"), F.col("education_phase").alias("value"), none.alias("label")).distinct()
+    active = tags.where((F.col("status") == "active") & F.col("group").isin(*FILTER_GROUPS)).select(F.col("group").alias("kind"), F.col("slug").alias("value"), F.col("canonical_name").alias("label"))
+    return languages.where("value IS NOT NULL").unionByName(phases).unionByName(active)
+
+
+def filter_chips(filters: DataFrame) -> DataFrame:
+    """facet, value, chip of every filter that is set. language and series stand as they are, an age is introduced, narrated is a word, a level or price has its first letter raised; of the others the parts between - (category,
+    tag) or _ have. filters: facet, value."""
+    raised = lambda sep: F.array_join(F.transform(F.split("value", sep), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+    facet = F.col("facet")
+    first = F.concat(F.upper(F.substring("value", 1, 1)), F.substring("value", 2, 1 << 30))
+    chip = F.when(facet.isin("language", "series"), F.col("value")).when(facet == "age", F.concat(F.lit("Age "), "value")).when(facet == "narrated", "Narrated").when(facet.isin("reading_level", "price"), first)
+    return filters.where("coalesce(value, '') <> ''").select("facet", "value", chip.when(facet.isin("category", "tag"), raised("[- ]")).otherwise(raised("[_ ]")).alias("chip"))
+
+
+def preselected_tags(suggested: DataFrame, attached: DataFrame) -> DataFrame:
+    """book_id, tags: what a reviewer finds ticked: attached tags by name, then suggested ones that aren't pending or among them, in their order. suggested: book_id, tag, seq, pending; attached: book_id, tag."""
+    first = suggested.where("tag IS NOT NULL AND NOT coalesce(pending, false)").groupBy("book_id", "tag").agg(F.min("seq").alias("_s"))
+    own = attached.select("book_id", "tag").distinct().withColumn("_a", F.lit(True))
+    both = first.join(own, ["book_id", "tag"], "full_outer")
+    placed = F.array_sort(F.collect_list(F.struct(F.col("_a").isNull().alias("a"), F.when(F.col("_a").isNull(), F.col("_s")).alias("s"), F.col("tag").alias("t"))))
+    return both.groupBy("book_id").agg(F.transform(placed, lambda x: x["t"]).alias("tags"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from leafworks.functions.shipping import ship
 
+from .catalog import ASKS_NARRATED, edition_matches
+
 #: The manifest's shape: pages hold regions, regions hold items.
 MANIFEST = "pages array<struct<page_number: int, page_type: string, regions: array<struct<id: string, policy: string, items: array<struct<id: string, text: string, role: string>>>>>>"
 
@@ -34,16 +36,31 @@ def filtered_by_slug(books: DataFrame, links: DataFrame, known: DataFrame, slug:
     return books.join(hit, "book_id", "left").crossJoin(F.broadcast(unknown)).where("_all OR _hit").drop("_all", "_hit")
 
 
-RULES = "languages array<string>, features array<string>, age int, price string"
+RULES = "language string, reading_level string, book_type string, category string, features array<string>"
+
 
+def rule_matches(rules: DataFrame, books: DataFrame, editions: DataFrame, features: DataFrame, links: DataFrame) -> DataFrame:
+    """collection_id, book_id of rule collections among books (the visible ones: book_id, book_type). rules: collection_id, rules (JSON).
 
-def rule_matches(rules: DataFrame, books: DataFrame, editions: DataFrame) -> DataFrame:
-    """collection_id, book_id of rule collections: language (the first listed), age and price; other keys are ignored, missing ones don't filter. All on one published edition but the age."""
-    r = rules.select("collection_id", F.from_json("rules", RULES).alias("r")).select("collection_id", F.get("r.languages", F.lit(0)).alias("lang"), "r.age", "r.price")
-    published = editions.where("publication_status = 'published'").select("book_id", "language_code", F.when(F.coalesce("price", F.lit(0.0)) == 0, "free").otherwise("paid").alias("kind")).distinct()
-    met = published.join(F.broadcast(r), (F.col("lang").isNull() | (F.col("lang") == F.col("language_code"))) & (F.col("price").isNull() | (F.col("price") == F.col("kind"))))
-    aged = met.join(books.select("book_id", "age_min", "age_max"), "book_id").where("age IS NULL OR age BETWEEN age_min AND age_max")
-    return aged.select("collection_id", "book_id").distinct()
+    language (a text, or the first of a list), reading_level and, for the features narrated and word_highlighting, a narrated edition must hold on one published edition; book_type on the book; category by links (book_id, slug).
+    Keys that are missing or empty, and other keys, don't filter. Rules meet books by equal keys; only a rule without any filter takes all.
+    """
+    first = F.when(F.col("r.language").startswith("["), F.get(F.from_json("r.language", "array<string>"), F.lit(0))).otherwise(F.col("r.language"))
+    given = lambda c: F.nullif(c, F.lit(""))
+    asks = F.coalesce(F.arrays_overlap("r.features", F.array(*[F.lit(x) for x in ASKS_NARRATED])), F.lit(False))
+    none = F.lit(None).cast("string")
+    facets = F.struct(given(first).alias("language"), given(F.col("r.reading_level")).alias("reading_level"), none.alias("education_phase"), none.alias("feature"), none.alias("price"), asks.alias("narrated"))
+    r = rules.select("collection_id", F.from_json("rules", RULES).alias("r")).select(F.col("collection_id").alias("ask_id"), facets.alias("facets"), given(F.col("r.book_type")).alias("_type"), given(F.col("r.category")).alias("_category"))
+    on_edition = F.col("facets.language").isNotNull() | F.col("facets.reading_level").isNotNull() | F.col("facets.narrated")
+    by_edition = edition_matches(r.where(on_edition).select("ask_id", "facets"), editions, features).join(r.select("ask_id", "_type", "_category"), "ask_id").join(books.select("book_id", "book_type"), "book_id")
+    by_edition = by_edition.where(F.col("_type").isNull() | F.coalesce(F.col("_type") == F.col("book_type"), F.lit(False))).select("ask_id", "book_id", "_category")
+    plain = r.where(~on_edition).select("ask_id", "_type", "_category")
+    typed = plain.join(books, F.col("_type") == F.col("book_type")).select("ask_id", "book_id", "_category")
+    tied = plain.where("_type IS NULL AND _category IS NOT NULL").join(links.select("book_id", F.col("slug").alias("_category")).distinct(), "_category").join(books.select("book_id"), "book_id", "left_semi").select("ask_id", "book_id", "_category")
+    free = plain.where("_type IS NULL AND _category IS NULL").select("ask_id", "_category").crossJoin(books.select("book_id")).select("ask_id", "book_id", "_category")
+    found = by_edition.unionByName(typed).unionByName(tied).unionByName(free)
+    in_category_ = found.where("_category IS NOT NULL").join(links.select("book_id", F.col("slug").alias("_category")), ["book_id", "_category"], "left_semi")
+    return found.where("_category IS NULL").unionByName(in_category_.select(*found.columns)).select(F.col("ask_id").alias("collection_id"), "book_id").distinct()
 
 
 def locked_terms(terms: DataFrame, given: Column) -> DataFrame:

@@ -13,32 +13,84 @@ from leafworks.functions.text import word_count
 
 
 def response_errors(expected: DataFrame, received: DataFrame, extra_is_error: bool = True) -> DataFrame:
-    """unit_id, problem of every unit that doesn't answer its request: missing, extra, duplicate or empty (warning: before extra where that isn't an error)."""
-    got = received.groupBy("unit_id").agg(F.count("*").alias("_n"), F.bool_and(F.trim(F.coalesce("text", F.lit(""))) == "").alias("_blank"))
-    both = expected.select("unit_id").distinct().withColumn("_e", F.lit(True)).join(got, "unit_id", "full_outer")
-    extra = "extra" if extra_is_error else "warning:extra"
-    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_e").isNull(), extra).when(F.col("_n") > 1, "duplicate").when(F.col("_blank"), "empty")
-    return both.select("unit_id", problem.alias("problem")).where("problem IS NOT NULL")
+    """request_id, unit_id, problem, level of everything wrong with the answers to requests; a unit may have several problems.
 
+    expected: request_id, unit_id; received: request_id, unit_id, seq, text. missing and duplicate are errors, answers without a unit's id too (no_id, once for each); an id nobody asked for is extra, an
+    error or, with extra_is_error False, a warning. empty is a warning: of units asked for whose last answer (by seq) is blank or, with extra_is_error False, of any id with a blank answer.
+    """
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    named = received.where("coalesce(cast(unit_id AS string), '') <> ''")
+    got = named.groupBy("request_id", "unit_id").agg(F.count("*").alias("_n"), F.max_by(blank, "seq").alias("_last"), F.bool_or(blank).alias("_any"))
+    both = expected.select("request_id", "unit_id").distinct().withColumn("_e", F.lit(True)).join(got, ["request_id", "unit_id"], "full_outer")
+    asked = F.col("_e").isNotNull()
+    empty = asked & F.col("_last") if extra_is_error else F.col("_any")
+    told = lambda when, problem, level: F.when(when, F.struct(F.lit(problem).alias("problem"), F.lit(level).alias("level")))
+    problems = F.array_compact(F.array(
+        told(F.col("_n").isNull(), "missing", "error"), told(~asked, "extra", "error" if extra_is_error else "warning"), told(F.col("_n") > 1, "duplicate", "error"), told(empty, "empty", "warning"),
+    ))
+    found = both.select("request_id", "unit_id", F.explode(problems).alias("p")).select("request_id", "unit_id", "p.problem", "p.level")
+    nameless = received.where("coalesce(cast(unit_id AS string), '') = ''").select("request_id", F.lit(None).cast(expected.schema["unit_id"].dataType).alias("unit_id"), F.lit("no_id").alias("problem"), F.lit("error").alias("level"))
+    return found.unionByName(nameless)
+
+
+def response_verdicts(requests: DataFrame, problems: DataFrame) -> DataFrame:
+    """request_id, errors, warnings, valid (no error) of every request. problems as of response_errors()."""
+    n = problems.groupBy("request_id").agg(F.count_if(F.col("level") == "error").alias("_e"), F.count_if(F.col("level") == "warning").alias("_w"))
+    known = requests.select("request_id").distinct().join(n, "request_id", "left")
+    zero = F.lit(0).cast("long")
+    return known.select("request_id", F.coalesce("_e", zero).alias("errors"), F.coalesce("_w", zero).alias("warnings"), (F.coalesce("_e", zero) == 0).alias("valid"))
+
+
+#: White space that is trimmed from lines and pages, besides the end of a line.
+_BLANKS = " \t\n\r\x0b\0"
+
+
+def _lines(text: Column) -> Column:
+    """The trimmed lines of a text that aren't blank; any kind of line end."""
+    parts = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
 
-def resolve_targets(units: DataFrame, overrides: DataFrame, items: DataFrame) -> DataFrame:
-    """unit_id, target, resolved_by: an override even if blank, else an item's text that isn't blank, else the unit's own segment, else its source."""
-    o = overrides.select("unit_id", F.col("text").alias("_o"), F.lit(True).alias("_has"))
-    i = items.select("unit_id", F.col("text").alias("_i"))
-    joined = units.join(o, "unit_id", "left").join(i, "unit_id", "left")
-    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    by = F.when(F.col("_has"), "override").when(filled("_i"), "item").when(filled("segment"), "segment").otherwise("source")
-    text = F.when(F.col("_has"), F.col("_o")).when(filled("_i"), F.col("_i")).when(filled("segment"), F.col("segment")).otherwise(F.col("source_text"))
-    return joined.select("unit_id", text.alias("target"), by.alias("resolved_by"))
+
+def page_segments(text: Column, slots: Column) -> Column:
+    """An array of as many texts as slots: one line each; of more lines ceil(lines / slots) to each, joined by newlines, the last takes the rest; of fewer the last slots are blank. Null without lines, and for one slot with several."""
+    lines = _lines(text)
+    n, slots = F.size(lines), slots.cast("int")
+    per = F.ceil(n / slots).cast("int")
+    group = lambda i: F.slice(lines, i * per + 1, F.when(i == slots - 1, n).otherwise(per))
+    dealt = F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.when(n <= slots, F.coalesce(F.get(lines, i), F.lit(""))).otherwise(F.array_join(group(i), "\n")))
+    return F.when((slots >= 1) & (n > 0) & ((slots > 1) | (n == 1)), dealt)
 
 
 def segments(pages: DataFrame, slots: Column) -> DataFrame:
-    """book_id, slot, segment: a text's lines that aren't blank dealt to slots in order, per = ceil(lines / slots) to each, joined by newlines; the last takes the rest."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = pages.select("book_id", slots.alias("_n"), F.size(lines).alias("_l"), F.posexplode(lines).alias("_i", "line"))
-    slot = F.least(F.floor(F.col("_i") / F.ceil(F.col("_l") / F.col("_n"))), F.col("_n") - 1)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "line"))), lambda x: x["line"]), "\n")
-    return rows.withColumn("slot", slot.cast("int")).groupBy("book_id", "slot").agg(joined.alias("segment"))
+    """book_id, slot, segment of every slot of pages (book_id, text) whose text can be dealt."""
+    return pages.select("book_id", F.posexplode(page_segments(F.col("text"), slots)).alias("slot", "segment"))
+
+
+def resolve_targets(units: DataFrame, pages: DataFrame, overrides: DataFrame, items: DataFrame) -> DataFrame:
+    """edition_id, unit_id, target, resolved_by of every unit with an id: its override, even a blank one, else its item's text that isn't blank, else its own segment of the page's text, else the whole page where it is the
+    page's only unit, else, where the page has text, nothing (unresolved: the source would leak), else its source (no text at all: not translated yet).
+
+    units: edition_id, unit_id, page_number, reading_order, source_text; a page's units take its segments in reading order, equal ones by unit_id. pages: edition_id, page_number, text; overrides, items:
+    edition_id, unit_id, text; null texts are none. Windows are a page's units.
+    """
+    page = ["edition_id", "page_number"]
+    order = Window.partitionBy(*page).orderBy("reading_order", "unit_id")
+    placed = units.where("unit_id IS NOT NULL").select("edition_id", "unit_id", "page_number", "source_text", (F.row_number().over(order) - 1).alias("_slot"), F.count("*").over(Window.partitionBy(*page)).alias("_n"))
+    texts = pages.where("text IS NOT NULL").groupBy(*page).agg(F.max("text").alias("_page"))
+    o = overrides.where("text IS NOT NULL").groupBy("edition_id", "unit_id").agg(F.max("text").alias("_o"))
+    i = items.where("trim(text) <> ''").groupBy("edition_id", "unit_id").agg(F.max("text").alias("_i"))
+    joined = placed.join(texts, page, "left").join(o, ["edition_id", "unit_id"], "left").join(i, ["edition_id", "unit_id"], "left")
+    segment = F.nullif(F.get(page_segments(F.col("_page"), F.col("_n")), F.col("_slot")), F.lit(""))
+    has_text = F.btrim(F.coalesce("_page", F.lit("")), F.lit(_BLANKS)) != ""
+    steps = [("override", F.col("_o"), F.col("_o").isNotNull()), ("item", F.col("_i"), F.col("_i").isNotNull()), ("segment", F.col("_s"), F.col("_s").isNotNull()), ("page", F.col("_page"), has_text & (F.col("_n") == 1)),
+             ("unresolved", F.lit(""), has_text), ("source", F.coalesce("source_text", F.lit("")), F.lit(True))]
+    joined = joined.withColumn("_s", segment)
+    return joined.select("edition_id", "unit_id", F.coalesce(*[F.when(holds, text) for _, text, holds in steps]).alias("target"), F.coalesce(*[F.when(holds, F.lit(name)) for name, _, holds in steps]).alias("resolved_by"))
+
+
+def unresolved_units(resolved: DataFrame) -> DataFrame:
+    """edition_id, unit_id of units left blank although their page has text: such an edition goes to layout review."""
+    return resolved.where("resolved_by = 'unresolved'").select("edition_id", "unit_id")
 
 
 def flag(ratio: Column, green: float, yellow: float) -> Column:
@@ -53,25 +105,45 @@ def page_coverage(pairs: DataFrame) -> DataFrame:
 
 
 def completeness(pairs: DataFrame) -> DataFrame:
-    """book_id, page_number, problem: missing_page, or short_page where a source of 8 words or more has fewer than max(3, 40 %) of them."""
+    """book_id, page_number, problem: missing_page (no target, or a blank one), or short_page where a source of 8 words or more has fewer than max(3, 40 %) of them. Pages without source text aren't looked at."""
     n, m = word_count(F.col("source_text")), word_count(F.col("translated_text"))
-    problem = F.when(F.col("translated_text").isNull(), "missing_page").when((n >= 8) & (m < F.greatest(F.lit(3), F.floor(0.4 * n))), "short_page")
+    problem = F.when(n == 0, None).when(m == 0, "missing_page").when((n >= 8) & (m < F.greatest(F.lit(3), F.floor(0.4 * n))), "short_page")
     return pairs.select("book_id", "page_number", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def text_match(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """book_id, page_number, expected, found, passed: different ASCII words of three letters or more of the source that the target has; nothing expected passes."""
-    terms = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)))
-    want, have = terms("source_text"), terms("translated_text")
-    out = pairs.select("book_id", "page_number", F.size(want).alias("expected"), F.size(F.array_intersect(want, have)).alias("found"))
-    return out.withColumn("passed", F.when(F.col("expected") == 0, True).otherwise(F.col("found") / F.col("expected") > least))
+def significant_words(text: Column) -> Column:
+    """The different words of three letters, digits or underscores at least, of any script, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)), F.lower))
+
+
+def text_match(pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """book_id, page_number, expected, found (different words), match_rate (3 digits; 1 where nothing is expected), searchable (the output has characters), missing_sample (the first ten), passed (above least).
+
+    pages: book_id, page_number, source_text (expected), translated_text (found). Pages with nothing expected (blank), or not in the output (null), aren't looked at.
+    """
+    rows = pages.where("translated_text IS NOT NULL AND trim(coalesce(source_text, '')) <> ''")
+    rows = rows.select("book_id", "page_number", significant_words(F.col("source_text")).alias("_want"), significant_words(F.col("translated_text")).alias("_have"), (F.length("translated_text") > 0).alias("searchable"))
+    found = F.size(F.array_intersect("_want", "_have"))
+    rate = F.when(F.size("_want") == 0, 1.0).otherwise(found / F.size("_want"))
+    return rows.select("book_id", "page_number", F.size("_want").alias("expected"), found.alias("found"), F.bround(rate, 3).alias("match_rate"), "searchable",
+                       F.slice(F.array_sort(F.array_except("_want", "_have")), 1, 10).alias("missing_sample"), (rate > least).alias("passed"))
+
+
+# What a page before is introduced with, and what stands for none.
+PREVIOUS, NO_PREVIOUS = "[Previous page]: ", "(This is near the beginning of the book)"
 
 
 def previous_context(pages: DataFrame, back: int = 2, most: int = 200) -> DataFrame:
-    """book_id, page_number, context: up to back pages before, cut to most characters each, joined by newlines; a default sentence for none."""
-    frame = Window.partitionBy("book_id").orderBy("page_number").rowsBetween(-back, -1)
-    before = F.collect_list(F.substring("extracted_text", 1, most)).over(frame)
-    return pages.select("book_id", "page_number", F.when(F.size(before) == 0, "This is the first page.").otherwise(F.array_join(before, "\n")).alias("context"))
+    """book_id, page_number, context: up to back pages of those before that have text, each cut to most characters and introduced; a fixed sentence for none. A page without text has the context of its place."""
+    told = F.when(F.trim(F.coalesce("extracted_text", F.lit(""))) != "", F.concat(F.lit(PREVIOUS), F.substring(F.trim("extracted_text"), 1, most), F.lit("\n")))
+    # how many pages with text come before; a page with text looks back at the last of them
+    filled = pages.select("book_id", "page_number", told.alias("_t"))
+    before = Window.partitionBy("book_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = filled.withColumn("_k", F.count("_t").over(before))
+    texts = ranked.where("_t IS NOT NULL").select("book_id", "_k", "_t")
+    asked = ranked.select("book_id", "page_number", F.explode(F.sequence(F.col("_k") - back, F.col("_k") - 1)).alias("_k"))
+    joined = asked.join(texts, ["book_id", "_k"], "left").groupBy("book_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_k", "_t")))), lambda x: x["_t"]), "").alias("_c"))
+    return joined.select("book_id", "page_number", F.when(F.col("_c") == "", NO_PREVIOUS).otherwise(F.col("_c")).alias("context"))
 
 
 def latest_corrections(units: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -87,11 +159,41 @@ def changed_pages(now: DataFrame, state: DataFrame, key: list[str], text: str) -
     return now.select(*key, h().alias("page_hash")).join(old, key, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("page_hash"))).drop("_old")
 
 
+#: Units named of a missing character, and missing characters that are a warning only.
+NAMED, TOLERABLE = 10, 2
+
+
+def _characters(texts: DataFrame, charset: DataFrame) -> DataFrame:
+    """edition_id, unit_id, text, char, covered of every different character of a text; blanks and line ends need no glyph. A charset has a row for each code point at most."""
+    known = F.broadcast(charset.select("char").distinct().withColumn("_c", F.lit(True)))
+    chars = texts.select("edition_id", "unit_id", "text", F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where(~F.col("char").isin("", " ", "\n", "\t", "\r"))
+    return chars.join(known, "char", "left").withColumn("covered", F.col("_c").isNotNull()).drop("_c")
+
+
 def missing_glyphs(texts: DataFrame, charset: DataFrame) -> DataFrame:
-    """char, occurrences, docs of characters that the charset lacks. A text gives a row for each different character; occurrences are told by what the text loses without it."""
-    chars = texts.select("text", F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where("char <> ''").join(charset.select("char").distinct(), "char", "left_anti")
+    """edition_id, char, codepoint, occurrences, docs and units (the NAMED least unit_ids) of characters of an edition's texts (edition_id, unit_id, text) that the charset lacks.
+
+    A text gives a row for each different character; occurrences are told by what the text loses without it. The ids of a character are cut to NAMED in each task, then in each of 64 parts, then in all, so
+    nothing gathers a character's texts.
+    """
+    lost = _characters(texts, charset).where("NOT covered")
     n = F.length("text") - F.length(F.replace("text", "char", F.lit("")))
-    return chars.groupBy("char").agg(F.sum(n).cast("long").alias("occurrences"), F.count("*").alias("docs"))
+    counts = lost.groupBy("edition_id", "char").agg(F.sum(n).cast("long").alias("occurrences"), F.count("*").alias("docs"))
+    part = Window.partitionBy("edition_id", "char", F.pmod(F.xxhash64("unit_id"), F.lit(64))).orderBy("unit_id")
+    some = lost.select("edition_id", "char", "unit_id").withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= NAMED)
+    some = some.withColumn("_r", F.row_number().over(Window.partitionBy("edition_id", "char").orderBy("unit_id"))).where(F.col("_r") <= NAMED)
+    named = some.groupBy("edition_id", "char").agg(F.array_sort(F.collect_list("unit_id")).alias("units"))
+    return counts.join(named, ["edition_id", "char"]).select("edition_id", "char", F.ascii("char").alias("codepoint"), "occurrences", "docs", "units")
+
+
+def glyph_verdicts(texts: DataFrame, charset: DataFrame, missing: DataFrame) -> DataFrame:
+    """edition_id, characters, covered, missing (different ones), affected_units (different ones named), severity (ok, warning up to TOLERABLE missing, critical) of every edition; missing as of missing_glyphs()."""
+    seen = _characters(texts, charset).groupBy("edition_id", "char").agg(F.first("covered").alias("covered"))
+    counts = seen.groupBy("edition_id").agg(F.count("*").alias("characters"), F.count_if("covered").alias("covered"))
+    named = missing.select("edition_id", F.explode("units").alias("u")).groupBy("edition_id").agg(F.count_distinct("u").alias("_u"))
+    lost = F.col("characters") - F.col("covered")
+    severity = F.when(lost == 0, "ok").when(lost <= TOLERABLE, "warning").otherwise("critical")
+    return counts.join(named, "edition_id", "left").select("edition_id", "characters", "covered", lost.alias("missing"), F.coalesce("_u", F.lit(0).cast("long")).alias("affected_units"), severity.alias("severity"))
 
 
 def upsert_latest(base: DataFrame, changes: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -143,11 +245,20 @@ def score_flags(pages: DataFrame) -> DataFrame:
 
 
 def document_match(expected: DataFrame, found: DataFrame, key: str, least: float = 0.6) -> DataFrame:
-    """key, expected, found, passed: different words of a document that its counterpart has, by an equi join on words."""
-    words_ = lambda df: df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
+    """key, expected, found (different significant words), match_rate (3 digits), searchable (some page has text), encoding_ok (no replacement or control character), passed, reason of every document with a page in either table.
+
+    expected: key, text; found: key, text (a row a page). Nothing expected counts as matched if there is text. The reason is the first that holds: no_text_layer, garbled, low_match; null for none.
+    """
+    words_ = lambda df: df.select(key, F.explode(significant_words(F.col("text"))).alias("w")).distinct()
     have = words_(found).withColumn("_h", F.lit(1))
-    out = words_(expected).join(have, [key, "w"], "left").groupBy(key).agg(F.count("*").alias("expected"), F.count("_h").alias("found"))
-    return out.withColumn("passed", F.col("found") >= least * F.col("expected"))
+    hits = words_(expected).join(have, [key, "w"], "left").groupBy(key).agg(F.count("*").alias("_e"), F.count("_h").alias("_f"))
+    pages = found.groupBy(key).agg(F.bool_or(F.trim(F.coalesce("text", F.lit(""))) != "").alias("_s"), F.bool_or(F.coalesce("text", F.lit("")).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]")).alias("_bad"))
+    both = expected.select(key).unionByName(found.select(key)).distinct().join(hits, key, "left").join(pages, key, "left")
+    zero = F.lit(0).cast("long")
+    both = both.select(key, F.coalesce("_e", zero).alias("expected"), F.coalesce("_f", zero).alias("found"), F.coalesce("_s", F.lit(False)).alias("searchable"), (~F.coalesce("_bad", F.lit(False))).alias("encoding_ok"))
+    rate = F.when(F.col("expected") > 0, F.col("found") / F.col("expected")).otherwise(F.col("searchable").cast("double"))
+    reason = F.when(~F.col("searchable"), "no_text_layer").when(~F.col("encoding_ok"), "garbled").when((F.col("expected") > 0) & (rate < least), "low_match")
+    return both.select(key, "expected", "found", F.bround(rate, 3).alias("match_rate"), "searchable", "encoding_ok", reason.isNull().alias("passed"), reason.alias("reason"))
 
 
 def compact_variants(pairs: DataFrame) -> DataFrame:

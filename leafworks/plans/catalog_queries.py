@@ -52,9 +52,34 @@ def _(t):
     return C.in_category(t.books, links, "A").select("book_id")
 
 
-@query("B8_same_edition_facets", "SELECT book_id FROM pub WHERE EXISTS (SELECT 1 FROM editions e WHERE e.book_id = pub.book_id AND publication_status = 'published' AND language_code = 'l3' AND coalesce(price, 0) > 0)", GATE, VISIBLE)
+# Levels, phases and features of the editions.
+FACETED = """ed AS (SELECT *, 'r' || reading_rank AS reading_level, CASE edition_id % 3 WHEN 0 THEN 'foundation' WHEN 1 THEN 'senior' END AS education_phase FROM editions),
+ef AS (SELECT DISTINCT l_partkey * 10000 + l_suppkey AS edition_id, CASE l_returnflag WHEN 'A' THEN 'narrated' WHEN 'R' THEN 'read_along' ELSE 'word_highlighting' END AS feature FROM lineitem)"""
+
+
+def faceted(t: Inputs):
+    phase = F.when(F.col("edition_id") % 3 == 0, "foundation").when(F.col("edition_id") % 3 == 1, "senior")
+    feature = F.when(F.col("l_returnflag") == "A", "narrated").when(F.col("l_returnflag") == "R", "read_along").otherwise("word_highlighting")
+    editions = t.editions.withColumn("reading_level", F.concat(F.lit("r"), F.col("reading_rank").cast("string"))).withColumn("education_phase", phase)
+    return editions, t.lineitem.select((F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("edition_id"), feature.alias("feature")).distinct()
+
+
+@query("B8_same_edition_facets", """SELECT book_id FROM pub WHERE EXISTS (SELECT 1 FROM ed e WHERE e.book_id = pub.book_id AND publication_status = 'published' AND language_code IN ('l3', 'l8') AND coalesce(price, 0) > 0 AND education_phase = 'senior'
+ AND EXISTS (SELECT 1 FROM ef WHERE ef.edition_id = e.edition_id AND feature IN ('narrated', 'read_along')) AND EXISTS (SELECT 1 FROM ef WHERE ef.edition_id = e.edition_id AND feature = 'read_along') AND language_code = 'l3')""", GATE, VISIBLE + ", " + FACETED)
+def _(t):
+    return C.with_edition(visible(t), *faceted(t), C.EditionFacets(language="l3", price="paid", education_phase="senior", narrated=True, feature="read_along")).select("book_id")
+
+
+@query("B8_asked_facets", """SELECT DISTINCT a.ask_id, e.book_id FROM (VALUES (1, 'l3', 'r2', NULL, NULL, 'free', false), (2, NULL, NULL, 'foundation', 'word_highlighting', NULL, true), (3, 'l5', NULL, NULL, NULL, 'paid', true)) a(ask_id, l, r, p, f, c, n), ed e
+ WHERE publication_status = 'published' AND coalesce(l = language_code, true) AND coalesce(r = reading_level, true) AND (p IS NULL OR coalesce(p = education_phase, false)) AND (c IS NULL OR (c = 'free') = (coalesce(price, 0) = 0))
+ AND (f IS NULL OR EXISTS (SELECT 1 FROM ef WHERE ef.edition_id = e.edition_id AND feature = f)) AND (NOT n OR EXISTS (SELECT 1 FROM ef WHERE ef.edition_id = e.edition_id AND feature IN ('narrated', 'read_along')))""", ("editions",), FACETED)
 def _(t):
-    return C.with_edition(visible(t), t.editions, C.EditionFacets(language="l3", price="paid")).select("book_id")
+    asks = {1: C.EditionFacets(language="l3", reading_level="r2", price="free"), 2: C.EditionFacets(education_phase="foundation", feature="word_highlighting", narrated=True), 3: C.EditionFacets(language="l5", price="paid", narrated=True)}
+    asked = None
+    for i, f in asks.items():
+        row = t.spark.range(1).select(F.lit(i).alias("ask_id"), f.row().alias("facets"))
+        asked = row if asked is None else asked.unionByName(row)
+    return C.edition_matches(asked, *faceted(t))
 
 
 @query("B9_narrated", "SELECT book_id FROM pub WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = pub.book_id AND l_returnflag IN ('A', 'R'))", GATE, VISIBLE)
@@ -103,10 +128,13 @@ def _(t):
     return C.rule_collection(visible(t).where(C.age_contains(3)), t.books.where("book_id % 50 = 0").select("book_id"))
 
 
-@query("B16_collection_scope", "SELECT book_id FROM pub WHERE series = 'Brand#22' AND age_min <= 5 AND age_max >= 5", GATE, VISIBLE)
+@query("B16_collection_scope", """SELECT 'full' AS asked, book_id FROM pub WHERE series = 'Brand#22' AND age_min <= 5 AND age_max >= 5 UNION ALL SELECT 'unknown', book_id FROM pub WHERE age_min <= 5 AND age_max >= 5""", GATE, VISIBLE)
 def _(t):
-    scope = t.books.where("series = 'Brand#22'").select("book_id")
-    return visible(t).where(C.age_contains(5)).join(scope, "book_id", "left_semi").select("book_id")
+    members = t.books.select(F.col("series").alias("collection_id"), "book_id")
+    collections = members.select("collection_id", F.lower("collection_id").alias("slug")).distinct().unionByName(t.spark.createDataFrame([("none", "empty")], "collection_id string, slug string"))
+    found = visible(t).where(C.age_contains(5))
+    scoped = lambda slug: C.collection_scope(found, collections, members, slug)
+    return scoped("brand#22").select(F.lit("full").alias("asked"), "book_id").unionByName(scoped("no such").select(F.lit("unknown").alias("asked"), "book_id")).unionByName(scoped("empty").select(F.lit("empty").alias("asked"), "book_id"))
 
 
 @query("B17_band_age", """SELECT book_id, CASE age_min % 6 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 8 WHEN 3 THEN 11 WHEN 4 THEN 14 ELSE 16 END AS age FROM books""", ("books",))
@@ -120,15 +148,27 @@ def _(t):
     return C.catalogue_page(visible(t), "title_az", page=2).select("book_id", "title")
 
 
-@query("B19_language_options", "SELECT DISTINCT language_code FROM vis", GATE, VISIBLE)
+TAGS = """tg AS (SELECT p_partkey AS tag_id, split_part(p_name, ' ', 1) || '-' || split_part(p_name, ' ', 2) AS slug, p_name || ' No ' || p_partkey % 30 AS canonical_name, CASE p_partkey % 4 WHEN 0 THEN 'themes_and_values' WHEN 1 THEN 'topics' ELSE 'characters' END AS "group",
+ CASE WHEN p_partkey % 5 = 0 THEN 'pending' WHEN p_partkey % 7 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN p_partkey % 6 = 0 THEN p_partkey // 2 WHEN p_partkey % 11 = 0 THEN 999999999 END AS merged_into FROM part)"""
+
+
+def tags(t: Inputs):
+    k, word = F.col("p_partkey"), lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    return t.part.select(k.alias("tag_id"), F.concat_ws("-", word(1), word(2)).alias("slug"), F.concat("p_name", F.lit(" No "), (k % 30).cast("string")).alias("canonical_name"), F.when(k % 4 == 0, "themes_and_values").when(k % 4 == 1, "topics").otherwise("characters").alias("group"),
+                         F.when(k % 5 == 0, "pending").when(k % 7 == 0, "archived").otherwise("active").alias("status"), F.when(k % 6 == 0, F.expr("p_partkey div 2")).when(k % 11 == 0, F.lit(999999999)).cast("long").alias("merged_into"))
+
+
+@query("B19_filter_options", """SELECT DISTINCT 'language' AS kind, language_code AS value, upper(language_code) AS label FROM ed WHERE publication_status = 'published' UNION ALL SELECT DISTINCT 'education_phase', education_phase, NULL FROM ed WHERE publication_status = 'published' AND education_phase IS NOT NULL
+ UNION ALL SELECT "group", slug, canonical_name FROM tg WHERE status = 'active' AND "group" IN ('themes_and_values', 'topics')""", ("editions",), FACETED + ", " + TAGS)
 def _(t):
-    return C.visible_editions(t.editions, t.edition_rights, PLACE, DAY).select("language_code").distinct()
+    return C.filter_options(faceted(t)[0].withColumn("language_name", F.upper("language_code")), tags(t))
 
 
-@query("B20_filter_chips", "SELECT DISTINCT facet, upper(facet[1:1]) || facet[2:] AS chip FROM (SELECT split_part(book_type, ' ', 1) AS facet FROM books)", ("books",))
+@query("B20_filter_chips", """SELECT DISTINCT facet, v AS value, CASE facet WHEN 'age' THEN 'Age ' || v WHEN 'series' THEN v WHEN 'narrated' THEN 'Narrated' ELSE upper(v[1:1]) || v[2:] END AS chip FROM (SELECT unnest(['book_type', 'age', 'series', 'narrated']) AS facet,
+ unnest([split_part(book_type, ' ', 1), age_min::VARCHAR, series, CASE WHEN book_id % 3 = 0 THEN '1' ELSE '' END]) AS v FROM books) WHERE v <> ''""", ("books",))
 def _(t):
-    facet = F.split_part("book_type", F.lit(" "), F.lit(1))
-    return t.books.select(facet.alias("facet"), F.initcap(F.replace(facet, F.lit("_"), F.lit(" "))).alias("chip")).distinct()
+    values = {"book_type": F.split_part("book_type", F.lit(" "), F.lit(1)), "age": F.col("age_min").cast("string"), "series": F.col("series"), "narrated": F.when(F.col("book_id") % 3 == 0, "1").otherwise("")}
+    return C.filter_chips(t.books.select(F.explode(F.array(*[F.struct(F.lit(k).alias("facet"), v.alias("value")) for k, v in values.items()])).alias("f")).select("f.*").distinct())
 
 
 @query("B21_next_in_series", "SELECT book_id, lead(book_id) OVER (PARTITION BY series ORDER BY series_volume, book_id) AS next_id FROM books", ("books",))
@@ -158,6 +198,12 @@ def _(t):
     return C.effective_ids(t.nation.select(F.col("n_nationkey").cast("long").alias("id"), merged.cast("long").alias("merged_into"))).select(F.col("id").cast("int").alias("id"), F.col("effective_id").cast("int").alias("effective_id"))
 
 
+@query("B24_long_chains", """SELECT id, CASE WHEN id % 30 <> 29 AND lead(id, (29 - id % 30)::INT) OVER (ORDER BY id) IS NULL AND id % 30 + 20 >= (SELECT max(id) FROM s) % 30 + 1 AND id // 30 = (SELECT max(id) FROM s) // 30 THEN id ELSE least(id + 20, id // 30 * 30 + 29) END AS effective_id FROM s""", (), "s AS (SELECT o_orderkey AS id FROM (SELECT DISTINCT (o_orderkey // 4)::BIGINT AS o_orderkey FROM orders))")
+def _(t):
+    s = t.orders.select(F.expr("cast(o_orderkey div 4 AS long)").alias("id")).distinct()
+    return C.effective_ids(s.select("id", F.when(F.col("id") % 30 < 29, F.col("id") + 1).alias("merged_into")))
+
+
 @query("B26_audience_band", """SELECT p_partkey, CASE WHEN a <= 3 THEN '0-3' WHEN a <= 6 THEN '4-6' WHEN a <= 9 THEN '7-9' WHEN a <= 12 THEN '10-12' WHEN a <= 15 THEN '13-15' ELSE '16+' END AS band
  FROM (SELECT p_partkey, least(p_size, 50 - p_size) AS a FROM part)""")
 def _(t):
@@ -167,15 +213,31 @@ def _(t):
     return C.audience_band(rows, "low", "high", bands).select("p_partkey", "band")
 
 
-@query("B27_resolve_tags", """SELECT tag, tag_id, tag_id IS NOT NULL AS matched FROM (SELECT tag, coalesce(s.id, c.id) AS tag_id FROM
- (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS tag FROM part) LEFT JOIN (SELECT lower(p_mfgr) AS k, min(p_partkey) AS id FROM (SELECT split_part(p_name, ' ', 1) AS p_mfgr, p_partkey FROM part WHERE p_partkey % 3 = 0) GROUP BY 1) s ON s.k = tag
- LEFT JOIN (SELECT lower(split_part(p_name, ' ', 2)) AS k, min(p_partkey) AS id FROM part WHERE p_partkey % 100 = 0 GROUP BY 1) c ON c.k = tag) WHERE tag <> ''""")
+# A string is a tag's slug, else its whole name, else a label (the second word), else an alias (a number); the tag is followed through at most 20 merges.
+RESOLVED = """q AS (SELECT p_partkey AS book_id, unnest([' ' || upper(split_part(p_name, ' ', 1)) || '_' || split_part(p_name, ' ', 2), p_name || ' nO ' || p_partkey % 31, split_part(p_name, ' ', 2), 'alias ' || p_partkey % 50, 'New  ' || split_part(p_name, ' ', 2) || '!']) AS tag FROM part),
+a AS (SELECT DISTINCT book_id, lower(trim(tag)) AS norm FROM q WHERE trim(tag) <> ''), k AS (SELECT DISTINCT norm, trim(regexp_replace(regexp_replace(replace(norm, '_', '-'), '[^-\\p{L}\\p{N}\\s]+', '', 'g'), '[-\\s]+', '-', 'g'), '-') AS slug FROM a),
+f AS (SELECT norm, slug, coalesce((SELECT min(tag_id) FROM tg WHERE tg.slug = k.slug), (SELECT min(tag_id) FROM tg WHERE lower(canonical_name) = norm), (SELECT min(tag_id) FROM tg WHERE lower(split_part(canonical_name, ' ', 2)) = norm), (SELECT min(tag_id) FROM tg WHERE 'alias ' || tag_id % 40 = norm AND tag_id % 3 = 0)) AS hit FROM k),
+RECURSIVE_w"""
+WALK = "w AS (SELECT tag_id AS hit, tag_id AS top, 0 AS n FROM tg UNION ALL SELECT w.hit, y.tag_id, n + 1 FROM w JOIN tg x ON x.tag_id = w.top JOIN tg y ON y.tag_id = x.merged_into WHERE n < 20), e AS (SELECT hit, arg_max(top, n) AS tag_id FROM w GROUP BY 1), m AS (SELECT f.norm, tg.tag_id, coalesce(tg.slug, f.slug) AS slug, coalesce(status, 'pending') AS status FROM f LEFT JOIN e USING (hit) LEFT JOIN tg ON tg.tag_id = e.tag_id)"
+RESOLVED = RESOLVED.replace("RECURSIVE_w", WALK)
+
+
+def resolved_tags(t: Inputs):
+    known, word = tags(t), lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    strings = F.array(F.concat(F.lit(" "), F.upper(word(1)), F.lit("_"), word(2)), F.concat("p_name", F.lit(" nO "), (F.col("p_partkey") % 31).cast("string")), word(2), F.concat(F.lit("alias "), (F.col("p_partkey") % 50).cast("string")), F.concat(F.lit("New  "), word(2), F.lit("!")))
+    labels = known.select("tag_id", F.split_part("canonical_name", F.lit(" "), F.lit(2)).alias("name"))
+    aliases = known.where("tag_id % 3 = 0").select("tag_id", F.concat(F.lit("alias "), (F.col("tag_id") % 40).cast("string")).alias("name"))
+    return C.resolve_tags(t.part.select(F.col("p_partkey").alias("book_id"), F.explode(strings).alias("tag")), known, labels, aliases)
+
+
+@query("B27_resolve_tags", """SELECT DISTINCT book_id, tag_id, slug, status, CASE status WHEN 'active' THEN 'matched' ELSE 'pending' END AS "group" FROM a JOIN m USING (norm)""", (), "RECURSIVE " + TAGS + ", " + RESOLVED)
 def _(t):
-    strings = t.part.select(F.explode(F.split("p_name", " ")).alias("tag"))
-    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i)).alias("key")
-    slugs = t.part.where("p_partkey % 3 = 0").select(word(1), F.col("p_partkey").alias("tag_id"))
-    names = t.part.where("p_partkey % 100 = 0").select(word(2), F.col("p_partkey").alias("tag_id"))
-    return C.resolve_tags(strings, [slugs, names])
+    return resolved_tags(t)[0]
+
+
+@query("B27_pending_tags", "SELECT slug, array_to_string(list_transform(string_split(min(norm), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ') AS canonical_name FROM m WHERE tag_id IS NULL GROUP BY 1", (), "RECURSIVE " + TAGS + ", " + RESOLVED)
+def _(t):
+    return resolved_tags(t)[1]
 
 
 @query("B32_best_suggestion", "SELECT user_id, event_type, event_id AS value, value AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
@@ -184,3 +246,10 @@ def _(t):
     return C.best_suggestion(rows, ["user_id", "event_type"], "value", "confidence")
 
 
+
+@query("B32_preselected_tags", """SELECT book_id, list_concat(list_sort(list(slug) FILTER (o)), coalesce(list(slug ORDER BY s) FILTER (NOT o), [])) AS tags FROM (SELECT book_id, slug, min(s) AS s, bool_or(o) AS o FROM
+ (SELECT o_custkey AS book_id, 'c' || o_orderkey % 13 AS slug, o_orderkey AS s, false AS o FROM orders WHERE o_orderkey % 4 <> 1 UNION ALL SELECT o_custkey, 'c' || o_orderkey % 7, NULL, true FROM orders WHERE o_orderkey % 4 = 1) GROUP BY 1, 2) GROUP BY 1""")
+def _(t):
+    k, named = F.col("o_orderkey"), lambda n: F.concat(F.lit("c"), (F.col("o_orderkey") % n).cast("string")).alias("tag")
+    suggested = t.orders.select(F.col("o_custkey").alias("book_id"), named(13), k.alias("seq"), (k % 4 == 1).alias("pending"))
+    return C.preselected_tags(suggested, t.orders.where("o_orderkey % 4 = 1").select(F.col("o_custkey").alias("book_id"), named(7)))

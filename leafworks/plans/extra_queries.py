@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafworks.operators import catalog as C
 from leafworks.operators import extras as X
 
+from .catalog_queries import FACETED, GATE, VISIBLE, faceted, visible
 from .registry import query
 
 UNITS = "u AS (SELECT book_id * 100 + page_number AS unit_id, * FROM translation_pairs)"
@@ -39,11 +40,15 @@ def _(t):
     return X.filtered_by_slug(t.books, links, links.select("slug").distinct(), "A").select("book_id")
 
 
-@query("B14_rule_matches", """SELECT DISTINCT 1 AS collection_id, book_id FROM editions JOIN books USING (book_id) WHERE publication_status = 'published' AND language_code = 'l3' AND 5 BETWEEN age_min AND age_max
- UNION SELECT DISTINCT 2, book_id FROM editions WHERE publication_status = 'published' AND coalesce(price, 0) = 0""", ("books", "editions"))
+@query("B14_rule_matches", """SELECT 1 AS collection_id, book_id FROM pub WHERE EXISTS (SELECT 1 FROM ed e WHERE e.book_id = pub.book_id AND publication_status = 'published' AND language_code = 'l3' AND EXISTS (SELECT 1 FROM ef WHERE ef.edition_id = e.edition_id AND feature IN ('narrated', 'read_along')))
+ UNION ALL SELECT 2, book_id FROM pub WHERE book_type = (SELECT min(book_type) FROM books) AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = book_id AND l_returnflag = 'A')
+ UNION ALL SELECT 3, book_id FROM pub WHERE EXISTS (SELECT 1 FROM ed e WHERE e.book_id = pub.book_id AND publication_status = 'published' AND language_code = 'l4' AND reading_level = 'r2') UNION ALL SELECT 4, book_id FROM pub
+ UNION ALL SELECT 5, book_id FROM pub WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = book_id AND l_returnflag = 'R')""", GATE, VISIBLE + ", " + FACETED)
 def _(t):
-    rules = t.spark.createDataFrame([(1, '{"languages":["l3","l4"],"age":5,"sort":"x"}'), (2, '{"price":"free"}')], "collection_id int, rules string")
-    return X.rule_matches(rules, t.books, t.editions)
+    rules = [(1, '{"language":["l3","l4"],"features":["word_highlighting"],"sort":"x"}'), (3, '{"language":"l4","reading_level":"r2","features":["large_print"]}'), (4, '{"language":[],"category":"","age":5}'), (5, '{"category":"R"}')]
+    typed = t.books.agg(F.min("book_type").alias("b")).select(F.lit(2).alias("collection_id"), F.concat(F.lit('{"category":"A","book_type":"'), F.col("b"), F.lit('"}')).alias("rules"))
+    links = t.lineitem.select(F.col("l_partkey").alias("book_id"), F.col("l_returnflag").alias("slug"))
+    return X.rule_matches(t.spark.createDataFrame(rules, "collection_id int, rules string").unionByName(typed), visible(t), *faceted(t), links)
 
 
 @query("B23_label_fallback", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'naam ' || n_nationkey WHEN n_nationkey % 3 = 1 THEN 'name ' || n_nationkey ELSE 'Nation Key' END AS label FROM nation")

@@ -40,10 +40,15 @@ def _(t):
     return R.canonical_variants(lines.withColumn("k", F.col("book_id") * 1000 + F.col("page_number")), "source", "extracted_text", "k")
 
 
-@query("D16_document_match", """SELECT conv_id, count(*) AS expected, count(h) AS found, count(h) >= 0.6 * count(*) AS passed FROM (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM conversations WHERE role = 'user')
- LEFT JOIN (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w, 1 AS h FROM conversations WHERE role = 'assistant') USING (conv_id, w) GROUP BY 1""")
-def _(t):
-    return R.document_match(t.conversations.where("role = 'user'"), t.conversations.where("role = 'assistant'"), "conv_id")
+@query("D16_document_match", r"""SELECT conv_id, expected, found, round_even(CASE WHEN expected > 0 THEN found / expected::DOUBLE ELSE s::INT END, 3) AS match_rate, s AS searchable, NOT bad AS encoding_ok, reason IS NULL AS passed, reason FROM
+ (SELECT *, CASE WHEN NOT s THEN 'no_text_layer' WHEN bad THEN 'garbled' WHEN expected > 0 AND found < 0.6 * expected THEN 'low_match' END AS reason FROM
+ (SELECT conv_id, count(DISTINCT a.w) AS expected, count(DISTINCT b.w) AS found FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{3,}'))) AS w FROM conversations WHERE role = 'user') a USING (conv_id)
+  LEFT JOIN (SELECT DISTINCT conv_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{3,}'))) AS w FROM conversations WHERE role = 'assistant' AND conv_id % 10 <> 3) b ON b.conv_id = a.conv_id AND b.w = a.w GROUP BY 1)
+ JOIN (SELECT conv_id, coalesce(bool_or(trim(text) <> '') FILTER (role = 'assistant' AND conv_id % 10 <> 3), false) AS s, conv_id % 10 = 7 AND count(*) FILTER (role = 'assistant') > 0 AS bad FROM conversations GROUP BY conv_id) USING (conv_id))""")
+def _(t):
+    # some documents lose their text layer, of some it is garbled
+    found = t.conversations.where("role = 'assistant'").withColumn("text", F.when(F.col("conv_id") % 10 == 3, "").when(F.col("conv_id") % 10 == 7, F.concat("text", F.lit("\x01"))).otherwise(F.col("text")))
+    return R.document_match(t.conversations.where("role = 'user'").unionByName(t.conversations.where("role <> 'user'").withColumn("text", F.lit(None).cast("string"))), found, "conv_id")
 
 
 @query("D17_compact_variants", """SELECT count(*) AS total, count(translated_text) AS with_variant, count(*) FILTER (v) AS valid, round_even(100.0::DOUBLE * count(translated_text) / count(*), 1) AS coverage,

@@ -25,9 +25,11 @@ def test_rights_bounds_and_null_territories(spark):
 def test_one_edition_must_hold_all_facets(spark):
     books = spark.createDataFrame([(1,), (2,)], "book_id int")
     editions = spark.createDataFrame([(1, "af", "published", 5.0), (1, "en", "published", None), (2, "af", "published", 0.0), (2, "af", "draft", 9.0)], "book_id int, language_code string, publication_status string, price double")
-    assert rows(catalog.with_edition(books, editions, catalog.EditionFacets(language="af", price="free")), "book_id") == [(2,)]
-    assert rows(catalog.with_edition(books, editions, catalog.EditionFacets(language="en", price="free")), "book_id") == [(1,)]
-    assert rows(catalog.with_edition(books, editions, catalog.EditionFacets(language="af", price="paid")), "book_id") == [(1,)]
+    editions = editions.withColumn("edition_id", F.monotonically_increasing_id())
+    features = spark.createDataFrame([], "edition_id long, feature string")
+    assert rows(catalog.with_edition(books, editions, features, catalog.EditionFacets(language="af", price="free")), "book_id") == [(2,)]
+    assert rows(catalog.with_edition(books, editions, features, catalog.EditionFacets(language="en", price="free")), "book_id") == [(1,)]
+    assert rows(catalog.with_edition(books, editions, features, catalog.EditionFacets(language="af", price="paid")), "book_id") == [(1,)]
 
 
 def test_search_wildcards_names_and_blank(spark):
@@ -203,18 +205,6 @@ def test_phonics_lines(spark):
     assert rows(phonics.phonics_lines(df), "page_number", "pattern") == [(1, "ai"), (5, "kk")]
 
 
-def test_segments_pad_and_join(spark):
-    df = spark.createDataFrame([(1, "a\n\n b \nc\nd\ne"), (2, "x")], "book_id int, text string")
-    assert rows(reconcile.segments(df, F.lit(2)), "book_id", "slot", "segment") == [(1, 0, "a\nb\nc"), (1, 1, "d\ne"), (2, 0, "x")]
-
-
-def test_targets_keep_blank_overrides(spark):
-    units = spark.createDataFrame([(1, "s", "g"), (2, "s", "g"), (3, "s", " "), (4, "s", None)], "unit_id int, source_text string, segment string")
-    overrides = spark.createDataFrame([(1, "")], "unit_id int, text string")
-    items = spark.createDataFrame([(1, "i"), (2, " "), (3, "i")], "unit_id int, text string")
-    assert rows(reconcile.resolve_targets(units, overrides, items), "unit_id", "target", "resolved_by") == [(1, "", "override"), (2, "g", "segment"), (3, "i", "item"), (4, "s", "source")]
-
-
 def test_source_leaks_inside_longer_words(spark):
     p = spark.createDataFrame([(1, "ead the big red dog ran"), (2, "one two"), (3, "the red dog"), (4, "a big red bus"), (5, "a b c"), (6, "see www.example.org now"), (7, None)], "item_id int, text string")
     d = spark.createDataFrame([(1, "we Read  the big\nred dog ranch"), (2, "the big red dog"), (3, None), (4, "see The red dog run"), (5, "xa big red busy a b c see www.example.org now")], "doc_id int, text string")
