@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafworks.functions.shipping import ship
-
 from .catalog import ASKS_NARRATED, edition_matches
 
 #: The manifest's shape: pages hold regions, regions hold items.
@@ -136,55 +131,60 @@ def requested_families(spans: DataFrame) -> DataFrame:
     return first.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "font_name"))), lambda x: x["font_name"]), ",").alias("families"))
 
 
-def _continues(a: str, b: str) -> bool:
-    """Whether line b carries on line a: both of several words, b in lower case, a open and neither an entry with a dash; or a lone sound pattern and its examples."""
-    a, b = a.strip(), b.strip()
-    if not a or not b:
-        return False
-    dashed, bare = re.fullmatch(r"[-–—]\s*[^\W\d_]{1,4}", a), re.fullmatch(r"[^\W\d_]{1,3}", a)
-    if dashed or bare:
-        examples = [w for w in re.split(r"[,\s]+", b) if w]
-        if 1 <= len(examples) <= 3 and all(re.fullmatch(r"[^\W\d_]+", w) for w in examples) and (dashed or "," in b):
-            return True
-    entry = re.compile(r"\s[-–—]\s")
-    return a[-1] not in ".!?,:;-–—" and len(a.split()) > 1 and len(b.split()) > 1 and not entry.search(a) and not entry.search(b) and b[0].islower()
-
-
-def _merged_lines(page: pd.DataFrame) -> pd.DataFrame:
-    """Units of one page: body lines joined down their columns, each compared with what was joined so far; others as they are."""
-    rows = page.sort_values(["x0", "span_no"], kind="stable").to_dict("records")
-
-    def body(r: dict) -> bool:
-        t = r["text"] or ""
-        letters = [c for c in t if c.isalpha()]
-        return bool(t) and not r["is_page_number"] and not (letters and all(c.isupper() for c in letters) and len(t) < 30)
-
-    columns: list[tuple[list[float], list[dict]]] = []
-    for r in filter(body, rows):
-        home = next((c for c in columns if abs(r["x0"] - sum(c[0]) / len(c[0])) <= max(6.0, 0.9 * (r["y1"] - r["y0"]))), None)
-        if home is None:
-            columns.append(home := ([], []))
-        home[0].append(r["x0"])
-        home[1].append(r)
-    units = [dict(r, lines=1) for r in rows if not body(r)]
-    for _, lines in columns:
-        last = None
-        for r in sorted(lines, key=lambda z: z["y0"]):
-            line = max(1.0, last["y1"] - last["y0"], r["y1"] - r["y0"]) if last else 0.0
-            if last and -0.3 * line <= r["y0"] - last["y1"] <= 0.9 * line and _continues(last["text"], r["text"]):
-                last.update(text=f"{last['text'].rstrip()} {r['text'].lstrip()}".strip(), x0=min(last["x0"], r["x0"]), y0=min(last["y0"], r["y0"]), x1=max(last["x1"], r["x1"]), y1=max(last["y1"], r["y1"]), lines=last["lines"] + 1)
-            else:
-                last = dict(r, lines=1)
-                units.append(last)
-    units.sort(key=lambda u: (round(u["y0"] / 2), u["x0"], u["span_no"]))
-    out = pd.DataFrame(units, columns=["page_id", "span_no", "text", "x0", "y0", "x1", "y1", "lines"])
-    out.insert(1, "place", range(1, len(out) + 1))
-    return out
+# What makes a line carry on another one, as patterns of a trimmed line.
+SOUND_BULLET, SOUND = r"^[-–—]\s*\p{L}{1,4}$", r"^\p{L}{1,3}$"
+ENTRY_DASH, CLOSING = r"\s[-–—]\s", r"[.!?,:;\-–—]$"
+#: Shares of a line's height (and points at least) by which boxes of one column, and lines of one unit, may be apart.
+COLUMN_SHARE, COLUMN_POINTS, OVERLAP_SHARE, GAP_SHARE = 0.9, 6.0, 0.3, 0.9
+
+
+def _line_traits(rows: DataFrame) -> DataFrame:
+    """Adds to lines what the fold asks of them, so that no text is parsed inside it: what they can begin (sound) and be (examples), and whether they are open at the end, of several words, an entry with a dash, and in lower case."""
+    t = F.trim(F.coalesce("text", F.lit("")))
+    words_ = F.filter(F.split(t, r"[,\s]+"), lambda w: w != "")
+    examples = F.size(words_).between(1, 3) & F.forall(words_, lambda w: w.rlike(r"^\p{L}+$"))
+    several = t.rlike(r"\S\s+\S")
+    return rows.withColumns({
+        "t": t, "sound": F.when(t.rlike(SOUND_BULLET), 2).when(t.rlike(SOUND), 1).otherwise(0), "example": F.when(examples, F.when(t.contains(","), 2).otherwise(1)).otherwise(0),
+        "open": several & ~t.rlike(CLOSING), "entry": t.rlike(ENTRY_DASH), "running": several & t.rlike(r"^\p{Ll}"),
+    })
 
 
 def continuation_lines(spans: DataFrame) -> DataFrame:
-    """page_id, place (reading order), span_no (of the first line), text, box, lines: wrapped lines of one column joined to one unit. spans: page_id, span_no, text, is_page_number and the box. A task gets one page's boxes."""
-    rows = spans.select("page_id", "span_no", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_page_number", F.lit(False)).alias("is_page_number"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    ship(spans.sparkSession)
-    return rows.groupBy("page_id").applyInPandas(_merged_lines, f"page_id {kinds['page_id']}, place int, span_no {kinds['span_no']}, text string, x0 double, y0 double, x1 double, y1 double, lines int")
+    """page_id, place (from 1, by steps of 2 points down the page, then from the left), text, x0, y0, x1, y1, lines: the units of a page's lines; a line that carries on the unit above it in its column is joined to it.
+
+    spans: page_id, span_no, text, is_page_number, x0, y0, x1, y1. Page numbers, blank lines and short lines in capitals stay alone. A column is a run of body lines by their left ends without a step of over 6 points or 0.9 of
+    the line's height. Down a column a line is joined where it lies between 0.3 of a line above the unit's bottom and 0.9 below, and either it runs on in lower case after several words that are open (neither of them an entry
+    with a dash), or its one to three words are the examples of a lone sound above: a bulleted one, or, with a comma, any of three letters. The fold goes over a column's lines, an array of a page's size at most.
+    """
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), r"\P{L}", "")
+    capitals = (letters != "") & (F.upper(letters) == letters) & ~letters.rlike(r"\p{Ll}") & (F.length("text") < 30)
+    rows = _line_traits(spans.withColumn("body", (F.trim(F.coalesce("text", F.lit(""))) != "") & ~F.coalesce("is_page_number", F.lit(False)) & ~capitals))
+    alone = rows.where("NOT body").select("page_id", "span_no", F.coalesce("text", F.lit("")).alias("text"), "x0", "y0", "x1", "y1", F.lit(1).alias("lines"))
+    across = Window.partitionBy("page_id").orderBy("x0", "span_no")
+    step = F.col("x0") - F.lag("x0").over(across) > F.greatest(F.lit(COLUMN_POINTS), COLUMN_SHARE * (F.col("y1") - F.col("y0")))
+    columns = rows.where("body").withColumn("_new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("_column", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    fields = ["y0", "x0", "span_no", "t", "x1", "y1", "sound", "example", "open", "entry", "running"]
+    lines = columns.groupBy("page_id", "_column").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_lines"))
+    first = F.get("_lines", F.lit(0))
+    unit = lambda x: F.struct(*[x[f].alias(f) for f in fields], F.lit(1).alias("lines"))
+
+    def joined(u: Column, x: Column) -> Column:
+        told = {"y0": F.least(u["y0"], x["y0"]), "x0": F.least(u["x0"], x["x0"]), "t": F.concat(u["t"], F.lit(" "), x["t"]), "x1": F.greatest(u["x1"], x["x1"]), "y1": F.greatest(u["y1"], x["y1"]),
+                "sound": F.lit(0), "open": ~x["t"].rlike(CLOSING), "entry": u["entry"] | x["entry"]}
+        return F.struct(*[told.get(f, u[f]).alias(f) for f in fields], (u["lines"] + 1).alias("lines"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        u = acc["last"]
+        height = F.greatest(F.lit(1.0), u["y1"] - u["y0"], x["y1"] - x["y0"])
+        close = (x["y0"] - u["y1"]).between(-OVERLAP_SHARE * height, GAP_SHARE * height)
+        sounds = ((u["sound"] == 2) & (x["example"] > 0)) | ((u["sound"] == 1) & (x["example"] == 2))
+        goes_on = close & (sounds | (u["open"] & x["running"] & ~u["entry"] & ~x["entry"]))
+        return F.struct(F.when(goes_on, acc["done"]).otherwise(F.concat(acc["done"], F.array(u))).alias("done"), F.when(goes_on, joined(u, x)).otherwise(unit(x)).alias("last"))
+
+    rest = F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0)))
+    none = F.filter(F.array(unit(first)), lambda _: F.lit(False))
+    folded = F.aggregate(rest, F.struct(none.alias("done"), unit(first).alias("last")), fold, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+    units = lines.select("page_id", F.explode(folded).alias("u")).select("page_id", "u.span_no", F.col("u.t").alias("text"), *[f"u.{c}" for c in ("x0", "y0", "x1", "y1", "lines")])
+    order = Window.partitionBy("page_id").orderBy(F.bround(F.col("y0") / 2), "x0", "span_no")
+    return alone.unionByName(units).withColumn("place", F.row_number().over(order)).select("page_id", "place", "text", "x0", "y0", "x1", "y1", "lines")

@@ -134,10 +134,24 @@ def _(t):
     return P.file_risks(t.orders.select(F.col("o_orderkey").alias("file_id"), (F.col("o_totalprice") * 500).alias("bytes"), (F.col("o_custkey") % 1000).alias("pages")))
 
 
-@query("C30_continuation_lines")
+# Lines of a book in two columns, 2 points apart, most of them open and in lower case; the fold is a recursion down each column.
+LINES = r""" r AS (SELECT book_id AS page_id, page_number AS span_no, text, trim(coalesce(text, '')) AS t, page_number % 2 * 200.0::DOUBLE AS x0, page_number * 6.0::DOUBLE AS y0, page_number % 2 * 200.0::DOUBLE + 150 AS x1,
+ page_number * 6.0::DOUBLE + 10 AS y1, regexp_replace(coalesce(text, ''), '\P{L}', '', 'g') AS le FROM (SELECT *, CASE WHEN page_number % 5 <> 0 THEN lower(rtrim(extracted_text, '.')) ELSE extracted_text END AS text FROM book_pages)),
+b AS (SELECT *, t <> '' AND NOT (le <> '' AND upper(le) = le AND NOT regexp_matches(le, '\p{Ll}') AND length(text) < 30) AS body, list_filter(regexp_split_to_array(t, '[,\s]+'), lambda w: w <> '') AS ws FROM r),
+f AS (SELECT page_id, span_no, t, x0, y0, x1, y1, CASE WHEN regexp_full_match(t, '[-–—]\s*\p{L}{1,4}') THEN 2 WHEN regexp_full_match(t, '\p{L}{1,3}') THEN 1 ELSE 0 END AS sound,
+ CASE WHEN len(ws) BETWEEN 1 AND 3 AND len(list_filter(ws, lambda w: NOT regexp_full_match(w, '\p{L}+'))) = 0 THEN CASE WHEN contains(t, ',') THEN 2 ELSE 1 END ELSE 0 END AS example, regexp_matches(t, '\S\s+\S') AS several, regexp_matches(t, '[.!?,:;\-–—]$') AS closed,
+ regexp_matches(t, '\s[-–—]\s') AS entry, regexp_matches(t, '^\p{Ll}') AS lower, row_number() OVER (PARTITION BY page_id, x0 ORDER BY y0) AS k FROM b WHERE body),
+u AS (SELECT page_id, x0, k, 1 AS no, t, y0, y1, sound, several AND NOT closed AS open, entry, 1 AS lines, span_no FROM f WHERE k = 1 UNION ALL
+ SELECT page_id, x0, k, CASE WHEN j THEN no ELSE no + 1 END, CASE WHEN j THEN t || ' ' || t2 ELSE t2 END, CASE WHEN j THEN y0 ELSE y02 END, y12, CASE WHEN j THEN 0 ELSE sound2 END, CASE WHEN j THEN NOT closed ELSE several AND NOT closed END, CASE WHEN j THEN entry OR entry2 ELSE entry2 END, CASE WHEN j THEN lines + 1 ELSE 1 END, CASE WHEN j THEN span_no ELSE span2 END
+ FROM (SELECT u.page_id, u.x0, f.k, u.no, u.t, u.y0, u.y1, u.sound, u.open, u.entry, u.lines, u.span_no, f.t AS t2, f.y0 AS y02, f.y1 AS y12, f.sound AS sound2, f.several, f.closed, f.entry AS entry2, f.span_no AS span2,
+ f.y0 - u.y1 BETWEEN -0.3 * greatest(1, u.y1 - u.y0, 10) AND 0.9 * greatest(1, u.y1 - u.y0, 10) AND ((u.sound = 2 AND example > 0) OR (u.sound = 1 AND example = 2) OR (u.open AND f.several AND f.lower AND NOT u.entry AND NOT f.entry)) AS j FROM u JOIN f ON f.page_id = u.page_id AND f.x0 = u.x0 AND f.k = u.k + 1)),
+o AS (SELECT page_id, span_no, t AS text, x0, y0, x0 + 150 AS x1, y1, lines FROM u QUALIFY row_number() OVER (PARTITION BY page_id, x0, no ORDER BY k DESC) = 1 UNION ALL SELECT page_id, span_no, coalesce(text, ''), x0, y0, x1, y1, 1 FROM b WHERE NOT body)"""
+
+
+@query("C30_continuation_lines", "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY round_even(y0 / 2, 0), x0, span_no) AS place, text, x0, y0, x1, y1, lines FROM o", ("book_pages",), LINES, recursive=True)
 def _(t):
     n = F.col("page_number")
-    lines = t.book_pages.select(F.col("book_id").alias("page_id"), n.alias("span_no"), F.col("extracted_text").alias("text"), F.lit(False).alias("is_page_number"), (n % 2 * 200.0).alias("x0"), (n * 6.0).alias("y0"), (n % 2 * 200.0 + 150).alias("x1"), (n * 6.0 + 10).alias("y1"))
+    lines = t.book_pages.select(F.col("book_id").alias("page_id"), n.alias("span_no"), F.when(n % 5 != 0, F.lower(F.rtrim("extracted_text", F.lit(".")))).otherwise(F.col("extracted_text")).alias("text"), F.lit(False).alias("is_page_number"), (n % 2 * 200.0).alias("x0"), (n * 6.0).alias("y0"), (n % 2 * 200.0 + 150).alias("x1"), (n * 6.0 + 10).alias("y1"))
     return X.continuation_lines(lines)
 
 

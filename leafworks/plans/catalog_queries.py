@@ -230,12 +230,12 @@ def resolved_tags(t: Inputs):
     return C.resolve_tags(t.part.select(F.col("p_partkey").alias("book_id"), F.explode(strings).alias("tag")), known, labels, aliases)
 
 
-@query("B27_resolve_tags", """SELECT DISTINCT book_id, tag_id, slug, status, CASE status WHEN 'active' THEN 'matched' ELSE 'pending' END AS "group" FROM a JOIN m USING (norm)""", (), "RECURSIVE " + TAGS + ", " + RESOLVED)
+@query("B27_resolve_tags", """SELECT DISTINCT book_id, tag_id, slug, status, CASE status WHEN 'active' THEN 'matched' ELSE 'pending' END AS "group" FROM a JOIN m USING (norm)""", (), TAGS + ", " + RESOLVED, recursive=True)
 def _(t):
     return resolved_tags(t)[0]
 
 
-@query("B27_pending_tags", "SELECT slug, array_to_string(list_transform(string_split(min(norm), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ') AS canonical_name FROM m WHERE tag_id IS NULL GROUP BY 1", (), "RECURSIVE " + TAGS + ", " + RESOLVED)
+@query("B27_pending_tags", "SELECT slug, array_to_string(list_transform(string_split(min(norm), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ') AS canonical_name FROM m WHERE tag_id IS NULL GROUP BY 1", (), TAGS + ", " + RESOLVED, recursive=True)
 def _(t):
     return resolved_tags(t)[1]
 

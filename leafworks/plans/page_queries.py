@@ -201,6 +201,14 @@ def _(t):
     return L.captions(units, images, t.spans.select("page_id", F.lit(500.0).alias("height"), F.lit(20.0).alias("body_size")).distinct())
 
 
+# Islands of the boxes by their left ends.
+@query("K26_header_labels", """SELECT page_id, label_no, string_agg(word, ' ' ORDER BY round_even(y0 / 4, 0), x0, span_no) AS label, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY x0, y0, span_no)::INT AS label_no FROM
+ (SELECT *, CASE WHEN (x0 + x1) / 2 > max(x1) OVER (PARTITION BY page_id ORDER BY x0, y0, span_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 8 AND x0 > lag((x0 + x1) / 2) OVER (PARTITION BY page_id ORDER BY x0, y0, span_no) THEN 1
+ WHEN row_number() OVER (PARTITION BY page_id ORDER BY x0, y0, span_no) = 1 THEN 1 ELSE 0 END AS n FROM (SELECT page_id, span_no, 'w' || span_no AS word, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM spans))) GROUP BY 1, 2""", ("spans",))
+def _(t):
+    return L.header_labels(t.spans.withColumn("text", F.concat(F.lit(" w"), F.col("span_no").cast("string"))))
+
+
 @query("K26_header_cells")
 def _(t):
     page, n = F.col("page_id"), F.col("span_no")

@@ -24,8 +24,8 @@ class Inputs:
         return view(self.spark, self.sf_dir, name) if name in SOURCES else table(self.spark, self.sf_dir, name)
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), extra: str = ""):
-    """Registers a function of Inputs; sql may use the named views, and extra, more common table expressions."""
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), extra: str = "", recursive: bool = False):
+    """Registers a function of Inputs; sql may use the named views, and extra, more common table expressions (recursive ones if so said)."""
 
     def add(build: Callable[[Inputs], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
@@ -33,6 +33,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), extra:
             head = with_views(*views, query="") if views else ""
             if extra:
                 head = f"{head.rstrip()}, {extra} " if head else f"WITH {extra} "
+                if recursive:
+                    head = head.replace("WITH ", "WITH RECURSIVE ", 1)
             ORACLES[name] = head + sql
         return build
 
