@@ -125,7 +125,7 @@ def font_match(requested: DataFrame, fonts: DataFrame, aliases: dict[str, str],
     return both.select("family", F.coalesce("alias", "exact", F.when(weak, F.col("of_kind")), F.col("near.font")).alias("font"))
 
 
-def requested_families(spans: DataFrame) -> DataFrame:
+def page_fonts(spans: DataFrame) -> DataFrame:
     """page_id, families: the page's font names in the order of their first box (then by name), comma-joined."""
     first = spans.groupBy("page_id", "font_name").agg(F.min("span_no").alias("f"))
     return first.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "font_name"))), lambda x: x["font_name"]), ",").alias("families"))

@@ -16,20 +16,37 @@ def merge_checks(checks: DataFrame) -> DataFrame:
 REQUIRED = ("structure", "fit", "target_mapping")
 
 
-def publishable(merged: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """candidate_id, publishable: some check, none failed, and every required one passed."""
-    passed = [F.bool_or((F.col("check_name") == c) & (F.col("status") == "passed")) for c in required]
+def publishable(merged: DataFrame, issues: DataFrame, artwork: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """candidate_id, publishable of every candidate with a check, an issue or an artwork flag: some check, none failed, no issue at all, every required check passed, and no artwork that waits for approval.
+
+    merged as of merge_checks(); issues: candidate_id; artwork: candidate_id, requires_artwork_approval (once required it stays so). Issues and flags of reports that are merged are put one after another.
+    """
     every = F.lit(True)
-    for p in passed:
-        every = every & p
-    return merged.groupBy("candidate_id").agg((~F.bool_or(F.col("status") == "failed") & every).alias("publishable"))
+    for c in required:
+        every = every & F.coalesce(F.bool_or((F.col("check_name") == c) & (F.col("status") == "passed")), F.lit(False))
+    checked = merged.groupBy("candidate_id").agg((~F.bool_or(F.col("status") == "failed") & every).alias("_ok"))
+    told = issues.groupBy("candidate_id").agg(F.lit(True).alias("_issue"))
+    waits = artwork.groupBy("candidate_id").agg(F.coalesce(F.bool_or("requires_artwork_approval"), F.lit(False)).alias("_waits"))
+    both = checked.join(told, "candidate_id", "full_outer").join(waits, "candidate_id", "full_outer")
+    no = F.lit(False)
+    return both.select("candidate_id", (F.coalesce("_ok", no) & ~F.coalesce("_issue", no) & ~F.coalesce("_waits", no)).alias("publishable"))
 
 
-def readiness(merged: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """candidate_id, codes (comma-joined, in order of required): CHECK:state of every required check that is missing or hasn't passed."""
-    by = merged.groupBy("candidate_id").agg(*[F.max(F.when(F.col("check_name") == c, F.col("status"))).alias(c) for c in required])
-    code = [F.when(F.col(c).isNull(), F.lit(f"{c}:missing")).when(F.col(c) != "passed", F.concat(F.lit(f"{c}:"), F.col(c))) for c in required]
-    return by.select("candidate_id", F.array_join(F.array_compact(F.array(*code)), ",").alias("codes"))
+REPORT = "checks map<string,string>, issues array<struct<code: string, stage: string, page: int, region_id: string>>, requires_artwork_approval boolean"
+
+
+def merged_reports(reports: DataFrame) -> DataFrame:
+    """candidate_id, checks (map, by name), issues (in order of their reports), requires_artwork_approval, publishable: the reports of a candidate merged. reports: candidate_id, seq, report (a struct as of REPORT; null parts are empty).
+
+    A check that failed once stays failed, else its last status counts; issues are put together; the flag stays once set. Merging in parts gives the same. A candidate's issues are one array.
+    """
+    rows = reports.select("candidate_id", "seq", "report.*")
+    merged = merge_checks(rows.select("candidate_id", "seq", F.explode("checks").alias("check_name", "status")))
+    checks = merged.groupBy("candidate_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("check_name", "status")))).alias("checks"))
+    rest = rows.groupBy("candidate_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("issues", F.array().cast(rows.schema["issues"].dataType)).alias("i")))), lambda x: x["i"])).alias("issues"), F.coalesce(F.bool_or("requires_artwork_approval"), F.lit(False)).alias("requires_artwork_approval"))
+    able = publishable(merged, rows.where("size(issues) > 0").select("candidate_id"), rows.select("candidate_id", "requires_artwork_approval"))
+    both = rest.join(checks, "candidate_id", "left").join(able, "candidate_id", "left")
+    return both.select("candidate_id", F.coalesce("checks", F.create_map().cast("map<string,string>")).alias("checks"), "issues", "requires_artwork_approval", F.coalesce("publishable", F.lit(False)).alias("publishable"))
 
 
 def fresh_approvals(approvals: DataFrame, current: DataFrame) -> DataFrame:
@@ -38,9 +55,17 @@ def fresh_approvals(approvals: DataFrame, current: DataFrame) -> DataFrame:
     return approvals.join(now, (F.col("candidate_id") == F.col("_c")) & F.col("fingerprint").eqNullSafe(F.col("_f")) & F.col("output_hash").eqNullSafe(F.col("_h")), "left_semi")
 
 
-def approval_progress(pages: DataFrame) -> DataFrame:
-    """book_id, approved, total, complete: complete needs a page."""
-    out = pages.groupBy("book_id").agg(F.count_if("approved").alias("approved"), F.count("*").alias("total"))
+def approval_progress(pages: DataFrame, approvals: DataFrame) -> DataFrame:
+    """edition_id, approved, total, complete of every edition with a page or an approval: approvals of pages that are gone never make approved more than the pages there are; complete needs a page.
+
+    pages: edition_id, page_number; approvals: edition_id, page_number, approved (a page's one entry).
+    """
+    n = pages.groupBy("edition_id").agg(F.count("*").alias("_n"))
+    k = approvals.groupBy("edition_id").agg(F.count_if(F.coalesce("approved", F.lit(False))).alias("_k"))
+    both = n.join(k, "edition_id", "full_outer")
+    zero = F.lit(0).cast("long")
+    total = F.coalesce("_n", zero)
+    out = both.select("edition_id", F.least(F.coalesce("_k", zero), total).alias("approved"), total.alias("total"))
     return out.withColumn("complete", (F.col("total") > 0) & (F.col("approved") == F.col("total")))
 
 
@@ -73,12 +98,19 @@ def regressions(runs: DataFrame, last: int = 5) -> DataFrame:
         F.coalesce(F.abs(F.col("file_size_kb") - mean["file_size_kb"]) > 0.2 * mean["file_size_kb"], F.lit(False)).alias("resized"))
 
 
-def confidence(rows: DataFrame, scores: dict[str, tuple[float, float]]) -> DataFrame:
-    """Adds overall (weighted mean, half-even to 3 digits), below (names under their threshold, comma-joined) and review. scores: name -> (weight, threshold)."""
-    total = sum(w for w, _ in scores.values())
-    mean = sum((F.col(c) * w for c, (w, _) in scores.items()), F.lit(0.0)) / total
-    below = F.array_compact(F.array(*[F.when(F.col(c) < t, F.lit(c)) for c, (_, t) in scores.items()]))
-    return rows.withColumn("overall", F.bround(mean, 3)).withColumn("below", F.array_join(below, ",")).withColumn("review", F.size(below) > 0)
+# The scores of a region, with their weights in the overall score and the thresholds under which a person looks.
+SCORES = {
+    "extraction": (0.1, 0.8), "semantic_role": (0.1, 0.7), "translation": (0.25, 0.8), "font_match": (0.1, 0.6), "removal": (0.15, 0.9), "layout_fit": (0.15, 0.85), "visual_similarity": (0.15, 0.8),
+}
+
+
+def confidence(rows: DataFrame, scores: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Adds overall (weighted mean, half-even to 3 digits), below (a map of the scores under their threshold) and review_required (some are). Scores are columns of rows; those that are missing or null count as 1. scores: name -> (weight, threshold)."""
+    scores = scores or SCORES
+    value = {c: F.coalesce(F.col(c), F.lit(1.0)) if c in rows.columns else F.lit(1.0) for c in scores}
+    mean = sum((value[c] * w for c, (w, _) in scores.items()), F.lit(0.0)) / sum(w for w, _ in scores.values())
+    low = F.array_compact(F.array(*[F.when(value[c] < t, F.struct(F.lit(c), value[c])) for c, (_, t) in scores.items()]))
+    return rows.withColumn("overall", F.bround(mean, 3)).withColumn("below", F.map_from_entries(low)).withColumn("review_required", F.size(low) > 0)
 
 
 def status_by_events(events: DataFrame, key: str, order: str, state: str) -> DataFrame:
@@ -86,10 +118,113 @@ def status_by_events(events: DataFrame, key: str, order: str, state: str) -> Dat
     return events.groupBy(key).agg(F.max_by(state, order).alias(state))
 
 
+# Fields of a region that a reviewer may change, and what each kind of edit undoes.
+REGION_FIELDS = ["translation", "font_role", "translation_policy", "container"]
+LAYOUT_TRACKS, TEXT_TRACKS = ["layout", "artwork"], ["language", "narration"]
+
+
 def invalidated(approvals: DataFrame, edits: DataFrame) -> DataFrame:
-    """Approvals (page, approved_at) and whether a later edit (page, edited_at) undoes them."""
-    last = edits.groupBy("page").agg(F.max("edited_at").alias("_e"))
-    return approvals.join(last, "page", "left").withColumn("stale", F.coalesce(F.col("_e") > F.col("approved_at"), F.lit(False))).drop("_e")
+    """approvals and whether a later edit undoes each (stale).
+
+    approvals: edition_id, track (page, layout, artwork, language, or narration for a completed one), page_number (of a page's; else null), given_at. edits: edition_id, page_number, fields, edited_at: a page's new text (fields
+    null) undoes that page's approval and the edition's narration; an edit of a region's fields undoes layout and artwork, and language and narration too where its translation changed. Other fields undo nothing.
+    """
+    region = F.col("fields").isNotNull()
+    known = region & F.arrays_overlap("fields", F.array(*[F.lit(x) for x in REGION_FIELDS]))
+    told = lambda when, tracks: F.when(when, F.array(*[F.lit(x) for x in tracks])).otherwise(F.array().cast("array<string>"))
+    hit = F.concat(told(~region, ["page", "narration"]), told(known, LAYOUT_TRACKS), told(region & F.array_contains(F.coalesce("fields", F.array().cast("array<string>")), "translation"), TEXT_TRACKS))
+    undone = edits.select("edition_id", F.explode(hit).alias("track"), "page_number", "edited_at").withColumn("_p", F.when(F.col("track") == "page", F.col("page_number"))).groupBy("edition_id", "track", "_p").agg(F.max("edited_at").alias("_e"))
+    a = approvals.withColumn("_p", F.when(F.col("track") == "page", F.col("page_number")))
+    undone = undone.select(F.col("edition_id").alias("_i"), F.col("track").alias("_t"), F.col("_p").alias("_q"), "_e")
+    both = a.join(undone, (F.col("edition_id") == F.col("_i")) & (F.col("track") == F.col("_t")) & F.col("_p").eqNullSafe(F.col("_q")), "left")
+    return both.select(*approvals.columns, F.coalesce(F.col("_e") > F.col("given_at"), F.lit(False)).alias("stale"))
+
+
+def decoded_report(report: Column) -> Column:
+    """A stored report (JSON text) as VARIANT; one that was encoded twice is decoded again; null for anything but an object or a list."""
+    once = F.try_parse_json(report)
+    text = F.try_variant_get(once, "$", "string")
+    twice = F.when(F.schema_of_variant(once) == "STRING", F.try_parse_json(text)).otherwise(once)
+    return F.when(F.schema_of_variant(twice).rlike("^(OBJECT|ARRAY)"), twice)
+
+
+# States in which nothing is published.
+BLOCKING = ["NEEDS_LAYOUT_REVIEW", "NEEDS_LANGUAGE_REVIEW", "RENDERING", "AUTOMATED_QA"]
+TRACKS = "map<string,struct<approved: boolean, fingerprint: string, output_sha256: string>>"
+
+
+def edition_readiness(editions: DataFrame, approvals: tuple[str, ...] = ()) -> DataFrame:
+    """candidate_id, ready, codes: BLOCKING_RENDER_STATE:<state> alone in a blocking state, else what candidate_readiness() says of the stored report and approval tracks.
+
+    editions: candidate_id, render_status, render_fingerprint, output_sha256, qa_report and approval_tracks (JSON). A required check counts if the report (its part qa, where that has checks, else itself) says passed; it is bound to
+    the edition's present fingerprint and output. An approved track is bound to those it was given for. approvals: tracks that must be approved.
+    """
+    v = decoded_report(F.col("qa_report"))
+    checks = F.coalesce(F.try_variant_get(v, "$.qa.checks", "map<string,string>"), F.try_variant_get(v, "$.checks", "map<string,string>"))
+    known = editions.select("candidate_id", "render_status", F.coalesce("render_fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("output_sha256", F.lit("")).alias("output_sha256"), checks.alias("_checks"), F.from_json("approval_tracks", TRACKS).alias("_tracks"))
+    blocked = F.coalesce(F.col("render_status").isin(*BLOCKING), F.lit(False))
+    open_ = known.where(~blocked)
+    asked = lambda keys: F.array(*[F.lit(k) for k in keys]).cast("array<string>")
+    candidates = open_.select("candidate_id", "fingerprint", "output_sha256", asked(REQUIRED).alias("required_checks"), asked(approvals).alias("required_approvals"))
+    passed = open_.select("candidate_id", "fingerprint", "output_sha256", F.explode("_checks").alias("key", "status")).where(F.col("key").isin(*REQUIRED) & (F.col("status") == "passed"))
+    given = open_.select("candidate_id", F.explode("_tracks").alias("key", "t")).where("t.approved").select("candidate_id", "key", F.lit("approved").alias("status"), F.col("t.fingerprint").alias("candidate_fingerprint"), F.col("t.output_sha256").alias("output_sha256"))
+    found = candidate_readiness(candidates, passed.withColumnRenamed("fingerprint", "candidate_fingerprint"), given)
+    held = known.where(blocked).select("candidate_id", F.lit(False).alias("ready"), F.array(F.concat(F.lit("BLOCKING_RENDER_STATE:"), "render_status")).alias("codes"))
+    return found.unionByName(held)
+
+
+def deviation_pages(editions: DataFrame) -> DataFrame:
+    """edition_id, page_number of pages that a stored report (qa_report) tells of: the entries of structureDeviations, else of review_pages. An entry that is a whole number is a page, else a numeric key is one, else the entry's number; 0 is none."""
+    v = decoded_report(F.col("qa_report"))
+    first = F.try_variant_get(v, "$.structureDeviations", "variant")
+    there = first.isNotNull() & ~F.is_variant_null(first)
+    at = lambda kind: F.when(there, F.try_variant_get(v, "$.structureDeviations", kind)).otherwise(F.try_variant_get(v, "$.review_pages", kind))
+    rows = editions.select("edition_id", at("array<variant>").alias("_a"), at("map<string,variant>").alias("_m"))
+    entries = rows.select("edition_id", F.posexplode("_a").alias("k", "x")).select("edition_id", F.col("k").cast("string").alias("k"), "x").unionByName(rows.select("edition_id", F.explode("_m").alias("k", "x")))
+    whole = F.when(F.schema_of_variant("x") == "BIGINT", F.try_variant_get("x", "$", "long"))
+    keyed = F.when(F.col("k").rlike(r"^\s*[+-]?\d+(\.\d*)?$"), F.expr("try_cast(k AS double)").cast("long"))
+    loose = F.coalesce(F.expr("try_cast(regexp_extract(try_variant_get(x, '$', 'string'), '^[ \t]*[+-]?[0-9]+', 0) AS long)"), F.lit(0).cast("long"))
+    return entries.select("edition_id", F.coalesce(whole, keyed, loose).alias("page_number")).where("page_number <> 0").distinct()
+
+
+def review_queue(pages: DataFrame, editions: DataFrame, only: str = "all") -> DataFrame:
+    """The pages to review, with place (from 1, by page_number), quality_flag (gray for none), review_status (unreviewed for none) and has_deviation (the stored report tells of the page): flagged ones (yellow, red), approved or rejected ones, or all.
+
+    pages: edition_id, page_number, quality_flag, review_status and others; editions: edition_id, qa_report.
+    """
+    kept = pages
+    if only == "flagged":
+        kept = pages.where(F.col("quality_flag").isin("yellow", "red"))
+    elif only in ("approved", "rejected"):
+        kept = pages.where(F.col("review_status") == only)
+    told = deviation_pages(editions).withColumn("has_deviation", F.lit(True))
+    out = kept.join(told, ["edition_id", "page_number"], "left").withColumns({"has_deviation": F.coalesce("has_deviation", F.lit(False)), "quality_flag": F.coalesce("quality_flag", F.lit("gray")), "review_status": F.coalesce("review_status", F.lit("unreviewed"))})
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("edition_id").orderBy("page_number")))
+
+
+def reviewer_list(pages: DataFrame, originals: DataFrame, editions: DataFrame, only: str = "all") -> DataFrame:
+    """The translated pages of all statuses, or of one, each with original_text ('' where the book has no such page). pages: edition_id, page_number, review_status and others; originals: book_id, page_number, extracted_text; editions: edition_id, book_id."""
+    kept = pages if only == "all" else pages.where(F.col("review_status") == only)
+    texts = originals.groupBy("book_id", "page_number").agg(F.min("extracted_text").alias("_t"))
+    return kept.join(editions.select("edition_id", "book_id"), "edition_id").join(texts, ["book_id", "page_number"], "left").select(*pages.columns, F.coalesce("_t", F.lit("")).alias("original_text"))
+
+
+def review_stats(pages: DataFrame) -> DataFrame:
+    """edition_id, total, approved, unreviewed, needs_edit, avg_score (of the scores there are, 1 digit, 0 for none). pages: edition_id, review_status, confidence_score."""
+    n = lambda s: F.count_if(F.col("review_status") == s).alias(s)
+    return pages.groupBy("edition_id").agg(F.count("*").alias("total"), n("approved"), n("unreviewed"), n("needs_edit"), F.round(F.coalesce(F.avg("confidence_score"), F.lit(0.0)), 1).alias("avg_score"))
+
+
+def flagged_pages(pages: DataFrame, records: DataFrame, inputs: DataFrame) -> DataFrame:
+    """edition_id, page_number, status, flagged of every page to be looked at: the status of its last record (by seq), not_run without one, or where the edition's source or output is missing; whatever isn't passed is flagged.
+
+    pages: edition_id, page_number; records: edition_id, page_number, seq, status; inputs: edition_id, complete (both files are there; not listed: no).
+    """
+    last = records.groupBy("edition_id", "page_number").agg(F.max_by("status", "seq").alias("_s"))
+    there = inputs.groupBy("edition_id").agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("_c"))
+    both = pages.distinct().join(last, ["edition_id", "page_number"], "left").join(there, "edition_id", "left")
+    status = F.when(F.coalesce("_c", F.lit(False)), F.coalesce("_s", F.lit("not_run"))).otherwise("not_run")
+    return both.select("edition_id", "page_number", status.alias("status"), (status != "passed").alias("flagged"))
 
 
 def overflow(spans: DataFrame, width: float, height: float, margin: float = 2.0) -> DataFrame:
@@ -123,19 +258,19 @@ def least_sizes(rows: DataFrame, default: float, floors: list[tuple[str, DataFra
     return out.withColumn("least_size", F.greatest(F.lit(default), *[F.coalesce(c, F.lit(0.0)) for c in cols])).drop(*[f"_f{i}" for i in range(len(floors))])
 
 
-def edition_state(editions: DataFrame, blocking: list[str], ready: DataFrame) -> DataFrame:
-    """candidate_id, state: a blocking render status first, else ready or its open codes."""
-    joined = editions.join(ready, "candidate_id", "left")
-    state = F.when(F.col("render_status").isin(*blocking), F.concat(F.lit("blocked:"), F.col("render_status"))).when(F.col("codes") == "", "ready").otherwise(F.coalesce("codes", F.lit("no_checks")))
-    return joined.select("candidate_id", state.alias("state"))
-
-
-def contained_lines(words_: DataFrame, regions: DataFrame, slack: float = 2.0) -> DataFrame:
-    """page_id, region, lines, boxes: boxes whose centre lies in a region (widened by slack) of their page, and their different rounded tops."""
-    r = regions.select("page_id", "region", *[F.col(c).alias(f"{c}_r") for c in ("x0", "y0", "x1", "y1")])
+def contained_lines(words_: DataFrame, regions: DataFrame, slack: float = 2.0, margin: float = 1.0) -> DataFrame:
+    """page_id, region, lines, boxes, clipped, and the bounds bx0, by0, bx1, by1 (1 digit) of the boxes whose centre lies in a region (widened by slack) of their page: lines are their different rounded tops, clipped those that leave the
+    region by over margin. A region without boxes has no lines, no clipped ones and null bounds.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    r = regions.select("page_id", "region", *[F.col(c).alias(f"{c}_r") for c in box])
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = cx.between(F.col("x0_r") - slack, F.col("x1_r") + slack) & cy.between(F.col("y0_r") - slack, F.col("y1_r") + slack)
-    return words_.join(r, "page_id").where(inside).groupBy("page_id", "region").agg(F.count_distinct(F.bround("y0")).alias("lines"), F.count("*").alias("boxes"))
+    out = (F.col("x0") < F.col("x0_r") - margin) | (F.col("x1") > F.col("x1_r") + margin) | (F.col("y0") < F.col("y0_r") - margin) | (F.col("y1") > F.col("y1_r") + margin)
+    bounds = [F.bround(f(c), 1).alias(f"b{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    found = words_.join(r, "page_id").where(inside).groupBy("page_id", "region").agg(F.count_distinct(F.bround("y0")).alias("lines"), F.count("*").alias("boxes"), F.count_if(out).alias("clipped"), *bounds)
+    zero = F.lit(0).cast("long")
+    return regions.select("page_id", "region").join(found, ["page_id", "region"], "left").select("page_id", "region", *[F.coalesce(c, zero).alias(c) for c in ("lines", "boxes", "clipped")], *[f"b{c}" for c in box])
 
 
 def candidate_readiness(candidates: DataFrame, checks: DataFrame, approvals: DataFrame) -> DataFrame:

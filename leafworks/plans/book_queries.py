@@ -119,9 +119,9 @@ def _(t):
     return X.font_match(t.part.select(F.col("p_name").alias("family")), fonts.withColumn("category", kind), ALIASES, HINTS, LIKED)
 
 
-@query("K20_requested_families", "SELECT page_id, array_to_string(list(font_name ORDER BY f, font_name), ',') AS families FROM (SELECT page_id, font_name, min(span_no) AS f FROM spans GROUP BY 1, 2) GROUP BY 1", ("spans",))
+@query("K20_page_fonts", "SELECT page_id, array_to_string(list(font_name ORDER BY f, font_name), ',') AS families FROM (SELECT page_id, font_name, min(span_no) AS f FROM spans GROUP BY 1, 2) GROUP BY 1", ("spans",))
 def _(t):
-    return X.requested_families(t.spans)
+    return X.page_fonts(t.spans)
 
 
 @query("K21_link_risks", """SELECT page_id, len(l) AS links, len(list_filter(l, lambda x: regexp_matches(lower(x), '^(javascript|file|data|vbscript):'))) AS risky FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")

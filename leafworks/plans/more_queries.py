@@ -95,20 +95,33 @@ def _(t):
     return R.exercise_contracts(t.documents.select(F.col("doc_id").alias("book_id"), (F.col("doc_id") % 9).alias("page_number"), "text"))
 
 
-@query("E4_edition_state", """SELECT candidate_id, CASE WHEN candidate_id % 10 = 3 THEN 'blocked:stale' WHEN codes = '' THEN 'ready' ELSE codes END AS state FROM (SELECT candidate_id, array_to_string(list_filter([c1, c2, c3], lambda x: x IS NOT NULL), ',') AS codes FROM (SELECT candidate_id,
- CASE WHEN s IS NULL THEN 'structure:missing' WHEN s <> 'passed' THEN 'structure:' || s END AS c1, CASE WHEN f IS NULL THEN 'fit:missing' WHEN f <> 'passed' THEN 'fit:' || f END AS c2,
- CASE WHEN g IS NULL THEN 'target_mapping:missing' WHEN g <> 'passed' THEN 'target_mapping:' || g END AS c3 FROM (SELECT candidate_id, max(status) FILTER (check_name = 'structure') AS s,
- max(status) FILTER (check_name = 'fit') AS f, max(status) FILTER (check_name = 'target_mapping') AS g FROM m GROUP BY 1)))""", ("checks",), MERGED)
+# Reports are written as text, of every third candidate inside another one, of every seventh encoded twice; every eleventh candidate has none.
+EDITIONS = f"""{MERGED}, e AS (SELECT candidate_id, CASE WHEN candidate_id % 10 = 3 THEN 'RENDERING' WHEN candidate_id % 10 = 4 THEN 'NEEDS_LANGUAGE_REVIEW' ELSE 'READY_FOR_REVIEW' END AS st, CASE WHEN candidate_id % 13 <> 0 THEN 'f' || candidate_id % 7 ELSE '' END AS fp, candidate_id % 11 <> 0 AS has FROM m GROUP BY 1),
+i AS (SELECT e.candidate_id, 'CHECK_UNRESOLVED_OR_STALE:' || r.key AS code FROM e, (VALUES ('structure'), ('fit'), ('target_mapping')) r(key) WHERE fp <> '' AND st = 'READY_FOR_REVIEW' AND NOT (has AND EXISTS (SELECT 1 FROM m WHERE m.candidate_id = e.candidate_id AND check_name = r.key AND status = 'passed'))
+ UNION ALL SELECT candidate_id, 'APPROVAL_PENDING_OR_STALE:layout' FROM e WHERE fp <> '' AND st = 'READY_FOR_REVIEW' AND (candidate_id % 5 = 0 OR candidate_id % 6 = 1) UNION ALL SELECT candidate_id, 'INVALID_GATE_INPUT' FROM e WHERE fp = '' AND st = 'READY_FOR_REVIEW' UNION ALL SELECT candidate_id, 'BLOCKING_RENDER_STATE:' || st FROM e WHERE st <> 'READY_FOR_REVIEW')"""
+
+
+@query("E4_edition_readiness", "SELECT e.candidate_id, count(code) = 0 AS ready, coalesce(string_agg(code, ',' ORDER BY code), '') AS codes FROM e LEFT JOIN i ON i.candidate_id = e.candidate_id GROUP BY 1", ("checks",), EDITIONS)
 def _(t):
-    merged = G.merge_checks(t.checks)
-    editions = merged.select("candidate_id", F.when(F.col("candidate_id") % 10 == 3, "stale").otherwise("rendered").alias("render_status")).distinct()
-    return G.edition_state(editions, ["stale", "failed"], G.readiness(merged))
+    id_ = F.col("candidate_id")
+    finger, hash_ = F.concat(F.lit("f"), (id_ % 7).cast("string")), F.concat(F.lit("h"), (id_ % 3).cast("string"))
+    plain = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("check_name", "status"))).alias("checks")))
+    report = F.when(id_ % 3 == 0, F.concat(F.lit('{"publishable":false,"checks":{"fit":"passed"},"qa":'), plain, F.lit("}"))).otherwise(plain)
+    report = F.when(id_ % 7 == 0, F.concat(F.lit('"'), F.replace(report, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(report)
+    tracks = F.to_json(F.create_map(F.lit("layout"), F.struct((id_ % 5 != 0).alias("approved"), F.when(id_ % 6 != 1, finger).otherwise("old").alias("fingerprint"), hash_.alias("output_sha256"))))
+    editions = G.merge_checks(t.checks).groupBy("candidate_id").agg(F.when(id_ % 11 != 0, report).alias("qa_report")).select(
+        "candidate_id", "qa_report", F.when(id_ % 10 == 3, "RENDERING").when(id_ % 10 == 4, "NEEDS_LANGUAGE_REVIEW").otherwise("READY_FOR_REVIEW").alias("render_status"), F.when(id_ % 13 != 0, finger).alias("render_fingerprint"),
+        hash_.alias("output_sha256"), tracks.alias("approval_tracks"))
+    return G.edition_readiness(editions, ("layout",)).withColumn("codes", F.array_join("codes", ","))
 
 
-@query("E9_flagged_pages", "SELECT book_id, page_number, coalesce(s, 'not_run') AS status FROM u LEFT JOIN (SELECT doc_id AS book_id, CASE WHEN max(quality) = 0 THEN 'flagged' ELSE 'clear' END AS s FROM labels GROUP BY 1) USING (book_id)", ("translation_pairs",), UNITS)
+@query("E9_flagged_pages", """SELECT edition_id, page_number, s AS status, s <> 'passed' AS flagged FROM (SELECT conv_id AS edition_id, p.turn AS page_number, CASE WHEN conv_id % 9 = 0 THEN 'not_run' ELSE coalesce(r.s, 'not_run') END AS s FROM (SELECT DISTINCT conv_id, turn FROM conversations) p
+ LEFT JOIN (SELECT conv_id, turn - turn % 3 AS turn, CASE arg_max(turn, turn) % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE 'passed' END AS s FROM conversations GROUP BY 1, 2) r USING (conv_id, turn))""")
 def _(t):
-    seen = t.labels.groupBy(F.col("doc_id").alias("book_id")).agg(F.when(F.max("quality") == 0, "flagged").otherwise("clear").alias("s"))
-    return t.translation_pairs.join(seen, "book_id", "left").select("book_id", "page_number", F.coalesce("s", F.lit("not_run")).alias("status"))
+    n, of = F.col("turn"), F.col("conv_id").alias("edition_id")
+    records = t.conversations.select(of, (n - n % 3).alias("page_number"), n.alias("seq"), F.when(n % 3 == 1, "failed").otherwise("passed").alias("status"))
+    inputs = t.conversations.select(of, (F.col("conv_id") % 9 != 0).alias("complete")).distinct()
+    return G.flagged_pages(t.conversations.select(of, n.alias("page_number")), records, inputs)
 
 
 @query("E15_least_sizes", "SELECT page_id, span_no, greatest(9.0, CASE role WHEN 'A' THEN 12.0 ELSE 0 END, CASE font_name WHEN 'F3' THEN 14.0 ELSE 0 END)::DOUBLE AS least_size FROM spans", ("spans",))
@@ -118,11 +131,13 @@ def _(t):
     return G.least_sizes(t.spans, 9.0, [("role", role), ("font_name", font)]).select("page_id", "span_no", "least_size")
 
 
-@query("E29_contained_lines", """SELECT s.page_id, r.role AS region, count(DISTINCT round_even(s.y0, 0)) AS lines, count(*) AS boxes FROM spans s JOIN (SELECT page_id, role, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM spans GROUP BY 1, 2) r ON s.page_id = r.page_id
+@query("E29_contained_lines", """SELECT r.page_id, r.role AS region, count(DISTINCT round_even(s.y0, 0)) AS lines, count(s.page_id) AS boxes, count(*) FILTER (s.x0 < r.x0 - 1 OR s.x1 > r.x1 + 1 OR s.y0 < r.y0 - 1 OR s.y1 > r.y1 + 1) AS clipped, round_even(min(s.x0), 1) AS bx0, round_even(min(s.y0), 1) AS by0, round_even(max(s.x1), 1) AS bx1, round_even(max(s.y1), 1) AS by1
+ FROM (SELECT page_id, role, min(x0)::DOUBLE + 5 AS x0, min(y0)::DOUBLE + 200 AS y0, max(x1)::DOUBLE - 40 AS x1, max(y1)::DOUBLE AS y1 FROM spans GROUP BY 1, 2) r LEFT JOIN (SELECT page_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM spans) s ON s.page_id = r.page_id
  AND (s.x0 + s.x1) / 2 BETWEEN r.x0 - 2 AND r.x1 + 2 AND (s.y0 + s.y1) / 2 BETWEEN r.y0 - 2 AND r.y1 + 2 GROUP BY 1, 2""", ("spans",))
 def _(t):
-    regions = t.spans.groupBy("page_id", F.col("role").alias("region")).agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
-    return G.contained_lines(t.spans, regions)
+    boxes = t.spans.select("page_id", "role", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    regions = boxes.groupBy("page_id", F.col("role").alias("region")).agg((F.min("x0") + 5).alias("x0"), (F.min("y0") + 200).alias("y0"), (F.max("x1") - 40).alias("x1"), F.max("y1").alias("y1"))
+    return G.contained_lines(boxes, regions)
 
 
 @query("K12_text_summary", "SELECT page_id, count(*) AS spans, count(DISTINCT font_size) AS sizes, count(DISTINCT font_name) AS fonts FROM spans GROUP BY 1", ("spans",))
@@ -143,6 +158,16 @@ def _(t):
     return L.policy_cascade(rows, ["unit", "language"], "none").drop("unit", "language")
 
 
+POLICY = ('{"publisher_default":{"body":"F', '","head":""},"roles":{"font_asset_id":"F', '","weight":4},"language_overrides":{"af":{"body":{"font_asset_id":"F', '"},"x":{"size":3}}},"unit_overrides":{"u2":{"font_asset_id":"F', '"},"u1":["F', '"]}}')
+
+
+@query("K20_requested_families", """SELECT book_id, CASE WHEN book_id % 13 = 0 THEN '' ELSE array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ',') END AS families FROM (SELECT o_orderkey AS book_id, ['F' || o_orderkey % 4, 'F' || o_orderkey % 5, 'F' || o_orderkey % 3, 'F' || o_orderkey % 7, 'F' || o_orderkey % 2] AS f FROM orders)""")
+def _(t):
+    k = F.col("o_orderkey")
+    policy = F.concat(F.lit(POLICY[0]), (k % 4).cast("string"), F.lit(POLICY[1]), (k % 5).cast("string"), F.lit(POLICY[2]), (k % 3).cast("string"), F.lit(POLICY[3]), (k % 7).cast("string"), F.lit(POLICY[4]), (k % 2).cast("string"), F.lit(POLICY[5]))
+    return L.requested_families(t.orders.select(k.alias("book_id"), F.when(k % 13 != 0, policy).alias("policy"))).withColumn("families", F.array_join("families", ","))
+
+
 @query("K23_document_summary", "SELECT page_id, count(*) FILTER (role = 'N') AS translate, count(*) FILTER (role = 'R') AS preserve, count(*) FILTER (role NOT IN ('N', 'R')) AS other FROM spans GROUP BY 1", ("spans",))
 def _(t):
     return L.document_summary(t.spans.withColumn("policy", F.when(F.col("role") == "N", "translate").when(F.col("role") == "R", "preserve").otherwise("review")))

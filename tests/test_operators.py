@@ -74,8 +74,7 @@ def test_merge_is_the_same_in_any_order_of_parts(spark):
 
 def test_publishable_fails_closed(spark):
     m = spark.createDataFrame([(1, "structure", "passed"), (1, "fit", "passed"), (1, "target_mapping", "passed"), (2, "structure", "passed"), (3, "structure", "passed"), (3, "fit", "passed"), (3, "target_mapping", "passed"), (3, "visual", "failed")], "candidate_id int, check_name string, status string")
-    assert rows(gates.publishable(m), "candidate_id", "publishable") == [(1, True), (2, False), (3, False)]
-    assert rows(gates.readiness(m), "candidate_id", "codes") == [(1, ""), (2, "fit:missing,target_mapping:missing"), (3, "")]
+    assert rows(gates.publishable(m, m.where("false"), spark.createDataFrame([], "candidate_id int, requires_artwork_approval boolean")), "candidate_id", "publishable") == [(1, True), (2, False), (3, False)]
 
 
 def test_candidate_readiness_is_bound_and_fails_closed(spark):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafworks.operators import catalog, extras, reconcile
+from leafworks.operators import catalog, extras, gates, layout, reconcile
 
 from .test_operators import rows
 
@@ -171,3 +171,93 @@ def test_glyphs_missing(spark):
     assert rows(lost, "edition_id", "char", "codepoint", "occurrences", "docs", "units")[0] == (1, "ß", 223, 60, 30, list(range(10)))
     got = rows(reconcile.glyph_verdicts(texts, charset, lost), "edition_id", "characters", "covered", "missing", "affected_units", "severity")
     assert got == [(1, 3, 1, 2, 11, "warning"), (2, 1, 1, 0, 0, "ok"), (3, 3, 0, 3, 1, "critical")]
+
+
+def checked(spark, *rows_):
+    return spark.createDataFrame(list(rows_), "candidate_id int, check_name string, status string")
+
+
+ALL = [(c, "passed") for c in ("structure", "fit", "target_mapping")]
+
+
+def test_issues_and_artwork_hold_publishing_back(spark):
+    merged = checked(spark, *[(i, *x) for i in (1, 2, 3, 4) for x in ALL], (4, "visual", "failed"), (5, "structure", "passed"), (6, "structure", "passed"), (6, "fit", "passed"), (6, "target_mapping", "not_run"))
+    issues = spark.createDataFrame([(2,), (2,), (8,)], "candidate_id int")
+    artwork = spark.createDataFrame([(1, False), (3, True), (3, False), (9, None)], "candidate_id int, requires_artwork_approval boolean")
+    assert rows(gates.publishable(merged, issues, artwork), "candidate_id", "publishable") == [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (8, False), (9, False)]
+
+
+def test_reports_merge_in_any_grouping(spark):
+    issue = lambda code: [(code, "fit", 2, None)]
+    made = [(1, 1, (dict(ALL), None, False)), (1, 2, ({"fit": "failed"}, issue("OVERFLOW"), False)), (1, 3, ({"fit": "passed"}, issue("B"), True)), (2, 1, (dict(ALL), None, None)), (2, 2, ({"fit": "not_run"}, [], None)), (2, 3, ({"fit": "passed"}, None, None)), (3, 1, (None, None, None))]
+    reports = spark.createDataFrame(made, f"candidate_id int, seq int, report struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in ('checks map<string,string>', 'issues array<struct<code:string,stage:string,page:int,region_id:string>>', 'requires_artwork_approval boolean'))}>")
+    got = {r.candidate_id: r for r in gates.merged_reports(reports).collect()}
+    assert got[1].checks["fit"] == "failed" and [i.code for i in got[1].issues] == ["OVERFLOW", "B"] and got[1].requires_artwork_approval and not got[1].publishable
+    assert got[2].checks == dict(ALL) and got[2].publishable and got[2].issues == []
+    assert got[3].checks == {} and not got[3].publishable
+
+
+def test_readiness_of_stored_reports(spark):
+    import json
+
+    good = json.dumps({"checks": dict(ALL)})
+    nested = json.dumps({"checks": {"fit": "failed"}, "qa": {"checks": dict(ALL)}})
+    tracks = lambda **k: json.dumps({n: dict(approved=a, fingerprint=f, output_sha256="h") for n, (a, f) in k.items()})
+    made = [(1, "READY_FOR_REVIEW", "f", "h", good, tracks(layout=(True, "f"))), (2, "RENDERING", "f", "h", good, tracks(layout=(True, "f"))), (3, None, "f", "h", json.dumps(good), tracks(layout=(True, "f"))), (4, "X", "f", "h", nested, tracks(layout=(True, "old"))),
+            (5, "X", "f", None, good, None), (6, "X", "f", "h", None, None), (7, "X", "f", "h", "[1]", tracks(layout=(False, "f"))), (8, "NEEDS_LAYOUT_REVIEW", None, None, "{broken", None), (9, "X", "f", "h", json.dumps({"qa": {"checks": None}, "checks": dict(ALL)}), tracks(layout=(True, "f"), artwork=(True, None)))]
+    e = spark.createDataFrame(made, "candidate_id int, render_status string, render_fingerprint string, output_sha256 string, qa_report string, approval_tracks string")
+    got = {r.candidate_id: (r.ready, r.codes) for r in gates.edition_readiness(e, ("layout",)).collect()}
+    stale = [f"CHECK_UNRESOLVED_OR_STALE:{c}" for c in ("fit", "structure", "target_mapping")]
+    pending = ["APPROVAL_PENDING_OR_STALE:layout"]
+    assert got == {1: (True, []), 2: (False, ["BLOCKING_RENDER_STATE:RENDERING"]), 3: (True, []), 4: (False, pending), 5: (False, ["INVALID_GATE_INPUT"]), 6: (False, pending + stale), 7: (False, pending + stale), 8: (False, ["BLOCKING_RENDER_STATE:NEEDS_LAYOUT_REVIEW"]), 9: (True, [])}
+    assert {r.candidate_id for r in gates.edition_readiness(e).where("ready").collect()} == {1, 3, 4, 9}
+
+
+def test_approvals_of_pages_that_are_gone(spark):
+    pages = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "edition_id int, page_number int")
+    approvals = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 9, True), (1, 8, True), (3, 1, True), (2, 1, None)], "edition_id int, page_number int, approved boolean")
+    assert rows(gates.approval_progress(pages, approvals), "edition_id", "approved", "total", "complete") == [(1, 2, 2, True), (2, 0, 1, False), (3, 0, 0, False)]
+
+
+def test_scores_of_a_region(spark):
+    r = spark.createDataFrame([(1, None, 0.5), (2, 0.8, 0.9)], "region int, extraction double, removal double")
+    got = {x.region: (x.overall, x.below, x.review_required) for x in gates.confidence(r).collect()}
+    assert got == {1: (0.925, {"removal": 0.5}, True), 2: (0.965, {}, False)}
+
+
+def test_edits_undo_what_they_touch(spark):
+    approvals = spark.createDataFrame([(1, t, p, 5) for t, p in (("page", 1), ("page", 2), ("layout", None), ("artwork", None), ("language", None), ("narration", None))], "edition_id int, track string, page_number int, given_at int")
+
+    def stale(*edits):
+        out = gates.invalidated(approvals, spark.createDataFrame(list(edits), "edition_id int, page_number int, fields array<string>, edited_at int"))
+        assert out.columns == [*approvals.columns, "stale"]
+        return sorted(f"{r.track}{r.page_number or ''}" for r in out.where("stale").collect())
+
+    assert stale((1, 1, None, 6)) == ["narration", "page1"]
+    assert stale((1, 1, ["font_role"], 6)) == ["artwork", "layout"]
+    assert stale((1, 1, ["translation"], 6)) == ["artwork", "language", "layout", "narration"]
+    assert stale((1, 1, ["colour"], 6)) == stale((1, 1, ["translation"], 5)) == stale((2, 1, ["translation"], 9)) == []
+
+
+def test_deviations_and_queues(spark):
+    texts = ['{"structureDeviations":[3,"7",0]}', '{"structureDeviations":{"4":"x","5":9,"a":"6b","c":"d"}}', '{"structureDeviations":null,"review_pages":[2]}', '"{\\"review_pages\\":[8]}"', "[]", None, '{"review_pages":{}}', "broken"]
+    e = spark.createDataFrame(list(enumerate(texts)), "edition_id int, qa_report string")
+    # of a list's texts the place counts
+    assert rows(gates.deviation_pages(e), "edition_id", "page_number") == [(0, 1), (0, 3), (1, 4), (1, 6), (1, 9), (2, 2), (3, 8)]
+    pages = spark.createDataFrame([(2, 2, "red", "approved"), (2, 1, None, None), (3, 1, "yellow", "rejected")], "edition_id int, page_number int, quality_flag string, review_status string")
+    assert rows(gates.review_queue(pages, e), "edition_id", "page_number", "quality_flag", "review_status", "has_deviation", "place") == [(2, 1, "gray", "unreviewed", False, 1), (2, 2, "red", "approved", True, 2), (3, 1, "yellow", "rejected", False, 1)]
+    assert rows(gates.review_queue(pages, e, "flagged"), "edition_id", "place") == [(2, 1), (3, 1)] and rows(gates.review_queue(pages, e, "rejected"), "edition_id") == [(3,)]
+    stats = gates.review_stats(pages.withColumn("confidence_score", F.when(F.col("page_number") == 2, 7.25)))
+    assert rows(stats, "edition_id", "total", "approved", "unreviewed", "avg_score") == [(2, 2, 1, 0, 7.3), (3, 1, 0, 0, 0.0)]
+
+
+def test_words_of_a_region(spark):
+    words = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (1, 8.0, 0.4, 23.04, 10.0), (1, 50.0, 50.0, 60.0, 60.0)], "page_id int, x0 double, y0 double, x1 double, y1 double")
+    regions = spark.createDataFrame([(1, "a", 0.0, 0.0, 20.0, 10.0), (1, "b", 200.0, 0.0, 220.0, 10.0), (2, "a", 0.0, 0.0, 1.0, 1.0)], "page_id int, region string, x0 double, y0 double, x1 double, y1 double")
+    assert rows(gates.contained_lines(words, regions), "page_id", "region", "lines", "boxes", "clipped", "bx0", "bx1") == [(1, "a", 1, 2, 1, 0.0, 23.0), (1, "b", 0, 0, 0, None, None), (2, "a", 0, 0, 0, None, None)]
+
+
+def test_families_of_a_policy(spark):
+    texts = ['{"publisher_default":{"body":"Play","head":""},"roles":{"font_asset_id":"Pat","weight":4},"language_overrides":{"zu":{"body":{"font_asset_id":"Zed"}},"af":{"font_asset_id":"Play"}},"unit_overrides":{"u":{"font_asset_id":"Uni"},"v":["L1","L2"]}}', None, "{}", '{"roles":{"b":{"size":3},"a":{"font_asset_id":"A"}}}', "[]"]
+    out = layout.requested_families(spark.createDataFrame(list(enumerate(texts)), "book_id int, policy string"))
+    assert rows(out, "book_id", "families") == [(0, ["Play", "Pat", "Zed", "Uni", "L1", "L2"]), (1, []), (2, []), (3, ["A"]), (4, [])]
