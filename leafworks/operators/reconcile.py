@@ -275,6 +275,12 @@ def cache_split(now: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     return now.join(known, keys, "left").select(*keys, F.coalesce("_c", F.lit(False)).alias("cached"))
 
 
+def hit_rate(split_: DataFrame) -> DataFrame:
+    """One row: total, hits, misses, rate (3 digits; 0 for nothing asked) of what cache_split() gives."""
+    n, k = F.count("*"), F.count_if("cached")
+    return split_.agg(n.alias("total"), k.alias("hits"), (n - k).alias("misses"), F.bround(F.coalesce(k / F.nullif(n, F.lit(0).cast("long")), F.lit(0.0)), 3).alias("rate"))
+
+
 def font_coverage(texts: DataFrame, fonts: DataFrame) -> DataFrame:
     """lang, font, required, covered, suitable (95 % at least): characters that a language's texts need and a font (font, char) has."""
     need = texts.select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where("char <> ''").distinct()
@@ -292,14 +298,20 @@ def exercise_contracts(pages: DataFrame, role: str = "vocabulary") -> DataFrame:
 
 
 def memory_block(terms: DataFrame) -> DataFrame:
-    """book_id and its glossary as lines 'source = target', in order of the source term."""
-    line = F.concat_ws(" = ", "source_term", "translated_term")
-    return terms.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("block"))
+    """book_id, language_code, terms (an ordered list of source, translation, context), block ('source = translation' lines): the glossary of each book and language, in order of the source term. terms: book_id, language_code, source_term, translated_term, context."""
+    rows = terms.groupBy("book_id", "language_code").agg(F.array_sort(F.collect_list(F.struct(F.col("source_term").alias("source"), F.col("translated_term").alias("translation"), "context"))).alias("terms"))
+    return rows.withColumn("block", F.array_join(F.transform("terms", lambda x: F.concat_ws(" = ", x["source"], x["translation"])), "\n"))
+
+
+def memory_lookup(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """asked (book_id, language_code, source_term and others) with the term's translated_term in that book and language, exactly as written; null for none."""
+    keys = ["book_id", "language_code", "source_term"]
+    return asked.join(terms.groupBy(*keys).agg(F.min("translated_term").alias("translated_term")), keys, "left")
 
 
 # Parts of phrases that stay as they are in any language. Names of publishers are the caller's to add.
 EXEMPT = ["studio", "isbn", "www.", "http", "@", "(pty)", "printed by", "published by", "copyright", "all rights"]
-#: Up to so many keys of phrases are broadcast.
+#: Up to so many keys are broadcast, with their phrases; more are joined by shuffles.
 KEY_ROWS = 200_000
 
 
@@ -307,32 +319,39 @@ def _norm(c: str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
 
 
+def _contexts(text: Column) -> Column:
+    """Each word of a text with single spaces but the first and last, between the last letter of the one before and the first of the one after; once each."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=(\S \S+ \S))"), F.lit(1)))
+
+
+def _held(texts: DataFrame, keys: DataFrame, few: bool) -> DataFrame:
+    """The columns of texts and keys (key and others) for each key that a text has among its contexts. Few keys come to the texts, whose words are tried in passing: no row is made for a word that is no key. Of many, ids meet keys first."""
+    found = F.explode(_contexts(F.col("body"))).alias("key")
+    if few:
+        return texts.select("doc_id", "body", found).join(F.broadcast(keys), "key")
+    return texts.select("doc_id", found).join(keys, "key").join(texts.select("doc_id", "body"), "doc_id")
+
+
 def source_leaks(phrases: DataFrame, texts: DataFrame, exempt: list[str] | None = None) -> DataFrame:
     """item_id, doc_id of phrases that stand verbatim, lower-cased and with collapsed space, in texts: of three words and six ASCII letters or more, without an exempt part.
 
-    The first and last word may be parts of longer words in a text, so the words between are whole there: a join on the first three of them (or all,
-    in shorter phrases) finds candidates, containment confirms. Keys up to KEY_ROWS are broadcast, so that texts aren't shuffled for them.
+    The first and last word may be parts of longer words in a text, the words between are whole. A phrase is looked for by one of these, with the letters that stand before and after it: the one that the fewest texts have, counted
+    over all texts, so a phrase of common words meets few. Containment confirms. doc_id tells texts apart.
     """
     p = phrases.select("item_id", _norm("text").alias("shown")).withColumn("phrase", F.lower("shown")).withColumn("parts", F.split("phrase", " "))
     for mark in EXEMPT if exempt is None else exempt:
         p = p.where(~F.col("phrase").contains(mark))
-    p = p.where((F.size("parts") >= 3) & (F.length(F.regexp_replace("shown", "[^A-Za-z]", "")) >= 6))
-    p = p.withColumn("inner", F.slice("parts", 2, F.least(F.lit(3), F.size("parts") - 2))).select("item_id", "phrase", F.array_join("inner", " ").alias("key"), F.size("inner").alias("words")).distinct()
-    lengths = {r["words"]: r["n"] for r in p.groupBy("words").agg(F.count("*").alias("n")).collect()}  # three at most
-    d = texts.select("doc_id", F.lower(_norm("text")).alias("body"))
-    w = F.split("body", " ")
-    pairs = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    grams = {1: w, 2: pairs, 3: F.zip_with(pairs, F.slice(w, 3, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))}
-    keys = p.select("item_id", "key", "words")
-    if sum(lengths.values()) <= KEY_ROWS:
-        keys = F.broadcast(keys)
-    found = None
-    for n in sorted(lengths):
-        part = d.select("doc_id", F.explode(F.array_distinct(grams[n])).alias("key")).join(keys.where(F.col("words") == n), "key").select("doc_id", "item_id")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return p.join(d, F.lit(False)).select("item_id", "doc_id")
-    return found.distinct().join(p.select("item_id", "phrase"), "item_id").join(d, "doc_id").where(F.col("body").contains(F.col("phrase"))).select("item_id", "doc_id")
+    p = p.where((F.size("parts") >= 3) & (F.length(F.regexp_replace("shown", "[^A-Za-z]", "")) >= 6)).select("item_id", "phrase", _contexts(F.col("phrase")).alias("keys")).distinct()
+    # exploding a list of one keeps an expression from being worked out again wherever it is used
+    d = texts.select("doc_id", F.explode(F.array(F.lower(_norm("text")))).alias("body"))
+    keys = p.select("item_id", "phrase", F.explode("keys").alias("key")).distinct()
+    few = keys.count() <= KEY_ROWS
+    counts = _held(d, keys.select("key").distinct(), few).groupBy("key").agg(F.count("*").alias("n"))
+    rare = keys.join(counts, "key").groupBy("item_id", "phrase").agg(F.min_by("key", F.struct("n", "key")).alias("key"), F.count("*").alias("_met"))
+    # a phrase with a context that no text has stands nowhere
+    whole = keys.groupBy("item_id", "phrase").agg(F.count("*").alias("_all"))
+    rare = rare.join(whole, ["item_id", "phrase"]).where("_met = _all").select("item_id", "phrase", "key")
+    return _held(d, rare, few).where(F.col("body").contains(F.col("phrase"))).select("item_id", "doc_id").distinct()
 
 
 def title_candidates(spans: DataFrame, text: str = "text") -> DataFrame:

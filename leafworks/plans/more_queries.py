@@ -57,9 +57,24 @@ def _(t):
     return R.compact_variants(t.translation_pairs)
 
 
-@query("D18_memory_block", "SELECT book_id, array_to_string(list_sort(list(source_text || ' = ' || translated_text)), chr(10)) AS block FROM u WHERE translated_text IS NOT NULL GROUP BY 1", ("translation_pairs",), UNITS)
+# Every third term is of another language.
+TERMS = "tm AS (SELECT book_id, CASE WHEN page_number % 3 = 0 THEN 'zu' ELSE 'af' END AS language_code, source_text AS source_term, translated_text AS translated_term, 'p' || page_number AS context FROM translation_pairs WHERE translated_text IS NOT NULL)"
+
+
+def memory(t):
+    n = F.col("page_number")
+    return t.translation_pairs.where("translated_text IS NOT NULL").select("book_id", F.when(n % 3 == 0, "zu").otherwise("af").alias("language_code"), F.col("source_text").alias("source_term"), F.col("translated_text").alias("translated_term"), F.concat(F.lit("p"), n.cast("string")).alias("context"))
+
+
+@query("D18_memory_block", "SELECT book_id, language_code, string_agg(source_term || ' = ' || translated_term, chr(10) ORDER BY source_term, translated_term) AS block, count(*) AS terms FROM tm GROUP BY 1, 2", ("translation_pairs",), TERMS)
 def _(t):
-    return R.memory_block(t.translation_pairs.where("translated_text IS NOT NULL").select("book_id", F.col("source_text").alias("source_term"), F.col("translated_text").alias("translated_term")))
+    return R.memory_block(memory(t)).withColumn("terms", F.size("terms").cast("long"))
+
+
+@query("D18_memory_lookup", "SELECT a.book_id, a.page_number, a.source_term, min(tm.translated_term) AS translated_term FROM (SELECT book_id, page_number, 'af' AS language_code, source_text AS source_term FROM translation_pairs) a LEFT JOIN tm ON tm.book_id = a.book_id AND tm.language_code = a.language_code AND tm.source_term = a.source_term GROUP BY 1, 2, 3", ("translation_pairs",), TERMS)
+def _(t):
+    asked = t.translation_pairs.select("book_id", "page_number", F.lit("af").alias("language_code"), F.col("source_text").alias("source_term"))
+    return R.memory_lookup(asked, memory(t)).drop("language_code")
 
 
 @query("D21_page_texts", """SELECT conv_id AS book_id, turn // 2 AS page_number, CASE WHEN conv_id % 2 = 0 THEN string_agg(text, ' ' ORDER BY turn) ELSE string_agg(text, chr(10) ORDER BY turn) END AS text FROM conversations WHERE trim(text) <> '' GROUP BY 1, 2, conv_id % 2""")
@@ -74,6 +89,12 @@ def _(t):
     return R.cache_split(now, now.where("doc_id % 3 = 0"), ["doc_id", "h"])
 
 
+@query("D24_hit_rate", "SELECT count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS hits, count(*) FILTER (doc_id % 3 <> 0) AS misses, round_even(count(*) FILTER (doc_id % 3 = 0) / count(*)::DOUBLE, 3) AS rate FROM documents")
+def _(t):
+    now = t.documents.select("doc_id", F.md5("text").alias("h"))
+    return R.hit_rate(R.cache_split(now, now.where("doc_id % 3 = 0"), ["doc_id", "h"]))
+
+
 FONTS = "f AS (SELECT DISTINCT 'wide' AS font, c AS char FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents WHERE lang = 'fr') UNION SELECT DISTINCT 'plain', c FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) WHERE ord(c) < 128)"
 
 
