@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafworks.llm import jaccard, mixing, packing, secrets
 from leafworks.llm import toxicity as toxic
-from leafworks.llm.storage import table, written
+from leafworks.llm.storage import Stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MARK = "[SECRET]"
@@ -57,10 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn; of the packed ids their digest."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs)
-    return docs.drop("ids")
+    """The stages in turn; of the packed ids their digest. A stage's own tables go when its result is written, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with Stage(spark) as step:
+            docs = step.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before = step
+    return STAGES[-1][1](spark, docs, sf_dir).drop("ids")

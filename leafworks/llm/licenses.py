@@ -56,9 +56,9 @@ def gram_hash(grams: list[Column]) -> Column:
     return F.xxhash64(*grams)
 
 
-def zipped(w: Column) -> Column:
-    """Each word of an array with the K - 1 after it, null past the end."""
-    return F.arrays_zip(w.alias("g0"), *[F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0))).alias(f"g{i}") for i in range(1, K)])
+def zipped(w: Column, n: int = K) -> Column:
+    """Each word of an array with the n - 1 after it, null past the end."""
+    return F.arrays_zip(w.alias("g0"), *[F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0))).alias(f"g{i}") for i in range(1, n)])
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
@@ -88,13 +88,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     spark = docs.sparkSession
     own = docs.select("doc_id", words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row"))
     size = F.size("w")
-    grams = own.select("doc_id", "row", size.alias("n_words"), F.posexplode_outer(zipped(F.col("w"))).alias("at", "g"))
-    parts = [F.col(f"g.g{i}") for i in range(K)]
+    longest = max([K, *(len(text.split()) for text in phrases)])
+    grams = own.select("doc_id", "row", size.alias("n_words"), F.posexplode_outer(zipped(F.col("w"), longest)).alias("at", "g"))
+    every = [F.col(f"g.g{i}") for i in range(longest)]
+    parts = every[:K]
     hits = []
     for text, label in phrases.items():
         w = text.split()
-        at = parts[0] == w[0]
-        for part, word in zip(parts[1:], w[1:], strict=False):
+        at = every[0] == w[0]
+        for part, word in zip(every[1 : len(w)], w[1:], strict=True):
             at = at & (part == word)
         hits.append((at, label))
     base = F.lit(None).cast("string")

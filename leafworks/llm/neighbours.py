@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import small_batches, table
+from .storage import Scratch, small_batches, table, written
 
 #: Rows that rotations and the number of substrings are fitted on at most: those with the least hashed ids. Sample rows used as queries for it.
 SAMPLE_ROWS, FIT_QUERIES = 10_000, 200
 #: Most substrings of an index, and the share of near rows that they are to reach.
 MOST_TABLES, REACHED = 600, 0.95
-#: Rows of a shard of the index, and queries that one task puts to it, about.
-SHARD_ROWS, QUERY_BLOCK = 16_000, 1_000
+#: Rows of a shard of the index, about, queries that are put to it at once, and bytes of the vectors of a broadcast block of queries, about.
+SHARD_ROWS, QUERY_BLOCK, BLOCK_BYTES = 16_000, 1_000, 32 << 20
 
 
 @dataclass
@@ -63,30 +63,35 @@ REACH = 2
 
 def fit(x: np.ndarray, k: int = 10, seed: int = 7) -> CodeModel:
     """Substrings of about 6 bits more than it takes to number the rows (8 to 20), and so many of them that REACHED of the sample's
-    near rows share one with the query but for REACH bits. The whole table's neighbours are nearer than the sample's, so their number errs to the larger side.
+    near rows share one with the query but for REACH bits. Where MOST_TABLES of them don't reach so many, they have two bits less, down to 4. The whole table's neighbours are nearer than the sample's, so their number errs to the larger side.
     """
     rng = np.random.default_rng(seed)
     mean, size = x.mean(axis=0), x.shape[1]
-    bits = int(np.clip(math.ceil(math.log2(max(len(x), 2))) + 6, 8, 20))
     learn = x[rng.permutation(len(x))[:1000]] - mean
+    asked = rng.permutation(len(x))[:FIT_QUERIES]
+    near = []
+    for q in asked.tolist():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        near.append(np.argsort(d, kind="stable")[: min(k, len(x) - 1)])
+    kept = np.unique(np.concatenate([asked, *near])) if len(x) else asked
+    bits = int(np.clip(math.ceil(math.log2(max(len(x), 2))) + 6, 8, 20))
     rotations = np.stack([_iterative_quantisation(learn, rng) for _ in range(math.ceil(MOST_TABLES * bits / size))])
-    model = CodeModel(mean, rotations, bits, MOST_TABLES)
-    if len(x) > 1:
-        asked = rng.permutation(len(x))[:FIT_QUERIES]
-        near = []
-        for q in asked.tolist():
-            d = ((x - x[q]) ** 2).sum(axis=1)
-            d[q] = np.inf
-            near.append(np.argsort(d, kind="stable")[: min(k, len(x) - 1)])
-        kept = np.unique(np.concatenate([asked, *near]))
+    while True:
+        model = CodeModel(mean, rotations[: math.ceil(MOST_TABLES * bits / size)], bits, MOST_TABLES)
+        if len(x) < 2:
+            return model
         codes = model.substrings(x[kept])
         first = []
         for q, found in zip(np.searchsorted(kept, asked).tolist(), near, strict=True):
             hit = np.bitwise_count(codes[np.searchsorted(kept, found)] ^ codes[q]) <= REACH
             first.append(np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_TABLES))
-        model.tables = int(np.clip(np.quantile(np.concatenate(first), REACHED, method="higher") + 1, 1, MOST_TABLES))
-        model.rotations = rotations[: math.ceil(model.tables * bits / size)]
-    return model
+        wanted = int(np.quantile(np.concatenate(first), REACHED, method="higher")) + 1
+        if wanted <= MOST_TABLES or bits <= 4:
+            model.tables = min(wanted, MOST_TABLES)
+            model.rotations = rotations[: math.ceil(model.tables * bits / size)]
+            return model
+        bits -= 2
 
 
 class MultiIndex:
@@ -141,19 +146,43 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _search(models: dict[int, CodeModel], k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(rows) and len(queries):
-            x, q = _matrix(rows.column("vector")), _matrix(queries.column("vector"))
-            model = models.get(x.shape[1]) or fit(x, k)
-            row = queries.column("row").to_numpy()
-            asked = (queries.column("id").to_numpy(), q)
-            out = [(row[i], asked[0][i], ids, d) for i, ids, d in search(model, (rows.column("id").to_numpy(), x), asked, k)]
-        size = [len(ids) for *_, ids, _ in out]
-        columns = [np.repeat(np.array([o[c] for o in out], dtype=np.int64), size) for c in (0, 1)]
-        columns += [np.concatenate([np.zeros(0, dtype=t), *(o[c] for o in out)]) for c, t in ((2, np.int64), (3, np.float64))]
-        return pa.table([pa.array(c) for c in columns], names=["row", "query_id", "vec_id", "score"])
+SHARD = "length int, n int, ids binary, vectors binary"
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """One row of a shard's ids and vectors."""
+    ids, x = rows.column("id").to_numpy(), _matrix(rows.column("vector"))
+    return pa.table([pa.array([x.shape[1]], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["length", "n", "ids", "vectors"])
+
+
+class Nearest:
+    """The k nearest rows seen of each of a block's queries: distances and ids, nearest first, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.d, self.ids = [np.zeros(0)] * queries, [np.zeros(0, dtype=np.int64)] * queries
+
+    def add(self, i: int, ids: np.ndarray, d: np.ndarray) -> None:
+        ids, d = np.concatenate([self.ids[i], ids]), np.concatenate([self.d[i], d])
+        best = np.lexsort((ids, d))[: self.k]
+        self.ids[i], self.d[i] = ids[best], d[best]
+
+
+def _search(model: CodeModel, asked, k: int):
+    """Puts a broadcast block of queries (row, id, vector) of one length to each shard that a task gets: an index is built once a shard, and what was found in one is carried on to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, own, q = asked.value
+        best = Nearest(len(row), k)
+        for batch in batches:
+            for n, ids, vectors in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                held = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vectors, dtype=np.float64).reshape(n, -1)
+                for a in range(0, len(row), QUERY_BLOCK):
+                    for i, near, d in search(model, held, (own[a : a + QUERY_BLOCK], q[a : a + QUERY_BLOCK]), k):
+                        best.add(a + i, near, d)
+        size = [len(x) for x in best.ids]
+        columns = [np.repeat(row, size), np.repeat(own, size), *(np.concatenate([np.zeros(0, dtype=t), *x]) for t, x in ((np.int64, best.ids), (np.float64, best.d)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -169,10 +198,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query row, by Euclidean distance on the original vectors.
 
-    is_query: a condition on the column id. Rotations and the number of substrings are fitted on at most SAMPLE_ROWS rows; every row is indexed. Rows
-    are dealt by hash into shards of about SHARD_ROWS, queries into blocks of about QUERY_BLOCK; a task has one shard's tables and one block, and
-    answers that block's k best of the shard, so a query meets shards * k rows in the end. A hash deals equal vectors
-    evenly, however many there are.
+    is_query: a condition on the column id. Rotations and the number of substrings are fitted on at most SAMPLE_ROWS rows; every row is indexed. Rows are dealt once, by hash, into shards of about SHARD_ROWS, a row each of a written
+    table. Queries go to them in blocks of BLOCK_BYTES, broadcast; for each block a shard's index is built once, and a task answers the k best of all its shards, so what is shuffled for a block is the rows once in all, and k rows a
+    query and task. A hash deals equal vectors evenly, however many there are.
 
     Null, zero or non-finite vectors and null ids take no part. Vectors of other lengths are other spaces: each length is
     searched by itself. Rows with equal ids are all candidates of other ids' queries, none of their own, and each such query row is answered. Ties go to the
@@ -181,20 +209,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     small_batches(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
     sample = rows.orderBy(F.xxhash64("id"), "vector").limit(SAMPLE_ROWS).toArrow()
-    lengths = sample.column("length").to_numpy()
-    models = {int(n): fit(_matrix(sample.filter(pa.array(lengths == n)).column("vector")), k) for n in np.unique(lengths)}
-    shards, blocks = (max(1, math.ceil(rows_.count() / most)) for rows_, most in ((vectors, SHARD_ROWS), (vectors.select(F.col(id_col).cast("long").alias("id")).where(is_query), QUERY_BLOCK)))
-
-    def dealt(n: int, *keys: str):
-        return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    asked = rows.where(is_query).withColumn("row", F.monotonically_increasing_id()).withColumn("block", dealt(blocks, "id", "row")).withColumn("shard", every(shards))
-    held = rows.withColumn("shard", dealt(shards, "id", "vector")).withColumn("block", every(blocks))
-    key = ["length", "shard", "block"]
-    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(models, k), "row long, query_id long, vec_id long, score double")
+    known = sample.column("length").to_numpy()
+    found = None
+    with Scratch(vectors.sparkSession) as keep:
+        queries = keep.write(rows.where(is_query).withColumn("row", F.monotonically_increasing_id()))
+        sizes = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+        wanted = {r["length"]: r["n"] for r in queries.groupBy("length").agg(F.count("*").alias("n")).collect()}
+        counts = F.create_map(*[F.lit(x) for length, n in sizes.items() for x in (length, max(1, math.ceil(n / SHARD_ROWS)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), counts[F.col("length")]))
+        shards = keep.write(dealt.groupBy("length", "shard").applyInArrow(_packed, SHARD))
+        spread = vectors.sparkSession.sparkContext.defaultParallelism
+        for length in sorted(wanted):
+            own = sample.filter(pa.array(known == length)) if (known == length).any() else rows.where(F.col("length") == length).orderBy(F.xxhash64("id"), "vector").limit(SAMPLE_ROWS).toArrow()
+            model = fit(_matrix(own.column("vector")), k)
+            mine = shards.where(F.col("length") == length)
+            # a task's shards come in turn; more tasks than there are places at once would only repeat answers
+            mine = mine.repartition(max(1, min(math.ceil(sizes[length] / SHARD_ROWS), 4 * spread)))
+            blocks = max(1, math.ceil(wanted[length] * length * 8 / BLOCK_BYTES))
+            for b in range(blocks):
+                block = queries.where((F.col("length") == length) & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)).select("row", "id", "vector").toArrow()
+                if len(block):
+                    asked = vectors.sparkSession.sparkContext.broadcast((block.column("row").to_numpy(), block.column("id").to_numpy(), _matrix(block.column("vector"))))
+                    part = written(mine.mapInArrow(_search(model, asked, k), "row long, query_id long, vec_id long, score double"))
+                    found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.select(F.col("id").alias("row"), F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     order = Window.partitionBy("row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -10,9 +10,31 @@ from leafworks.functions.folders import shared_dir
 from leafworks.functions.shipping import ship
 
 
+#: Folders written since each open Stage began.
+_STAGES: list[list[str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and rereads it: the lineage ends here and survives lost executors."""
-    return _write(df)[0]
+    """Writes df as Parquet in the shared folder and rereads it: the lineage ends here and survives lost executors.
+
+    Results may read the table, so it stays until the driver ends, and is deleted then; inside a Stage it goes with the stage.
+    """
+    out, path = _write(df)
+    if _STAGES:
+        _STAGES[-1].append(path)
+    files, at = _path(df.sparkSession, path)
+    files.deleteOnExit(at)
+    return out
 
 
 def _write(df: DataFrame) -> tuple[DataFrame, str]:
@@ -22,6 +44,33 @@ def _write(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Stage:
+    """A step whose written() tables nothing reads once its result has been kept: they are deleted at the end of the with block, its result with drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], None
+
+    def __enter__(self) -> Stage:
+        _STAGES.append(self.made)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes the step's result."""
+        out, self.kept = _write(df)
+        files, at = _path(self.spark, self.kept)
+        files.deleteOnExit(at)
+        return out
+
+    def drop(self) -> None:
+        if self.kept:
+            deleted(self.spark, self.kept)
+
+    def __exit__(self, *_) -> None:
+        _STAGES.remove(self.made)
+        for path in self.made:
+            deleted(self.spark, path)
+
+
 class Scratch:
     """Written tables that an operator needs only until its results are written: each goes when dropped, all go at the end of the with block."""
 
@@ -49,9 +98,7 @@ class Scratch:
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

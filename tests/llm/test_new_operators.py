@@ -11,7 +11,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from leafworks.llm import ranked, recipes, spelling
+from leafworks.functions.folders import shared_dir
+from leafworks.llm import licenses, ranked, recipes, spelling
+from leafworks.llm.storage import Stage, written
 
 
 def brute_copies(texts):
@@ -217,3 +219,21 @@ def test_ranks_sql(spark):
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     assert Counter(tuple(r) for r in ranked.op11_ball_tree(spark, "/root/testdata/sf0.001").collect()) == Counter(con.sql(ranked.OP11_SQL).fetchall())
+
+
+def test_long_phrases_are_compared_whole(make):
+    texts = [(1, "the quick brown fox sleeps now"), (2, "the quick brown fox runs"), (3, "quick brown"), (4, "the quick brown fox sleep")]
+    docs, _ = licenses.scan_licenses(make(texts), phrases={"the quick brown fox sleeps": "long", "quick brown": "short"})
+    assert sorted((r.doc_id, r.n_base, r.base_labels) for r in docs.collect()) == [(1, 2, "long,short"), (2, 1, "short"), (3, 1, "short"), (4, 1, "short")]
+
+
+def test_stages_leave_only_their_results(spark, make):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    with Stage(spark) as one:
+        kept = one.keep(written(make([(1, "a")])))
+    assert kept.count() == 1 and len(set(os.listdir(folder)) - before) == 1
+    one.drop()
+    assert set(os.listdir(folder)) == before
