@@ -554,16 +554,33 @@ UNSEEN = [
 NO_SECRETS = ["commit a note id 550e8400-e29b-41d4-a716-446655440000 ok", "file IMG_20240101_123456.jpg and version v1.22.3-beta1", "write to someone22@example.com by 2024-03-04T10:20:30", "see www.example.org/article/20240102 for part XZ-1234-ABC"]
 
 
+PHRASES = ["passphrase: correct horse battery staple", "my seed phrase = 'abandon ability able about above absent absorb abstract'"]
+PLAIN_PHRASES = ["note: bring bread milk and some apples home.", "the key point was that we pass the session to others and login again later", "I forgot my password again and had to ask", "ref: lorem ipsum dolor sit amet"]
+
+
 def test_field_finds_secrets_that_the_patterns_miss(spark, make):
+    from leafworks.llm.words import Words, utf8
+
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     field = secrets.train(docs)
     carrier = [r.text for r in docs.where("length(text) BETWEEN 200 AND 2000").orderBy("doc_id").limit(len(UNSEEN)).collect()]
-    texts = [(i, f"{t} {s} {t}") for i, (s, t) in enumerate(zip(UNSEEN, carrier, strict=True))] + [(100 + i, t) for i, t in enumerate(NO_SECRETS)]
-    got = {r.doc_id: [r.text[s["start"] : s["end"]] for s in r.spans if s["kind"] == "crf"] for r in secrets.scan(make(texts), field).collect()}
+    texts = [(i, f"{t} {s} {t}") for i, (s, t) in enumerate(zip(UNSEEN, carrier, strict=True))] + [(100 + i, t) for i, t in enumerate(NO_SECRETS + PLAIN_PHRASES)] + [(200 + i, f"{t}. {s}. {t}") for i, (s, t) in enumerate(zip(PHRASES, carrier, strict=False))]
+    found = lambda f: {r.doc_id: [r.text[s["start"] : s["end"]] for s in r.spans if s["kind"] == "crf"] for r in secrets.scan(make(texts), f).collect()}
+    got = found(field)
     assert sum(any(len(f) >= 16 and f in s for f in got[i]) for i, s in enumerate(UNSEEN)) >= 0.7 * len(UNSEEN)
-    assert sum(map(len, (got[100 + i] for i in range(len(NO_SECRETS))))) == 0
+    assert sum(map(len, (got[100 + i] for i in range(len(NO_SECRETS + PLAIN_PHRASES))))) == 0
+    # phrases of several words are one span each, found by the run of their words
+    assert any("correct horse battery staple" in f for f in got[200]) and any("abandon ability able about above absent absorb abstract" in f for f in got[201])
     added = [s for r in secrets.scan(docs, field).collect() for s in r.spans if s["kind"] == "crf"]
     assert len(added) <= docs.count() / 1000
+    # the steps decide: without that from inside to inside, runs fall apart
+    torn = secrets.Field(field.emit, field.hashed, field.step.copy())
+    torn.step[2, 2] = -30
+    assert not any("correct horse battery staple" in f for f in found(torn)[200])
+    # whole windows are decoded
+    words = Words(*utf8(docs.select("text").toArrow().column(0)), secrets.SEPARATORS)
+    at = secrets.windows(words)
+    assert min(np.diff(np.append(secrets.chains(words, at), len(at)))) > 3 and len(at) > 10 * len(secrets.mixed(words))
 
 
 def test_packing_round_trip(make, corpus, odd_texts):
