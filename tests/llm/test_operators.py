@@ -446,9 +446,11 @@ def test_substrings_empty(make):
 
 
 def test_line_quality_matches_sql(spark, make, corpus, odd_texts):
+    from pyspark.sql import functions as F
+
     lines = "Buy now\nshared  footer line of this host\n"
     texts = [(i, (lines if i % 3 == 0 else "") + t.replace(" ", "\n", 2) + (" #*" if i % 4 == 0 else "")) for i, t in corpus] + [(i + 500, t) for i, t in odd_texts[:7]]
-    got = linequality.line_quality(make(texts, clashing=True), max_docs=20)
+    got = linequality.line_quality(make(texts, clashing=True), max_docs=20).withColumn("cleaned_sha256", F.sha2(F.coalesce("cleaned", F.lit("")).cast("binary"), 256)).drop("cleaned")
     con = duckdb.connect()
     con.register("documents", make(texts).toPandas())
     want = con.sql(linequality.OP8_SQL).df()
