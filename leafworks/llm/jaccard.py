@@ -309,6 +309,19 @@ def _likely(rows: pa.Table) -> pa.Table:
     return rows.select(["id", "hub", "component", "block", "side"]).filter(pa.array(keep))
 
 
+def _matched(rows: pa.Table) -> pa.Table:
+    """The rows that are in a pair with as many prefix entries in common as the smaller of their match numbers."""
+    keep, n, matches = np.zeros(len(rows), dtype=bool), rows.column("n").to_numpy(), rows.column("matches").to_numpy()
+    flat = rows.column("prefix").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy())])
+    tokens = flat.flatten().to_numpy()
+    prefix = [np.unique(tokens[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    for left, right, fit in _blocks(rows, n):
+        fit = fit & (common_counts(prefix, left, right) >= np.minimum(matches[left][:, None], matches[right]))
+        keep[left[fit.any(axis=1)]] = keep[right[fit.any(axis=0)]] = True
+    return rows.select(["id", "hub", "component", "block", "side"]).filter(pa.array(keep))
+
+
 def _compare(rows: pa.Table) -> pa.Table:
     """Links within blocks, from whole texts; of links that close a circle within a block, one is left out."""
     sets = shingle_sets(rows.column("text"))
@@ -388,7 +401,7 @@ def _open_links(docs: DataFrame, sizes: DataFrame, members: DataFrame, hubs: Dat
 
     Members in their hub's component are home, others away; two that are home need no comparison. Sizes fall into classes of
     ratio 1.25, so links are within a class or between neighbouring ones. Classes are dealt into blocks of BLOCK, and a block meets those
-    of its own and the neighbouring classes, one side being away: sketches first, then the whole texts of what these leave open.
+    of its own and the neighbouring classes, one side being away: sketches first, then the prefixes, of which a pair must share as many entries as the smaller of its match numbers, then the whole texts of what these leave open.
     """
     narrow = sizes.where("id IS NOT NULL AND twin IS NULL").select("id", "n", "sketch")
     of_hub = _salted(hubs, known.withColumnRenamed("component", "hub_component"))
@@ -416,6 +429,8 @@ def _open_links(docs: DataFrame, sizes: DataFrame, members: DataFrame, hubs: Dat
     scratch.drop(rows)
     n = dealt.count()
     likely = scratch.write(_in_tasks(dealt, ["hub", "block"], n, _likely, "id long, hub long, component long, block string, side int").distinct())
+    held = likely.join(sizes.where("id IS NOT NULL AND twin IS NULL").select("id", "n", "matches", "prefix"), "id")
+    likely = scratch.write(_in_tasks(held, ["hub", "block"], likely.count(), _matched, "id long, hub long, component long, block string, side int").distinct())
     texts = among(_texts(docs).where("id IS NOT NULL"), likely.select("id").distinct())
     return _in_tasks(likely.join(texts, "id"), ["hub", "block"], likely.count(), _compare, "a long, b long")
 
