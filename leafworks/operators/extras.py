@@ -71,12 +71,6 @@ def component_ids(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
     return both.select(key, "source_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def edition_costs(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """key, words, chars (with the spaces that join pages), narratable (pages but four, none below 0)."""
-    n = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\r\x0B\f]+"), lambda w: w != ""))
-    return pages.groupBy(key).agg(F.sum(n).alias("words"), (F.sum(F.length(F.coalesce(F.col(text), F.lit("")))) + F.count("*") - 1).alias("chars"), F.greatest(F.lit(0), F.count("*") - 4).alias("narratable"))
-
-
 def role_policy(units: DataFrame, defaults: dict[str, str], overrides: DataFrame) -> DataFrame:
     """unit_id, policy: an override, else the role's default, else translate."""
     o = overrides.select("unit_id", F.col("policy").alias("_o"))

@@ -22,6 +22,16 @@ def narration_cost(narrations: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("cost", F.round(F.col("chars") / 1000 * PRICE_NARRATED * RATE, 6))
 
 
+def edition_costs(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """key, words, chars (with the spaces that join pages with text), cost (to translate, 6 digits), narration_cost, narratable (pages but four, none below 0)."""
+    filled = F.coalesce(F.col(text), F.lit("")) != ""
+    n = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\r\x0B\f]+"), lambda w: w != ""))
+    chars = F.greatest(F.coalesce(F.sum(F.length(text)), F.lit(0)) + F.count_if(filled) - 1, F.lit(0))
+    out = pages.groupBy(key).agg(F.sum(n).alias("words"), chars.alias("chars"), F.greatest(F.lit(0), F.count("*") - 4).alias("narratable"))
+    cost = F.round(F.col("chars") / 4 * (2 * PRICE_IN + PRICE_OUT) / 1e6 * RATE, 6)
+    return out.select(key, "words", "chars", cost.alias("cost"), F.round(F.col("chars") / 1000 * PRICE_NARRATED * RATE, 6).alias("narration_cost"), "narratable")
+
+
 def page_range(pages: DataFrame, start: int = 3, end: int | None = None) -> DataFrame:
     """Pages from start to end, or to max(start, last - 2) without one."""
     last = F.max("page_number").over(Window.partitionBy("book_id"))
@@ -29,6 +39,47 @@ def page_range(pages: DataFrame, start: int = 3, end: int | None = None) -> Data
     return pages.withColumn("_top", top).where(F.col("page_number").between(F.lit(start), F.col("_top"))).drop("_top")
 
 
+def narration_texts(asked: DataFrame, books: DataFrame, pages: DataFrame, translated: DataFrame) -> DataFrame:
+    """book_id, language_code, page_number, text to narrate: in a book's own language the extracted texts that aren't empty, in others the edition's translated ones, from narration_start_page (3 for none) to narration_end_page, or where that
+    isn't set to two pages before the last of all its pages (the first one at least).
+
+    asked: book_id, language_code; books: book_id, original_language, narration_start_page, narration_end_page; pages: book_id, page_number, extracted_text; translated: book_id, language_code, page_number, translated_text.
+    """
+    last = pages.groupBy("book_id").agg(F.max("page_number").alias("_last"))
+    start = F.coalesce("narration_start_page", F.lit(3))
+    bounds = asked.join(books, "book_id").join(last, "book_id", "left").select("book_id", "language_code", (F.col("language_code") == F.col("original_language")).alias("_own"), start.alias("_a"), F.coalesce("narration_end_page", F.greatest(start, F.col("_last") - 2)).alias("_b"))
+    own = bounds.where("_own").join(pages.where("coalesce(extracted_text, '') <> ''").select("book_id", "page_number", F.col("extracted_text").alias("text")), "book_id")
+    other = bounds.where("NOT coalesce(_own, false)").join(translated.select("book_id", "language_code", "page_number", F.col("translated_text").alias("text")), ["book_id", "language_code"])
+    inside = F.col("page_number").between(F.col("_a"), F.col("_b"))
+    columns = ["book_id", "language_code", "page_number", "text"]
+    return own.where(inside).select(*columns).unionByName(other.where(inside).select(*columns))
+
+
+def audit_summary(events: DataFrame) -> DataFrame:
+    """book_id, languages (sorted), versions, renders, reviews, last_render, last_review: events are book_id, kind (translation, render, review, others), language_code, ts."""
+    n = lambda k: F.count_if(F.col("kind") == k)
+    when = lambda k: F.max(F.when(F.col("kind") == k, F.col("ts")))
+    languages = F.array_sort(F.collect_set(F.when(F.col("kind") == "translation", F.col("language_code"))))
+    return events.groupBy("book_id").agg(languages.alias("languages"), n("translation").alias("versions"), n("render").alias("renders"), n("review").alias("reviews"), when("render").alias("last_render"), when("review").alias("last_review"))
+
+
+def job_states(changes: DataFrame) -> DataFrame:
+    """job_id, status (of its last change; queued for none), active (queued or processing), started_at (of the last start), completed_at (of the last end, if it isn't started again since), seconds between (null while it runs). changes: job_id, seq, status, ts."""
+    last = lambda *s: F.max_by(F.when(F.col("status").isin(*s), F.col("ts")), F.when(F.col("status").isin(*s), F.col("seq")))
+    out = changes.groupBy("job_id").agg(F.coalesce(F.max_by("status", "seq"), F.lit("queued")).alias("status"), last("processing").alias("started_at"), last("completed", "failed").alias("_end"))
+    ended = F.when(F.col("status").isin("completed", "failed"), F.col("_end"))
+    out = out.select("job_id", "status", F.col("status").isin("queued", "processing").alias("active"), "started_at", ended.alias("completed_at"))
+    return out.withColumn("seconds", F.timestamp_diff("SECOND", F.col("started_at"), F.col("completed_at")))
+
+
+def search_terms(events: DataFrame) -> DataFrame:
+    """term, searches, without_result, last_day: each lower-cased, trimmed term of search events' payload (JSON: term, results), most searches first. A search without results, or with none counted as 0, had no result. events: type, payload, day, count."""
+    term = F.lower(F.trim(F.get_json_object("payload", "$.term")))
+    none = F.coalesce(F.get_json_object("payload", "$.results").cast("long"), F.lit(0)) == 0
+    rows = events.where("type = 'search'").select(term.alias("term"), F.coalesce("count", F.lit(1)).alias("n"), none.alias("none"), "day").where("coalesce(term, '') <> ''")
+    return rows.groupBy("term").agg(F.sum("n").cast("long").alias("searches"), F.coalesce(F.sum(F.when(F.col("none"), F.col("n"))), F.lit(0)).cast("long").alias("without_result"), F.max("day").alias("last_day"))
+
+
 def audit_versions(events: DataFrame, group: str, order: str, content: str) -> DataFrame:
     """Adds version (from 1 in each group, by order) and content_hash (12 hex digits)."""
     w = Window.partitionBy(group).orderBy(order)

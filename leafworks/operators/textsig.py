@@ -9,12 +9,13 @@ from leafworks.functions.text import word_count, words
 
 
 def book_signals(pages: DataFrame) -> DataFrame:
-    """book_id, pages, words_per_page (over pages with words, half-up to 1 digit), image_share (pages of 12 words at most, to 3 digits)."""
-    n = pages.select("book_id", word_count(F.col("extracted_text")).alias("n"))
+    """book_id, pages, words_per_page (over pages with words, half-up to 1 digit), image_share (pages flagged is_image_only, where pages have that column, or of 12 words at most, to 3 digits)."""
+    flagged = F.coalesce("is_image_only", F.lit(False)) if "is_image_only" in pages.columns else F.lit(False)
+    n = pages.select("book_id", word_count(F.col("extracted_text")).alias("n"), flagged.alias("flagged"))
     return n.groupBy("book_id").agg(
         F.count("*").alias("pages"),
         F.round(F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("n"))), F.lit(0.0)), 1).alias("words_per_page"),
-        F.round(F.avg(F.when(F.col("n") <= 12, 1.0).otherwise(0.0)), 3).alias("image_share"))
+        F.round(F.avg(F.when(F.col("flagged") | (F.col("n") <= 12), 1.0).otherwise(0.0)), 3).alias("image_share"))
 
 
 def book_type(signals: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafworks.operators import catalog as C
 from leafworks.operators import extras as X
+from leafworks.operators import reporting as P
 
 from .catalog_queries import FACETED, GATE, VISIBLE, faceted, visible
 from .registry import query
@@ -70,9 +71,10 @@ def _(t):
     return X.component_ids(of(t.events.where("event_type <> 'click'"), 6), of(t.events, 7), "book_id")
 
 
-@query("P2_edition_costs", r"""SELECT book_id, sum(len(regexp_extract_all(extracted_text, '[^ \t\n\r\x0B\f]+')))::BIGINT AS words, (sum(length(extracted_text)) + count(*) - 1)::BIGINT AS chars, greatest(0, count(*) - 4) AS narratable FROM book_pages GROUP BY 1""", ("book_pages",))
+@query("P2_edition_costs", r"""SELECT book_id, words, chars, round(chars / 4 * (2 * 0.15::DOUBLE + 0.60::DOUBLE) / 1000000 * 18.5::DOUBLE, 6) AS cost, round(chars / 1000 * 0.30::DOUBLE * 18.5::DOUBLE, 6) AS narration_cost, narratable FROM (SELECT book_id, sum(len(regexp_extract_all(extracted_text, '[^ \t\n\r\x0B\f]+')))::BIGINT AS words,
+ greatest(sum(length(extracted_text)) + count(*) FILTER (extracted_text <> '') - 1, 0)::BIGINT AS chars, greatest(0, count(*) - 4) AS narratable FROM book_pages GROUP BY 1)""", ("book_pages",))
 def _(t):
-    return X.edition_costs(t.book_pages, "book_id", "extracted_text")
+    return P.edition_costs(t.book_pages, "book_id", "extracted_text")
 
 
 @query("K31_role_policy", "SELECT event_id AS unit_id, CASE WHEN event_id % 9 = 0 THEN 'review' WHEN event_type = 'view' THEN 'preserve' WHEN event_type = 'error' THEN 'skip' ELSE 'translate' END AS policy FROM events")

@@ -27,13 +27,30 @@ def _(t):
     return L.nearest_centre(t.spans, L.clusters(t.spans, "page_id", "y0", 12.0), "page_id", "y0")
 
 
-PAGES = "p AS (SELECT page_id, count(*) AS regions, max(role) AS page_type, max(font_size) > 30 AS has_images FROM spans GROUP BY 1)"
+# A document has ten pages of boxes; the type of a page is cover, story_page or its role; a page's styles are its fonts.
+PAGES = """p AS (SELECT page_id // 10 AS doc_id, page_id AS page_number, CASE WHEN max(role) = 'R' THEN 'story_page' ELSE max(role) END AS page_type, count(*) AS regions, max(font_size) > 30 AS has_images FROM spans GROUP BY page_id),
+g AS (SELECT doc_id, page_type, regions, has_images, 'family-' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY min(page_number), page_type, regions, has_images) - 1)::VARCHAR, 2, '0') || '-' || split_part(page_type, '_', 1) AS family FROM p GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+f AS (SELECT doc_id, page_number, family FROM p JOIN g USING (doc_id, page_type, regions, has_images))"""
+STYLED = """s AS (SELECT page_id // 10 AS doc_id, page_id AS page_number, font_name AS style_id, round_even(max(font_size) + 0.26, 1) AS size, min(role) AS font, 'c' || min(span_no) AS color, (count(*) * 100)::INT AS weight, min(span_no) % 2 = 0 AS italic FROM spans GROUP BY page_id, font_name),
+j AS (SELECT * FROM s JOIN f USING (doc_id, page_number)), n AS (SELECT doc_id, family, style_id, count(*) AS samples, arg_min(italic, page_number) AS italic FROM j GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""
+BEST = lambda c: f"(SELECT doc_id, family, style_id, arg_min({c}, (-k * 1000000000 + f)) AS {c} FROM (SELECT doc_id, family, style_id, {c}, count(*) AS k, min(page_number) AS f FROM j GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"
 
 
-@query("K6_page_families", "SELECT page_id, family FROM (SELECT page_id, min(page_id) OVER w AS family, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY regions, page_type, has_images)) WHERE n >= 2", ("spans",), PAGES)
+def family_pages(t):
+    kind = F.when(F.max("role") == "R", "story_page").otherwise(F.max("role"))
+    return t.spans.groupBy((F.expr("page_id div 10")).alias("doc_id"), F.col("page_id").alias("page_number")).agg(kind.alias("page_type"), F.count("*").alias("regions"), (F.max("font_size") > 30).alias("has_images"))
+
+
+@query("K6_page_families", "SELECT * FROM f", ("spans",), PAGES)
+def _(t):
+    return L.page_families(family_pages(t))
+
+
+@query("K7_style_families", f"SELECT * FROM n JOIN {BEST('size')} USING (doc_id, family, style_id) JOIN {BEST('font')} USING (doc_id, family, style_id) JOIN {BEST('color')} USING (doc_id, family, style_id) JOIN {BEST('weight')} USING (doc_id, family, style_id)", ("spans",), PAGES + ", " + STYLED)
 def _(t):
-    pages = t.spans.groupBy("page_id").agg(F.count("*").alias("regions"), F.max("role").alias("page_type"), (F.max("font_size") > 30).alias("has_images"))
-    return L.page_families(pages, ["regions", "page_type", "has_images"])
+    page = t.spans.groupBy(F.expr("page_id div 10").alias("doc_id"), F.col("page_id").alias("page_number"), F.col("font_name").alias("style_id"))
+    styles = page.agg((F.max("font_size") + 0.26).alias("size"), F.min("role").alias("font"), F.concat(F.lit("c"), F.min("span_no").cast("string")).alias("color"), (F.count("*") * 100).cast("int").alias("weight"), (F.min("span_no") % 2 == 0).alias("italic"))
+    return L.style_families(styles, L.page_families(family_pages(t)))
 
 
 @query("K7_style_mode", """SELECT role, font_size, n FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, f) AS r, sum(n) OVER (PARTITION BY role) AS a FROM
@@ -47,6 +64,16 @@ def _(t):
     return L.consensus_box(t.spans, ["page_id", "role"], 2.0)
 
 
+@query("K8_consensus_containers", """SELECT page_id AS page_number, span_no AS region_id, CASE WHEN own THEN x0 ELSE ux END AS x0, CASE WHEN own THEN y1 ELSE uy END AS y1, CASE WHEN own THEN 'own' WHEN ux IS NOT NULL THEN 'page_family' END AS container_source FROM (SELECT page_id, span_no, role, x0::DOUBLE AS x0, y1::DOUBLE AS y1, span_no % 5 = 0 AS own, f.doc_id, f.family FROM spans LEFT JOIN f ON page_number = page_id)
+ LEFT JOIN (SELECT f.doc_id, f.family, role, min(x0)::DOUBLE - 10 AS ux, max(y1)::DOUBLE + 10 AS uy FROM spans JOIN f ON page_number = page_id WHERE span_no % 3 <> 1 GROUP BY 1, 2, 3 HAVING count(*) >= 2) USING (doc_id, family, role)""", ("spans",), PAGES)
+def _(t):
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    n = F.col("span_no")
+    regions = t.spans.select(F.expr("page_id div 10").alias("doc_id"), F.col("page_id").alias("page_number"), n.alias("region_id"), F.col("role").alias("region_type"), F.when(n % 3 != 1, box).alias("box"), F.when(n % 5 == 0, box).alias("container"))
+    out = L.consensus_containers(regions, L.page_families(family_pages(t)))
+    return out.select("page_number", "region_id", "container.x0", "container.y1", "container_source")
+
+
 @query("K15_reading_order", "SELECT page_id, span_no, row_number() OVER (PARTITION BY page_id ORDER BY font_size <= 20, y0, x0, span_no) AS place FROM spans", ("spans",))
 def _(t):
     return L.reading_order(t.spans)

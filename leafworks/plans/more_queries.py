@@ -9,7 +9,7 @@ from leafworks.operators import layout as L
 from leafworks.operators import reconcile as R
 
 from .gate_queries import MERGED
-from .layout_queries import CLUSTERS
+from .layout_queries import CLUSTERS, PAGES, family_pages
 from .registry import query
 
 UNITS = "u AS (SELECT book_id * 100 + page_number AS unit_id, source_text, translated_text, book_id, page_number FROM translation_pairs)"
@@ -161,16 +161,20 @@ def _(t):
     return G.contained_lines(boxes, regions)
 
 
-@query("K12_text_summary", "SELECT page_id, count(*) AS spans, count(DISTINCT font_size) AS sizes, count(DISTINCT font_name) AS fonts FROM spans GROUP BY 1", ("spans",))
+@query("K12_text_summary", """SELECT page_id, count(*) FILTER (font_size % 5 <> 0) AS spans, coalesce(sum(1 + font_size // 10) FILTER (font_size % 5 <> 0), 0)::BIGINT AS chars, coalesce(list_sort(list_distinct(list(round_even(font_size + 0.26, 1)) FILTER (font_size % 5 <> 0))), []) AS sizes,
+ coalesce(list_sort(list_distinct(list(font_name) FILTER (font_size % 5 <> 0))), []) AS fonts, bool_or(font_size % 7 = 3) AS rotated FROM (SELECT page_id, font_size::DOUBLE AS font_size, font_name FROM spans) GROUP BY 1""", ("spans",))
 def _(t):
-    return L.text_summary(t.spans.withColumn("font_name", F.concat(F.lit("ABCDEF+"), F.col("font_name"))))
+    size = F.col("font_size").cast("double")
+    text = F.when(size % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), F.repeat(F.lit("x"), (1 + F.floor(size / 10)).cast("int"))))
+    prefix = F.when(F.col("span_no") % 2 == 0, "ABCDEF+").otherwise("")
+    return L.text_summary(t.spans.select("page_id", text.alias("text"), (size + 0.26).alias("font_size"), F.concat(prefix, "font_name").alias("font_name"), F.when(size % 7 == 3, 0.9).otherwise(1.0).alias("dir_x"), F.lit(0.0).alias("dir_y")))
 
 
 IMAGES = "i AS (SELECT l_orderkey AS page_id, l_discount * 8 AS coverage FROM lineitem WHERE l_linenumber < 3)"
 
 
 def images(t):
-    return t.lineitem.where("l_linenumber < 3").select(F.col("l_orderkey").alias("page_id"), (F.col("l_discount") * 8).alias("coverage"))
+    return t.lineitem.where("l_linenumber < 3").select(F.col("l_orderkey").alias("page_id"), (F.col("l_discount").cast("double") * 8).alias("coverage"))
 
 
 @query("K19_policy_cascade", "SELECT page_id, span_no, CASE WHEN span_no % 4 = 0 THEN 'u' WHEN page_id % 3 = 0 THEN 'l' ELSE 'none' END AS policy, CASE WHEN span_no % 4 = 0 THEN 'unit' WHEN page_id % 3 = 0 THEN 'language' ELSE 'default' END AS decided_by FROM spans", ("spans",))
@@ -189,14 +193,22 @@ def _(t):
     return L.requested_families(t.orders.select(k.alias("book_id"), F.when(k % 13 != 0, policy).alias("policy"))).withColumn("families", F.array_join("families", ","))
 
 
-@query("K23_document_summary", "SELECT page_id, count(*) FILTER (role = 'N') AS translate, count(*) FILTER (role = 'R') AS preserve, count(*) FILTER (role NOT IN ('N', 'R')) AS other FROM spans GROUP BY 1", ("spans",))
+@query("K23_document_summary", """SELECT p.doc_id, count(*) AS pages, any_value(u.units) AS units, any_value(u.t) AS translate, any_value(u.p) AS preserve, any_value(u.o) AS other, string_agg(page_number || '=' || page_type, ',' ORDER BY page_number) AS page_types, any_value(fam) AS families FROM p
+ JOIN (SELECT page_id // 10 AS doc_id, count(*) AS units, count(*) FILTER (role = 'N') AS t, count(*) FILTER (role = 'R') AS p, count(*) FILTER (role NOT IN ('N', 'R')) AS o FROM spans GROUP BY 1) u USING (doc_id)
+ LEFT JOIN (SELECT doc_id, string_agg(family || '=' || n, ',' ORDER BY family) AS fam FROM (SELECT doc_id, family, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1) USING (doc_id) GROUP BY 1""", ("spans",), PAGES)
 def _(t):
-    return L.document_summary(t.spans.withColumn("policy", F.when(F.col("role") == "N", "translate").when(F.col("role") == "R", "preserve").otherwise("review")))
+    units = t.spans.select(F.expr("page_id div 10").alias("doc_id"), F.when(F.col("role") == "N", "translate").when(F.col("role") == "R", "preserve").otherwise("review").alias("policy"))
+    pages = family_pages(t)
+    out = L.document_summary(pages, units, L.page_families(pages))
+    shown = lambda c, v: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"].cast("string"), F.lit("="), v(e["value"]))), ",").alias(c)
+    return out.select("doc_id", "pages", "units", "translate", "preserve", "other", shown("page_types", lambda x: x), shown("families", lambda x: F.size(x).cast("string")))
 
 
-@query("K25_artwork_candidates", "SELECT page_id FROM (SELECT page_id, least(1.0, sum(coverage)) AS a FROM i GROUP BY 1) LEFT JOIN (SELECT page_id, sum(font_size * 5) AS n FROM spans GROUP BY 1) USING (page_id) WHERE a >= 0.25 AND coalesce(n, 0) < 400", ("spans",), IMAGES)
+@query("K25_artwork_candidates", """SELECT page_id, round_even(a, 3) AS share, coalesce(n, 0)::BIGINT AS chars FROM (SELECT page_id, least(1.0, sum(coverage)) AS a FROM i GROUP BY 1) LEFT JOIN (SELECT page_id, sum(font_size * 5) AS n FROM spans GROUP BY 1) USING (page_id) WHERE a >= 0.25 AND coalesce(n, 0) < 400 AND page_id % 5 <> 2 AND page_id % 7 <> 3""", ("spans",), IMAGES.replace("l_discount * 8", "l_discount::DOUBLE * 8"))
 def _(t):
-    return L.artwork_candidates(images(t), t.spans.select("page_id", (F.col("font_size") * 5).alias("chars")))
+    k = F.col("page_id")
+    pages = t.spans.select(k, F.when(k % 5 == 2, "Cover").when(k % 7 == 3, "back_cover").otherwise("story").alias("page_type"))
+    return L.artwork_candidates(images(t), t.spans.select("page_id", (F.col("font_size") * 5).alias("chars")), pages)
 
 
 @query("K27_font_report", "SELECT font_name AS family, font_name IN ('F1', 'F2') AS approved, font_name IN ('F1', 'F2', 'F3') AS resolved FROM (SELECT DISTINCT font_name FROM spans)", ("spans",))

@@ -29,6 +29,46 @@ def _(t):
     return P.page_range(t.book_pages).select("book_id", "page_number")
 
 
+# Every book is asked for in two languages, one of them its own; every second line is translated.
+@query("P3_narration_texts", """SELECT a.book_id, a.l AS language_code, p.page_number, CASE WHEN a.l = b.lang THEN p.extracted_text ELSE 't ' || p.extracted_text END AS text FROM (SELECT doc_id AS book_id, unnest(['en', 'fr']) AS l FROM documents) a JOIN documents b ON b.doc_id = a.book_id
+ JOIN (SELECT *, max(page_number) OVER (PARTITION BY book_id) AS m FROM book_pages) p USING (book_id) WHERE page_number BETWEEN 1 + a.book_id % 4 AND CASE WHEN a.book_id % 5 = 0 THEN 6 ELSE greatest(1 + a.book_id % 4, m - 2) END AND CASE WHEN a.l = b.lang THEN extracted_text <> '' ELSE page_number % 2 = 0 END""", ("book_pages",))
+def _(t):
+    k = F.col("doc_id")
+    books = t.documents.select(k.alias("book_id"), F.col("lang").alias("original_language"), (1 + k % 4).alias("narration_start_page"), F.when(k % 5 == 0, 6).alias("narration_end_page"))
+    asked = t.documents.select(k.alias("book_id"), F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("language_code"))
+    translated = t.book_pages.where("page_number % 2 = 0").select("book_id", F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("language_code"), "page_number", F.concat(F.lit("t "), "extracted_text").alias("translated_text"))
+    return P.narration_texts(asked, books, t.book_pages, translated)
+
+
+AUDIT = "CASE event_type WHEN 'view' THEN 'translation' WHEN 'click' THEN 'render' WHEN 'purchase' THEN 'review' ELSE 'glossary' END"
+
+
+@query("P4_audit_summary", f"""SELECT book_id, coalesce(array_to_string(list_sort(list_distinct(list(l) FILTER (kind = 'translation'))), ','), '') AS languages, count(*) FILTER (kind = 'translation') AS versions, count(*) FILTER (kind = 'render') AS renders, count(*) FILTER (kind = 'review') AS reviews,
+ strftime(max(ts) FILTER (kind = 'render'), '%Y-%m-%d %H:%M:%S') AS last_render, strftime(max(ts) FILTER (kind = 'review'), '%Y-%m-%d %H:%M:%S') AS last_review FROM (SELECT user_id AS book_id, {AUDIT} AS kind, 'l' || event_id % 3 AS l, ts FROM events) GROUP BY 1""")
+def _(t):
+    events = t.events.select(F.col("user_id").alias("book_id"), F.expr(AUDIT).alias("kind"), F.concat(F.lit("l"), (F.col("event_id") % 3).cast("string")).alias("language_code"), "ts")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return P.audit_summary(events).select("book_id", F.array_join("languages", ",").alias("languages"), "versions", "renders", "reviews", shown("last_render"), shown("last_review"))
+
+
+JOB = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+
+
+@query("P5_job_states", f"""SELECT job_id, status, status IN ('queued', 'processing') AS active, CASE WHEN status IN ('completed', 'failed') THEN (epoch_us(e) - epoch_us(s)) // 1000000 END AS seconds FROM (SELECT job_id, arg_max(status, seq) AS status, arg_max(ts, seq) FILTER (status = 'processing') AS s,
+ arg_max(ts, seq) FILTER (status IN ('completed', 'failed')) AS e FROM (SELECT user_id * 10 + event_id % 10 AS job_id, event_id AS seq, {JOB} AS status, ts FROM events) GROUP BY 1)""")
+def _(t):
+    changes = t.events.select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("job_id"), F.col("event_id").alias("seq"), F.expr(JOB).alias("status"), "ts")
+    return P.job_states(changes).select("job_id", "status", "active", "seconds")
+
+
+@query("P7_search_terms", """SELECT term, count(*) AS searches, count(*) FILTER (r % 3 = 0) AS without_result, max(day)::VARCHAR AS last_day FROM (SELECT 'k' || json_extract_string(props, '$.k') AS term, event_id % 9 AS r, ts::DATE AS day FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k') IS NOT NULL) GROUP BY 1""")
+def _(t):
+    k, r = F.get_json_object("props", "$.k"), F.col("event_id") % 9
+    payload = F.to_json(F.struct(F.concat(F.lit(" K"), k).alias("term"), F.when(r % 3 != 0, r).when(r == 3, 0).alias("results")))
+    rows = t.events.select(F.when(F.col("event_type") == "view", "search").otherwise("filter").alias("type"), payload.alias("payload"), F.to_date("ts").alias("day"), F.lit(1).alias("count"))
+    return P.search_terms(rows).withColumn("last_day", F.col("last_day").cast("string"))
+
+
 @query("P4_audit_versions", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, substr(md5(props), 1, 12) AS content_hash FROM events")
 def _(t):
     return P.audit_versions(t.events, "user_id", "event_id", "props").select("event_id", "user_id", "version", "content_hash")
@@ -90,6 +130,12 @@ def _(t):
     return I.declared_language(t.pages)
 
 
+@query("K22_language_gate", """SELECT page_id, declared, requested, coalesce(lower(declared) = requested, false) AS passed, CASE WHEN NOT coalesce(lower(declared) = requested, false) THEN 'ACCESSIBILITY_LANG_UNSET' END AS code
+ FROM (SELECT page_id, nullif(regexp_extract(html, '<html[^>]*lang="([^"]+)"', 1), '') AS declared, CASE WHEN page_id % 3 = 0 THEN 'fr' ELSE 'en' END AS requested FROM pages)""")
+def _(t):
+    return I.language_gate(t.pages, t.pages.select("page_id", F.when(F.col("page_id") % 3 == 0, "fr").otherwise("en").alias("language_code")))
+
+
 def streamed(t, name: str, build, mode: str):
     # a file source reads a folder: the one table's files are picked by name, so the path may be a folder or a file
     source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")

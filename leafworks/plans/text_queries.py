@@ -25,6 +25,11 @@ def _(t):
     return T.book_signals(t.book_pages)
 
 
+@query("C3_flagged_pages", """SELECT book_id, round(avg(CASE WHEN page_number % 4 = 0 OR n <= 12 THEN 1.0 ELSE 0.0 END)::DOUBLE, 3) AS image_share FROM w GROUP BY 1""", ("book_pages",), WORDED)
+def _(t):
+    return T.book_signals(t.book_pages.withColumn("is_image_only", F.when(F.col("page_number") % 4 == 0, True))).select("book_id", "image_share")
+
+
 @query("C9_full_text", "SELECT book_id, substr(string_agg(extracted_text, chr(10) ORDER BY page_number), 1, 4000) AS sample FROM book_pages GROUP BY 1", ("book_pages",))
 def _(t):
     return T.full_text(t.book_pages)

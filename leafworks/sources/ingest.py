@@ -67,6 +67,13 @@ def declared_language(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.nullif(F.regexp_extract("html", r'<html[^>]*lang="([^"]+)"', 1), F.lit("")).alias("language"))
 
 
+def language_gate(pages: DataFrame, editions: DataFrame) -> DataFrame:
+    """page_id, declared, requested, passed, code: whether a document declares the language of its edition, in any case; ACCESSIBILITY_LANG_UNSET where not (null where it does). pages: page_id, html; editions: page_id, language_code."""
+    both = declared_language(pages).join(editions.select("page_id", F.col("language_code").alias("requested")), "page_id")
+    ok = F.coalesce(F.lower("language") == F.lower("requested"), F.lit(False))
+    return both.select("page_id", F.col("language").alias("declared"), "requested", ok.alias("passed"), F.when(~ok, "ACCESSIBILITY_LANG_UNSET").alias("code"))
+
+
 def _blocks_of(log: Column) -> Column:
     """The outermost balanced {...} of a text, in order; braces inside strings count too."""
     pieces = F.regexp_extract_all(log, F.lit(r"[{}]|[^{}]+"), 0)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from leafworks.operators import catalog, extras, gates, layout, reconcile
+from leafworks.operators import catalog, extras, gates, layout, reconcile, reporting
+from leafworks.sources import ingest
 
 from .test_operators import rows
 
@@ -261,3 +262,62 @@ def test_families_of_a_policy(spark):
     texts = ['{"publisher_default":{"body":"Play","head":""},"roles":{"font_asset_id":"Pat","weight":4},"language_overrides":{"zu":{"body":{"font_asset_id":"Zed"}},"af":{"font_asset_id":"Play"}},"unit_overrides":{"u":{"font_asset_id":"Uni"},"v":["L1","L2"]}}', None, "{}", '{"roles":{"b":{"size":3},"a":{"font_asset_id":"A"}}}', "[]"]
     out = layout.requested_families(spark.createDataFrame(list(enumerate(texts)), "book_id int, policy string"))
     assert rows(out, "book_id", "families") == [(0, ["Play", "Pat", "Zed", "Uni", "L1", "L2"]), (1, []), (2, []), (3, ["A"]), (4, [])]
+
+
+def test_page_families_stay_in_their_document(spark):
+    pages = spark.createDataFrame([(1, 1, "cover", 2, True), (1, 2, "story_page", 3, True), (1, 3, "back_cover", 1, None), (1, 4, "story_page", 3, True), (1, 5, "back_cover", 1, None), (2, 1, "story_page", 3, True), (1, 6, "story_page", 3, False)], "doc_id int, page_number int, page_type string, regions int, has_images boolean")
+    families = layout.page_families(pages)
+    assert rows(families, "doc_id", "page_number", "family") == [(1, 2, "family-00-story"), (1, 3, "family-01-back"), (1, 4, "family-00-story"), (1, 5, "family-01-back")]
+    styles = spark.createDataFrame([(1, 2, "prose", 24.04, "A", "red", 400, True), (1, 4, "prose", 26.0, "B", "red", 700, False), (1, 3, "x", 9.0, None, "k", 1, False), (1, 5, "x", 9.04, None, "k", 1, False), (1, 2, "once", 1.0, "A", "k", 1, False), (2, 1, "prose", 26.0, "B", "red", 700, False)],
+                                   "doc_id int, page_number int, style_id string, size double, font string, color string, weight int, italic boolean")
+    got = rows(layout.style_families(styles, families), "family", "style_id", "size", "font", "color", "weight", "italic", "samples")
+    assert got == [("family-00-story", "prose", 24.0, "A", "red", 400, True, 2), ("family-01-back", "x", 9.0, None, "k", 1, False, 2)]
+    box = lambda a: (a, a, a + 5.0, a + 5.0)
+    regions = spark.createDataFrame([(1, 2, 1, "text", box(10.0), None), (1, 4, 2, "text", box(50.0), None), (1, 4, 3, "title", box(0.0), None), (1, 4, 4, "text", None, box(1.0)), (2, 1, 5, "text", box(90.0), None)],
+                                    "doc_id int, page_number int, region_id int, region_type string, box struct<x0:double,y0:double,x1:double,y1:double>, container struct<x0:double,y0:double,x1:double,y1:double>")
+    out = {r.region_id: (tuple(r.container) if r.container else None, r.container_source) for r in layout.consensus_containers(regions, families).collect()}
+    assert out == {1: ((0.0, 0.0, 65.0, 65.0), "page_family"), 2: ((0.0, 0.0, 65.0, 65.0), "page_family"), 3: (None, None), 4: ((1.0, 1.0, 6.0, 6.0), "own"), 5: (None, None)}
+    units = spark.createDataFrame([(1, "translate"), (1, "preserve"), (1, None), (1, "x")], "doc_id int, policy string")
+    summary = {r.doc_id: r for r in layout.document_summary(pages, units, families).collect()}
+    assert (summary[1].units, summary[1].translate, summary[1].preserve, summary[1].other, summary[1].families) == (4, 1, 1, 2, {"family-00-story": [2, 4], "family-01-back": [3, 5]}) and summary[2].families is None and summary[1].page_types[1] == "cover"
+
+
+def test_text_of_a_page_and_artwork(spark):
+    spans = spark.createDataFrame([(1, " ab ", 9.04, "ABCDEF+Play", 1.0, 0.0), (1, "c", 9.0, "Play", 1.0, 0.0), (1, " ", 30.0, "Other", 0.0, 1.0), (2, None, 1.0, "ABCDEF+", 1.0, 0.0), (3, "x", 1.0, "ABCDEF+", 1.0, 0.0)], "page_id int, text string, font_size double, font_name string, dir_x double, dir_y double")
+    assert rows(layout.text_summary(spans), "page_id", "spans", "chars", "sizes", "fonts", "rotated") == [(1, 2, 3, [9.0], ["Play"], True), (2, 0, 0, [], [], False), (3, 1, 1, [1.0], ["ABCDEF+"], False)]
+    images = spark.createDataFrame([(1, 0.2), (1, 0.1), (2, 9.0), (3, 0.1), (4, 0.9), (5, 1.0)], "page_id int, coverage double")
+    texts = spark.createDataFrame([(1, 399), (5, 400)], "page_id int, chars int")
+    pages = spark.createDataFrame([(2, "Back_Cover"), (1, "story")], "page_id int, page_type string")
+    assert rows(layout.artwork_candidates(images, texts, pages), "page_id", "share", "chars") == [(1, 0.3, 399), (4, 0.9, 0)]
+
+
+def test_reports(spark):
+    pages = spark.createDataFrame([(1, "ab cd"), (1, None), (1, ""), (1, "e"), (1, "f")], "b int, t string")
+    assert rows(reporting.edition_costs(pages, "b", "t"), "words", "chars", "narratable") == [(4, 9, 1)]
+    books = spark.createDataFrame([(1, "en", None, None), (2, "en", 1, 2)], "book_id int, original_language string, narration_start_page int, narration_end_page int")
+    text = spark.createDataFrame([(1, i, "" if i == 4 else f"o{i}") for i in range(1, 8)] + [(2, 1, "x"), (2, 2, "y"), (2, 3, "z")], "book_id int, page_number int, extracted_text string")
+    other = spark.createDataFrame([(1, "af", i, f"a{i}") for i in (2, 3, 5, 6)], "book_id int, language_code string, page_number int, translated_text string")
+    asked = spark.createDataFrame([(1, "en"), (1, "af"), (2, "en"), (2, "zu")], "book_id int, language_code string")
+    got = rows(reporting.narration_texts(asked, books, text, other), "book_id", "language_code", "text")
+    assert got == [(1, "af", "a3"), (1, "af", "a5"), (1, "en", "o3"), (1, "en", "o5"), (2, "en", "x"), (2, "en", "y")]
+    jobs = spark.sql("SELECT * FROM VALUES (1, 1, 'queued', TIMESTAMP'2024-01-01 00:00:00'), (1, 2, 'processing', TIMESTAMP'2024-01-01 00:01:00'), (1, 3, 'failed', TIMESTAMP'2024-01-01 00:03:00'), (2, 1, 'completed', TIMESTAMP'2024-01-01 00:00:00'), (2, 2, 'processing', TIMESTAMP'2024-01-01 00:00:00'), (3, 1, NULL, NULL) AS t(job_id, seq, status, ts)")
+    assert rows(reporting.job_states(jobs), "job_id", "status", "active", "seconds") == [(1, "failed", False, 120), (2, "processing", True, None), (3, "queued", True, None)]
+    searches = spark.createDataFrame([("search", '{"term":" Cat","results":0}', 2), ("search", '{"term":"cat","results":3}', None), ("filter", '{"term":"cat"}', 1), ("search", '{"term":" "}', 1), ("search", "broken", 1), ("search", '{"term":"dog"}', 1)], "type string, payload string, count int")
+    assert rows(reporting.search_terms(searches.withColumn("day", F.lit("2024-01-01"))), "term", "searches", "without_result") == [("cat", 3, 2), ("dog", 1, 1)]
+    trail = spark.createDataFrame([(1, "translation", "zu", 1), (1, "translation", "af", 2), (1, "translation", "af", 3), (1, "render", "af", 4), (2, "review", None, 9)], "book_id int, kind string, language_code string, ts int")
+    assert rows(reporting.audit_summary(trail), "book_id", "languages", "versions", "renders", "reviews", "last_render", "last_review") == [(1, ["af", "zu"], 3, 1, 0, 4, None), (2, [], 0, 0, 1, None, 9)]
+
+
+def test_glossary_by_book_and_language(spark):
+    terms = spark.createDataFrame([(1, "af", "b", "B", None), (1, "af", "a", "A", "c"), (1, "zu", "a", "Z", None)], "book_id int, language_code string, source_term string, translated_term string, context string")
+    assert rows(reconcile.memory_block(terms), "book_id", "language_code", "block") == [(1, "af", "a = A\nb = B"), (1, "zu", "a = Z")]
+    asked = spark.createDataFrame([(1, "af", "a"), (1, "af", "A"), (2, "af", "a")], "book_id int, language_code string, source_term string")
+    assert rows(reconcile.memory_lookup(asked, terms), "book_id", "source_term", "translated_term") == [(1, "A", None), (1, "a", "A"), (2, "a", None)]
+    split = reconcile.cache_split(spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
+    assert rows(reconcile.hit_rate(split), "total", "hits", "misses", "rate") == [(3, 1, 2, 0.333)] and rows(reconcile.hit_rate(split.where("false")), "rate") == [(0.0,)]
+
+
+def test_language_gate(spark):
+    pages = spark.createDataFrame([(1, '<html lang="AF">'), (2, '<html lang="en">'), (3, "<html>"), (4, None)], "page_id int, html string")
+    editions = spark.createDataFrame([(i, "af") for i in range(1, 5)], "page_id int, language_code string")
+    assert rows(ingest.language_gate(pages, editions), "page_id", "passed", "code") == [(1, True, None), *((i, False, "ACCESSIBILITY_LANG_UNSET") for i in (2, 3, 4))]
