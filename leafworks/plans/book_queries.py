@@ -33,6 +33,16 @@ def _(t):
     return P.append_audit(rows.where("event_id % 2 <> 0"), folder).groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("A9_stream_append", "SELECT event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def _(t):
+    run = f"{shared_dir(t.spark)}/audit-{uuid.uuid4().hex}"
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{t.sf_dir}/events.parquet*")
+    rows = source.select("event_id", F.col("event_type").alias("kind"))
+    for _ in range(2):  # the second run finds nothing new
+        S.append_audit(rows, f"{run}/trail", f"{run}/checkpoint").awaitTermination()
+    return S.audit_trail(t.spark, f"{run}/trail", rows.schema).groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("A11_last_report", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '{"k":' || regexp_extract(props, '-?[0-9]+') || '}' END AS report FROM events""")
 def _(t):
     noisy = F.concat(F.lit('start {"x": {bad}} then {"k":0} and '), "props", F.lit(" done } tail"))

@@ -6,9 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def event_stream(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
@@ -50,6 +53,29 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
 
 
+def append_audit(events: DataFrame, folder: str, checkpoint: str, kind: str = "kind") -> StreamingQuery:
+    """Appends a stream of events to an audit folder, a subfolder for each batch and in it one for each kind; a batch that is repeated after a failure replaces its own subfolder, so an event is there once however often its batch is tried.
+
+    Runs over all that is there, then stops; started again with the same checkpoint it goes on with what is new.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy(kind).parquet(f"{folder}/batch={number}")
+
+    return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def audit_trail(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """All that append_audit() has written to a folder; nothing where no batch has come yet."""
+    known = spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(folder).select(*known.columns)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return known
+
+
 CHANGE = "page_id long, page_hash string, seq long"
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from leafworks.operators import catalog, extras, gates, layout, reconcile, reporting
-from leafworks.sources import ingest
+from leafworks.sources import ingest, views
+from leafworks.streaming import feeds
 
 from .test_operators import rows
 
@@ -321,3 +322,40 @@ def test_language_gate(spark):
     pages = spark.createDataFrame([(1, '<html lang="AF">'), (2, '<html lang="en">'), (3, "<html>"), (4, None)], "page_id int, html string")
     editions = spark.createDataFrame([(i, "af") for i in range(1, 5)], "page_id int, language_code string")
     assert rows(ingest.language_gate(pages, editions), "page_id", "passed", "code") == [(1, True, None), *((i, False, "ACCESSIBILITY_LANG_UNSET") for i in (2, 3, 4))]
+
+
+def test_restarted_audit_stream_leaves_each_event_once(spark, tmp_path):
+    schema = "event_id long, kind string"
+
+    def come(*ids):
+        spark.createDataFrame([(i, f"k{i % 2}") for i in ids], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        feeds.append_audit(events, f"{tmp_path}/trail", f"{tmp_path}/cp").awaitTermination()
+        return sorted(r.event_id for r in feeds.audit_trail(spark, f"{tmp_path}/trail", events.schema).collect())
+
+    from pyspark.sql.types import StructType
+
+    assert feeds.audit_trail(spark, f"{tmp_path}/none", StructType.fromDDL(schema)).count() == 0
+    come(1, 2)
+    come(3)
+    assert run() == [1, 2, 3] == run()
+    # the last batch's commit is lost, as when a driver dies after writing: it is done again
+    last = max((p for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == [1, 2, 3]
+    come(4)
+    assert run() == [1, 2, 3, 4]
+
+
+def test_tables_of_a_database_in_parts(spark):
+    url = {"url": "jdbc:derby:memory:shop;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(1000).select(F.col("id").alias("ID"), (F.col("id") * 1.005).cast("decimal(12,3)").alias("PRICE"), F.lit("x").alias("TITLE")).write.format("jdbc").options(**url, dbtable="EDITIONS").mode("overwrite").save()
+    spark.range(0).select(F.col("id").alias("ID")).write.format("jdbc").options(**url, dbtable="EMPTY_ONE").mode("overwrite").save()
+    tables = views.load_jdbc(spark, [views.JdbcTable("EDITIONS", "id long, price decimal(8,2), missing string", "ID", 5), views.JdbcTable("EMPTY_ONE", "id long", "ID")], url)
+    editions = tables["EDITIONS"]
+    assert editions.rdd.getNumPartitions() == 5 and dict(editions.dtypes) == {"id": "bigint", "price": "decimal(8,2)", "missing": "string"}
+    assert editions.count() == 1000 and str(editions.where("id = 100").first().price) == "100.50" and editions.where("missing IS NOT NULL").count() == 0
+    assert tables["EMPTY_ONE"].count() == 0
