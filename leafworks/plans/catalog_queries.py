@@ -247,9 +247,9 @@ def _(t):
 
 
 
-@query("B32_preselected_tags", """SELECT book_id, list_concat(list_sort(list(slug) FILTER (o)), coalesce(list(slug ORDER BY s) FILTER (NOT o), [])) AS tags FROM (SELECT book_id, slug, min(s) AS s, bool_or(o) AS o FROM
+@query("B32_preselected_tags", """SELECT book_id, array_to_string(list_concat(coalesce(list_sort(list(slug) FILTER (o)), []), coalesce(list(slug ORDER BY s) FILTER (NOT o), [])), ',') AS tags FROM (SELECT book_id, slug, min(s) AS s, bool_or(o) AS o FROM
  (SELECT o_custkey AS book_id, 'c' || o_orderkey % 13 AS slug, o_orderkey AS s, false AS o FROM orders WHERE o_orderkey % 4 <> 1 UNION ALL SELECT o_custkey, 'c' || o_orderkey % 7, NULL, true FROM orders WHERE o_orderkey % 4 = 1) GROUP BY 1, 2) GROUP BY 1""")
 def _(t):
     k, named = F.col("o_orderkey"), lambda n: F.concat(F.lit("c"), (F.col("o_orderkey") % n).cast("string")).alias("tag")
     suggested = t.orders.select(F.col("o_custkey").alias("book_id"), named(13), k.alias("seq"), (k % 4 == 1).alias("pending"))
-    return C.preselected_tags(suggested, t.orders.where("o_orderkey % 4 = 1").select(F.col("o_custkey").alias("book_id"), named(7)))
+    return C.preselected_tags(suggested, t.orders.where("o_orderkey % 4 = 1").select(F.col("o_custkey").alias("book_id"), named(7))).withColumn("tags", F.array_join("tags", ","))

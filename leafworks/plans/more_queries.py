@@ -161,13 +161,14 @@ def _(t):
     return G.contained_lines(boxes, regions)
 
 
-@query("K12_text_summary", """SELECT page_id, count(*) FILTER (font_size % 5 <> 0) AS spans, coalesce(sum(1 + font_size // 10) FILTER (font_size % 5 <> 0), 0)::BIGINT AS chars, coalesce(list_sort(list_distinct(list(round_even(font_size + 0.26, 1)) FILTER (font_size % 5 <> 0))), []) AS sizes,
- coalesce(list_sort(list_distinct(list(font_name) FILTER (font_size % 5 <> 0))), []) AS fonts, bool_or(font_size % 7 = 3) AS rotated FROM (SELECT page_id, font_size::DOUBLE AS font_size, font_name FROM spans) GROUP BY 1""", ("spans",))
+@query("K12_text_summary", """SELECT page_id, count(*) FILTER (font_size % 5 <> 0) AS spans, coalesce(sum(1 + floor(font_size / 10)) FILTER (font_size % 5 <> 0), 0)::BIGINT AS chars, coalesce(len(list_distinct(list(round_even(font_size + 0.26, 1)) FILTER (font_size % 5 <> 0))), 0) AS sizes, coalesce(round_even(min(font_size + 0.26) FILTER (font_size % 5 <> 0), 1), 0) AS smallest,
+ coalesce(array_to_string(list_sort(list_distinct(list(font_name) FILTER (font_size % 5 <> 0))), ','), '') AS fonts, bool_or(font_size % 7 = 3) AS rotated FROM (SELECT page_id, font_size::DOUBLE AS font_size, font_name FROM spans) GROUP BY 1""", ("spans",))
 def _(t):
     size = F.col("font_size").cast("double")
     text = F.when(size % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), F.repeat(F.lit("x"), (1 + F.floor(size / 10)).cast("int"))))
     prefix = F.when(F.col("span_no") % 2 == 0, "ABCDEF+").otherwise("")
-    return L.text_summary(t.spans.select("page_id", text.alias("text"), (size + 0.26).alias("font_size"), F.concat(prefix, "font_name").alias("font_name"), F.when(size % 7 == 3, 0.9).otherwise(1.0).alias("dir_x"), F.lit(0.0).alias("dir_y")))
+    return L.text_summary(t.spans.select("page_id", text.alias("text"), (size + 0.26).alias("font_size"), F.concat(prefix, "font_name").alias("font_name"), F.when(size % 7 == 3, 0.9).otherwise(1.0).alias("dir_x"), F.lit(0.0).alias("dir_y"))).select(
+        "page_id", "spans", "chars", F.size("sizes").alias("sizes"), F.coalesce(F.get("sizes", F.lit(0)), F.lit(0.0)).alias("smallest"), F.array_join("fonts", ",").alias("fonts"), "rotated")
 
 
 IMAGES = "i AS (SELECT l_orderkey AS page_id, l_discount * 8 AS coverage FROM lineitem WHERE l_linenumber < 3)"
@@ -217,10 +218,8 @@ def _(t):
     return L.font_report(t.spans.select(F.col("font_name").alias("family")), known)
 
 
-@query("K27_replacement_fonts", """SELECT unit_id, min(font) AS font FROM (SELECT unit_id, n FROM (SELECT unit_id, count(*) AS n FROM q GROUP BY 1)) LEFT JOIN (SELECT unit_id, font, count(*) AS h FROM q JOIN f USING (char) GROUP BY 1, 2) h USING (unit_id) WHERE font IS NULL OR h = n OR unit_id NOT IN (SELECT unit_id FROM (SELECT unit_id, font, count(*) AS h FROM q JOIN f USING (char) GROUP BY 1, 2) JOIN (SELECT unit_id, count(*) AS n FROM q GROUP BY 1) USING (unit_id) WHERE h = n) GROUP BY 1, n
- HAVING true""", (), FONTS + ", q AS (SELECT DISTINCT doc_id AS unit_id, char FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents WHERE lang = 'fr'))")
+@query("K27_replacement_fonts", """SELECT unit_id, min(font) FILTER (h = n) AS font FROM (SELECT unit_id, count(*) AS n FROM q GROUP BY 1) LEFT JOIN (SELECT unit_id, font, count(*) AS h FROM q JOIN f USING (char) GROUP BY 1, 2) USING (unit_id) GROUP BY 1""", (),
+ FONTS + ", q AS (SELECT DISTINCT doc_id AS unit_id, char FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents))")
 def _(t):
-    missing = t.documents.where("lang = 'fr'").select(F.col("doc_id").alias("unit_id"), F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where("char <> ''")
+    missing = t.documents.select(F.col("doc_id").alias("unit_id"), F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where("char <> ''")
     return L.replacement_fonts(missing, fonts(t))
-
-

@@ -141,11 +141,11 @@ def _(t):
 
 
 @query("D15_text_match", """SELECT book_id, page_number, len(a) AS expected, len(list_intersect(a, b)) AS found, round_even(CASE WHEN len(a) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(a)::DOUBLE END, 3) AS match_rate, length(translated_text) > 0 AS searchable,
- list_sort(list_filter(a, lambda x: NOT list_contains(b, x)))[1:10] AS missing_sample, CASE WHEN len(a) = 0 THEN true ELSE len(list_intersect(a, b)) / len(a)::DOUBLE > 0.5 END AS passed
+ array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x)))[1:10], ',') AS missing_sample, CASE WHEN len(a) = 0 THEN true ELSE len(list_intersect(a, b)) / len(a)::DOUBLE > 0.5 END AS passed
  FROM (SELECT *, list_distinct(list_transform(regexp_extract_all(source_text, '[\\p{L}\\p{N}_]{3,}'), lambda x: lower(x))) AS a, list_distinct(list_transform(regexp_extract_all(translated_text, '[\\p{L}\\p{N}_]{3,}'), lambda x: lower(x))) AS b
  FROM q WHERE translated_text IS NOT NULL AND trim(coalesce(source_text, '')) <> '')""", ("translation_pairs",), BLANKED)
 def _(t):
-    return R.text_match(blanked(t))
+    return R.text_match(blanked(t)).withColumn("missing_sample", F.array_join("missing_sample", ","))
 
 
 # Every fifth page is blank.
@@ -179,9 +179,9 @@ def lettered(t):
     return t.documents.select(F.col("lang").alias("edition_id"), F.col("doc_id").alias("unit_id"), "text"), t.spark.createDataFrame([(c,) for c in letters], "char string")
 
 
-@query("D27_missing_glyphs", "SELECT * FROM m", (), LETTERED)
+@query("D27_missing_glyphs", "SELECT * REPLACE (array_to_string(units, ',') AS units) FROM m", (), LETTERED)
 def _(t):
-    return R.missing_glyphs(*lettered(t))
+    return R.missing_glyphs(*lettered(t)).withColumn("units", F.array_join("units", ","))
 
 
 @query("D27_glyph_verdicts", """SELECT edition_id, count(*) AS characters, count(*) - count(m) AS covered, count(m) AS missing, any_value(u) AS affected_units, CASE WHEN count(m) = 0 THEN 'ok' WHEN count(m) <= 2 THEN 'warning' ELSE 'critical' END AS severity
