@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,19 +79,17 @@ CHANGE = "page_id long, page_hash string, seq long"
 
 
 def page_changes(pages: DataFrame) -> DataFrame:
-    """page_id, page_hash, seq of a stream of pages (page_id, seq, text): those whose text differs from the page's last one. The state is a hash a page; within a batch a page's rows go by seq."""
+    """page_id, page_hash, seq of a stream of pages (page_id, seq, text): those whose text differs from the page's last one. The state is a hash a page; within a batch a page's rows go by seq.
+
+    Texts are hashed before the shuffle, so a row of a page with very many changes in a batch takes 12 characters and a number. Null text counts as empty.
+    """
 
     def changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        last = state.get[0] if state.exists else None
-        out = []
-        for seq, text in zip(rows["seq"], rows["text"], strict=True):
-            now = hashlib.md5((text or "").encode()).hexdigest()[:12]
-            if now != last:
-                out.append((key[0], now, seq))
-            last = now
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["page_id", "page_hash", "seq"])
-
-    rows = pages.select(F.col("page_id").cast("long"), F.col("seq").cast("long"), "text")
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable", ignore_index=True)
+        before = rows["page_hash"].shift(fill_value=state.get[0] if state.exists else "")
+        state.update((rows["page_hash"].iat[-1],))
+        yield rows.loc[rows["page_hash"] != before, ["page_id", "page_hash", "seq"]]
+
+    page_hash = F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 12)
+    rows = pages.select(F.col("page_id").cast("long"), page_hash.alias("page_hash"), F.col("seq").cast("long"))
     return rows.groupBy("page_id").applyInPandasWithState(changed, CHANGE, "page_hash string", "append", GroupStateTimeout.NoTimeout)
