@@ -435,6 +435,36 @@ def test_substrings_match_brute_force(make, corpus, odd_texts, chunk_rows):
     assert sorted(map(tuple, ((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got)), key=str) == sorted(brute_repeats(texts), key=str)
 
 
+def test_substrings_frequent_minimisers_come_last(spark, make):
+    """A third of all windows hold one 3-word gram with the least hash there is, in different contexts: no bucket takes them all, and the result is that of brute force."""
+    import random
+
+    rnd = random.Random(5)
+    names = [f"n{i}" for i in range(3000)]
+    low_gram = min(((a, b, c) for a in names[:60] for b in names[:30] for c in names[:30]), key=lambda g: int(_gram_hash(g)))
+    texts = [(i, " ".join(w for _ in range(12) for w in [*rnd.choices(names, k=14), *low_gram])) for i in range(200)]
+    texts += [(500 + i, texts[i][1][: 40 * (1 + i % 5)]) for i in range(0, 200, 7)]
+    docs = make(texts)
+    size = 3 * sum(len(t) for _, t in texts)
+    frequent = substrings.frequent_minimisers(docs, size, 3000)
+    assert _gram_hash(low_gram) in frequent.tolist() and len(frequent) < 30
+
+    def fullest(hidden):
+        s = substrings.SuperKmers(docs.select("doc_id", "text").toArrow(), hidden)
+        return max(np.unique(s.kind_minimiser, return_counts=True)[1])
+
+    assert fullest(substrings.NONE) > 2000 > 8 * fullest(frequent)
+    got = substrings.remove_repeats(docs, chunk_rows=20, bucket_bytes=3000).collect()
+    assert sorted(map(tuple, ((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got)), key=str) == sorted(brute_repeats(texts), key=str)
+
+
+def _gram_hash(gram):
+    from leafworks.llm.words import Words, sequence_hashes
+
+    raw = " ".join(gram).encode()
+    return sequence_hashes(Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).hashes(), np.array([0]), 3)[0] >> np.uint64(1)
+
+
 def test_substrings_hash_collisions_are_told_apart():
     words = np.arange(40, dtype=np.uint64)
     start, ids = np.array([0, 13, 0]), np.array([2, 1, 3])
