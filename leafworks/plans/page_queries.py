@@ -121,17 +121,18 @@ def _(t):
     return L.nearest_fonts(fonts.where("font_id % 50 = 0"), fonts, 2.5, 5).select("query_id", "font_id", "rank")
 
 
-CONTENT = """o AS (SELECT *, greatest(1e-6, (x1 - x0) * (y1 - y0)) AS area FROM spans), h AS (SELECT r.page_id, r.span_no, o.role, greatest(least(r.x1, o.x1) - greatest(r.x0, o.x0), 0) * greatest(least(r.y1, o.y1) - greatest(r.y0, o.y0), 0) AS inter, r.area AS ra, o.area AS oa
-FROM (SELECT page_id, span_no, x0, y0, CASE WHEN span_no % 4 > 0 THEN x1 END AS x1, y1, greatest(1e-6, (x1 - x0) * (y1 - y0)) AS area FROM spans WHERE role = 'R') r JOIN o ON r.page_id = o.page_id AND o.role <> 'R' WHERE r.x1 IS NOT NULL)"""
+# the spans of 64 orders on a page, so that boxes meet
+CONTENT = """o AS (SELECT page_id // 64 AS page_id, page_id * 10 + span_no AS id, span_no, role, x0, y0, x1, y1, greatest(1e-6, (x1 - x0) * (y1 - y0)) AS area FROM spans),
+h AS (SELECT r.page_id, r.id, o.role, greatest(least(r.x1, o.x1) - greatest(r.x0, o.x0), 0) * greatest(least(r.y1, o.y1) - greatest(r.y0, o.y0), 0) AS inter, r.area AS ra, o.area AS oa
+FROM o r JOIN o ON r.page_id = o.page_id AND r.role = 'R' AND o.role <> 'R' WHERE r.span_no % 4 > 0)"""
 
 
-@query("K24_content_class", """SELECT page_id, span_no AS region_id, CASE WHEN coalesce(n, false) THEN 'native' WHEN coalesce(v, 0) >= 1 THEN 'outlined_vector' ELSE 'raster_text' END AS content FROM (SELECT DISTINCT page_id, span_no FROM spans WHERE role = 'R') LEFT JOIN (SELECT page_id, span_no, bool_or(role = 'N' AND (inter / ra > 0.3 OR inter / oa > 0.5)) AS n,
- count(*) FILTER (role = 'A' AND (inter / ra > 0.05 OR inter / oa > 0.2)) AS v FROM h GROUP BY 1, 2) USING (page_id, span_no)""", ("spans",), CONTENT)
+@query("K24_content_class", """SELECT page_id, id AS region_id, CASE WHEN coalesce(n, false) THEN 'native' WHEN coalesce(v, 0) >= 3 THEN 'outlined_vector' ELSE 'raster_text' END AS content FROM (SELECT DISTINCT page_id, id FROM o WHERE role = 'R') LEFT JOIN (SELECT page_id, id, bool_or(role = 'N' AND (inter / ra > 0.3 OR inter / oa > 0.5)) AS n,
+ count(*) FILTER (role = 'A' AND (inter / ra > 0.05 OR inter / oa > 0.2)) AS v FROM h GROUP BY 1, 2) USING (page_id, id)""", ("spans",), CONTENT)
 def _(t):
-    regions = t.spans.where("role = 'R'").withColumn("region_id", F.col("span_no")).withColumn("x1", F.when(F.col("span_no") % 4 > 0, F.col("x1")))
-    drawn = t.spans.where("role = 'A'")
-    # three drawings to a box, so that one is enough
-    return L.content_class(regions, t.spans.where("role = 'N'"), drawn.unionByName(drawn).unionByName(drawn))
+    spans = t.spans.select("role", "span_no", "x0", "y0", "x1", "y1", F.expr("page_id div 64").alias("page_id"), (F.col("page_id") * 10 + F.col("span_no")).alias("region_id"))
+    regions = spans.where("role = 'R'").withColumn("x1", F.when(F.col("span_no") % 4 > 0, F.col("x1")))
+    return L.content_class(regions, spans.where("role = 'N'"), spans.where("role = 'A'"))
 
 
 @query("K29_placed_in_grid", """SELECT page_id, unit_id, "column", cell_y0, cell_y1, CASE WHEN a + b <= 1 OR abs(a - b) / 150 < 0.12 THEN 'center' WHEN a < b THEN 'left' ELSE 'right' END AS align_h, CASE WHEN cell_y1 - cell_y0 <= y1 - y0 + 2 THEN 'top' WHEN c + d <= 1 OR abs(c - d) / 100 < 0.15 THEN 'middle' WHEN c < d THEN 'top' ELSE 'bottom' END AS align_v,
