@@ -71,12 +71,12 @@ def long_suggestions(hinted: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def full_text(pages: DataFrame, separator: str = "\n", most: int = 4000) -> DataFrame:
-    """book_id and its pages' texts in order, cut to most characters. Pages that begin beyond the cut are left out before a book's pages meet."""
+    """book_id and its pages' texts in order, cut to most characters. Pages whose separator stands beyond the cut are left out before a book's pages meet."""
     own = pages.where("extracted_text IS NOT NULL").select("book_id", "page_number", "extracted_text")
     before = Window.partitionBy("book_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     begins = F.coalesce(F.sum(F.length("extracted_text") + len(separator)).over(before), F.lit(0))
     ordered = F.array_sort(F.collect_list(F.struct("page_number", F.substring("extracted_text", 1, most).alias("t"))))
-    return own.withColumn("_b", begins).where(F.col("_b") < most).groupBy("book_id").agg(F.substring(F.array_join(F.transform(ordered, lambda p: p["t"]), separator), 1, most).alias("sample"))
+    return own.withColumn("_b", begins).where(F.col("_b") - len(separator) < most).groupBy("book_id").agg(F.substring(F.array_join(F.transform(ordered, lambda p: p["t"]), separator), 1, most).alias("sample"))
 
 
 def encoding_check(docs: DataFrame) -> DataFrame:

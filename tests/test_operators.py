@@ -307,3 +307,9 @@ def test_streamed_results_are_files(spark, tmp_path):
     states = feeds.latest_state(spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
     out = feeds.run_once(states, "states_in_files", f"{tmp_path}/cp", "complete")
     assert out.inputFiles() and sorted(map(tuple, out.collect())) == sorted(map(tuple, feeds.latest_state(rows_).collect()))
+
+
+def test_full_text_keeps_the_separator_at_the_cut(spark):
+    pages = spark.createDataFrame([(1, 1, "abc"), (1, 2, "def"), (2, 1, "abcd"), (2, 2, "e")], "book_id int, page_number int, extracted_text string")
+    assert rows(textsig.full_text(pages, "\n", 4), "book_id", "sample") == [(1, "abc\n"), (2, "abcd")]
+    assert rows(textsig.full_text(pages, "--", 4), "sample") == [("abc-",), ("abcd",)]
