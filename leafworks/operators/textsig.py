@@ -39,11 +39,12 @@ def reading_level(pages: DataFrame) -> DataFrame:
     text = F.coalesce("extracted_text", F.lit(""))
     per = pages.select("book_id", word_count(text).alias("w"), F.aggregate(words(text), F.lit(0), lambda a, x: a + F.length(x)).alias("c"), F.regexp_count(text, F.lit("[.!?]+")).alias("s"))
     out = per.groupBy("book_id").agg(F.sum("w").alias("words"), F.greatest(F.lit(1), F.sum("s")).alias("sentences"), F.sum("c").alias("_c"))
-    score = 0.6 * F.col("words") / F.col("sentences") + 1.4 * F.col("_c") / F.nullif("words", F.lit(0))
+    # 0.6 a word, divided last: sums of tenths stay exact, so that levels hold at their bounds
+    score = 6 * F.col("words") / F.lit(10.0) / F.col("sentences") + 1.4 * F.col("_c") / F.nullif("words", F.lit(0))
     level, sure = F.when(F.col("words") == 0, "pre_reader"), F.when(F.col("words") == 0, 0.6)
     for name, top, confidence in LEVELS[:-1]:
         level, sure = level.when(score < top, name), sure.when(score < top, confidence)
-    return out.select("book_id", "words", "sentences", F.round(score, 6).alias("score"), level.otherwise(LEVELS[-1][0]).alias("level"), sure.otherwise(LEVELS[-1][2]).alias("level_confidence"))
+    return out.select("book_id", "words", "sentences", (F.round(score * 1_000_000) / 1_000_000).alias("score"), level.otherwise(LEVELS[-1][0]).alias("level"), sure.otherwise(LEVELS[-1][2]).alias("level_confidence"))
 
 
 def age_hint(typed: DataFrame) -> DataFrame:

@@ -318,3 +318,12 @@ def test_full_text_keeps_the_separator_at_the_cut(spark):
 def test_script_label_ties_with_other_characters(spark):
     docs = spark.createDataFrame([(1, "ab\u2200\u2203"), (2, "\u2200\u2203ab"), (3, "abc\u2200\u2203"), (4, "ab\u05d0\u05d1")], "doc_id int, text string")
     assert rows(scripts.script_label(docs), "doc_id", "label") == [(1, "Zyyy"), (2, "Zyyy"), (3, "Latn"), (4, "Latn")]
+
+
+def test_reading_level_is_exact_at_bounds(spark):
+    def text(n, ends, letters):
+        sizes = [letters // n + (i < letters % n) for i in range(n)]
+        return " ".join("a" * (k - (i < ends)) + "." * (i < ends) for i, k in enumerate(sizes))
+
+    pages = spark.createDataFrame([(i, 1, text(*x)) for i, x in enumerate([(18, 4, 171), (48, 9, 96), (77, 11, 429), (128, 3, 589)])], "book_id int, page_number int, extracted_text string")
+    assert rows(textsig.reading_level(pages), "book_id", "words", "sentences", "score", "level") == [(0, 18, 4, 16.0, "advanced"), (1, 48, 9, 6.0, "beginner"), (2, 77, 11, 12.0, "independent"), (3, 128, 3, 32.042187, "advanced")]
