@@ -327,3 +327,11 @@ def test_reading_level_is_exact_at_bounds(spark):
 
     pages = spark.createDataFrame([(i, 1, text(*x)) for i, x in enumerate([(18, 4, 171), (48, 9, 96), (77, 11, 429), (128, 3, 589)])], "book_id int, page_number int, extracted_text string")
     assert rows(textsig.reading_level(pages), "book_id", "words", "sentences", "score", "level") == [(0, 18, 4, 16.0, "advanced"), (1, 48, 9, 6.0, "beginner"), (2, 77, 11, 12.0, "independent"), (3, 128, 3, 32.042187, "advanced")]
+
+
+def test_header_labels_of_tied_boxes(spark):
+    spans = [(1, 1, "a", 0.0, 0.0, 10.0, 5.0), (1, 2, "b", 30.0, 0.0, 31.0, 5.0), (1, 2, "b", 30.0, 0.0, 90.0, 5.0)]
+    schema = "page_id int, span_no int, text string, x0 double, y0 double, x1 double, y1 double"
+    want = [(1, "a"), (2, "b b")]
+    for order in itertools.permutations(spans):
+        assert rows(layout.header_labels(spark.createDataFrame(list(order), schema)), "label_no", "label") == want
