@@ -335,3 +335,23 @@ def test_header_labels_of_tied_boxes(spark):
     want = [(1, "a"), (2, "b b")]
     for order in itertools.permutations(spans):
         assert rows(layout.header_labels(spark.createDataFrame(list(order), schema)), "label_no", "label") == want
+
+
+def test_inferred_tables_when_pages_are_shuffled(spark):
+    # pages of three columns and four rows: boxes of both axes must meet however the joins are dealt
+    spans = spark.range(6000).selectExpr("id % 500 AS page_id", "cast(100 * (id div 500 % 3) AS double) AS x0", "cast(40 * (id div 1500) AS double) AS y0").selectExpr("*", "x0 + 50 AS x1", "y0 + 10 AS y1").repartition(7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables, columns = layout.inferred_tables(spans, 600.0)
+        assert rows(tables.groupBy("columns", "table_rows").count(), "columns", "table_rows", "count") == [(3, 4, 500)]
+        assert rows(columns.groupBy("column", "x_start", "x_end", "items").count(), "column", "x_start", "x_end", "items", "count") == [(1, 20.0, 50.0, 4, 500), (2, 52.0, 150.0, 4, 500), (3, 152.0, 270.0, 4, 500)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_of_layout_grow_with_the_table(spark, monkeypatch):
+    spans = spark.range(100).selectExpr("id % 20 AS page_id", "id AS span_no", "cast(id AS double) AS x0", "cast(id AS double) AS y0")
+    monkeypatch.setattr(layout, "TASK_ROWS", 10)
+    found = layout.clusters(spans, "page_id", "y0", 12.0)
+    for out in (found, layout.nearest_centre(spans, found, "page_id", "y0"), layout.column_bounds(spans)):
+        assert out.rdd.getNumPartitions() == 10
