@@ -697,3 +697,24 @@ def test_id_cache_keeps_all_keys_apart():
     for _ in range(2):
         for i in range(len(texts)):
             assert cache.ids(packing.chunks(texts.slice(i, 1)))[0].tolist() == cache.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+
+
+def test_the_field_looks_at_every_token():
+    import pyarrow as pa
+
+    from leafworks.llm.words import Words, utf8
+
+    rng = np.random.default_rng(3)
+    texts = ["one two abcdefghijklmn three", "", "violet " * 70 + "abcdefghijklmn", *(" ".join(rng.choice(["a", "bb", "Key:", "x1y2z3w4v5", "abcdefghijklmn"], size=40)) for _ in range(20))]
+    words = Words(*utf8(pa.array(texts, pa.string())), secrets.SEPARATORS)
+    width = len(secrets.FEATURES)
+    long_ = secrets.Field(np.zeros((3, width)), np.zeros((len(secrets.HASHED), secrets.BUCKETS, 3)), np.zeros((3, 3)))
+    long_.emit[0, secrets.FEATURES.index("one")], long_.emit[1, secrets.FEATURES.index("length 12")] = 2.0, 5.0
+    found = [(i, words.raw[a:b].tobytes().decode()) for i, a, b in secrets._crf_spans(long_, words)]  # no cue and no mixed token is near
+    assert (0, "abcdefghijklmn") in found and (2, "abcdefghijklmn") in found
+    for scale in (0.1, 1.0, 3.0):
+        field = secrets.Field(rng.normal(size=(3, width)), rng.normal(size=(len(secrets.HASHED), secrets.BUCKETS, 3)), scale * rng.normal(size=(3, 3)))
+        field.emit[0, 0] += 4.0
+        whole = secrets.Field(field.emit, field.hashed, field.step)
+        whole.unsure = lambda score: np.ones(len(score), dtype=bool)
+        assert secrets._crf_spans(field, words) == secrets._crf_spans(whole, words) != []
