@@ -370,12 +370,17 @@ FALLBACKS = ["charissil", "charis", "nimbussans", "nimbus", "helvetica", "helv",
 def is_fallback(font: Column, approved: list[str]) -> Column:
     """Whether a font's name, letters and digits alone, holds a fallback's, and neither holds an approved one's nor is held by one."""
     name = F.regexp_replace(F.lower(F.coalesce(font, F.lit(""))), "[^a-z0-9]", "")
-    stands_in, known = F.lit(False), F.lit(False)
-    for m in FALLBACKS:
-        stands_in = stands_in | name.contains(m)
-    for stem in approved:
-        known = known | name.contains(stem) | F.lit(stem).contains(name)
-    return stands_in & ~known
+
+    def judged(plain: Column) -> Column:
+        stands_in, known = F.lit(False), F.lit(False)
+        for m in FALLBACKS:
+            stands_in = stands_in | plain.contains(m)
+        for stem in approved:
+            known = known | plain.contains(stem) | F.lit(stem).contains(plain)
+        return stands_in & ~known
+
+    # a list of one, so that the name is made plain once and not for each comparison
+    return F.transform(F.array(name), judged)[0]
 
 
 def font_fidelity(spans: DataFrame, approved: list[str], least: int = 8) -> DataFrame:

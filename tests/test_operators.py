@@ -355,3 +355,9 @@ def test_tasks_of_layout_grow_with_the_table(spark, monkeypatch):
     found = layout.clusters(spans, "page_id", "y0", 12.0)
     for out in (found, layout.nearest_centre(spans, found, "page_id", "y0"), layout.column_bounds(spans)):
         assert out.rdd.getNumPartitions() == 10
+
+
+def test_fallback_fonts_make_a_name_plain_once(spark):
+    fonts = spark.createDataFrame([("Times New-Roman",), ("Playpen Sans",), (None,)], "font string").withColumn("f", gates.is_fallback(F.col("font"), ["playpensans"]))
+    assert rows(fonts, "f") == [(False,), (False,), (True,)]
+    assert fonts._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
