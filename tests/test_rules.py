@@ -1,5 +1,8 @@
 """Rules of catalogue, reconciliation, gates and layout on inline rows, also odd ones."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from leafworks.operators import catalog, extras, gates, layout, reconcile, reporting
@@ -359,3 +362,31 @@ def test_tables_of_a_database_in_parts(spark):
     assert editions.rdd.getNumPartitions() == 5 and dict(editions.dtypes) == {"id": "bigint", "price": "decimal(8,2)", "missing": "string"}
     assert editions.count() == 1000 and str(editions.where("id = 100").first().price) == "100.50" and editions.where("missing IS NOT NULL").count() == 0
     assert tables["EMPTY_ONE"].count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_fonts_meet_in_blocks(spark):
+    rng = random.Random(7)
+    made = [(i, rng.random(), rng.choice([0.1, 0.2, rng.random()]), rng.randrange(1, 10) * 100, rng.choice(["serif", "sans", "unknown", None]), rng.choice([0, 1, None]), rng.choice([0.0, -1.0, None, rng.random() * 3])) for i in range(400)]
+    made += [(400, None, 0.1, 100, "sans", 1, 1.0), (401, float("nan"), 0.1, 100, "sans", 1, 1.0), (402, 0.1, 0.1, None, "sans", 1, 1.0), (None, 0.1, 0.1, 100, "sans", 1, 1.0), (403, 0.1, 0.1, 100, "sans", 1, float("nan")), (404, 0.1, 0.1, 9000, "sans", 1, 1.0)]
+    fonts = spark.createDataFrame(made, "font_id int, x_height_ratio double, width_ratio double, weight_class int, serif_class string, width_class int, char_density double")
+
+    def far(a, b):
+        known = lambda i: a[i] is not None and b[i] is not None and "unknown" not in (a[i], b[i])
+        serif, width = 5.0 * (known(4) and a[4] != b[4]), 1.0 * (known(5) and a[5] != b[5])
+        dense = known(6) and not a[6] <= 0 and not b[6] <= 0
+        return math.sqrt((a[1] - b[1]) ** 2 * 10 + (a[2] - b[2]) ** 2 * 5 + ((a[3] - b[3]) / 100.0) ** 2 * 3 + serif + width + (((a[6] - b[6]) / max(a[6], 1.0)) ** 2 * 2 if dense else 0.0))
+
+    whole, want = [f for f in made if None not in f[:4]], []
+    for q in whole:
+        if q[0] % 5 == 0:
+            near = sorted((d, f[0]) for f in whole if f[0] != q[0] and (d := far(q, f)) <= 2.5)
+            want += [(q[0], i, r + 1) for r, (_, i) in enumerate(near[:4])]
+    out = layout.nearest_fonts(fonts.where("font_id % 5 = 0"), fonts, 2.5, 4, block=60)
+    assert rows(out, "query_id", "font_id", "rank") == sorted(want, key=str)
+    # pairs aren't sorted in one task of a join that was made small
+    assert "BroadcastExchange" not in plan_of(out) and "REPARTITION_BY_NUM" in plan_of(out)
+    assert layout.nearest_fonts(fonts.limit(0), fonts, 2.5, 4).count() == 0
