@@ -53,12 +53,17 @@ def _lines(text: Column) -> Column:
 
 def page_segments(text: Column, slots: Column) -> Column:
     """An array of as many texts as slots: one line each; of more lines ceil(lines / slots) to each, joined by newlines, the last takes the rest; of fewer the last slots are blank. Null without lines, and for one slot with several."""
-    lines = _lines(text)
-    n, slots = F.size(lines), slots.cast("int")
-    per = F.ceil(n / slots).cast("int")
-    group = lambda i: F.slice(lines, i * per + 1, F.when(i == slots - 1, n).otherwise(per))
-    dealt = F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.when(n <= slots, F.coalesce(F.get(lines, i), F.lit(""))).otherwise(F.array_join(group(i), "\n")))
-    return F.when((slots >= 1) & (n > 0) & ((slots > 1) | (n == 1)), dealt)
+    slots = slots.cast("int")
+
+    def deal(lines: Column) -> Column:
+        n = F.size(lines)
+        per = F.ceil(n / slots).cast("int")
+        group = lambda i: F.slice(lines, i * per + 1, F.when(i == slots - 1, n).otherwise(per))
+        dealt = F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.when(n <= slots, F.coalesce(F.get(lines, i), F.lit(""))).otherwise(F.array_join(group(i), "\n")))
+        return F.when((slots >= 1) & (n > 0) & ((slots > 1) | (n == 1)), dealt)
+
+    # as an argument of a function the lines are made once, not for each slot
+    return F.get(F.transform(F.array(_lines(text)), deal), F.lit(0))
 
 
 def segments(pages: DataFrame, slots: Column) -> DataFrame:
@@ -75,16 +80,19 @@ def resolve_targets(units: DataFrame, pages: DataFrame, overrides: DataFrame, it
     """
     page = ["edition_id", "page_number"]
     order = Window.partitionBy(*page).orderBy("reading_order", "unit_id")
-    placed = units.where("unit_id IS NOT NULL").select("edition_id", "unit_id", "page_number", "source_text", (F.row_number().over(order) - 1).alias("_slot"), F.count("*").over(Window.partitionBy(*page)).alias("_n"))
-    texts = pages.where("text IS NOT NULL").groupBy(*page).agg(F.max("text").alias("_page"))
+    units = units.where("unit_id IS NOT NULL")
+    placed = units.select("edition_id", "unit_id", "page_number", "source_text", (F.row_number().over(order) - 1).alias("_slot"))
+    texts = pages.where("text IS NOT NULL").groupBy(*page).agg(F.max("text").alias("_text"))
+    # a page's text is dealt once; its units take a segment each, and no unit carries the page unless it is the only one
+    met = texts.join(units.groupBy(*page).agg(F.count("*").alias("_n")), page)
+    has_text, blank = F.btrim(F.col("_text"), F.lit(_BLANKS)) != "", F.array_repeat(F.lit(None).cast("string"), F.col("_n").cast("int"))
+    dealt = F.posexplode(F.coalesce(page_segments(F.col("_text"), F.col("_n")), blank)).alias("_slot", "_segment")
+    slots = met.select(*page, has_text.alias("_has"), F.when(F.col("_n") == 1, F.col("_text")).alias("_page"), dealt).withColumn("_segment", F.nullif("_segment", F.lit("")))
     o = overrides.where("text IS NOT NULL").groupBy("edition_id", "unit_id").agg(F.max("text").alias("_o"))
     i = items.where("trim(text) <> ''").groupBy("edition_id", "unit_id").agg(F.max("text").alias("_i"))
-    joined = placed.join(texts, page, "left").join(o, ["edition_id", "unit_id"], "left").join(i, ["edition_id", "unit_id"], "left")
-    segment = F.nullif(F.get(page_segments(F.col("_page"), F.col("_n")), F.col("_slot")), F.lit(""))
-    has_text = F.btrim(F.coalesce("_page", F.lit("")), F.lit(_BLANKS)) != ""
-    steps = [("override", F.col("_o"), F.col("_o").isNotNull()), ("item", F.col("_i"), F.col("_i").isNotNull()), ("segment", F.col("_s"), F.col("_s").isNotNull()), ("page", F.col("_page"), has_text & (F.col("_n") == 1)),
-             ("unresolved", F.lit(""), has_text), ("source", F.coalesce("source_text", F.lit("")), F.lit(True))]
-    joined = joined.withColumn("_s", segment)
+    joined = placed.join(slots, [*page, "_slot"], "left").join(o, ["edition_id", "unit_id"], "left").join(i, ["edition_id", "unit_id"], "left")
+    steps = [("override", F.col("_o"), F.col("_o").isNotNull()), ("item", F.col("_i"), F.col("_i").isNotNull()), ("segment", F.col("_segment"), F.col("_segment").isNotNull()), ("page", F.col("_page"), F.col("_has") & F.col("_page").isNotNull()),
+             ("unresolved", F.lit(""), F.col("_has")), ("source", F.coalesce("source_text", F.lit("")), F.lit(True))]
     return joined.select("edition_id", "unit_id", F.coalesce(*[F.when(holds, text) for _, text, holds in steps]).alias("target"), F.coalesce(*[F.when(holds, F.lit(name)) for name, _, holds in steps]).alias("resolved_by"))
 
 

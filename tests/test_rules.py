@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -368,6 +369,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_page_of_many_units_is_dealt_once(spark):
+    # the lines were made anew for each slot of each unit: minutes
+    lines, began = [f"line {i}" for i in range(3000)], time.time()
+    got, left = targets(spark, spans(1, 1000) + spans(2, 1) + spans(3, 1), [(1, "\r\n".join(lines)), (2, " one\ntwo "), (3, " ")])
+    assert all(got[f"p1_s{i}"] == ("\n".join(lines[3 * i : 3 * i + 3]), "segment") for i in range(1000)) and left == []
+    assert got["p2_s0"] == (" one\ntwo ", "page") and got["p3_s0"] == ("English 0", "source")
+    assert time.time() - began < 60
+
+
 def test_nearest_fonts_meet_in_blocks(spark):
     rng = random.Random(7)
     made = [(i, rng.random(), rng.choice([0.1, 0.2, rng.random()]), rng.randrange(1, 10) * 100, rng.choice(["serif", "sans", "unknown", None]), rng.choice([0, 1, None]), rng.choice([0.0, -1.0, None, rng.random() * 3])) for i in range(400)]
