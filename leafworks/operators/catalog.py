@@ -247,17 +247,17 @@ def effective_ids(nodes: DataFrame, missing: str = "original", hops: int = 20) -
     """id, effective_id: where merged_into chains end after at most hops steps; a circle is walked hops steps far.
 
     nodes: id, merged_into. A target that isn't there: 'original' returns to the starting id, 'last' stays at the last id found. Only merged ids walk: steps of 1, 2, 4 ... are composed and those that make up hops
-    are taken in turn, so 20 hops cost six joins. Each step's table has a row for each merged id.
+    are taken in turn, so 20 hops cost six joins. Each step's table has a row for each merged id, so none is broadcast, whatever the size of the files lets Spark expect.
     """
     known = nodes.select(F.col("id").alias("_known"))
-    step = nodes.where("merged_into IS NOT NULL").select("id", "merged_into").join(known, F.col("merged_into") == F.col("_known"), "left")
+    step = nodes.where("merged_into IS NOT NULL").select("id", "merged_into").join(known.hint("merge"), F.col("merged_into") == F.col("_known"), "left")
     # at: the last id found; lost: its target isn't there
     step = step.select(F.col("id").alias("_from"), F.coalesce("_known", "id").alias("_to"), F.col("_known").isNull().alias("_gone"))
 
     def after(a: DataFrame, b: DataFrame) -> DataFrame:
         """Steps a, then b from where they lead; an id that b doesn't have stays."""
         onward = b.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"), F.col("_gone").alias("_lost"))
-        joined = a.join(onward, (F.col("_to") == F.col("_mid")) & ~F.col("_gone"), "left")
+        joined = a.join(onward.hint("merge"), (F.col("_to") == F.col("_mid")) & ~F.col("_gone"), "left")
         return joined.select("_from", F.coalesce("_end", "_to").alias("_to"), (F.col("_gone") | F.coalesce("_lost", F.lit(False))).alias("_gone"))
 
     walk, power, left = None, step, hops
@@ -270,7 +270,7 @@ def effective_ids(nodes: DataFrame, missing: str = "original", hops: int = 20) -
     if walk is None:
         return nodes.select("id", F.col("id").alias("effective_id"))
     end = F.when(F.col("_gone") & F.lit(missing == "original"), F.col("id")).otherwise(F.coalesce("_to", "id"))
-    return nodes.select("id").join(walk, F.col("id") == F.col("_from"), "left").select("id", end.alias("effective_id"))
+    return nodes.select("id").join(walk.hint("merge"), F.col("id") == F.col("_from"), "left").select("id", end.alias("effective_id"))
 
 
 def slug(text: Column) -> Column:
@@ -291,11 +291,14 @@ def resolve_tags(strings: DataFrame, tags: DataFrame, labels: DataFrame, aliases
     by_slug = tags.groupBy(F.col("slug")).agg(F.min("tag_id").alias("_1"))
     by_name = tags.groupBy(F.lower("canonical_name").alias("norm")).agg(F.min("tag_id").alias("_2"))
     by = lambda d, c: d.groupBy(F.lower("name").alias("norm")).agg(F.min("tag_id").alias(c))
-    found = keys.join(by_slug, "slug", "left").join(by_name, "norm", "left").join(by(labels, "_3"), "norm", "left").join(by(aliases, "_4"), "norm", "left")
+    # strings and tags grow with the shop: neither is broadcast
+    left = lambda a, b, c: a.join(b.hint("merge"), c, "left")
+    found = left(left(left(left(keys, by_slug, "slug"), by_name, "norm"), by(labels, "_3"), "norm"), by(aliases, "_4"), "norm")
     ends = effective_ids(tags.select(F.col("tag_id").alias("id"), "merged_into"), "last").select(F.col("id").alias("_hit"), F.col("effective_id").alias("tag_id"))
-    met = found.select("norm", F.col("slug").alias("_slug"), F.coalesce("_1", "_2", "_3", "_4").alias("_hit")).join(ends, "_hit", "left").join(tags.select("tag_id", F.col("slug").alias("_own"), "status"), "tag_id", "left")
+    met = left(found.select("norm", F.col("slug").alias("_slug"), F.coalesce("_1", "_2", "_3", "_4").alias("_hit")), ends, "_hit")
+    met = left(met, tags.select("tag_id", F.col("slug").alias("_own"), "status"), "tag_id")
     met = met.select("norm", "tag_id", F.coalesce("_own", "_slug").alias("slug"), F.coalesce("status", F.lit("pending")).alias("status"))
-    resolved = asked.join(met, "norm").select("book_id", "tag_id", "slug", "status", F.when(F.col("status") == "active", "matched").otherwise("pending").alias("group")).distinct()
+    resolved = asked.join(met.hint("merge"), "norm").select("book_id", "tag_id", "slug", "status", F.when(F.col("status") == "active", "matched").otherwise("pending").alias("group")).distinct()
     # the name of the first of the strings that share a new slug
     made = met.where("tag_id IS NULL").groupBy("slug").agg(F.initcap(F.min("norm")).alias("canonical_name"))
     return resolved, made

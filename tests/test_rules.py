@@ -400,3 +400,11 @@ def test_nearest_fonts_meet_in_blocks(spark):
     # pairs aren't sorted in one task of a join that was made small
     assert "BroadcastExchange" not in plan_of(out) and "REPARTITION_BY_NUM" in plan_of(out)
     assert layout.nearest_fonts(fonts.limit(0), fonts, 2.5, 4).count() == 0
+
+
+def test_tags_and_chains_are_not_broadcast(spark):
+    tags = spark.createDataFrame([(1, "a", "A", "active", None), (2, "b", "B", "active", 1), (3, "c", "C", "archived", 9)], "tag_id long, slug string, canonical_name string, status string, merged_into long")
+    none = spark.createDataFrame([], "tag_id long, name string")
+    resolved, _ = catalog.resolve_tags(spark.createDataFrame([(7, " B "), (7, "a"), (8, "c"), (8, "new")], "book_id int, tag string"), tags, none, none)
+    assert "Broadcast" not in plan_of(resolved)
+    assert rows(resolved, "book_id", "tag_id", "slug", "group") == [(7, 1, "a", "matched"), (8, 3, "c", "pending"), (8, None, "new", "pending")]
