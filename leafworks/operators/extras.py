@@ -47,15 +47,19 @@ def rule_matches(rules: DataFrame, books: DataFrame, editions: DataFrame, featur
     facets = F.struct(given(first).alias("language"), given(F.col("r.reading_level")).alias("reading_level"), none.alias("education_phase"), none.alias("feature"), none.alias("price"), asks.alias("narrated"))
     r = rules.select("collection_id", F.from_json("rules", RULES).alias("r")).select(F.col("collection_id").alias("ask_id"), facets.alias("facets"), given(F.col("r.book_type")).alias("_type"), given(F.col("r.category")).alias("_category"))
     on_edition = F.col("facets.language").isNotNull() | F.col("facets.reading_level").isNotNull() | F.col("facets.narrated")
-    by_edition = edition_matches(r.where(on_edition).select("ask_id", "facets"), editions, features).join(r.select("ask_id", "_type", "_category"), "ask_id").join(books.select("book_id", "book_type"), "book_id")
-    by_edition = by_edition.where(F.col("_type").isNull() | F.coalesce(F.col("_type") == F.col("book_type"), F.lit(False))).select("ask_id", "book_id", "_category")
+    # what takes much to find, the visible books and the links, stands in the plan once: both uses of books ask for the same rows and columns in the same places
+    books = books.select("book_id", "book_type").repartition("book_id")
+    linked = links.select("book_id", F.col("slug").alias("_category")).distinct()
+    by_edition = edition_matches(r.where(on_edition).select("ask_id", "facets"), editions, features).join(r.select("ask_id", "_type", "_category"), "ask_id")
     plain = r.where(~on_edition).select("ask_id", "_type", "_category")
-    typed = plain.join(books, F.col("_type") == F.col("book_type")).select("ask_id", "book_id", "_category")
-    tied = plain.where("_type IS NULL AND _category IS NOT NULL").join(links.select("book_id", F.col("slug").alias("_category")).distinct(), "_category").join(books.select("book_id"), "book_id", "left_semi").select("ask_id", "book_id", "_category")
-    free = plain.where("_type IS NULL AND _category IS NULL").select("ask_id", "_category").crossJoin(books.select("book_id")).select("ask_id", "book_id", "_category")
-    found = by_edition.unionByName(typed).unionByName(tied).unionByName(free)
-    in_category_ = found.where("_category IS NOT NULL").join(links.select("book_id", F.col("slug").alias("_category")), ["book_id", "_category"], "left_semi")
-    return found.where("_category IS NULL").unionByName(in_category_.select(*found.columns)).select(F.col("ask_id").alias("collection_id"), "book_id").distinct()
+    tied = plain.where("_type IS NULL AND _category IS NOT NULL").join(linked, "_category").select("ask_id", "book_id", "_type", none.alias("_category"))
+    asked = by_edition.unionByName(tied).join(books, "book_id").where(F.col("_type").isNull() | F.coalesce(F.col("_type") == F.col("book_type"), F.lit(False)))
+    # a book's type, and null for rules without any filter
+    keyed = books.select("book_id", F.explode(F.array("book_type", none)).alias("_key"))
+    taken = plain.where("_type IS NOT NULL OR _category IS NULL").join(keyed, F.col("_type").eqNullSafe(F.col("_key")))
+    found = asked.select("ask_id", "book_id", "_category").unionByName(taken.select("ask_id", "book_id", "_category"))
+    fit = found.join(linked.withColumn("_tied", F.lit(True)), ["book_id", "_category"], "left").where("_category IS NULL OR _tied")
+    return fit.select(F.col("ask_id").alias("collection_id"), "book_id").distinct()
 
 
 def locked_terms(terms: DataFrame, given: Column) -> DataFrame:
