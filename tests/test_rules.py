@@ -408,3 +408,23 @@ def test_tags_and_chains_are_not_broadcast(spark):
     resolved, _ = catalog.resolve_tags(spark.createDataFrame([(7, " B "), (7, "a"), (8, "c"), (8, "new")], "book_id int, tag string"), tags, none, none)
     assert "Broadcast" not in plan_of(resolved)
     assert rows(resolved, "book_id", "tag_id", "slug", "group") == [(7, 1, "a", "matched"), (8, 3, "c", "pending"), (8, None, "new", "pending")]
+
+
+def test_styles_are_shuffled_once(spark):
+    styles = spark.createDataFrame([(1, 1, "a", 9.0, "A", "k", 1, True), (1, 2, "a", 9.0, "B", "r", 1, False), (1, 3, "a", -0.0, "B", None, 2, False), (1, 4, "a", 0.0, "A", None, 2, True)], "doc_id int, page_number int, style_id string, size double, font string, color string, weight int, italic boolean")
+    families = spark.createDataFrame([(1, i, "f") for i in range(1, 5)], "doc_id int, page_number int, family string")
+    out = layout.style_families(styles, families)
+    plan = plan_of(out)
+    assert rows(out, "size", "font", "color", "weight", "italic", "samples") == [(9.0, "A", None, 1, True, 4)]
+    # the rows by style, and the two sides of the join at most
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Generate" not in plan
+
+
+def test_links_and_books_of_rules_stand_in_the_plan_once(spark):
+    books, editions, features = shop(spark)
+    links = spark.createDataFrame([(1, "animals"), (3, "animals")], "book_id int, slug string")
+    marked = books.where("length(book_type) <> 987654321")
+    rules = spark.createDataFrame([(1, '{"category":"animals"}'), (2, '{"book_type":"picture","category":"animals"}'), (3, None), (4, '{"book_type":"reader"}')], "collection_id int, rules string")
+    out = extras.rule_matches(rules, marked, editions, features, links)
+    assert rows(out, "collection_id", "book_id") == [(1, 1), (1, 3), (2, 1), (3, 1), (3, 2), (3, 3), (4, 3)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("987654321") <= 2
