@@ -403,8 +403,9 @@ def test_nearest_fonts_meet_in_blocks(spark):
 
 
 def test_tags_and_chains_are_not_broadcast(spark):
-    tags = spark.createDataFrame([(1, "a", "A", "active", None), (2, "b", "B", "active", 1), (3, "c", "C", "archived", 9)], "tag_id long, slug string, canonical_name string, status string, merged_into long")
-    none = spark.createDataFrame([], "tag_id long, name string")
+    # inline rows of a known small size
+    tags = spark.sql("SELECT * FROM VALUES (1L, 'a', 'A', 'active', NULL), (2L, 'b', 'B', 'active', 1L), (3L, 'c', 'C', 'archived', 9L) AS t(tag_id, slug, canonical_name, status, merged_into)")
+    none = spark.sql("SELECT 0L AS tag_id, '' AS name WHERE false")
     resolved, _ = catalog.resolve_tags(spark.createDataFrame([(7, " B "), (7, "a"), (8, "c"), (8, "new")], "book_id int, tag string"), tags, none, none)
     assert "Broadcast" not in plan_of(resolved)
     assert rows(resolved, "book_id", "tag_id", "slug", "group") == [(7, 1, "a", "matched"), (8, 3, "c", "pending"), (8, None, "new", "pending")]
